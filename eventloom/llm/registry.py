@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from . import near
+from . import decontam, exact, lines, mixing, near, tokens
 
 QUERIES = {
+    "op2_exact_dedup": exact.op2_exact_dedup,
+    "op3_benchmark_decontamination": decontam.op3_benchmark_decontamination,
+    "op4_line_dedup": lines.op4_line_dedup,
+    "op5_source_mixing": mixing.op5_source_mixing,
+    "op7_token_counts": tokens.op7_token_counts,
     "op10_ngram_jaccard_join": near.op10_ngram_jaccard_join,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_exact_dedup": exact.OP2_SQL,
+    "op3_benchmark_decontamination": decontam.OP3_SQL,
+    "op4_line_dedup": lines.OP4_SQL,
+}
