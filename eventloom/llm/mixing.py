@@ -39,7 +39,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     left = total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
     weight = F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
     level = capped.withColumn("level", left / weight).withColumn("full", F.col("cap") <= F.col("level") * F.col("w"))
-    level = level.withColumn("final", F.min(F.when(~F.col("full"), F.col("level"))).over(everything))
+    level = level.withColumn("final", F.max(F.when(~F.col("full"), F.col("level"))).over(everything))
     target = F.when(F.col("full"), F.col("cap")).otherwise(F.least("cap", F.col("final") * F.col("w")))
     return level.select("source", "source_size", target.alias("target"))
 
