@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, exact, lines, mixing, near, tokens
+from . import decontam, exact, lines, mixing, near, substring, tokens
 
 QUERIES = {
+    "op1_substring_dedup": substring.op1_substring_dedup,
     "op2_exact_dedup": exact.op2_exact_dedup,
     "op3_benchmark_decontamination": decontam.op3_benchmark_decontamination,
     "op4_line_dedup": lines.op4_line_dedup,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_substring_dedup": substring.OP1_SQL,
     "op2_exact_dedup": exact.OP2_SQL,
     "op3_benchmark_decontamination": decontam.OP3_SQL,
     "op4_line_dedup": lines.OP4_SQL,
