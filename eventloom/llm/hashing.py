@@ -20,6 +20,8 @@ _WORD_BASE = 0xD6E8FEB86659FD93
 STEP_BYTES = 1 << 20
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: ASCII characters other than letters and digits.
+PUNCTUATION = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -81,13 +83,13 @@ def steps(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int,
         row = stop
 
 
-def split_words(raw: np.ndarray, offsets: np.ndarray, fold: bool) -> Words:
-    """Words between ASCII white space; ``fold`` lower-cases A-Z only."""
+def split_words(raw: np.ndarray, offsets: np.ndarray, fold: bool, blank: np.ndarray = SPACE) -> Words:
+    """Words between ASCII white space, or other ``blank`` bytes; ``fold`` lower-cases A-Z only."""
     n = len(raw)
     if n == 0:
         z = np.zeros(0, dtype=np.int64)
         return Words(np.zeros(0, U), np.zeros(len(offsets), np.int64), z, z)
-    word = ~SPACE[raw]
+    word = ~blank[raw]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
     start = word.copy()
@@ -102,6 +104,16 @@ def split_words(raw: np.ndarray, offsets: np.ndarray, fold: bool) -> Words:
     return Words(h, np.searchsorted(s, offsets), s, e)
 
 
+def word_heads(raw: np.ndarray, w: Words, n: int, fold: bool) -> np.ndarray:
+    """Hash of the first n bytes of each word, in the space of word hashes."""
+    if not len(w.start):
+        return np.zeros(0, U)
+    p, inverse = powers(_BYTE_BASE, len(raw) + 1)
+    total = np.zeros(len(raw) + 1, dtype=U)
+    np.cumsum((_FOLDED if fold else _PLAIN)[raw] * p[: len(raw)], dtype=U, out=total[1:])
+    return mix((total[np.minimum(w.start + n, w.end)] - total[w.start]) * inverse[w.start])
+
+
 def prefix_sums(h: np.ndarray) -> np.ndarray:
     """Sums from which ``span_hash`` takes the hash of any run of words."""
     total = np.zeros(len(h) + 1, dtype=U)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, exact, lines, mixing, near, substring, tokens
+from . import decontam, exact, lines, mixing, near, quality, substring, tokens
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_source_mixing": mixing.op5_source_mixing,
     "op7_token_counts": tokens.op7_token_counts,
+    "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_ngram_jaccard_join": near.op10_ngram_jaccard_join,
 }
 
