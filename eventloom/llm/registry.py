@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, exact, lines, mixing, near, quality, substring, tokens
+from . import decontam, exact, lines, mixing, near, private, quality, substring, tokens
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_benchmark_decontamination": decontam.op3_benchmark_decontamination,
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_source_mixing": mixing.op5_source_mixing,
+    "op6_pii_surrogates": private.op6_pii_surrogates,
     "op7_token_counts": tokens.op7_token_counts,
     "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_ngram_jaccard_join": near.op10_ngram_jaccard_join,
