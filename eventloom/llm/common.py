@@ -91,3 +91,17 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
 
 def schema(spec: str) -> T.StructType:
     return T.StructType.fromDDL(spec)
+
+
+#: Up to so many ids are broadcast (8 bytes each); with more, a join shuffles.
+BROADCAST_IDS = 1_000_000
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """A table of ids that has been written, to be broadcast if its size allows it."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs' rows whose doc_id is not among ids (doc_id): texts stay where they are if the ids are few."""
+    return docs.join(few(cut(ids.distinct())), "doc_id", "left_anti").select(docs.columns)

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import folded, fresh, pieces, table
+from .common import folded, pieces, table, without
 
 #: Characters that separate words, once A-Z is lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
@@ -72,10 +72,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, percent
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without contaminated documents. Only the ids of those move, never the texts of all."""
-    (same,) = fresh(docs, "bad_id")
-    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias(same))
-    return docs.join(bad, docs["doc_id"] == F.col(same), "left_anti")
+    """docs without contaminated documents."""
+    return without(docs, contamination(docs, benchmark).where("contaminated").select("doc_id"))
 
 
 def without_hit_words(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

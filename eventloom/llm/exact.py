@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, table
+from .common import cut, fresh, table, without
 
 #: The broadcast bitmaps never take more than 2 ** 26 bits (8 MB). With more rows than that they thin out less; results stay exact.
 MOST_BITS = 1 << 26
@@ -65,10 +65,9 @@ def exact_groups(df: DataFrame, text: str = "text", key: str = "doc_id", normali
     return unique.unionByName(maybe)
 
 
-def keep_largest(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs without the rows whose text stays in another row; keys are unique."""
-    out = exact_groups(docs, text, key)
-    return out.where(F.col(out.columns[-1])).select(docs.columns)
+def keep_largest(docs: DataFrame) -> DataFrame:
+    """docs (doc_id unique, text) without the rows whose text stays in another row."""
+    return without(docs, exact_groups(docs.select("doc_id", "text")).where("not kept").select("doc_id"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, schema, table
+from .common import arrow_batches, schema, table, without
 from .hashing import PUNCTUATION, U, Words, split_words, steps, word_heads
 
 #: The scorer is fitted on at most this many labelled documents, those with the least hash of doc_id.
@@ -230,7 +230,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs' rows that the classifier does not reject."""
     scored = quality_scores(docs, labels)
-    return docs.join(scored.where("reject").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    return without(docs, scored.where("reject").select("doc_id"))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

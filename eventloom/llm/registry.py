@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontam, exact, lines, mixing, near, private, quality, substring, tokens
+import corpus_pipeline
+
+from . import decontam, exact, lines, mixing, near, private, quality, substring, tokens, urls
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -12,8 +14,10 @@ QUERIES = {
     "op5_source_mixing": mixing.op5_source_mixing,
     "op6_pii_surrogates": private.op6_pii_surrogates,
     "op7_token_counts": tokens.op7_token_counts,
+    "op8_url_filters": urls.op8_url_filters,
     "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_ngram_jaccard_join": near.op10_ngram_jaccard_join,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
@@ -21,4 +25,5 @@ ORACLES: dict[str, str] = {
     "op2_exact_dedup": exact.OP2_SQL,
     "op3_benchmark_decontamination": decontam.OP3_SQL,
     "op4_line_dedup": lines.OP4_SQL,
+    "op8_url_filters": urls.OP8_SQL,
 }
