@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, cut, schema, table
+from .common import arrow_batches, cut, few, schema, table, without
 from .components import components
 from .hashing import mix, shingle_sets, steps
 
+#: Frequencies are counted by the upper 40 bits of a token.
+SHORT = np.uint64(24)
 #: A token in more documents than this is of the frequent class.
 FREQUENT = 32
 #: At most so many frequent tokens are broadcast (8 bytes each); with more, those in most documents are the class.
@@ -104,8 +106,8 @@ def count_blocks(size: int, shards: int):
     """Each map task's tokens with the number of its documents that hold them, by shard."""
 
     def flush(held: list[np.ndarray]):
-        keys, counts = np.unique(np.concatenate(held) >> np.uint64(16), return_counts=True)
-        rows = [(k, b - a, pack(np.diff(keys[a:b], prepend=np.uint64(0)), 8), pack(counts[a:b], 4)) for k, a, b in shard_blocks(keys << np.uint64(16), shards)]
+        keys, counts = np.unique(np.concatenate(held) >> SHORT, return_counts=True)
+        rows = [(k, b - a, pack(np.diff(keys[a:b], prepend=np.uint64(0)), 8), pack(counts[a:b], 4)) for k, a, b in shard_blocks(keys << SHORT, shards)]
         k, n, x, c = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(n, pa.int64()), pa.array(x, pa.binary()), pa.array(c, pa.binary())], names=["shard", "n", "keys", "counts"])
 
@@ -154,8 +156,8 @@ def signatures(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
     n = len(s)
     least = -(-percent * n // 100)
     need = n - least + 1
-    short = s >> np.uint64(16)
-    often = np.isin(short, frequent, assume_unique=False) if len(frequent) else np.zeros(n, bool)
+    short = s >> SHORT
+    often = frequent[np.minimum(np.searchsorted(frequent, short), len(frequent) - 1)] == short if len(frequent) else np.zeros(n, bool)
     rare, common = s[~often], s[often]
     if len(rare) >= need:
         return rare[:need]
@@ -259,49 +261,74 @@ def candidates_of(percent: int):
     return run
 
 
+def close_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and parities let them link; sketches: (id, s)."""
+    one, two = (sketches.select(F.col("id").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
+    return pairs.join(one, "a").join(two, "b").where(close("sa", "sb", percent)).select("a", "b")
+
+
+def wide_parity(s: np.ndarray) -> bytes:
+    """Parities of a set on about four bits for each token, a power of two of bits."""
+    bits = 1 << max(9, (4 * len(s)).bit_length())
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd).tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A number of tokens by which two sets differ at least; the wider parities are folded to the narrower."""
+    p, q = (np.frombuffer(v, np.uint8) for v in ((x, y) if len(x) <= len(y) else (y, x)))
+    return int(np.bitwise_count(np.bitwise_xor.reduce(q.reshape(-1, len(p)), axis=0) ^ p).sum())
+
+
 def packed_sets(size: int):
     def run(batches):
         for batch in batches:
-            rows = [(d, len(s), pack(np.diff(s, prepend=np.uint64(0)))) for d, s in text_sets(batch, size)]
+            rows = [(d, len(s), wide_parity(s), pack(np.diff(s, prepend=np.uint64(0)))) for d, s in text_sets(batch, size)]
             if rows:
-                d, n, x = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(n, pa.int64()), pa.array(x, pa.binary())], names=["id", "n", "tokens"])
+                d, n, p, x = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(n, pa.int64()), pa.array(p, pa.binary()), pa.array(x, pa.binary())], names=["id", "n", "parity", "tokens"])
 
     return run
 
 
-def verified(percent: int):
-    """Keep the pairs whose whole sets link."""
+def kept_pairs(test):
+    """Keep the pairs of (a, b, n1, x1, n2, x2) that a test of (n1, x1, n2, x2) lets through."""
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for n1, t1, n2, t2 in zip(*(batch.column(c).to_pylist() for c in ("n1", "t1", "n2", "t2")), strict=True):
-                if 100 * min(n1, n2) < percent * max(n1, n2):
-                    keep.append(False)
-                    continue
-                one, two = (np.cumsum(unpack(t, n), dtype=np.uint64) for t, n in ((t1, n1), (t2, n2)))
-                both = np.concatenate([one, two])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (n1 + n2 - common))
+            keep = [test(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("n1", "x1", "n2", "x2")), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def may_link(percent: int):
+    return lambda n1, p1, n2, p2: 100 * min(n1, n2) >= percent * max(n1, n2) and (100 + percent) * least_difference(p1, p2) <= (100 - percent) * (n1 + n2)
+
+
+def do_link(percent: int):
+    def test(n1, t1, n2, t2):
+        both = np.concatenate([np.cumsum(unpack(t, n), dtype=np.uint64) for t, n in ((t1, n1), (t2, n2))])
+        both.sort()
+        common = int((both[1:] == both[:-1]).sum())
+        return 100 * common >= percent * (n1 + n2 - common)
+
+    return test
+
+
 def link(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole texts link; a set is made once for each document that has a pair."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = docs.join(wanted, "doc_id").select("doc_id", "text").mapInArrow(packed_sets(size), schema("id long, n long, tokens binary"))
-    sets = cut(sets)
-    one = sets.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col("tokens").alias("t1"))
-    two = sets.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("tokens").alias("t2"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "n1", "t1", "n2", "t2").mapInArrow(verified(percent), schema("a long, b long"))
+    """The pairs (a, b) whose whole texts link: first by wide parities, which never lose a link, then by all tokens."""
+    wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    sets = docs.join(few(wanted), "doc_id", "left_semi").select("doc_id", "text")
+    sets = cut(sets.mapInArrow(packed_sets(size), schema("id long, n long, parity binary, tokens binary")))
+    for column, test in (("parity", may_link), ("tokens", do_link)):
+        one, two = (sets.select(F.col("id").alias(e), F.col("n").alias(f"n{i}"), F.col(column).alias(f"x{i}")) for e, i in (("a", 1), ("b", 2)))
+        pairs = cut(pairs.join(one, "a").join(two, "b").select("a", "b", "n1", "x1", "n2", "x2").mapInArrow(kept_pairs(test(percent)), schema("a long, b long")))
+    return pairs
 
 
-def rejoined(docs: DataFrame, held: DataFrame, tested: DataFrame, links: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links and components once the members (bucket, id, s) of large buckets that are still apart have met.
+def rejoined(docs: DataFrame, held: DataFrame, sketches: DataFrame, tested: DataFrame, links: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links and components once the members (bucket, id) of large buckets that are still apart have met.
 
     Rounds of stars come first: in each bucket the members outside its most common component meet one
     member of that component, another in each round. When the pairs that are left are few for the
@@ -310,26 +337,29 @@ def rejoined(docs: DataFrame, held: DataFrame, tested: DataFrame, links: DataFra
     found = True
     for turn in range(ROUNDS + 1):
         classes = components(links)
-        named = held.join(classes, "id", "left").select("bucket", "id", "s", F.coalesce("component", "id").alias("component"))
-        groups = named.groupBy("bucket", "component").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "s")).alias("head"))
+        named = held.join(classes, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+        groups = named.groupBy("bucket", "component").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id")).alias("head"))
         groups = groups.groupBy("bucket").agg(F.sum("m").alias("total"), F.max(F.struct("m", "component", "head")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
-        groups = cut(groups.select("bucket", "total", F.col("main.m").alias("most"), F.col("main.component").alias("main"), F.col("main.head.id").alias("center"), F.col("main.head.s").alias("sc")))
+        groups = cut(groups.select("bucket", "total", F.col("main.m").alias("most"), F.col("main.component").alias("main"), F.col("main.head.id").alias("center")))
         members, pairs = groups.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum(F.col("total") * (F.col("total") - F.col("most"))), F.lit(0))).first()
         if not members:
             return links, classes
-        named = cut(named.join(groups.select("bucket", "main", "center", "sc"), "bucket"))
+        named = cut(named.join(groups.select("bucket", "main", "center"), "bucket"))
         apart, last = named.where("component <> main"), turn == ROUNDS or not found or pairs <= 2 * members
         if last:
-            other = named.select("bucket", F.col("id").alias("center"), F.col("component").alias("main"), F.col("s").alias("sc"))
-            apart = apart.select("bucket", "id", "s", "component").join(other, "bucket").where(F.expr("component <> main") & close("s", "sc", percent))
-        rest = apart.where(close("s", "sc", percent)).select(F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b")).distinct()
+            side = named.join(sketches, "id")
+            other = side.select("bucket", F.col("id").alias("center"), F.col("component").alias("other"), F.col("s").alias("sc"))
+            rest = side.where("component <> main").drop("center").join(other, "bucket").where(F.expr("component <> other") & close("s", "sc", percent))
+            rest = rest.select(F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b")).distinct()
+        else:
+            rest = close_pairs(apart.select(F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b")).distinct(), sketches, percent)
         rest = cut(rest.join(tested, ["a", "b"], "left_anti"))
-        more = cut(link(docs, rest, size, percent))
+        more = link(docs, rest, size, percent)
         found = bool(more.take(1))
         links = links.union(more) if found else links
         if last:
             return links, components(links) if found else classes
-        tested, held = tested.union(rest), named.select("bucket", "id", "s")
+        tested, held = tested.union(rest), named.select("bucket", "id")
     raise AssertionError("the last round returns")
 
 
@@ -359,22 +389,27 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75) -> Dat
 
     blocks = docs.mapInArrow(index_blocks(size, shards, percent, broadcast), schema("shard int, n long, keys binary, docs binary, sizes binary"))
     found = blocks.groupBy("shard").applyInArrow(candidates_of(percent), schema("bucket long, a long, b long"))
-    known = rep.join(prints, "doc_id").select("doc_id", "rep", F.struct(F.col("n_shingles").alias("n"), *PARITY).alias("s"))
-    ra, rb = (known.select(F.col("doc_id").alias(x), F.col("rep").alias(f"r{x}"), F.col("s").alias(f"s{x}")) for x in "ab")
-    found = found.join(ra, "a").join(rb, "b").where("ra <> rb").select("bucket", F.col("ra").alias("center"), F.col("rb").alias("member"), close("sa", "sb", percent).alias("close"))
-    found = cut(found)
-    tested = found.select(F.least("center", "member").alias("a"), F.greatest("center", "member").alias("b"), "close").distinct()
-    links = cut(link(docs, tested.where("close").select("a", "b"), size, percent))
-
-    held = found.where("bucket <> 0").select("bucket", "center", "member")
-    held = held.select("bucket", F.col("member").alias("id")).union(held.select("bucket", F.col("center"))).distinct()
-    held = held.join(known.select(F.col("doc_id").alias("id"), "s"), "id")
-    links, classes = rejoined(docs, held, tested.select("a", "b"), links, size, percent)
+    ra, rb = (rep.select(F.col("doc_id").alias(x), F.col("rep").alias(f"r{x}")) for x in "ab")
+    found = cut(found.join(ra, "a").join(rb, "b").where("ra <> rb").select("bucket", F.col("ra").alias("center"), F.col("rb").alias("member")))
+    sketches = prints.select(F.col("doc_id").alias("id"), F.struct(F.col("n_shingles").alias("n"), *PARITY).alias("s"))
+    tested = cut(close_pairs(found.select(F.least("center", "member").alias("a"), F.greatest("center", "member").alias("b")).distinct(), sketches, percent))
+    links = link(docs, tested, size, percent)
+
+    held = found.where("bucket <> 0")
+    held = cut(held.select("bucket", F.col("member").alias("id")).union(held.select("bucket", F.col("center"))).distinct())
+    links, classes = rejoined(docs, held, sketches, tested, links, size, percent)
 
     named = rep.join(classes.select(F.col("id").alias("rep"), "component"), "rep", "left")
     named = named.select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """docs without those that a class of linked documents has a smaller doc_id for. Ids move, texts only to meet them."""
+    classes = cut(jaccard_components(docs))
+    gone = classes.where("component_id <> doc_id").select("doc_id")
+    return without(docs, gone)
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
