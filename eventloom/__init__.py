@@ -1,0 +1,10 @@
+"""A Spark-native engine for append-only, bi-temporal event memory: every operator is a DataFrame function.
+
+Functions that run in Python workers are shipped by value, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
