@@ -35,17 +35,18 @@ class Store:
 def append_batch(store: Store, now: Callable[[], str], reviewed: list[str] = (), observers: list[Callable[[DataFrame], None]] = ()) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: validate, redact, classify, drop known ids, append log, visibility and review rows, then call observers in order.
 
-    A batch that is run again after a failure finds its ids in the log and appends nothing twice; sidecar
-    rows go first, so that an event is never visible before its visibility is.
+    A batch that is run again after a failure finds its ids in each table and appends nothing twice;
+    sidecar rows go first, so that an event is never readable before its visibility is.
     """
 
     def run(batch: DataFrame, _batch_id: int) -> None:
         good, _bad = ingest.validated(batch)
         rows = ingest.new_rows(ingest.prepared(good, now()), store.log()).persist()
         try:
-            ingest.sidecar_visibility(rows).write.mode("append").parquet(store.path("visibility"))
-            parked = ingest.parked(rows, list(reviewed))
-            parked.write.mode("append").parquet(store.path("review"))
+            sides = {"visibility": ingest.sidecar_visibility(rows), "review": ingest.parked(rows, list(reviewed))}
+            for name, side in sides.items():
+                known = store.read(name, side.schema).select("event_id")
+                side.join(known, "event_id", "left_anti").select(*side.columns).write.mode("append").parquet(store.path(name))
             rows.write.mode("append").partitionBy("workstream_id").parquet(store.path("log"))
             for observer in observers:
                 observer(rows)
