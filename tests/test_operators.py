@@ -110,11 +110,11 @@ def test_chain_takes_last_action_and_its_outcome(spark):
 
 def test_packing_goes_on_after_overflow(spark):
     t = dt.datetime(2024, 1, 1)
-    body = [("e1", "a" * 190, 0.9), ("e2", "b" * 190, 0.8), ("e3", "c" * 190, 0.7), ("e4", "d" * 190, 0.6), ("e5", "short", 0.5)]
+    body = [("e1", "a" * 196, 0.9), ("e2", "b" * 196, 0.8), ("e3", "c" * 196, 0.7), ("e4", "d" * 196, 0.6), ("e5", "short", 0.5)]
     events = spark.createDataFrame([("w", i, 1, t, x, s) for i, x, s in body], "workstream_id string, event_id string, category int, valid_at timestamp_ntz, text string, score double")
-    got = {r["event_id"]: r["fits"] for r in bundle.packed(events, 1592).collect()}
+    got = {r["event_id"]: r["fits"] for r in bundle.packed(events, 1600).collect()}
     assert got == {"e1": True, "e2": True, "e3": True, "e4": False, "e5": True}
-    assert bundle.hints(events, 1592).count() == sum(not v for v in got.values())
+    assert bundle.hints(events, 1600).count() == sum(not v for v in got.values())
 
 
 def test_curation_hash_guards(spark, sf_dir):
