@@ -44,7 +44,10 @@ def chosen(grams: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(length: int, gram: int):
-    """(doc_id, start, n, h, e): an anchor's hash, the run of windows it owns, and the hash of all their words."""
+    """(doc_id, start, n, h, e): an anchor's hash, the run of windows it owns, and the hash of all their words.
+
+    In texts that repeat a few words over and over, neighbouring anchors of equal hashes are one row.
+    """
 
     def run(batches):
         for batch in batches:
@@ -68,6 +71,9 @@ def anchors(length: int, gram: int):
                 h = grams[place[edge]]
                 e = mix(span_hash(total, first, first + n - 1 + length) + (place[edge] - first).astype(U) * U(0x9E3779B97F4A7C15))
                 own = doc[first]
+                new = np.r_[True, (h[1:] != h[:-1]) | (e[1:] != e[:-1]) | (own[1:] != own[:-1]) | (first[1:] != first[:-1] + n[:-1])]
+                at = np.flatnonzero(new)
+                n, first, h, e, own = np.add.reduceat(n, at), first[at], h[at], e[at], own[at]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[a + own], pa.int64()), pa.array(first - w.first[own], pa.int64()), pa.array(n, pa.int32()), pa.array(h.view(np.int64)), pa.array(e.view(np.int64))],
                     names=["doc_id", "start", "n", "h", "e"],
@@ -76,19 +82,26 @@ def anchors(length: int, gram: int):
     return run
 
 
+def flat(lists: pa.Array, *fields: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Offsets and fields of a list of structs; null lists are empty."""
+    sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    inner = lists.flatten()
+    return np.r_[0, np.cumsum(sizes)], [inner.field(f).to_numpy(zero_copy_only=False) if len(inner) else np.zeros(0, np.int64) for f in fields]
+
+
 def single_windows(length: int):
     """(h, x, doc_id, start): the windows that given anchors own, by their own hash x."""
 
     def run(batches):
         for batch in batches:
-            ids, lists = batch.column("doc_id").to_pylist(), batch.column("runs").to_pylist()
+            ids = batch.column("doc_id").to_pylist()
+            edges, (hs, firsts, ns) = flat(batch.column("runs"), "h", "start", "n")
             for a, b, raw, offsets in steps(batch.column("text")):
                 w = split_words(raw, offsets, fold=False)
                 total = prefix_sums(w.hash)
                 for i in range(a, b):
-                    n = np.array([r["n"] for r in lists[i]], np.int64)
-                    first = np.array([r["start"] for r in lists[i]], np.int64)
-                    h = np.repeat(np.array([r["h"] for r in lists[i]], np.int64), n)
+                    n, first = (v[edges[i] : edges[i + 1]].astype(np.int64) for v in (ns, firsts))
+                    h = np.repeat(hs[edges[i] : edges[i + 1]], n)
                     start = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
                     at = start + w.first[i - a]
                     x = span_hash(total, at, at + length).view(np.int64)
@@ -97,24 +110,24 @@ def single_windows(length: int):
     return run
 
 
-def merged(spans: list) -> list[tuple[int, int]]:
+def merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     """Overlapping and touching spans as maximal ones, in order."""
-    out: list[tuple[int, int]] = []
-    for s, e in sorted(spans):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
-    return out
+    if not len(start):
+        return []
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(np.r_[True, start[1:] > reach[:-1]])
+    return list(zip(start[new].tolist(), reach[np.r_[new[1:] - 1, len(start) - 1]].tolist(), strict=True))
 
 
 def without_spans(with_text: bool):
     def run(batches):
         for batch in batches:
             rows = []
-            for d, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            edges, (starts, ends) = flat(batch.column("spans"), "s", "e")
+            for i, (d, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)):
                 words = (text or "").encode().split()
-                n, spans = len(words), merged([(s["s"], s["e"]) for s in spans or []])
+                n, spans = len(words), merged(starts[edges[i] : edges[i + 1]], ends[edges[i] : edges[i + 1]])
                 for s, e in reversed(spans):
                     del words[s:e]
                 kept = b" ".join(words)
