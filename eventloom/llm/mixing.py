@@ -3,8 +3,8 @@
 A source's target in words divided by its size gives its number of passes f. Every document first gets
 floor(f) whole copies. The rest of the target is drawn by Pareto order sampling: documents are ranked
 by their random odds u / (1 - u) over their inclusion odds p / (1 - p), and taken from the lowest rank
-until the words that are left are filled. One last document, the one whose size comes nearest to what
-is still missing, closes the gap. Random numbers are a hash of seed and doc_id, so reruns agree.
+until the words that are left are filled. A few last documents, each the one whose size comes nearest
+to what is still missing, close the gap. Random numbers are a hash of seed and doc_id, so reruns agree.
 
 No source is ever sorted in one task: ranks are cut into ranges, the sums of the ranges find the one
 that holds the boundary, that range is cut again, and only its rows are put in order.
@@ -21,6 +21,8 @@ from .common import cut, fresh, table, word_count
 #: Ranges that ranks are cut into, twice.
 RANGES = 2048
 WEIGHTS = (5, 2, 1)
+#: Most documents of a source that close its gap.
+CLOSING = 4
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -95,12 +97,16 @@ def mix(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_i
     drawn = placed.withColumn("below", F.coalesce(below, F.lit(False))).join(exact, "doc_id", "left").withColumn("drawn", F.coalesce(F.col("below") | F.col("drawn"), F.col("below")))
     drawn = cut(drawn.select("doc_id", "source", "size", "source_size", "target", "whole", "need", "q", "drawn"))
 
-    got = drawn.groupBy("source").agg(F.coalesce(F.sum(F.when(F.col("drawn"), F.col("size"))), F.lit(0)).alias("got"), F.first("need").alias("need"))
-    gap = got.select(F.col("source").alias("of"), (F.col("need") - F.col("got")).alias("gap")).where("gap > 0")
-    last = drawn.where(~F.col("drawn")).join(gap, F.col("source").eqNullSafe(F.col("of"))).where(F.abs(F.col("size") - F.col("gap")) < F.col("gap"))
-    last = last.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("miss"), "q", "doc_id")).alias("x")).select(F.col("x.doc_id").alias("doc_id"), F.lit(1).alias("last"))
-    copies = F.col("whole") + F.when(F.col("drawn") | F.col("last").isNotNull(), F.lit(1)).otherwise(F.lit(0))
-    out = drawn.join(last, "doc_id", "left").withColumn("copies", copies.cast("long"))
+    for _ in range(CLOSING):
+        got = drawn.groupBy("source").agg(F.coalesce(F.sum(F.when(F.col("drawn"), F.col("size"))), F.lit(0)).alias("got"), F.first("need").alias("need"))
+        gap = got.select(F.col("source").alias("of"), (F.col("need") - F.col("got")).alias("gap")).where("gap >= 1")
+        miss = F.abs(F.col("size") - F.col("gap"))
+        last = drawn.where(~F.col("drawn")).join(gap, F.col("source").eqNullSafe(F.col("of"))).where(miss < F.col("gap"))
+        last = cut(last.groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "q", "doc_id")).alias("x")).select(F.col("x.doc_id").alias("doc_id"), F.lit(True).alias("last")))
+        if not last.take(1):
+            break
+        drawn = cut(drawn.join(last, "doc_id", "left").withColumn("drawn", F.col("drawn") | F.coalesce("last", F.lit(False))).drop("last"))
+    out = drawn.withColumn("copies", (F.col("whole") + F.col("drawn").cast("int")).cast("long"))
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
