@@ -17,7 +17,7 @@ U = np.uint64
 _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD6E8FEB86659FD93
 #: Bytes of text handled in one vectorised step (a longer document is a step of its own).
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: ASCII characters other than letters and digits.

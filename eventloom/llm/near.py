@@ -40,7 +40,7 @@ SMALL_SET = 64
 #: Rounds of stars in large buckets before all pairs that are still apart meet.
 ROUNDS = 2
 #: Index entries that a map task holds before it sends a block to each shard.
-BLOCK_ENTRIES = 2_000_000
+BLOCK_ENTRIES = 500_000
 
 
 def pack(x: np.ndarray, width: int = 8) -> bytes:
@@ -379,7 +379,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75) -> Dat
     counted = docs.mapInArrow(count_blocks(size, shards), schema("shard int, n long, keys binary, counts binary"))
     often = counted.groupBy("shard").applyInArrow(frequent_of(FREQUENT), schema("token long, df long"))
     often = often.orderBy(F.col("df").desc(), "token").limit(FREQUENT_MOST).select("token")
-    tokens = np.sort(np.array([r[0] for r in often.collect()], dtype=np.int64).view(np.uint64))
+    tokens = np.sort(often.toArrow().column("token").to_numpy().astype(np.int64).view(np.uint64))
     broadcast = spark.sparkContext.broadcast(tokens)
 
     prints = cut(docs.mapInArrow(sizes_and_prints(size), schema(PRINTS)))
