@@ -12,7 +12,7 @@ from .. import adapter as A
 from ..functions import scoring as R
 from ..functions import text as X
 from ..functions.redaction import redact
-from ..operators import bundle, consolidate, curation, entities, evaluation, gates, projections, scans, search, sessions, sync
+from ..operators import bundle, consolidate, curation, entities, evaluation, gates, maintenance, projections, scans, search, sessions, sync
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -116,10 +116,10 @@ def revocation_anti(spark, d):
     return gates.not_revoked(log, rev).select("event_id", "workstream_id")
 
 
-@query(f"{A.ctes('log', 'rev', 'vis')} SELECT event_id, statement, classification, revoked_at, visibility FROM log LEFT JOIN rev USING (event_id) LEFT JOIN vis USING (event_id) WHERE e % 50 = 0")
+@query(f"{A.ctes('log', 'rev', 'vis', 'cur')} SELECT event_id, statement, classification, revoked_at, visibility FROM log LEFT JOIN rev USING (event_id) LEFT JOIN vis USING (event_id) WHERE event_id IN (SELECT target_id FROM cur)")
 def hydrate_semi(spark, d):
     log, rev, vis = sides(spark, d)
-    candidates = log.where("e % 50 = 0").select("event_id")
+    candidates = A.curations(spark, d).select(F.col("target_id").alias("event_id"))
     return gates.hydrate(log, rev, vis, candidates).select("event_id", "statement", "classification", "revoked_at", "visibility")
 
 
@@ -526,3 +526,63 @@ def eval_by_category(spark, d):
 @query("SELECT l_returnflag, l_extendedprice AS p95 FROM (SELECT l_returnflag, l_extendedprice, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) AS i, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem) WHERE i = greatest(1, n * 95 // 100)")
 def percentile_exact(spark, d):
     return evaluation.percentile(A.read(spark, d, "lineitem"), "l_returnflag", "l_extendedprice", 95)
+
+
+# ---- upkeep and views --------------------------------------------------------------------------
+
+
+@query(f"{A.ctes('log', 'rev')} SELECT event_id, workstream_id FROM log WHERE event_id NOT IN (SELECT event_id FROM rev) AND e NOT IN (SELECT vec_id FROM embeddings)")
+def pending_embeddings(spark, d):
+    have = A.vectors(spark, d).select(F.expr(A.ev("vec_id")).alias("event_id"), "provider_id")
+    log, rev, _ = sides(spark, d)
+    return maintenance.pending_embeddings(log, rev, have, "test@64").select("event_id", "workstream_id")
+
+
+@query(
+    f"""{A.ctes('log')}, {TRIPLES}, ch AS (SELECT workstream_id, event_id AS d FROM log WHERE category = 2 UNION SELECT workstream_id, decision_ref FROM log WHERE category = 5 AND decision_ref IS NOT NULL)
+    SELECT 'facts' AS projection, count(*) AS n FROM log WHERE category = 1 UNION ALL SELECT 'decisions', count(*) FROM log WHERE category = 2 UNION ALL SELECT 'hypotheses', count(*) FROM log WHERE category = 3
+    UNION ALL SELECT 'goals', count(*) FROM log WHERE category = 4 UNION ALL SELECT 'skills', count(*) FROM log WHERE category = 0 AND skill_name IS NOT NULL UNION ALL SELECT 'triples', count(*) FROM tri
+    UNION ALL SELECT 'contradictions', count(*) FROM tri a JOIN tri b ON a.workstream_id = b.workstream_id AND a.subject_key = b.subject_key AND a.predicate = b.predicate AND a.event_id < b.event_id AND lower(trim(a.object)) <> lower(trim(b.object))
+    UNION ALL SELECT 'duplicates', CAST(sum(n * (n - 1) / 2) AS BIGINT) FROM (SELECT count(*) AS n FROM log WHERE category = 1 GROUP BY workstream_id, lower(trim(statement))) UNION ALL SELECT 'decision_chains', count(*) FROM ch"""
+)
+def rebuild_counts(spark, d):
+    return maintenance.rebuild_counts(A.log(spark, d), A.revocations(spark, d))
+
+
+@query(
+    f"""{A.ctes('log', 'rev')}, k AS (SELECT * FROM log WHERE workstream_id = 'ws-2' ORDER BY created_at DESC, event_id LIMIT 200)
+    SELECT event_id, workstream_id, (['Evidence', 'Fact', 'Decision', 'Hypothesis', 'Goal', 'Action', 'Outcome'])[category + 1] AS category, (['Public', 'Internal', 'Confidential', 'Secret', 'Pii'])[classification + 1] AS classification, created_at, revoked_at IS NOT NULL AS revoked FROM k LEFT JOIN rev USING (event_id)"""
+)
+def recent_events(spark, d):
+    return maintenance.recent_events(A.log(spark, d), A.revocations(spark, d), 200, "ws-2")
+
+
+@query(f"{A.ctes('log', 'rev')} SELECT 'goals' AS projection, workstream_id, event_id, statement, valid_at, revoked_at IS NOT NULL AS revoked FROM log LEFT JOIN rev USING (event_id) WHERE category = 4 ORDER BY valid_at DESC, event_id LIMIT 100")
+def projection_page(spark, d):
+    return maintenance.projection_page(maintenance.rebuilt(A.log(spark, d), A.revocations(spark, d)), "goals", 100)
+
+
+@query(f"{HYBRID} SELECT 'hybrid' AS dispatcher, count(*) AS considered, count(*) FILTER (WHERE fused >= 0.1) AS kept, count(*) FILTER (WHERE fused < 0.1) AS gated FROM fu")
+def explain_counts(spark, d):
+    return maintenance.explained(search.hybrid(A.corpus(spark, d), A.vectors(spark, d), _query_vector(spark, d), SEARCH, A.NOW), "hybrid")
+
+
+@query(f"{A.ctes('corpus')}, {BM25}, p AS (SELECT event_id, row_number() OVER (ORDER BY raw, event_id) AS place FROM bm QUALIFY place <= 50), r AS (SELECT 'doc-' || vec_id AS event_id, round({COS}, 9) AS score FROM embeddings) SELECT event_id, place FROM p LEFT JOIN r USING (event_id) ORDER BY score DESC NULLS LAST, place, event_id LIMIT 10")
+def rerank(spark, d):
+    from pyspark.sql import Window as W
+
+    best = search.bm25(A.corpus(spark, d), SEARCH).orderBy("raw_score", "event_id").limit(50)
+    placed = best.select("event_id", F.row_number().over(W.orderBy("raw_score", "event_id")).cast("long").alias("place"))
+    scores = search.vector_topk(A.vectors(spark, d), _query_vector(spark, d), 1 << 30).select(F.concat(F.lit("doc-"), F.col("vec_id")).alias("event_id"), F.round("cosine", 9).alias("score"))
+    return maintenance.reranked(placed, scores, 10)
+
+
+_STOP = ", ".join(f"'{w}'" for w in X.GOLD_STOP)
+
+
+@query(
+    f"""WITH {PAIRS}, g AS (SELECT *, list_filter(string_split_regex(lower(gold), '[^a-z0-9]+'), lambda w: length(w) > 2 AND w NOT IN ({_STOP})) AS t FROM pr)
+    SELECT conv_id, turn, len(t) > 0 AND len(list_filter(t, lambda w: contains(lower(answer), w))) / greatest(len(t), 1) >= 0.6 AS supported FROM g"""
+)
+def gold_support(spark, d):
+    return _graded(spark, d).select("conv_id", "turn", X.gold_support(F.col("answer"), F.col("gold")).alias("supported"))
