@@ -389,22 +389,34 @@ def _bundle_events(spark, d):
     return bundle.scored_events(log, rev, A.curations(spark, d), A.NOW)
 
 
-@query()
+SCORED = f"""{A.ctes('log', 'rev', 'cur')}, {MULT}, {AMEND}, sc AS (
+    SELECT workstream_id, event_id, category, valid_at, CASE WHEN skill_name IS NOT NULL THEN skill_name || ' — ' || statement ELSE coalesce(amended, statement) END AS text,
+      round(least(1.0, greatest(0.0, exp(-greatest(0.0, (epoch_us(TIMESTAMP '{A.NOW}') - epoch_us(created_at)) / 86400000000.0) / 30) * coalesce(multiplier, 1.0))), 9) AS score
+    FROM log LEFT JOIN mul ON event_id = mul.target_id LEFT JOIN ame ON event_id = ame.target_id WHERE event_channel = 0 AND event_id NOT IN (SELECT event_id FROM rev))"""
+_CUT = "CASE WHEN length({c}) <= {n} THEN {c} ELSE substring({c}, 1, {n}) || '…' END"
+_EST = "(length({c}) + 3) // 4"
+_RANK = "CASE category WHEN 2 THEN 0 WHEN 4 THEN 1 WHEN 3 THEN 2 WHEN 1 THEN 3 WHEN 5 THEN 4 WHEN 6 THEN 5 WHEN 0 THEN 6 ELSE 99 END"
+PACKED = f"""{SCORED}, ln AS (SELECT *, {_EST.format(c="('- ' || " + _CUT.format(c='text', n=200) + " || ' [' || event_id || ']')")} AS tok, row_number() OVER (PARTITION BY workstream_id, category ORDER BY score DESC, valid_at DESC, event_id) AS p FROM sc),
+    gr AS (SELECT workstream_id, category, list(tok ORDER BY p) AS t FROM ln GROUP BY 1, 2),
+    us AS (SELECT workstream_id, category, unnest(range(1, len(t) + 1)) AS p, unnest(list_transform(range(1, len(t) + 1), lambda i: list_reduce(list_prepend(CAST(0 AS BIGINT), t[1:i - 1]), lambda a, x: CASE WHEN a + x <= 512 THEN a + x ELSE a END))) AS used FROM gr),
+    pk AS (SELECT ln.*, used + tok <= 512 AS fits, CAST({_RANK} AS INT) AS rank FROM ln JOIN us USING (workstream_id, category, p))"""
+
+
+@query(f"{PACKED} SELECT workstream_id, category, count(*) FILTER (WHERE fits) AS n_lines, CAST(sum(tok) FILTER (WHERE fits) AS BIGINT) AS tokens, count(*) AS n_events, rank FROM pk GROUP BY workstream_id, category, rank HAVING count(*) FILTER (WHERE fits) > 0")
 def bundle_sections(spark, d):
     return bundle.sections(_bundle_events(spark, d))
 
 
-@query()
+@query(
+    f"""{PACKED}, hi AS (SELECT workstream_id, event_id, category, rank, p, lower(array_to_string(list_filter(string_split_regex(text, '[ \t\n\r]+'), lambda w: w <> '')[1:3], '-')) AS keyword, {_CUT.format(c='text', n=80)} AS context FROM pk WHERE NOT fits),
+    ru AS (SELECT *, CAST(sum({_EST.format(c='keyword')} + {_EST.format(c='context')}) OVER (PARTITION BY workstream_id ORDER BY rank, p) AS BIGINT) AS running FROM hi)
+    SELECT workstream_id, event_id, category, keyword, context, running FROM ru WHERE running <= 256"""
+)
 def bundle_hints(spark, d):
     return bundle.hints(_bundle_events(spark, d))
 
 
-@query(
-    f"""{A.ctes('log', 'rev', 'cur')}, {MULT}, {AMEND}
-    SELECT workstream_id, event_id, category, valid_at, CASE WHEN skill_name IS NOT NULL THEN skill_name || ' — ' || statement ELSE coalesce(amended, statement) END AS text,
-      round(least(1.0, greatest(0.0, exp(-greatest(0.0, (epoch_us(TIMESTAMP '{A.NOW}') - epoch_us(created_at)) / 86400000000.0) / 30) * coalesce(multiplier, 1.0))), 9) AS score
-    FROM log LEFT JOIN mul ON event_id = mul.target_id LEFT JOIN ame ON event_id = ame.target_id WHERE event_channel = 0 AND event_id NOT IN (SELECT event_id FROM rev)"""
-)
+@query(f"{SCORED} SELECT * FROM sc")
 def bundle_scores(spark, d):
     return _bundle_events(spark, d)
 
