@@ -128,21 +128,20 @@ def with_surrogates(docs: DataFrame, key: str = "surrogate-key", text: str = "te
 
     Ids are unique and not null. Null texts stay null with no entities; all other columns stay (a
     clashing n_entities keeps its name and the new one gets an underscore). Documents without entities
-    pass straight through; of the others only occurrences and then their texts are joined by id.
+    pass straight through; the others are written once, cut at their entities, and joined by id.
     """
-    count, hits, rid, fakes = fresh(docs, "n_entities", "hits", "rid", "fakes")
+    count, hits, rid, fakes, parts = fresh(docs, "n_entities", "hits", "rid", "fakes", "parts")
     maybe = F.col(text).rlike(r"[0-9@]|(?:Mr|Mrs|Ms|Miss|Herr|Frau|Se.ora?|Monsieur|Madame|Mme)\.? ") | F.col(text).rlike("[0-9a-fA-F]{32}")
     found = F.when(maybe, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     marked = docs.withColumn(hits, F.coalesce(found, F.array().cast("array<string>")))
     plain = marked.where(F.size(hits) == 0).withColumn(count, F.lit(0).cast("long")).drop(hits)
-    busy = marked.where(F.size(hits) > 0)
+    busy = cut(marked.where(F.size(hits) > 0).withColumn(parts, F.split(text, ANY, -1)).drop(text))
     seen = busy.select(F.col(id_).alias(rid), F.posexplode(hits).alias("at", "value")).withColumn("kind", kind_of(F.col("value")))
     seen = cut(seen.withColumn("canon", canonical(F.col("kind"), F.col("value"))))
     known = surrogates(seen.select("kind", "canon"), key)
     by = seen.join(known, ["kind", "canon"]).select(rid, "at", laid_out(F.col("kind"), F.col("value"), F.col("fake")).alias("new"))
     by = by.groupBy(rid).agg(F.array_sort(F.collect_list(F.struct("at", "new"))).alias(fakes))
-    parts = F.split(text, ANY, -1)
-    joined = F.array_join(F.flatten(F.transform(fakes, lambda x: F.array(F.get(parts, x["at"]), x["new"]))), "")
+    joined = F.array_join(F.flatten(F.transform(fakes, lambda x: F.array(F.get(F.col(parts), x["at"]), x["new"]))), "")
     whole = F.concat(joined, F.element_at(parts, -1))
     busy = busy.join(by, busy[id_] == F.col(rid)).withColumn(count, F.size(hits).cast("long")).withColumn(text, whole)
     return plain.unionByName(busy.select(plain.columns))
