@@ -19,7 +19,7 @@ from .common import arrow_batches, schema, table, without
 from .hashing import PUNCTUATION, U, Words, split_words, steps, word_heads
 
 #: The scorer is fitted on at most this many labelled documents, those with the least hash of doc_id.
-SAMPLE = 6000
+SAMPLE = 4000
 #: Hashed features.
 DIM = 1 << 18
 #: Most features that a sampled document sends to the driver, those with the least hash; full texts are scored.
@@ -84,10 +84,10 @@ def sample_features(batches):
         for ids, raw, offsets, w, n in documents_of(batch):
             f, stats = features(raw, w), statistics(raw, offsets, w)
             for i, d in enumerate(ids):
-                rows.append((d, present(f[w.first[i] : w.first[i + 1]])[:SAMPLE_FEATURES].tolist(), stats[i].tolist()))
+                rows.append((d, present(f[w.first[i] : w.first[i + 1]])[:SAMPLE_FEATURES].astype("<i4").tobytes(), stats[i].tolist()))
         if rows:
             d, k, s = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(k, pa.list_(pa.int32())), pa.array(s, pa.list_(pa.float64()))], names=["doc_id", "k", "stats"])
+            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(k, pa.binary()), pa.array(s, pa.list_(pa.float64()))], names=["doc_id", "k", "stats"])
 
 
 def votes(lexicon: np.ndarray, insults: np.ndarray):
@@ -155,14 +155,14 @@ class Sample:
 
     def __init__(self, rows: list):
         self.ids = [r["doc_id"] for r in rows]
-        self.row = np.repeat(np.arange(len(rows)), [len(r["k"]) for r in rows])
-        self.col = np.array([x for r in rows for x in r["k"]], np.int64)
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r["k"]) // 4 for r in rows])
+        self.col = np.frombuffer(b"".join(r["k"] for r in rows), "<i4")
         self.stats = inputs(np.array([r["stats"] for r in rows], float).reshape(len(rows), len(STATS)))
         self.seen = np.bincount(self.col, minlength=DIM)
 
     def lift(self, y: np.ndarray, least: int = 5) -> np.ndarray:
         """Log odds of each feature between bad and good documents; 0 for features in few documents or without a clear side."""
-        bad = np.bincount(self.col, y[self.row], minlength=DIM)
+        bad = np.bincount(self.col, y.astype(np.float32)[self.row], minlength=DIM)
         r = np.log((bad + 0.5) / (y.sum() + 1)) - np.log((self.seen - bad + 0.5) / (len(y) - y.sum() + 1))
         due = self.seen * (y.sum() / max(1, len(y)))
         clear = (bad - due) ** 2 > 9 * np.maximum(due, 0.1)
@@ -182,7 +182,7 @@ class Sample:
             q, b = self.stats.T @ d, d.sum()
             gh, gp, gb = gh + g * g, gp + q * q, gb + b * b
             hashed, plain, bias = hashed - rate * g / np.sqrt(gh), plain - rate * q / np.sqrt(gp), bias - rate * b / np.sqrt(gb)
-        return hashed * scale, plain, float(bias)
+        return (hashed * scale).astype(np.float32), plain, float(bias)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -201,10 +201,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -
     chosen = gold.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     chosen = {r["doc_id"]: (r["gold_junk"], r["gold_toxic"]) for r in chosen.collect()}
     ids = spark.createDataFrame([(i,) for i in chosen], "doc_id long")
-    learned = docs.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(sample_features, schema("doc_id long, k array<int>, stats array<double>"))
+    learned = docs.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(sample_features, schema("doc_id long, k binary, stats array<double>"))
     sample = Sample(learned.collect())
     human = np.array([[np.nan if v is None else v for v in chosen[i]] for i in sample.ids], float).reshape(len(sample.ids), 2)
-    lexicon = np.maximum(0, sample.lift(np.nan_to_num(human[:, 1])) - LEXICON_ODDS)
+    lexicon = np.maximum(0, sample.lift(np.nan_to_num(human[:, 1])) - LEXICON_ODDS).astype(np.float32)
 
     kinds = ", ".join(f"{c} byte" for c in (*JUNK[:4], *TOXIC[:2]))
     cast = docs.mapInArrow(votes(lexicon, hashes_of(INSULTS)), schema(f"doc_id long, {kinds}")).join(gold, "doc_id", "left")
@@ -234,4 +234,5 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    out = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.withColumn("kept", ~F.col("reject"))
