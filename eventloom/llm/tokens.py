@@ -1,41 +1,31 @@
 """Token counts (operator 7): batch encoding in Arrow functions that return lengths only.
 
-Batches are balanced by bytes, so a task never encodes more than ``BATCH_BYTES`` at once. A text above
-``LONG_BYTES`` is cut at safe boundaries: before a blank between two letters of [a-z]. Byte-level
-pre-tokenisers start a piece there whatever stands before or after, so the counts of the parts add up
-to that of the whole.
+Byte-level texts are cut at safe boundaries: before a single blank between two visible characters.
+Byte-level pre-tokenisers start a piece there whatever stands before or after, so the counts of the
+parts add up to that of the whole, however long it is. Parts repeat a lot: the library encodes each distinct one
+once, and a bounded memory of counts serves the rest. What is encoded goes in batches balanced by
+bytes, so a task never encodes more than about ``BATCH_BYTES`` at once.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, schema, table
-from .hashing import bytes_of
 
 BATCH_BYTES = 1 << 19
-LONG_BYTES = 1 << 15
-_SAFE = re.compile(rb"(?<=[a-z]) (?=[a-z])")
+#: Counts of parts that a worker remembers, and the longest part that it remembers.
+REMEMBERED, REMEMBERED_LENGTH = 1_000_000, 64
+#: Not beside angle brackets, where a special string may stand.
+_SAFE = re.compile(r"(?<=[!-;=?-~À-ɏ])(?= [!-;=?-~À-ɏ])")
 _LOADED: dict = {}
 
 
-def parts(text: bytes, limit: int = LONG_BYTES) -> list[bytes]:
-    """The text in parts of about ``limit`` bytes, cut only at safe boundaries."""
-    out, start = [], 0
-    while len(text) - start > limit:
-        found = _SAFE.search(text, start + limit)
-        if not found:
-            break
-        out.append(text[start : found.start()])
-        start = found.start()
-    return [*out, text[start:]]
-
-
 def counter(path: str, special: tuple[str, ...] = ()):
     """A function from a list of texts to their numbers of tokens."""
     if path.endswith(".json"):
@@ -56,32 +46,40 @@ def counter(path: str, special: tuple[str, ...] = ()):
     raise ValueError(f"not a tokenizer that is known here: {path}")
 
 
-def counts(path: str, limit: int, split_long: bool):
+def balanced(parts: list[str]) -> Iterator[list[str]]:
+    """The parts in runs of about ``BATCH_BYTES``."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part)
+        if size >= BATCH_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def counts(path: str, limit: int, local: bool):
+    """local: whether pieces do not depend on what stands beyond a safe boundary."""
+
     def run(batches):
         if path not in _LOADED:
-            _LOADED[path] = counter(path)
-        count = _LOADED[path]
+            _LOADED[path] = counter(path), {}
+        count, known = _LOADED[path]
         for batch in batches:
-            raw, offsets = bytes_of(batch.column("text"))
-            n = len(batch)
-            totals = np.zeros(n, np.int64)
-            held, owner, size = [], [], 0
-
-            def flush(held, owner, totals=totals):
-                if held:
-                    np.add.at(totals, owner, count(held))
-
-            for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-                whole = raw[a:b].tobytes()
-                for part in parts(whole) if split_long and b - a > LONG_BYTES else [whole]:
-                    held.append(part.decode("utf-8", "replace"))
-                    owner.append(i)
-                    size += len(part)
-                    if size >= BATCH_BYTES:
-                        flush(held, owner)
-                        held, owner, size = [], [], 0
-            flush(held, owner)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array(totals, pa.int64()), pa.array(totals > limit, pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            cut = [_SAFE.split(t) if local else [t] for t in texts]
+            new = list({p for ps in cut for p in ps} - known.keys())
+            here = {}
+            for some in balanced(new):
+                here.update(zip(some, count(some), strict=True))
+            totals = [sum([here[p] if p in here else known[p] for p in ps]) for ps in cut]
+            if len(known) > REMEMBERED:
+                known.clear()
+            known.update((p, n) for p, n in here.items() if len(p) <= REMEMBERED_LENGTH)
+            sizes = [len(t.encode()) for t in texts]
+            arrays = [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64()), pa.array([n > limit for n in totals], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return run
 
