@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, table, word_count
+from .common import cut, few, fresh, table, word_count
 
 #: Ranges that ranks are cut into, twice.
 RANGES = 2048
@@ -114,7 +114,7 @@ def mixed_rows(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that the mix takes: docs' columns and how many copies of each."""
     copies, same = fresh(docs, "copies", "mix_id")
     taken = mix(docs, word_count(F.col(text))).where("copies > 0").select(F.col("doc_id").alias(same), F.col("copies").alias(copies))
-    return docs.join(taken, docs["doc_id"] == F.col(same)).drop(same)
+    return docs.join(few(cut(taken)), docs["doc_id"] == F.col(same)).drop(same)
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,8 @@ FREQUENT_MOST = 1 << 20
 PAIR_BUCKET = 12
 #: Sets below this size are indexed by single tokens only.
 SMALL_SET = 64
+#: Members of large buckets that meet in one task, and cells of a table of their pairs at once.
+GROUP_MEMBERS, CELLS = 100_000, 200_000
 #: Rounds of stars in large buckets before all pairs that are still apart meet.
 ROUNDS = 2
 #: Index entries that a map task holds before it sends a block to each shard.
@@ -316,17 +318,69 @@ def do_link(percent: int):
     return test
 
 
+def ends(pairs: DataFrame, name: str) -> DataFrame:
+    """The documents in pairs (a, b), to be broadcast if they are few."""
+    return few(cut(pairs.select(F.col("a").alias(name)).union(pairs.select("b")).distinct()))
+
+
 def link(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole texts link: first by wide parities, which never lose a link, then by all tokens."""
-    wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    sets = docs.join(few(wanted), "doc_id", "left_semi").select("doc_id", "text")
+    """The pairs (a, b) whose whole texts link: first by wide parities, which never lose a link, then by all tokens.
+
+    The sets of all documents in pairs are made once; only those in pairs that pass the parities shuffle.
+    """
+    sets = docs.join(ends(pairs, "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
     sets = cut(sets.mapInArrow(packed_sets(size), schema("id long, n long, parity binary, tokens binary")))
     for column, test in (("parity", may_link), ("tokens", do_link)):
+        sets = sets.join(ends(pairs, "id"), "id", "left_semi") if column == "tokens" else sets
         one, two = (sets.select(F.col("id").alias(e), F.col("n").alias(f"n{i}"), F.col(column).alias(f"x{i}")) for e, i in (("a", 1), ("b", 2)))
         pairs = cut(pairs.join(one, "a").join(two, "b").select("a", "b", "n1", "x1", "n2", "x2").mapInArrow(kept_pairs(test(percent)), schema("a long, b long")))
     return pairs
 
 
+def apart_in(percent: int):
+    """Distinct close pairs across components within the buckets of one group."""
+
+    def run(block: pa.Table) -> pa.Table:
+        bucket, ids, component, main, n = (block.column(c).to_numpy() for c in ("bucket", "id", "component", "main", "n"))
+        order = np.argsort(bucket, kind="stable")
+        bucket, ids, component, main, n = (v[order] for v in (bucket, ids, component, main, n))
+        parities = np.stack([block.column(p).to_numpy()[order].view(np.uint64) for p in PARITY], axis=1)
+        edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        found, held = [np.zeros((0, 2), np.int64)], 0
+        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(bucket)], strict=True):
+            outside = a + np.flatnonzero(component[a:b] != main[a:b])
+            step = max(1, CELLS // (b - a))
+            for k in range(0, len(outside), step):
+                i = outside[k : k + step]
+                differ = np.bitwise_count(parities[i][:, None, :] ^ parities[None, a:b, :]).sum(axis=2, dtype=np.int64)
+                x, y = n[i][:, None], n[None, a:b]
+                ok = (component[i][:, None] != component[None, a:b]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & ((100 + percent) * differ <= (100 - percent) * (x + y))
+                r, c = np.nonzero(ok)
+                found.append(np.sort(np.stack([ids[i[r]], ids[a + c]], axis=1), axis=1))
+                held += len(r)
+                if held > CELLS:
+                    found = [np.unique(np.concatenate(found), axis=0)]
+                    held = 0
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    return run
+
+
+def apart_pairs(members: DataFrame, count: int, percent: int) -> DataFrame:
+    """Distinct close pairs (a, b) across components: members (bucket, id, component, main, total, s).
+
+    Buckets of bounded size meet in groups of about ``GROUP_MEMBERS``, where pairs that share many
+    buckets come out once; a larger bucket meets in a join, which can split it.
+    """
+    small = members.where(F.col("total") <= GROUP_MEMBERS).select(F.pmod(F.xxhash64("bucket"), F.lit(count // GROUP_MEMBERS + 1)).alias("g"), "bucket", "id", "component", "main", "s.*")
+    out = small.groupBy("g").applyInArrow(apart_in(percent), schema("a long, b long"))
+    large = members.where(F.col("total") > GROUP_MEMBERS)
+    other = large.select("bucket", F.col("id").alias("center"), F.col("component").alias("other"), F.col("s").alias("sc"))
+    met = large.where("component <> main").select("bucket", "id", "component", "s").join(other, "bucket").where(F.expr("component <> other") & close("s", "sc", percent))
+    return out.union(met.select(F.least("id", "center"), F.greatest("id", "center"))).distinct()
+
+
 def rejoined(docs: DataFrame, held: DataFrame, sketches: DataFrame, tested: DataFrame, links: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links and components once the members (bucket, id) of large buckets that are still apart have met.
 
@@ -344,13 +398,10 @@ def rejoined(docs: DataFrame, held: DataFrame, sketches: DataFrame, tested: Data
         members, pairs = groups.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum(F.col("total") * (F.col("total") - F.col("most"))), F.lit(0))).first()
         if not members:
             return links, classes
-        named = cut(named.join(groups.select("bucket", "main", "center"), "bucket"))
+        named = cut(named.join(groups.select("bucket", "main", "center", "total"), "bucket"))
         apart, last = named.where("component <> main"), turn == ROUNDS or not found or pairs <= 2 * members
         if last:
-            side = named.join(sketches, "id")
-            other = side.select("bucket", F.col("id").alias("center"), F.col("component").alias("other"), F.col("s").alias("sc"))
-            rest = side.where("component <> main").drop("center").join(other, "bucket").where(F.expr("component <> other") & close("s", "sc", percent))
-            rest = rest.select(F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b")).distinct()
+            rest = apart_pairs(named.join(sketches, "id"), members, percent)
         else:
             rest = close_pairs(apart.select(F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b")).distinct(), sketches, percent)
         rest = cut(rest.join(tested, ["a", "b"], "left_anti"))
