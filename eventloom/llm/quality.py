@@ -4,8 +4,9 @@ Two questions are asked of a document: is it junk, is it toxic. For each, severa
 good or nothing. The votes of all documents are counted by pattern (a bounded table), and
 expectation-maximisation on those counts estimates each labeller's accuracies and, from them, the
 posterior label of each pattern. Human labels, where there are any, are one more labeller. The
-posterior labels of a bounded sample of labelled documents train a linear scorer over hashed words and
-word heads, which then scores every document.
+posterior labels of a bounded sample of all documents, with and without human labels, train a linear
+scorer over hashed words and word heads, which then scores every document. A first scorer, fitted where
+people have judged (nowhere: on the whole sample), adds its evidence to the other documents' posteriors.
 """
 
 from __future__ import annotations
@@ -18,14 +19,14 @@ from pyspark.sql import functions as F
 from .common import arrow_batches, schema, table, without
 from .hashing import PUNCTUATION, U, Words, split_words, steps, word_heads
 
-#: The scorer is fitted on at most this many labelled documents, those with the least hash of doc_id.
+#: The scorer is fitted on at most this many documents with human labels and as many without, those with the least hash of doc_id.
 SAMPLE = 4000
 #: Hashed features.
 DIM = 1 << 18
 #: Most features that a sampled document sends to the driver, those with the least hash; full texts are scored.
 SAMPLE_FEATURES = 4096
 HEADS = (4, 6)
-#: Log odds from which a feature of the labelled sample is in the learned lexicon.
+#: Log odds from which a feature of the sampled documents with human labels is in the learned lexicon.
 LEXICON_ODDS = 2.5
 #: Words that the lexicon labeller takes as insults.
 INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
@@ -103,7 +104,7 @@ def votes(lexicon: np.ndarray, insults: np.ndarray):
                 shares = np.array([lexicon[present(f[x:y])].sum() for x, y in zip(w.first[:-1], w.first[1:], strict=True)])
                 say = lambda bad, known: pa.array(bad.astype(np.int8), pa.int8(), mask=~known)
                 variety = (s[:, 3] < 0.3) | (s[:, 3] > 0.5)
-                cols = [say(s[:, 0] > 0.3, enough), say(s[:, 1] > 0.02, enough), say(s[:, 2] > 0.2, enough), say(s[:, 3] < 0.3, enough & variety), say(insult, np.ones(len(n), bool)), say(shares > 0, enough)]
+                cols = [say(s[:, 0] > 0.3, enough), say(s[:, 1] > 0.02, enough), say(s[:, 2] > 0.2, enough), say(s[:, 3] < 0.3, enough & variety), say(insult, np.ones(len(n), bool)), say(shares > 0, enough & lexicon.any())]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *cols], names=["doc_id", *JUNK[:4], *TOXIC[:2]])
 
     return run
@@ -184,33 +185,50 @@ class Sample:
             hashed, plain, bias = hashed - rate * g / np.sqrt(gh), plain - rate * q / np.sqrt(gp), bias - rate * b / np.sqrt(gb)
         return (hashed * scale).astype(np.float32), plain, float(bias)
 
+    def logits(self, weights: tuple[np.ndarray, np.ndarray, float]) -> np.ndarray:
+        hashed, plain, bias = weights
+        return np.bincount(self.row, hashed[self.col], minlength=len(self.ids)) + self.stats @ plain + bias
+
+
+def combined(post: np.ndarray, logits: np.ndarray) -> np.ndarray:
+    """Posteriors with a first scorer's log odds as further evidence: the labellers overlook much that the scorer knows."""
+    p, prior = np.clip(post, 1e-9, 1 - 1e-9), np.clip(post.mean() if len(post) else 0.15, 0.01, 0.6)
+    z = np.log(p / (1 - p)) + logits - np.log(prior / (1 - prior))
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(doc_id, p_junk, p_toxic, reject) for each document.
 
     docs: doc_id long (unique, not null) and text; labels: doc_id, quality and toxic, 1 or 0 (null: no
     vote; repeated rows of a document: the worst counts). Other columns are ignored. Null and empty
-    texts have no words and are judged by the bias alone. Without labels the labellers decide, and the
-    scorer, having nothing to learn from, says what its bias says (keep). Empty docs give no rows.
+    texts have no words and are judged by the bias alone. Without labels the labellers decide: the
+    scorer learns their posteriors, and the learned lexicon casts no votes. Empty docs give no rows.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     gold = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((1 - F.min("quality")).cast("byte").alias("gold_junk"), F.max("toxic").cast("byte").alias("gold_toxic"))
 
-    chosen = gold.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    order = (F.xxhash64("doc_id"), "doc_id")
+    chosen = gold.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(*order).limit(SAMPLE)
     chosen = {r["doc_id"]: (r["gold_junk"], r["gold_toxic"]) for r in chosen.collect()}
+    others = docs.select("doc_id").join(gold, "doc_id", "left_anti").orderBy(*order).limit(SAMPLE)
+    chosen |= {r["doc_id"]: (None, None) for r in others.collect()}
     ids = spark.createDataFrame([(i,) for i in chosen], "doc_id long")
-    learned = docs.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(sample_features, schema("doc_id long, k binary, stats array<double>"))
-    sample = Sample(learned.collect())
+    picked = docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    rows = picked.mapInArrow(sample_features, schema("doc_id long, k binary, stats array<double>")).collect()
+    sample = Sample(rows)
     human = np.array([[np.nan if v is None else v for v in chosen[i]] for i in sample.ids], float).reshape(len(sample.ids), 2)
-    lexicon = np.maximum(0, sample.lift(np.nan_to_num(human[:, 1])) - LEXICON_ODDS).astype(np.float32)
+    judged = {q: ~np.isnan(human[:, i]) for i, q in enumerate(("junk", "toxic"))}
+    by_people = {q: Sample([r for r, known in zip(rows, judged[q], strict=True) if known]) for q in judged}
+    lexicon = np.maximum(0, by_people["toxic"].lift(human[judged["toxic"], 1]) - LEXICON_ODDS).astype(np.float32)
+    del rows
 
     kinds = ", ".join(f"{c} byte" for c in (*JUNK[:4], *TOXIC[:2]))
-    cast = docs.mapInArrow(votes(lexicon, hashes_of(INSULTS)), schema(f"doc_id long, {kinds}")).join(gold, "doc_id", "left")
-    counted = cast.groupBy(*JUNK, *TOXIC).agg(F.count("*").alias("n")).collect()
-    wanted = {i for i in sample.ids}
-    own = {r["doc_id"]: r for r in cast.join(F.broadcast(ids), "doc_id", "left_semi").collect() if r["doc_id"] in wanted}
+    vote = lambda texts: texts.mapInArrow(votes(lexicon, hashes_of(INSULTS)), schema(f"doc_id long, {kinds}"))
+    counted = vote(docs).join(gold, "doc_id", "left").groupBy(*JUNK, *TOXIC).agg(F.count("*").alias("n")).collect()
+    own = {r["doc_id"]: r.asDict() | dict(zip(("gold_junk", "gold_toxic"), chosen[r["doc_id"]], strict=True)) for r in vote(picked).collect()}
 
     weights = {}
     for name, columns in (("junk", JUNK), ("toxic", TOXIC)):
@@ -222,7 +240,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -
         patterns = list(table_)
         post, _ = em(np.array(patterns, int).reshape(len(patterns), len(columns)), np.array(list(table_.values()), float), start)
         label = dict(zip(patterns, post.tolist(), strict=True))
-        weights[name] = sample.fit(np.array([label[code(own[i])] for i in sample.ids], float))
+        y, known = np.array([label[code(own[i])] for i in sample.ids], float), judged[name]
+        first = by_people[name].fit(y[known]) if known.any() else sample.fit(y)
+        weights[name] = sample.fit(np.where(known, y, combined(y, sample.logits(first))))
     out = docs.mapInArrow(scores(weights), schema("doc_id long, p_junk double, p_toxic double"))
     return out.withColumn("reject", (F.col("p_junk") >= threshold) | (F.col("p_toxic") >= threshold))
 
