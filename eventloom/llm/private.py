@@ -33,10 +33,19 @@ GIVEN = {
     "f": ("Alma", "Britta", "Carla", "Delia", "Edith", "Fiona", "Greta", "Helen", "Irene", "Julia", "Klara", "Lena", "Marta", "Nora", "Olga", "Petra"),
     "m": ("Albert", "Bruno", "Conrad", "Dennis", "Egon", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leon", "Martin", "Nils", "Oscar", "Paul"),
 }
-#: Letters of a script (a regular expression) and what takes their place.
-SCRIPTS = (("[a-z]", "abcdefghijklmnopqrstuvwxyz"), ("[ß-ÿ]", "àáâäçèéêëìíîïñòóôöùúûü"), ("[α-ω]", "αβγδεζηθικλμνξοπρστυφχψω"), ("[а-я]", "абвгдежзийклмнопрстуфхцчшщэюя"))
+#: Letters of a script (a regular expression, tried in order) and what takes their place; the last takes all other letters.
+SCRIPTS = (
+    ("[a-z]", "abcdefghijklmnopqrstuvwxyz"), ("[ß-ÿ]", "àáâäçèéêëìíîïñòóôöùúûü"), ("[α-ω]", "αβγδεζηθικλμνξοπρστυφχψω"), ("[а-я]", "абвгдежзийклмнопрстуфхцчшщэюя"),
+    (r"\p{IsLatin}", "āăąćčďđēėęěğģīįķļłńňōőŕřśšťūůűźžż"), (r"\p{IsGreek}", "αβγδεζηθικλμνξοπρστυφχψω"), (r"\p{IsCyrillic}", "абвгдежзийклмнопрстуфхцчшщэюя"),
+    (r"\p{IsHan}", "安白成大东方国海和华金林明南平青山水天文"), (r"\p{IsHiragana}", "あいうえおかきくけこさしすせそたちつてと"), (r"\p{IsKatakana}", "アイウエオカキクケコサシスセソタチツテト"),
+    (r"\p{IsHangul}", "가나다라마바사아자차카타파하고노도로모보"), (r"\p{IsArabic}", "بتثجحخدذرزسشصضطظعغفقكلمنهوي"), (r"\p{IsHebrew}", "אבגדהוזחטיכלמנסעפצקרשת"), (r"\p{L}", "abcdefghijklmnopqrstuvwxyz"),
+)
+#: The same for digits: those of a script stay in it, all other numbers become ASCII digits.
+DIGITS = (("[0-9]", "0123456789"), ("[٠-٩]", "٠١٢٣٤٥٦٧٨٩"), ("[۰-۹]", "۰۱۲۳۴۵۶۷۸۹"), (r"\p{N}", "0123456789"))
 DIGIT_KINDS = ("phone", "ssn", "card")
 ATTEMPTS = 64
+#: After so many attempts addresses and names grow by a letter, so short ones cannot run out.
+GROW = 4
 
 
 def kind_of(found: Column) -> Column:
@@ -63,6 +72,8 @@ def scrambled(text: Column, digest: Column) -> Column:
     def char(c, i):
         low, n = F.lower(c), nibble(digest, i)
         out = F.when(F.regexp_like(c, F.lit("[0-9]")), (n % 10).cast("string"))
+        for pattern, digits in DIGITS[1:]:
+            out = out.when(F.regexp_like(c, F.lit(pattern)), F.substring(F.lit(digits), n % 10 + 1, F.lit(1)))
         for pattern, letters in SCRIPTS:
             letter = F.substring(F.lit(letters), n % len(letters) + 1, F.lit(1))
             out = out.when(F.regexp_like(low, F.lit(pattern)), F.when(low == c, letter).otherwise(F.upper(letter)))
@@ -88,12 +99,15 @@ def surrogate(kind: Column, value: Column, attempt: int, key: str) -> Column:
     card = F.when(luhn_sum(value) % 10 == 0, F.concat(body, check)).otherwise(digits)
     ip = F.concat_ws(".", *[(nibble(digest, F.lit(i)) % 223 + 1).cast("string") for i in range(4)])
     tld = F.regexp_extract(value, r"\.[^.]+$", 0)
-    email = F.concat(scrambled(F.substring(value, F.lit(1), F.length(value) - F.length(tld)), digest), tld)
+    more = scrambled(F.lit("x" * (attempt // GROW)), F.sha2(digest, 512))
+    address = F.substring(value, F.lit(1), F.length(value) - F.length(tld))
+    address = F.when(F.regexp_like(address, F.lit(r"[\p{L}\p{N}]")), address).otherwise(F.regexp_replace(address, "[^@.]", "x"))
+    email = F.concat(more, scrambled(address, digest), tld)
     given = {g: F.element_at(F.array(*map(F.lit, names)), nibble(digest, F.lit(31)) % len(names) + 1) for g, names in GIVEN.items()}
     title = F.regexp_extract(value, r"^\p{L}+\.? ", 0)
     words = F.split(F.substring(value, F.length(title) + 1, F.length(value)), " ")
     first = F.when(~F.regexp_like(F.get(words, F.lit(0)), F.lit("^[A-Za-zÀ-ÿ]+$")), scrambled(F.get(words, F.lit(0)), digest)).when(F.regexp_like(value, F.lit(WOMEN)), given["f"]).when(F.regexp_like(value, F.lit(MEN)), given["m"]).otherwise(scrambled(F.get(words, F.lit(0)), digest))
-    name = F.concat(title, F.when(F.size(words) > 1, F.concat_ws(" ", first, scrambled(F.get(words, F.lit(1)), digest))).otherwise(scrambled(F.get(words, F.lit(0)), digest)))
+    name = F.concat(title, F.when(F.size(words) > 1, F.concat_ws(" ", first, scrambled(F.get(words, F.lit(1)), digest))).otherwise(scrambled(F.get(words, F.lit(0)), digest)), more)
     iban = F.concat(F.substring(value, 1, 2), scrambled(F.substring(value, F.lit(3), F.length(value)), digest))
     return F.when(kind == "ip", ip).when(kind == "email", email).when(kind == "secret", F.substring(digest, F.lit(1), F.length(value))).when(kind == "name", name).when(kind == "iban", iban).when(kind == "card", card).otherwise(digits)
 

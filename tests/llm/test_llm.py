@@ -181,6 +181,21 @@ def test_surrogates_are_distinct(spark):
     assert len({r["fake"] for r in got}) == 3000 and not {r["fake"] for r in got} & {r["canon"] for r in got}
 
 
+def test_surrogates_of_all_scripts(spark):
+    real = ["李明@例子.com", "محمد@مثال.com", "דוד@דוגמה.org", "šłőž@mail.com", "ёлка@почта.com", "𠮷野@mail.com", "山田たろう@mail.jp", "김철수@mail.kr", "ἀλέξω@mail.gr", "հայ@mail.am", "١٢٣@mail.com", "_@-.com"]
+    got = table_of(private.with_surrogates(spark.createDataFrame([(i, f"to {e}, Herr Őžłš") for i, e in enumerate(real)], "doc_id long, text string")))
+    for i, e in enumerate(real):
+        local, new = e.split("@")[0], got[i]["text"]
+        assert got[i]["n_entities"] == 2 and e not in new and "Őžłš" not in new and f"to {local}@" not in new
+        assert len(new) == len(f"to {e}, Herr Őžłš") and new.split("@")[1].count(".") == e.count(".")
+
+
+def test_surrogates_do_not_run_out(spark):
+    short = [("email", f"{a}@{b}.com") for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    got = private.surrogates(spark.createDataFrame(short, "kind string, canon string"), "k").collect()
+    assert len({r["fake"] for r in got}) == 676 and not {r["fake"] for r in got} & {r["canon"] for r in got}
+
+
 # ---- 7 ----
 
 
