@@ -3,15 +3,19 @@
 A source's target in words divided by its size gives its number of passes f. Every document first gets
 floor(f) whole copies. The rest of the target is drawn by Pareto order sampling: documents are ranked
 by their random odds u / (1 - u) over their inclusion odds p / (1 - p), and taken from the lowest rank
-until the words that are left are filled. A few last documents, each the one whose size comes nearest
-to what is still missing, close the gap. Random numbers are a hash of seed and doc_id, so reruns agree.
+until the words that are left are filled. A document that does not fit is skipped, and the drawing goes
+on in rank order until none fits. Then one more, whose size comes nearest to what is still missing, is
+taken if that brings the source nearer to its target. Random numbers are a hash of seed and doc_id, so reruns agree.
 
 No source is ever sorted in one task: ranks are cut into ranges, the sums of the ranges find the one
-that holds the boundary, that range is cut again, and only its rows are put in order.
+that holds the boundary, that range is cut again, and only its rows are put in order. This is repeated
+for the documents that are left and fit, with the rest of the need.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,8 +25,6 @@ from .common import cut, few, fresh, table, word_count
 #: Ranges that ranks are cut into, twice.
 RANGES = 2048
 WEIGHTS = (5, 2, 1)
-#: Most documents of a source that close its gap.
-CLOSING = 4
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -61,6 +63,15 @@ def boundary(rows: DataFrame, need: DataFrame, place: Column) -> DataFrame:
     return first.select("source", F.col("x.range").alias("range"), F.col("x.need").alias("need"))
 
 
+def edges_of(rows: DataFrame, need: DataFrame) -> DataFrame:
+    """(of, b1, b2, need2): for each source whose rows exceed ``need``, the range of ranges that holds the boundary, and what is needed within it."""
+    level1 = boundary(rows, need, F.col("r1")).select(F.col("source").alias("of"), F.col("range").alias("b1"), "need")
+    inner = rows.join(level1, F.col("source").eqNullSafe(F.col("of")) & (F.col("r1") == F.col("b1")))
+    need2 = level1.select(F.col("of").alias("source"), "need")
+    level2 = boundary(inner.select("source", "size", "r2"), need2, F.col("r2")).select(F.col("source").alias("of2"), F.col("range").alias("b2"), F.col("need").alias("need2"))
+    return cut(level1.join(level2, F.col("of").eqNullSafe(F.col("of2"))).select("of", "b1", "b2", "need2"))
+
+
 def mix(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: int = 3, seed: int = 17, preference: Column | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, copies, taken) for each document.
 
@@ -83,29 +94,36 @@ def mix(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_i
     place = F.col("q") / (1 + F.col("q")) * RANGES
     rows = cut(rows.withColumn("r1", F.floor(place)).withColumn("r2", F.floor((place - F.floor(place)) * RANGES)).drop("weight", "weighed", "u"))
 
-    need = aims.select("source", "need")
-    level1 = boundary(rows, need, F.col("r1")).select(F.col("source").alias("of"), F.col("range").alias("b1"), "need")
-    inner = rows.drop("need").join(level1, F.col("source").eqNullSafe(F.col("of")) & (F.col("r1") == F.col("b1")))
-    need2 = level1.select(F.col("of").alias("source"), "need")
-    level2 = boundary(inner.select("source", "size", "r2"), need2, F.col("r2")).select(F.col("source").alias("of2"), F.col("range").alias("b2"), F.col("need").alias("need2"))
-    edges = cut(level1.join(level2, F.col("of").eqNullSafe(F.col("of2"))).select("of", "b1", "b2", "need2"))
-
-    placed = rows.join(edges, F.col("source").eqNullSafe(F.col("of")), "left")
-    below = (F.col("r1") < F.col("b1")) | ((F.col("r1") == F.col("b1")) & (F.col("r2") < F.col("b2")))
-    at = (F.col("r1") == F.col("b1")) & (F.col("r2") == F.col("b2"))
-    exact = placed.where(at).withColumn("cum", F.sum("size").over(W.partitionBy("source").orderBy("q", "doc_id"))).where("cum <= need2").select("doc_id", F.lit(True).alias("drawn"))
-    drawn = placed.withColumn("below", F.coalesce(below, F.lit(False))).join(exact, "doc_id", "left").withColumn("drawn", F.coalesce(F.col("below") | F.col("drawn"), F.col("below")))
-    drawn = cut(drawn.select("doc_id", "source", "size", "source_size", "target", "whole", "need", "q", "drawn"))
-
-    for _ in range(CLOSING):
-        got = drawn.groupBy("source").agg(F.coalesce(F.sum(F.when(F.col("drawn"), F.col("size"))), F.lit(0)).alias("got"), F.first("need").alias("need"))
-        gap = got.select(F.col("source").alias("of"), (F.col("need") - F.col("got")).alias("gap")).where("gap >= 1")
-        miss = F.abs(F.col("size") - F.col("gap"))
-        last = drawn.where(~F.col("drawn")).join(gap, F.col("source").eqNullSafe(F.col("of"))).where(miss < F.col("gap"))
-        last = cut(last.groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "q", "doc_id")).alias("x")).select(F.col("x.doc_id").alias("doc_id"), F.lit(True).alias("last")))
-        if not last.take(1):
+    # sizes are whole, so what is needed may be, too: sums stay exact
+    left = aims.select("source", F.floor("need").alias("need"))
+    state, parts, least = rows.select("doc_id", "source", "size", "q", "r1", "r2"), [], 0
+    while True:
+        lack = left.select(F.col("source").alias("for"), "need")
+        fits = state.join(lack, F.col("source").eqNullSafe(F.col("for"))).where((F.col("need") >= 1) & F.col("size").between(least, F.col("need"))).drop("for", "need")
+        edges = edges_of(fits, left)
+        placed = fits.join(edges, F.col("source").eqNullSafe(F.col("of")), "left")
+        below = F.col("b1").isNull() | (F.col("r1") < F.col("b1")) | ((F.col("r1") == F.col("b1")) & (F.col("r2") < F.col("b2")))
+        at = (F.col("r1") == F.col("b1")) & (F.col("r2") == F.col("b2"))
+        exact = placed.where(at).withColumn("cum", F.sum("size").over(W.partitionBy("source").orderBy("q", "doc_id"))).where("cum <= need2").select("doc_id", F.lit(True).alias("last"))
+        state = placed.withColumn("below", F.coalesce(below, F.lit(False))).join(exact, "doc_id", "left").withColumn("drawn", F.col("below") | F.coalesce("last", F.lit(False)))
+        state = cut(state.select("doc_id", "source", "size", "q", "r1", "r2", "drawn"))
+        if not state.take(1):
             break
-        drawn = cut(drawn.join(last, "doc_id", "left").withColumn("drawn", F.col("drawn") | F.coalesce("last", F.lit(False))).drop("last"))
+        parts.append(state.where("drawn").select("doc_id", "drawn"))
+        got = state.where("drawn").groupBy("source").agg(F.sum("size").alias("got")).withColumnRenamed("source", "of")
+        left = cut(left.join(got, F.col("source").eqNullSafe(F.col("of")), "left").select("source", (F.col("need") - F.coalesce("got", F.lit(0))).alias("need")))
+        state, least = state.where(~F.col("drawn")).drop("drawn"), 1
+
+    picked = few(cut(reduce(DataFrame.union, parts))) if parts else rows.where(F.lit(False)).select("doc_id", F.lit(True).alias("drawn"))
+    drawn = cut(rows.drop("r1", "r2").join(picked, "doc_id", "left").withColumn("drawn", F.coalesce("drawn", F.lit(False))))
+
+    # nothing fits any more: one document may still come nearer by overshooting
+    got = drawn.groupBy("source").agg(F.coalesce(F.sum(F.when(F.col("drawn"), F.col("size"))), F.lit(0)).alias("got"), F.first("need").alias("need"))
+    gap = got.select(F.col("source").alias("of"), (F.col("need") - F.col("got")).alias("gap")).where("gap >= 1")
+    miss = F.abs(F.col("size") - F.col("gap"))
+    last = drawn.where(~F.col("drawn")).join(gap, F.col("source").eqNullSafe(F.col("of"))).where(miss < F.col("gap"))
+    last = cut(last.groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "q", "doc_id")).alias("x")).select(F.col("x.doc_id").alias("doc_id"), F.lit(True).alias("last")))
+    drawn = drawn.join(few(last), "doc_id", "left").withColumn("drawn", F.col("drawn") | F.coalesce("last", F.lit(False)))
     out = drawn.withColumn("copies", (F.col("whole") + F.col("drawn").cast("int")).cast("long"))
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 

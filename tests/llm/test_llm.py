@@ -154,6 +154,17 @@ def test_mixing(sample, docs, none):
     assert {"copies", "_copies"} <= set(mixing.mixed_rows(docs).columns)
 
 
+@pytest.mark.parametrize("share", [0.7, 0.62, 0.5])
+def test_mixing_beside_one_long_document(spark, share):
+    long = int(300 * 400 * share / (1 - share))
+    df = spark.createDataFrame([(i, f"s{i % 10}", 400 if i < 3000 else long) for i in range(3010)], "doc_id long, source string, n long")
+    taken, aims = Counter(), {}
+    for r in mixing.mix(df, F.col("n"), weights=(1,), share=0.3).join(df, "doc_id").collect():
+        taken[r["source"]] += r["taken"]
+        aims[r["source"]] = r["target"]
+    assert all(abs(taken[s] - aims[s]) <= 200 for s in aims)
+
+
 # ---- 6 ----
 
 
