@@ -263,7 +263,7 @@ def test_quality_without_labels(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = common.table(spark, d, "documents"), common.table(spark, d, "labels")
     scored = quality.quality_scores(docs, labels.where("false")).join(labels, "doc_id")
-    r = scored.agg(F.count_if("quality = 0 and reject").alias("junk"), F.count_if("toxic = 1 and reject").alias("toxic"), F.count_if("quality = 1 and toxic = 0 and reject").alias("good")).first()
+    r = scored.agg(F.count_if(F.expr("quality = 0 and reject")).alias("junk"), F.count_if(F.expr("toxic = 1 and reject")).alias("toxic"), F.count_if(F.expr("quality = 1 and toxic = 0 and reject")).alias("good")).first()
     assert r["junk"] > 200 and r["toxic"] > 200 and r["good"] < 30
 
 
