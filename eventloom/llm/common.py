@@ -21,16 +21,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by rows and bytes, so that long texts cannot fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
+    """Bound Arrow batches by rows and bytes, so that long texts cannot fill a Python worker.
+
+    Plans read these settings when they run, so they stay; a session that has set its own keeps them.
+    """
+    for name, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "500"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))):
+        if spark.sparkContext.getConf().get(name) is None:
+            spark.conf.set(name, value)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder of this application under the one the cluster names in spark.checkpoint.dir; only where none is named (tests), a temporary one."""
+    """A folder of this application under the one the cluster names in spark.checkpoint.dir.
+
+    Only a local session, whose driver and executors are one process, may go without that setting; it
+    gets a temporary folder. A cluster without it raises, since its executors would not see each other's files.
+    """
     context = spark.sparkContext
     root = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if root is None:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(root)
     folder = f"{root.rstrip('/')}/tables-{context.applicationId}"
@@ -93,15 +103,77 @@ def schema(spec: str) -> T.StructType:
     return T.StructType.fromDDL(spec)
 
 
-#: Up to so many ids are broadcast (8 bytes each); with more, a join shuffles.
-BROADCAST_IDS = 1_000_000
+#: Bits of one bitmap of Spark's bitmap functions; all bitmaps of one filter never take more than MOST_BITS (32 MB), whatever the input.
+BITMAP = 32768
+MOST_BITS = 1 << 28
+#: Bits for each member, and slots that a member sets.
+BITS_EACH, SLOTS = 32, 3
+
+
+def filter_bits(members: int, each: int = BITS_EACH) -> int:
+    """Size of a filter for so many members: a power of two from one bitmap up to ``MOST_BITS``."""
+    return min(MOST_BITS, max(BITMAP, 1 << (each * max(members, 1) - 1).bit_length()))
+
+
+def bitmaps(slots: DataFrame) -> DataFrame:
+    """(bucket, bitmap) of the slots (slot) that occur; summed on the map side, at most bits / 32768 rows."""
+    return slots.groupBy(F.floor(F.col("slot") / BITMAP).alias("bucket")).agg(F.bitmap_construct_agg(F.col("slot") % BITMAP).alias("bitmap"))
+
+
+def is_set(bitmap: Column, slot: Column) -> Column:
+    """Whether a bitmap (null: empty) has the bit of a slot."""
+    position = slot % BITMAP
+    byte = F.conv(F.hex(F.substring(bitmap, (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.call_function("shiftright", byte, (position % 8).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+
+
+def marked(df: DataFrame, maps: DataFrame, slots: list[Column], mark: str) -> DataFrame:
+    """df with a boolean column ``mark``: whether all slots are set in the broadcast bitmaps (of bounded size)."""
+    columns, hit = df.columns, F.lit(True)
+    for i, slot in enumerate(slots):
+        s, b, m = fresh(df, f"s{i}", f"b{i}", f"m{i}")
+        side = F.broadcast(maps.select(F.col("bucket").alias(b), F.col("bitmap").alias(m)))
+        df = df.withColumn(s, slot).join(side, F.floor(F.col(s) / BITMAP) == F.col(b), "left")
+        hit = hit & is_set(F.col(m), F.col(s))
+    return df.select(*columns, hit.alias(mark))
+
+
+def id_slots(key: Column, bits: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(F.lit(i), key.cast("string")), F.lit(bits)) for i in range(SLOTS)]
+
+
+def split_by_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", members: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is certainly not among ids, rows whose key may be): a Bloom filter of ids, broadcast, whose size is bounded.
+
+    ids: one column, named as key, written before. Only the second part (ids' own rows, and one in 600 of
+    the others while the filter has room) needs a join, so texts without a partner stay where they are.
+    """
+    bits = filter_bits(ids.count() if members is None else members)
+    maps = cut(bitmaps(ids.select(F.explode(F.array(*id_slots(F.col(key), bits))).alias("slot"))))
+    (mark,) = fresh(docs, "may_be")
+    both = marked(docs, maps, id_slots(F.col(key), bits), mark)
+    return both.where(~F.col(mark)).drop(mark), both.where(F.col(mark)).drop(mark)
+
+
+def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs' rows whose key is not among ids (key); rows with a null key stay.
+
+    What goes, and few others, meets the ids in a join that Spark broadcasts or shuffles by its size;
+    all other texts pass straight through, however many ids there are.
+    """
+    ids = cut(ids.select(key).distinct())
+    rest, maybe = split_by_ids(docs, ids, key)
+    return rest.unionByName(maybe.join(ids, key, "left_anti").select(docs.columns))
 
 
-def few(ids: DataFrame) -> DataFrame:
-    """A table of ids that has been written, to be broadcast if its size allows it."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def with_side(docs: DataFrame, side: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs with the columns of side (one row for each key, written before), null where there is none; only rows that may have one shuffle."""
+    rest, maybe = split_by_ids(docs, side.select(key), key)
+    more = [c for c in side.columns if c != key]
+    missing = [F.lit(None).cast(side.schema[c].dataType).alias(c) for c in more]
+    return rest.select(*docs.columns, *missing).unionByName(maybe.join(side, key, "left").select(*docs.columns, *more))
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs' rows whose doc_id is not among ids (doc_id): texts stay where they are if the ids are few."""
-    return docs.join(few(cut(ids.distinct())), "doc_id", "left_anti").select(docs.columns)
+def few(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A written table of a few numbers a row, broadcast while it has at most ``most`` rows; beyond, Spark decides by its size."""
+    return F.broadcast(ids) if ids.count() <= most else ids

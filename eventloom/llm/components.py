@@ -12,16 +12,17 @@ def components(links: DataFrame) -> DataFrame:
     """(id, component) for every end of a link (a, b); component is the smallest id that links reach.
 
     Each round hooks neighbours on the smallest one known. Rounds are written to the shared checkpoint
-    folder; their number grows with the logarithm of a component's size. Ids without links do not
-    appear. Repeated links, loops and either direction are fine.
+    folder; their number grows with the logarithm of a component's size. Minima are written before they
+    meet the pairs again, so that the join of a hub with its many neighbours can be split. Ids without
+    links do not appear. Repeated links, loops and either direction are fine.
     """
     pairs = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     pairs, was = cut(pairs), None
     while True:
         both = pairs.union(pairs.select(F.col("v"), F.col("u"))).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m"))).where("u <> v").distinct()
         pairs = cut(small)
         now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

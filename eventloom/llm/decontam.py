@@ -1,8 +1,10 @@
 """Benchmark decontamination (operator 3): scan token windows against a broadcast hash set of test n-grams.
 
-Benchmark items become windows of ``size`` normalised words (a shorter item is one window). Each
-window is found by the hash of its first ``HEAD`` words, which one pass over all document positions
-looks up; a hit is verified by comparing every word of the window. Only hits shuffle.
+Benchmark items become windows of ``size`` normalised words (a shorter item is one window). One pass
+over all document positions probes a broadcast set of the hashes of the windows' first ``HEAD`` words;
+its size is bounded, since hashes are cut to fewer bits when there are more than ``MOST_HEADS``. A
+position that hits goes on with the words of its window alone, never with its document, and is verified
+word by word in a join with the windows, which Spark broadcasts or shuffles by their size.
 """
 
 from __future__ import annotations
@@ -12,14 +14,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import folded, pieces, table, without
+from .common import cut, folded, pieces, table, without
 
 #: Characters that separate words, once A-Z is lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 #: Words of a window that its hash covers.
 HEAD = 4
-#: With more distinct windows than this (about 200 bytes each) they are joined by shuffle, not broadcast.
-MOST_WINDOWS = 500_000
+#: Positions of a document that are scanned at once; a chunk goes on for the words of a window beyond them, so rows stay small in the longest text.
+CHUNK = 512
+#: Different heads that the broadcast set holds at most (8 bytes each); of more windows, hashes modulo this number are held.
+MOST_HEADS = 1 << 22
+#: Windows are broadcast as a whole up to so many bytes of their words and items.
+MOST_BYTES = 32 << 20
 
 
 def words(text: Column) -> Column:
@@ -34,22 +40,30 @@ def windows(benchmark: DataFrame, size: int) -> DataFrame:
     return grams.groupBy("gram").agg(F.first("m").alias("m"), F.collect_set("item").alias("items"))
 
 
-def head_hash(array: str, first: Column, n: int) -> Column:
-    return F.xxhash64(F.lit(n), *[F.get(F.col(array), first + (j - 1)) for j in range(n)])
+def head_hash(array: str, first: Column, n: int, modulus: int | None) -> Column:
+    h = F.xxhash64(F.lit(n), *[F.get(F.col(array), first + (j - 1)) for j in range(n)])
+    return F.pmod(h, F.lit(modulus)) if modulus else h
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
     """(doc_id, at, m, items): every place where a window occurs; ``at`` counts words from 1."""
-    grams = windows(benchmark, size).withColumn("n", F.least("m", F.lit(HEAD)))
-    heads, many = [r[0] for r in grams.select("n").distinct().collect()], grams.count()
-    scan = docs.select("doc_id", words(F.col("text")).alias("w")).where("size(w) > 0")
-    scan = scan.select("doc_id", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("at"))
+    grams = cut(windows(benchmark, size))
+    weight = F.sum(F.octet_length(F.array_join("gram", " ")) + 24 * F.col("m") + F.octet_length(F.array_join("items", " ")) + 24 * F.size("items"))
+    lengths, many, weight = grams.agg(F.sort_array(F.collect_set("m")), F.count("*"), weight).first()  # at most ``size`` lengths
+    grams = F.broadcast(grams) if (weight or 0) <= MOST_BYTES else grams
+    modulus = MOST_HEADS if many > MOST_HEADS else None
+    scan = docs.select("doc_id", words(F.col("text")).alias("w"))
+    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(CHUNK)), lambda b: F.struct(b.alias("base"), F.slice("w", b + 1, CHUNK + size - 1).alias("w")))
+    scan = scan.select("doc_id", F.explode(chunks).alias("c")).select("doc_id", "c.base", "c.w").where("size(w) > 0")
+    scan = scan.select("doc_id", "base", "w", F.explode(F.sequence(F.lit(1), F.least(F.size("w"), F.lit(CHUNK)))).alias("at"))
     found = []
-    for n in heads:
-        keyed = grams.where(F.col("n") == n).select(head_hash("gram", F.lit(1), n).alias("head"), "gram", "m", "items")
-        keyed = F.broadcast(keyed) if many <= MOST_WINDOWS else keyed
-        same = (head_hash("w", F.col("at"), n) == F.col("head")) & (F.slice("w", F.col("at"), F.col("m")) == F.col("gram"))
-        found.append(scan.join(keyed, same).select("doc_id", "at", "m", "items"))
+    for n in sorted({min(m, HEAD) for m in lengths}):
+        own = [m for m in lengths if min(m, HEAD) == n]
+        heads = grams.where(F.col("m").isin(own)).select(head_hash("gram", F.lit(1), n, modulus).alias("head")).distinct()
+        near = scan.join(F.broadcast(heads), head_hash("w", F.col("at"), n, modulus) == F.col("head"), "left_semi")
+        lists = F.transform(F.array(*map(F.lit, own)), lambda m: F.when(F.col("at") + m - 1 <= F.size("w"), F.slice("w", F.col("at"), m)))
+        near = near.select("doc_id", (F.col("base") + F.col("at")).alias("place"), F.explode(lists).alias("gram"))
+        found.append(near.where("gram is not null").join(grams, "gram").select("doc_id", F.col("place").alias("at"), "m", "items"))
     none = docs.select("doc_id", F.lit(1).alias("at"), F.lit(1).alias("m"), F.array(F.lit("")).alias("items")).where(F.lit(False))
     return reduce(DataFrame.union, found, none)
 
@@ -60,7 +74,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, percent
     docs: doc_id (unique, not null) and text; benchmark: item_id and text; other columns are ignored.
     A word is hit if an occurrence of a window covers it. A document is contaminated with at least one
     hit word and ``percent`` of its words hit. Null, empty and wordless texts have no words and no
-    hits; such items have no window. Empty tables give no rows, or no hits.
+    hits; such items have no window. Empty tables give no rows, or no hits. Texts may have any length;
+    a row that repeats a doc_id with its text gets the same result once more.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     by = hits(docs, benchmark, size).groupBy("doc_id").agg(F.collect_set(F.struct("at", "m")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))

@@ -1,9 +1,10 @@
 """Exact dedup (operator 2): two Bloom passes find the hashes that may repeat; only their rows shuffle.
 
-Pass one counts rows by slot for two independent slots of each text hash (only slot numbers and
-counts move, summed on the map side). Slots that two or more rows fall on are packed into bitmaps. In
-pass two a row whose slots are both set may be repeated: its digest and id, never its text, go to the
-grouping by digest. All other rows are certainly unique and pass straight through.
+Pass one counts rows by slot of the text hash (a slot number and a count move, summed on the map side;
+no digest, id or text). Slots that two or more rows fall on become broadcast bitmaps. In pass two a row
+whose slot is set may be repeated: its digest and id go to the grouping by digest. All other rows are
+certainly unique and pass straight through. Once the corpus outgrows the filter (``MOST_BITS``), more
+rows go to the grouping, as digest and id; results stay exact.
 """
 
 from __future__ import annotations
@@ -11,29 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, table, without
+from .common import bitmaps, cut, filter_bits, fresh, marked, table, without
 
-#: The broadcast bitmaps never take more than 2 ** 26 bits (8 MB). With more rows than that they thin out less; results stay exact.
-MOST_BITS = 1 << 26
-#: Bits of one bitmap of Spark's bitmap functions.
-BITMAP = 32768
+#: Bits of the filter for each row.
+EACH = 32
 
 
-def slots(key: Column, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(F.lit(i), key), F.lit(bits)) for i in (1, 2)]
-
-
-def repeated_slots(df: DataFrame, key: Column, bits: int) -> DataFrame:
-    """(bucket, bitmap) of the slots that at least two rows fall on; at most bits / 32768 rows."""
-    slot = df.select(F.explode(F.array(*slots(key, bits))).alias("slot")).groupBy("slot").agg(F.count("*").alias("n")).where("n > 1")
-    return slot.groupBy(F.floor(F.col("slot") / BITMAP).alias("bucket")).agg(F.bitmap_construct_agg((F.col("slot") % BITMAP)).alias("bitmap"))
-
-
-def is_set(bitmap: Column, slot: Column) -> Column:
-    """Whether a bitmap (null: empty) has the bit of a slot."""
-    position = slot % BITMAP
-    byte = F.conv(F.hex(F.substring(bitmap, (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.call_function("shiftright", byte, (position % 8).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+def slot_of(body: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(body), F.lit(bits))
 
 
 def exact_groups(df: DataFrame, text: str = "text", key: str = "doc_id", normalise=None, bits: int | None = None) -> DataFrame:
@@ -41,32 +27,29 @@ def exact_groups(df: DataFrame, text: str = "text", key: str = "doc_id", normali
 
     normalise maps the text column before it is compared (default: no change). Null counts as empty.
     df's own columns all stay; result columns that would clash with one of them get a leading underscore.
-    ``bits`` of the filter default to 32 for each row, within ``MOST_BITS``. A null key is never kept
-    before a real one. An empty table gives no rows.
+    ``bits`` of the filter default to 32 for each row, within the bound of all filters. A null key is
+    never kept before a real one; rows that repeat the kept key are all kept. Texts of any length are
+    compared by SHA-256. An empty table gives no rows.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     body = normalise(body) if normalise else body
     sha, keep, size, kept = fresh(df, "text_sha256", "keep_id", "group_size", "kept")
-    s1, s2, b1, b2, m1, m2 = fresh(df, "s1", "s2", "b1", "b2", "m1", "m2")
-    if bits is None:
-        bits = min(MOST_BITS, max(BITMAP, 1 << (32 * max(df.count(), 1)).bit_length()))
-    bitmaps = cut(repeated_slots(df, body, bits))
-    one, two = slots(body, bits)
-    marked = df.withColumn(sha, F.sha2(body, 256)).withColumn(s1, one).withColumn(s2, two)
-    for s, b, m in ((s1, b1, m1), (s2, b2, m2)):
-        side = F.broadcast(bitmaps.select(F.col("bucket").alias(b), F.col("bitmap").alias(m)))
-        marked = marked.join(side, F.floor(F.col(s) / BITMAP) == F.col(b), "left")
-    marked = marked.withColumn(m1, is_set(F.col(m1), F.col(s1)) & is_set(F.col(m2), F.col(s2))).drop(s1, s2, b1, b2, m2)
-    unique = marked.where(~F.col(m1)).drop(m1)
-    unique = unique.withColumn(keep, F.col(key)).withColumn(size, F.lit(1).cast("long")).withColumn(kept, F.lit(True))
-    maybe = marked.where(m1).drop(m1)
-    groups = maybe.groupBy(sha).agg(F.max(key).alias(keep), F.count("*").alias(size))
-    maybe = maybe.join(groups, sha).withColumn(kept, F.col(key).eqNullSafe(F.col(keep)))
-    return unique.unionByName(maybe)
+    may, sha_, keep_, size_ = fresh(df, "may_repeat", "g_sha", "g_keep", "g_size")
+    bits = filter_bits(df.count(), EACH) if bits is None else bits
+    repeated = df.select(slot_of(body, bits).alias("slot")).groupBy("slot").agg(F.count("*").alias("n")).where("n > 1")
+    both = marked(df, cut(bitmaps(repeated.select("slot"))), [slot_of(body, bits)], may).withColumn(sha, F.sha2(body, 256))
+    maybe = both.where(F.col(may)).drop(may)
+    groups = maybe.groupBy(sha).agg(F.max(key).alias(keep_), F.count("*").alias(size_)).where(F.col(size_) > 1).withColumnRenamed(sha, sha_)
+    unique = both.where(~F.col(may)).drop(may).withColumn(keep, F.col(key)).withColumn(size, F.lit(1).cast("long")).withColumn(kept, F.lit(True))
+    # the groups are written first: then both sides of the join have plain exchanges, and a hot digest can be split
+    maybe = maybe.join(cut(groups), F.col(sha) == F.col(sha_), "left")
+    maybe = maybe.withColumn(keep, F.when(F.col(sha_).isNull(), F.col(key)).otherwise(F.col(keep_))).withColumn(size, F.coalesce(F.col(size_), F.lit(1)).cast("long"))
+    maybe = maybe.withColumn(kept, F.col(key).eqNullSafe(F.col(keep)))
+    return unique.unionByName(maybe.select(unique.columns))
 
 
 def keep_largest(docs: DataFrame) -> DataFrame:
-    """docs (doc_id unique, text) without the rows whose text stays in another row."""
+    """docs (doc_id, text) without the rows whose text stays in another row; empty and null texts are one text. All columns stay."""
     return without(docs, exact_groups(docs.select("doc_id", "text")).where("not kept").select("doc_id"))
 
 

@@ -1,15 +1,19 @@
 """Mixing sources to target weights (operator 5): Pareto order sampling over certain whole copies.
 
 A source's target in words divided by its size gives its number of passes f. Every document first gets
-floor(f) whole copies. The rest of the target is drawn by Pareto order sampling: documents are ranked
-by their random odds u / (1 - u) over their inclusion odds p / (1 - p), and taken from the lowest rank
-until the words that are left are filled. A document that does not fit is skipped, and the drawing goes
-on in rank order until none fits. Then one more, whose size comes nearest to what is still missing, is
-taken if that brings the source nearer to its target. Random numbers are a hash of seed and doc_id, so reruns agree.
+floor(f) whole copies. The rest of the target is drawn with unequal probabilities p = scale * measure:
+documents whose p would reach 1 are certain and taken first, and the scale of the others is found again
+from what is left, until none is certain any more. The others are drawn by Pareto order sampling: they
+are ranked by their random odds u / (1 - u) over their inclusion odds p / (1 - p), and taken from the
+lowest rank until the words that are left are filled. A document that does not fit is skipped, and the
+drawing goes on in rank order until none fits. Then one more, whose size comes nearest to what is still
+missing, is taken if that brings the source nearer to its target. Random numbers are a hash of seed and
+doc_id, so reruns agree.
 
 No source is ever sorted in one task: ranks are cut into ranges, the sums of the ranges find the one
 that holds the boundary, that range is cut again, and only its rows are put in order. This is repeated
-for the documents that are left and fit, with the rest of the need.
+for the documents that are left and fit, with the rest of the need. What a round decides is a few numbers
+for each source, so every document knows from its own row whether it is drawn: nothing joins by id.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from .common import cut, few, fresh, table, word_count
 
 #: Ranges that ranks are cut into, twice.
 RANGES = 2048
+#: Up to so many sources their few numbers each are broadcast; beyond, Spark joins them by their size.
+SOURCES = 100_000
 WEIGHTS = (5, 2, 1)
 
 
@@ -72,67 +78,107 @@ def edges_of(rows: DataFrame, need: DataFrame) -> DataFrame:
     return cut(level1.join(level2, F.col("of").eqNullSafe(F.col("of2"))).select("of", "b1", "b2", "need2"))
 
 
-def mix(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: int = 3, seed: int = 17, preference: Column | None = None) -> DataFrame:
-    """(doc_id, size, source_size, target, copies, taken) for each document.
+def scales(base: DataFrame, need: DataFrame, rounds: int = 50) -> DataFrame:
+    """(of, need, scale): inclusion probabilities are least(1, scale * measure), and the expected words of a source are its need.
 
-    docs: key (unique, not null) and source; ``size`` is a column of whole numbers (null: 0) in words
-    or other units. ``preference`` (positive, default 1) makes inclusion unequal within a source.
-    A source of size 0 takes nothing. An empty table gives no rows. Other columns are ignored.
+    base: source, size, weight; need: source, need. Each round takes what is certain out of need and
+    measure and finds the scale of the rest; it ends when no document becomes certain.
     """
-    weight = F.lit(1.0) if preference is None else preference.cast("double")
-    base = cut(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), uniform(F.col(key), seed).alias("u"), weight.alias("weight")))
-    aims = targets(base.select("source", "size"), weights, share, most)
-    aims = aims.withColumn("whole", F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).cast("long"))
-    aims = aims.withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
-    weighed = base.groupBy("source").agg(F.sum(F.col("weight") * F.col("size")).alias("weighed")).withColumnRenamed("source", "of")
-    aims = cut(aims.join(weighed, F.col("source").eqNullSafe(F.col("of"))).drop("of"))
-
-    own = aims.withColumnRenamed("source", "of")
-    p = F.least(F.lit(0.999999), F.greatest(F.lit(1e-9), F.col("need") * F.col("weight") / F.col("weighed")))
-    rows = base.join(own, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    rows = rows.withColumn("q", F.coalesce((F.col("u") / (1 - F.col("u"))) / (p / (1 - p)), F.lit(0.0)))
-    place = F.col("q") / (1 + F.col("q")) * RANGES
-    rows = cut(rows.withColumn("r1", F.floor(place)).withColumn("r2", F.floor((place - F.floor(place)) * RANGES)).drop("weight", "weighed", "u"))
+    known = need.select(F.col("source").alias("of"), "need", F.lit(0.0).alias("scale"))
+    was = None
+    for _ in range(rounds):
+        rows = base.join(known, F.col("source").eqNullSafe(F.col("of")))
+        sure = F.col("scale") * F.col("weight") >= 1
+        new = rows.groupBy("of").agg(F.first("need").alias("need"), F.sum(F.when(sure, F.col("size")).otherwise(0)).alias("taken"), F.sum(F.when(~sure, F.col("size") * F.col("weight"))).alias("rest"), F.count_if(sure).alias("certain"))
+        known = cut(new.select("of", "need", F.when(F.col("rest") > 0, (F.col("need") - F.col("taken")) / F.col("rest")).otherwise(F.lit(1e300)).alias("scale"), "certain"))
+        now = known.agg(F.sum("certain")).first()[0]
+        if now == was:
+            break
+        was = now
+    return known.select("of", "need", "scale")
+
 
+def mix(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: int = 3, seed: int = 17, preference: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, size, source_size, target, copies, taken, and the columns of ``keep``) for each document.
+
+    docs: key and source; ``size`` is a column of whole numbers (null: 0) in words or other units.
+    ``preference`` is the size measure of the inclusion probabilities (default: the square root of the
+    size, so that longer documents are likelier); null, zero and negative ones are never drawn. A source
+    of size 0 takes nothing. Rows that repeat a key are drawn together or not at all. A null key is a key.
+    An empty table gives no rows. ``keep`` must not clash with the names above.
+    """
+    measure = F.sqrt(F.col("size").cast("double")) if preference is None else F.greatest(F.coalesce(preference.cast("double"), F.lit(0.0)), F.lit(0.0))
+    plain = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), uniform(F.coalesce(F.col(key).cast("string"), F.lit("")), seed).alias("u"), *([] if preference is None else [measure.alias("weight")]), *keep)
+    plain = plain.withColumn("weight", measure) if preference is None else plain
+    base = cut(plain.drop(*keep))
+    aims = targets(base.select("source", "size"), weights, share, most)
+    aims = aims.withColumn("whole", F.coalesce(F.floor(F.try_divide("target", F.col("source_size").cast("double"))), F.lit(0)).cast("long"))
     # sizes are whole, so what is needed may be, too: sums stay exact
-    left = aims.select("source", F.floor("need").alias("need"))
-    state, parts, least = rows.select("doc_id", "source", "size", "q", "r1", "r2"), [], 0
+    aims = cut(aims.withColumn("need", F.floor(F.col("target") - F.col("whole") * F.col("source_size"))))
+    found = few(cut(scales(base, aims.select("source", "need"))), SOURCES)
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        """rows with q: 0 for what is certain, infinite for what is never drawn."""
+        p = F.col("scale") * F.col("weight")
+        odds = (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))
+        return rows.join(found.drop("need"), F.col("source").eqNullSafe(F.col("of")), "left").withColumn("q", F.when(p >= 1, F.lit(0.0)).when(p > 0, odds).otherwise(F.lit(float("inf")))).drop("of", "scale", "u", "weight")
+
+    place = F.when(F.col("q") == float("inf"), F.lit(RANGES - 1e-6)).otherwise(F.col("q") / (1 + F.col("q")) * RANGES)
+    state = ranked(base).where(F.col("q") < float("inf"))
+    state = cut(state.withColumn("r1", F.floor(place)).withColumn("r2", F.floor((place - F.floor(place)) * RANGES)))
+    left, turns = aims.select("source", F.col("need").cast("long").alias("need")), []
     while True:
         lack = left.select(F.col("source").alias("for"), "need")
-        fits = state.join(lack, F.col("source").eqNullSafe(F.col("for"))).where((F.col("need") >= 1) & F.col("size").between(least, F.col("need"))).drop("for", "need")
+        fits = state.join(lack, F.col("source").eqNullSafe(F.col("for"))).where((F.col("need") >= 1) & F.col("size").between(1, F.col("need"))).drop("for", "need")
         edges = edges_of(fits, left)
         placed = fits.join(edges, F.col("source").eqNullSafe(F.col("of")), "left")
-        below = F.col("b1").isNull() | (F.col("r1") < F.col("b1")) | ((F.col("r1") == F.col("b1")) & (F.col("r2") < F.col("b2")))
         at = (F.col("r1") == F.col("b1")) & (F.col("r2") == F.col("b2"))
-        exact = placed.where(at).withColumn("cum", F.sum("size").over(W.partitionBy("source").orderBy("q", "doc_id"))).where("cum <= need2").select("doc_id", F.lit(True).alias("last"))
-        state = placed.withColumn("below", F.coalesce(below, F.lit(False))).join(exact, "doc_id", "left").withColumn("drawn", F.col("below") | F.coalesce("last", F.lit(False)))
-        state = cut(state.select("doc_id", "source", "size", "q", "r1", "r2", "drawn"))
-        if not state.take(1):
-            break
-        parts.append(state.where("drawn").select("doc_id", "drawn"))
+        exact = placed.where(at).withColumn("cum", F.sum("size").over(W.partitionBy("source").orderBy("q", "doc_id"))).where("cum <= need2")
+        last = exact.groupBy("source").agg(F.max(F.struct("q", "doc_id")).alias("last")).withColumnRenamed("source", "lo")
+        # a source's turn: up to which size and rank documents are drawn; without an edge all that fit, without a last one those before the range
+        turn = lack.join(edges, F.col("for").eqNullSafe(F.col("of")), "left").join(last, F.col("for").eqNullSafe(F.col("lo")), "left").drop("of", "lo", "need2")
+        turn = cut(turn.where("need >= 1").select(F.col("for").alias("of"), F.struct("need", "b1", "b2", F.col("last.q").alias("q"), F.col("last.doc_id").alias("id")).alias("turn")))
+        turns.append(turn)
+        state = state.join(turn, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("drawn", F.coalesce(drawn_in(F.col("turn")), F.lit(False)))
+        state = cut(state.drop("of", "turn"))
         got = state.where("drawn").groupBy("source").agg(F.sum("size").alias("got")).withColumnRenamed("source", "of")
+        got = cut(got)
+        if not got.take(1):
+            break
         left = cut(left.join(got, F.col("source").eqNullSafe(F.col("of")), "left").select("source", (F.col("need") - F.coalesce("got", F.lit(0))).alias("need")))
-        state, least = state.where(~F.col("drawn")).drop("drawn"), 1
-
-    picked = few(cut(reduce(DataFrame.union, parts))) if parts else rows.where(F.lit(False)).select("doc_id", F.lit(True).alias("drawn"))
-    drawn = cut(rows.drop("r1", "r2").join(picked, "doc_id", "left").withColumn("drawn", F.coalesce("drawn", F.lit(False))))
+        state = state.where(~F.col("drawn")).drop("drawn")
 
     # nothing fits any more: one document may still come nearer by overshooting
-    got = drawn.groupBy("source").agg(F.coalesce(F.sum(F.when(F.col("drawn"), F.col("size"))), F.lit(0)).alias("got"), F.first("need").alias("need"))
-    gap = got.select(F.col("source").alias("of"), (F.col("need") - F.col("got")).alias("gap")).where("gap >= 1")
+    gap = left.select(F.col("source").alias("of"), F.col("need").alias("gap")).where("gap >= 1")
     miss = F.abs(F.col("size") - F.col("gap"))
-    last = drawn.where(~F.col("drawn")).join(gap, F.col("source").eqNullSafe(F.col("of"))).where(miss < F.col("gap"))
-    last = cut(last.groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "q", "doc_id")).alias("x")).select(F.col("x.doc_id").alias("doc_id"), F.lit(True).alias("last")))
-    drawn = drawn.join(few(last), "doc_id", "left").withColumn("drawn", F.col("drawn") | F.coalesce("last", F.lit(False)))
-    out = drawn.withColumn("copies", (F.col("whole") + F.col("drawn").cast("int")).cast("long"))
-    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    closing = state.drop("drawn").join(gap, F.col("source").eqNullSafe(F.col("of"))).where(miss < F.col("gap"))
+    closing = closing.groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "q", "doc_id")).alias("x")).select(F.col("source").alias("cs"), F.col("x.q").alias("cq"), F.col("x.doc_id").alias("cid"))
+    numbered = reduce(DataFrame.union, [t.select("of", F.struct(F.lit(i).alias("i"), "turn.*").alias("turn")) for i, t in enumerate(turns)])
+    plan = aims.select(F.col("source").alias("as"), "source_size", "target", "whole").join(numbered.groupBy("of").agg(F.array_sort(F.collect_list("turn")).alias("turns")), F.col("as").eqNullSafe(F.col("of")), "left")
+    plan = cut(plan.drop("of").join(closing, F.col("as").eqNullSafe(F.col("cs")), "left").drop("cs"))
+
+    out = ranked(plain).withColumn("r1", F.floor(place)).withColumn("r2", F.floor((place - F.floor(place)) * RANGES))
+    out = out.join(few(plan, SOURCES), F.col("source").eqNullSafe(F.col("as")))
+    closes = F.coalesce(F.col("cq").eqNullSafe(F.col("q")) & F.col("cid").eqNullSafe(F.col("doc_id")) & F.col("cq").isNotNull(), F.lit(False))
+    drawn = (F.col("q") < float("inf")) & (F.coalesce(F.exists("turns", lambda t: F.coalesce(drawn_in(t), F.lit(False))), F.lit(False)) | closes)
+    out = out.withColumn("copies", (F.col("whole") + drawn.cast("int")).cast("long"))
+    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *keep)
+
+
+def drawn_in(turn: Column) -> Column:
+    """Whether a turn (need, b1, b2, q, id) draws a row (size, q, r1, r2, doc_id) that is still there: it fits, and lies before the edge or in its range up to the last one."""
+    b1, b2, r1, r2, q = turn["b1"], turn["b2"], F.col("r1"), F.col("r2"), F.col("q")
+    below = b1.isNull() | (r1 < b1) | ((r1 == b1) & (r2 < b2))
+    last = (r1 == b1) & (r2 == b2) & ((q < turn["q"]) | ((q == turn["q"]) & (F.col("doc_id").eqNullSafe(turn["id"]) | F.coalesce(F.col("doc_id") < turn["id"], F.col("doc_id").isNull()))))
+    return F.col("size").between(1, turn["need"]) & (below | F.coalesce(last, F.lit(False)))
 
 
 def mixed_rows(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that the mix takes: docs' columns and how many copies of each."""
-    copies, same = fresh(docs, "copies", "mix_id")
-    taken = mix(docs, word_count(F.col(text))).where("copies > 0").select(F.col("doc_id").alias(same), F.col("copies").alias(copies))
-    return docs.join(few(cut(taken)), docs["doc_id"] == F.col(same)).drop(same)
+    """The documents that the mix takes, each once: docs' columns and how many copies of each. A document without words comes in whole copies only."""
+    (copies,) = fresh(docs, "copies")
+    whole = docs.select(F.col("doc_id"), F.col("source"), F.col(text), F.struct(*docs.columns).alias("_row"))
+    out = mix(whole, word_count(F.col(text)), keep=("_row",)).where("copies > 0")
+    return out.select("_row.*", F.col("copies").alias(copies))
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, cut, few, schema, table, without
+from .common import BITMAP, arrow_batches, bitmaps, cut, few, filter_bits, schema, split_by_ids, table, without
 from .components import components
 from .hashing import mix, shingle_sets, steps
 
@@ -31,8 +31,10 @@ from .hashing import mix, shingle_sets, steps
 SHORT = np.uint64(24)
 #: A token in more documents than this is of the frequent class.
 FREQUENT = 32
-#: At most so many frequent tokens are broadcast (8 bytes each); with more, those in most documents are the class.
-FREQUENT_MOST = 1 << 20
+#: Bits of the class filter for each frequent token.
+CLASS_BITS = 16
+#: Shingles of the corpus for each shard of counts and index entries.
+SHARD_SHINGLES = 1_000_000
 #: Buckets up to this size give all their pairs, larger ones a star.
 PAIR_BUCKET = 12
 #: Sets below this size are indexed by single tokens only.
@@ -130,7 +132,7 @@ def count_blocks(size: int, shards: int):
 
 
 def frequent_of(least: int):
-    """The tokens of one shard that more than ``least`` documents hold."""
+    """The tokens of one shard (their upper 40 bits) that more than ``least`` documents hold."""
 
     def run(block: pa.Table) -> pa.Table:
         keys, counts = [], []
@@ -143,29 +145,49 @@ def frequent_of(least: int):
         edge = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
         total = np.add.reduceat(c, edge)
         keep = total > least
-        return pa.table({"token": pa.array(k[edge][keep].view(np.int64), pa.int64()), "df": pa.array(total[keep], pa.int64())})
+        return pa.table({"token": pa.array(k[edge][keep].view(np.int64), pa.int64())})
 
     return run
 
 
+class FrequentClass:
+    """Which tokens are of the frequent class: those that fall on a set bit of a filter of bounded size.
+
+    A token that falls there by chance is of the class, too, in every document alike, so no link is
+    lost, and a filter that fills up only makes more tokens frequent.
+    """
+
+    def __init__(self, maps: list, bits: int):
+        self.bits = np.zeros(bits // 8, np.uint8)
+        for r in maps:
+            self.bits[r["bucket"] * (BITMAP // 8) : (r["bucket"] + 1) * (BITMAP // 8)] = np.frombuffer(bytes(r["bitmap"]), np.uint8)
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        slot = (s >> SHORT).astype(np.int64) & (8 * len(self.bits) - 1)
+        return (self.bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+
 def level_of(n: int) -> int:
     """0 for small sets; then one level for each doubling."""
     return 0 if n < SMALL_SET else (n // SMALL_SET).bit_length()
 
 
-def signatures(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """Index entries of one sorted set: two sets that link share at least one."""
+def signatures(s: np.ndarray, frequent: FrequentClass, percent: int) -> np.ndarray:
+    """Index entries of one sorted set: two sets that link share at least one.
+
+    From 50 percent up a set has enough tokens for the combinations of its level; below, all sets alike
+    are indexed by single tokens.
+    """
     n = len(s)
     least = -(-percent * n // 100)
     need = n - least + 1
-    short = s >> SHORT
-    often = frequent[np.minimum(np.searchsorted(frequent, short), len(frequent) - 1)] == short if len(frequent) else np.zeros(n, bool)
+    often = frequent.of(s)
     rare, common = s[~often], s[often]
     if len(rare) >= need:
         return rare[:need]
     out = [rare]
     need -= len(rare)
-    for level in range(level_of(least), level_of(n * 100 // percent) + 1):
+    for level in range(level_of(least), level_of(n * 100 // percent) + 1) if percent >= 50 else (0,):
         if level == 0:
             out.append(common[:need])
             continue
@@ -176,8 +198,7 @@ def signatures(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
         covered = np.cumsum(~opens)
         stop = int(np.searchsorted(covered, need)) + 1
         salt = np.uint64(level * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-        if stop > len(common):  # unreachable for sizes of this level; single tokens would still be right
-            raise ValueError("a prefix does not cover the differences that a link allows")
+        assert stop <= len(common), "a prefix covers the differences that a link allows"
         head, of = common[:stop], of[:stop]
         order = np.argsort(of, kind="stable")
         head, of = head[order], of[order]
@@ -328,7 +349,8 @@ def link(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFram
 
     The sets of all documents in pairs are made once; only those in pairs that pass the parities shuffle.
     """
-    sets = docs.join(ends(pairs, "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
+    ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    sets = split_by_ids(docs, ids)[1].join(few(ids), "doc_id", "left_semi").select("doc_id", "text")
     sets = cut(sets.mapInArrow(packed_sets(size), schema("id long, n long, parity binary, tokens binary")))
     for column, test in (("parity", may_link), ("tokens", do_link)):
         sets = sets.join(ends(pairs, "id"), "id", "left_semi") if column == "tokens" else sets
@@ -417,29 +439,34 @@ def rejoined(docs: DataFrame, held: DataFrame, sketches: DataFrame, tested: Data
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """Class of each document under links of Jaccard similarity of at least ``percent`` / 100.
 
-    docs: doc_id long (unique, not null) and text; other columns are ignored. Returns one row for each
-    document: doc_id, n_shingles (0 for null, empty and blank texts, which link with nothing),
-    component_id (smallest doc_id that links reach). Repeated texts count as links. An empty table
-    gives no rows. Token hashes have 64 bits.
+    docs: doc_id long and text; other columns are ignored. Returns one row for each document: doc_id,
+    n_shingles (0 for null, empty and blank texts, which link with nothing), component_id (smallest
+    doc_id that links reach). Repeated texts count as links; texts may have any length. Rows that repeat
+    a doc_id are one document, rows without one are none. An empty table gives no rows. Token hashes
+    have 64 bits.
     """
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must lie between 1 and 100")
     spark = docs.sparkSession
     arrow_batches(spark)
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-    counted = docs.mapInArrow(count_blocks(size, shards), schema("shard int, n long, keys binary, counts binary"))
-    often = counted.groupBy("shard").applyInArrow(frequent_of(FREQUENT), schema("token long, df long"))
-    often = often.orderBy(F.col("df").desc(), "token").limit(FREQUENT_MOST).select("token")
-    tokens = np.sort(often.toArrow().column("token").to_numpy().astype(np.int64).view(np.uint64))
-    broadcast = spark.sparkContext.broadcast(tokens)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
-    prints = cut(docs.mapInArrow(sizes_and_prints(size), schema(PRINTS)))
+    prints = cut(docs.mapInArrow(sizes_and_prints(size), schema(PRINTS)).dropDuplicates(["doc_id"]))
     some = prints.where("n_shingles > 0")
-    first = some.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"))
-    rep = cut(some.join(first, ["fp1", "fp2"]).select("doc_id", "rep"))
+    first = cut(some.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").select(F.col("fp1").alias("f1"), F.col("fp2").alias("f2"), "rep"))
+    rep = some.join(first, (F.col("fp1") == F.col("f1")) & (F.col("fp2") == F.col("f2")), "left")
+    rep = cut(rep.select("doc_id", F.coalesce("rep", "doc_id").alias("rep")))
+
+    total = prints.agg(F.sum("n_shingles")).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_SHINGLES))
+    counted = docs.mapInArrow(count_blocks(size, shards), schema("shard int, n long, keys binary, counts binary"))
+    often = cut(counted.repartitionById(shards, "shard").groupBy("shard").applyInArrow(frequent_of(FREQUENT), schema("token long")))
+    bits = filter_bits(often.count(), CLASS_BITS)
+    maps = bitmaps(often.select(F.col("token").bitwiseAND(F.lit(bits - 1)).alias("slot"))).collect()  # of bounded size
+    broadcast = spark.sparkContext.broadcast(FrequentClass(maps, bits))
 
     blocks = docs.mapInArrow(index_blocks(size, shards, percent, broadcast), schema("shard int, n long, keys binary, docs binary, sizes binary"))
-    found = blocks.groupBy("shard").applyInArrow(candidates_of(percent), schema("bucket long, a long, b long"))
+    found = blocks.repartitionById(shards, "shard").groupBy("shard").applyInArrow(candidates_of(percent), schema("bucket long, a long, b long"))
     ra, rb = (rep.select(F.col("doc_id").alias(x), F.col("rep").alias(f"r{x}")) for x in "ab")
     found = cut(found.join(ra, "a").join(rb, "b").where("ra <> rb").select("bucket", F.col("ra").alias("center"), F.col("rb").alias("member")))
     sketches = prints.select(F.col("doc_id").alias("id"), F.struct(F.col("n_shingles").alias("n"), *PARITY).alias("s"))
@@ -456,7 +483,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75) -> Dat
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without those that a class of linked documents has a smaller doc_id for. Ids move, texts only to meet them."""
+    """docs without those that a class of linked documents has a smaller doc_id for; all columns stay. Ids move, texts only to meet them."""
     classes = cut(jaccard_components(docs))
     gone = classes.where("component_id <> doc_id").select("doc_id")
     return without(docs, gone)

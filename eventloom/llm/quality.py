@@ -1,12 +1,18 @@
 """Quality classifier (operator 9): a weak-label model over heuristic labellers, then a hashed linear scorer.
 
 Two questions are asked of a document: is it junk, is it toxic. For each, several labellers vote bad,
-good or nothing. The votes of all documents are counted by pattern (a bounded table), and
-expectation-maximisation on those counts estimates each labeller's accuracies and, from them, the
-posterior label of each pattern. Human labels, where there are any, are one more labeller. The
+good or nothing. The votes of all documents are written once and counted by pattern (a bounded table),
+and expectation-maximisation on those counts estimates each labeller's accuracies and, from them, the
+posterior label of each pattern; bad documents may be of several kinds. Human labels, where there are
+any, are one more labeller. The
 posterior labels of a bounded sample of all documents, with and without human labels, train a linear
 scorer over hashed words and word heads, which then scores every document. A first scorer, fitted where
 people have judged (nowhere: on the whole sample), adds its evidence to the other documents' posteriors.
+
+Junk labellers: capitals, symbols, repeated neighbours, variety, and word lengths (rules of the kind that
+published web-corpus filters use). Toxic labellers: three word lists of general English, and two lexicons
+learned from the human labels of one half of the documents each, which vote on the other half, so that
+no lexicon votes on what it was learned from.
 """
 
 from __future__ import annotations
@@ -15,26 +21,44 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import arrow_batches, schema, table, without
+from .common import arrow_batches, cut, fresh, schema, table
 from .hashing import PUNCTUATION, U, Words, split_words, steps, word_heads
 
 #: The scorer is fitted on at most this many documents with human labels and as many without, those with the least hash of doc_id.
 SAMPLE = 4000
 #: Hashed features.
 DIM = 1 << 18
-#: Most features that a sampled document sends to the driver, those with the least hash; full texts are scored.
-SAMPLE_FEATURES = 4096
 HEADS = (4, 6)
-#: Log odds from which a feature of the sampled documents with human labels is in the learned lexicon.
+#: Log odds from which a feature of the sampled documents with human labels is in a learned lexicon.
 LEXICON_ODDS = 2.5
-#: Words that the lexicon labeller takes as insults.
-INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
-#: Characters that noise is made of.
-NOISE = b"#$%&*!|"
+#: Everyday English words for an abused person, for contempt, and coarse or hostile words, as general dictionaries mark them, but for those that are common words of German, French or Spanish.
+PERSONS = (
+    "bastard", "blockhead", "bozo", "buffoon", "chump", "clown", "coward", "creep", "cretin", "degenerate", "dimwit", "dolt", "dork", "douche", "dullard",
+    "dummy", "dunce", "fool", "fraud", "freak", "halfwit", "hypocrite", "idiot", "imbecile", "jackass", "jerk", "knucklehead", "leech", "liar", "loser", "lout", "lunatic",
+    "maniac", "moron", "nitwit", "numbskull", "oaf", "parasite", "pervert", "psycho", "scoundrel", "scum", "scumbag", "simpleton", "slob", "sucker", "swine",
+    "thug", "traitor", "twit", "vermin", "weakling", "weirdo", "wimp", "wretch",
+)
+CONTEMPT = (
+    "abysmal", "brainless", "contemptible", "cowardly", "despicable", "detestable", "dirty", "disgraceful", "disgusting", "dumb", "filthy", "garbage", "hideous", "idiotic",
+    "incompetent", "inferior", "laughable", "loathsome", "lousy", "moronic", "nasty", "nauseating", "pathetic", "pitiful", "repulsive", "revolting", "ridiculous", "rotten",
+    "rubbish", "shameful", "sickening", "spineless", "stinking", "stupid", "trash", "ugly", "useless", "worthless", "wretched",
+)
+COARSE = (
+    "arse", "asshole", "bitch", "bollocks", "bugger", "bullshit", "crap", "cunt", "damn", "dickhead", "fuck", "fucking", "hate", "kill", "piss", "prick",
+    "shit", "shut", "slut", "stfu", "suck", "sucks", "twat", "wanker", "whore",
+)
+#: Symbols that running prose does without, and the share of characters from which a text is full of them.
+SYMBOLS, SYMBOL_SHARE = b"#$%&*+/<=>@[]^_`{|}~\\", 0.02
+#: Shares from which capitals and repeated neighbours are too many; distinct words of up to so many words.
+CAPITALS, REPEATS, VARIETY, VARIETY_WORDS = 0.3, 0.2, (0.3, 0.5), 1000
+#: Mean word lengths outside this range are odd.
+WORD_LENGTH = (3.0, 10.0)
 STATS = ("shout", "noise", "repeat", "plain")
-JUNK = ("j_shout", "j_noise", "j_repeat", "j_variety", "gold_junk")
-TOXIC = ("t_insult", "t_lexicon", "gold_toxic")
+JUNK_VOTES = ("j_shout", "j_noise", "j_repeat", "j_variety", "j_length")
+TOXIC_VOTES = ("t_persons", "t_contempt", "t_coarse", "t_lexicon0", "t_lexicon1")
+JUNK, TOXIC = (*JUNK_VOTES, "gold_junk"), (*TOXIC_VOTES, "gold_toxic")
 
 
 def hashes_of(words: tuple[str, ...]) -> np.ndarray:
@@ -63,7 +87,7 @@ def statistics(raw: np.ndarray, offsets: np.ndarray, w: Words) -> np.ndarray:
     """Shares per document: capitals of ASCII letters, noise characters, repeated neighbours, distinct words."""
     upper = per_document((raw >= 0x41) & (raw <= 0x5A), offsets)
     lower = per_document((raw >= 0x61) & (raw <= 0x7A), offsets)
-    noise = per_document(np.isin(raw, np.frombuffer(NOISE, np.uint8)), offsets)
+    noise = per_document(np.isin(raw, np.frombuffer(SYMBOLS, np.uint8)), offsets)
     n = np.maximum(1, np.diff(w.first))
     same = np.r_[w.hash[1:] == w.hash[:-1], False] if len(w.hash) else np.zeros(0, bool)
     repeat = per_document(same, w.first)
@@ -85,45 +109,48 @@ def sample_features(batches):
         for ids, raw, offsets, w, n in documents_of(batch):
             f, stats = features(raw, w), statistics(raw, offsets, w)
             for i, d in enumerate(ids):
-                rows.append((d, present(f[w.first[i] : w.first[i + 1]])[:SAMPLE_FEATURES].astype("<i4").tobytes(), stats[i].tolist()))
+                rows.append((d, present(f[w.first[i] : w.first[i + 1]]).astype("<i4").tobytes(), stats[i].tolist()))
         if rows:
             d, k, s = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(k, pa.binary()), pa.array(s, pa.list_(pa.float64()))], names=["doc_id", "k", "stats"])
 
 
-def votes(lexicon: np.ndarray, insults: np.ndarray):
-    """(doc_id, votes of the labellers that look at the text): 1 bad, 0 good, null nothing."""
+def votes(lexicons: list[np.ndarray], lists: list[np.ndarray]):
+    """(doc_id, half, votes of the labellers that look at the text): 1 bad, 0 good, null nothing."""
 
     def run(batches):
         for batch in batches:
             for ids, raw, offsets, w, n in documents_of(batch):
                 s = statistics(raw, offsets, w)
-                enough = n >= 5
-                insult = per_document(np.isin(w.hash, insults), w.first) > 0
+                enough, all_ = n >= 5, np.ones(len(n), bool)
                 f = features(raw, w)
-                shares = np.array([lexicon[present(f[x:y])].sum() for x, y in zip(w.first[:-1], w.first[1:], strict=True)])
+                held = [present(f[x:y]) for x, y in zip(w.first[:-1], w.first[1:], strict=True)]
+                length = per_document(w.end - w.start, w.first) / np.maximum(1, n)
                 say = lambda bad, known: pa.array(bad.astype(np.int8), pa.int8(), mask=~known)
-                variety = (s[:, 3] < 0.3) | (s[:, 3] > 0.5)
-                cols = [say(s[:, 0] > 0.3, enough), say(s[:, 1] > 0.02, enough), say(s[:, 2] > 0.2, enough), say(s[:, 3] < 0.3, enough & variety), say(insult, np.ones(len(n), bool)), say(shares > 0, enough & lexicon.any())]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *cols], names=["doc_id", *JUNK[:4], *TOXIC[:2]])
+                clear = enough & (n <= VARIETY_WORDS) & ((s[:, 3] < VARIETY[0]) | (s[:, 3] > VARIETY[1]))
+                junk = [say(s[:, 0] > CAPITALS, enough), say(s[:, 1] > SYMBOL_SHARE, enough), say(s[:, 2] > REPEATS, enough), say(s[:, 3] < VARIETY[0], clear), say((length < WORD_LENGTH[0]) | (length > WORD_LENGTH[1]), enough)]
+                toxic = [say(per_document(np.isin(w.hash, words), w.first) > 0, all_) for words in lists]
+                toxic += [say(np.array([lexicon[k].sum() for k in held]) > 0, enough & lexicon.any()) for lexicon in lexicons]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *junk, *toxic], names=["doc_id", *JUNK_VOTES, *TOXIC_VOTES])
 
     return run
 
 
-def scores(weights: dict[str, tuple[np.ndarray, np.ndarray, float]]):
-    """(doc_id, p_junk, p_toxic) of every document."""
+def scores(weights: dict[str, tuple[np.ndarray, np.ndarray, float]], texts: str = "text"):
+    """Every batch with p_junk and p_toxic of its texts as two more columns."""
 
     def run(batches):
         for batch in batches:
-            for ids, raw, offsets, w, n in documents_of(batch):
+            found = [np.zeros(0), np.zeros(0)]
+            for _, _, raw, offsets in steps(batch.column(texts)):
+                w = split_words(raw, offsets, True, PUNCTUATION)
                 f, s = features(raw, w), inputs(statistics(raw, offsets, w))
                 held = [present(f[x:y]) for x, y in zip(w.first[:-1], w.first[1:], strict=True)]
-                out = [pa.array(ids, pa.int64())]
-                for name in ("junk", "toxic"):
+                for i, name in enumerate(("junk", "toxic")):
                     hashed, plain, bias = weights[name]
                     z = np.array([hashed[x].sum() for x in held]) + s @ plain + bias
-                    out.append(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
-                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "p_junk", "p_toxic"])
+                    found[i] = np.r_[found[i], 1 / (1 + np.exp(-np.clip(z, -30, 30)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found)], names=[*batch.schema.names, "p_junk", "p_toxic"])
 
     return run
 
@@ -133,52 +160,67 @@ def inputs(stats: np.ndarray) -> np.ndarray:
     return 5 * np.minimum(1.0, stats * np.array([2.0, 20.0, 3.0, 1.0]))
 
 
-def em(patterns: np.ndarray, counts: np.ndarray, start: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of bad for each vote pattern (-1: no vote), and each labeller's (hit rate, false alarm rate)."""
+def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior of bad for each vote pattern (-1: no vote; the last column is people's), and the rate of bad votes of each labeller (row) in each class (column).
+
+    Bad documents are of several kinds, one for each labeller but people, since a labeller that looks for
+    one kind says nothing about another; class 0 is good. People are taken to be right in at least 9 of
+    10 cases, so a kind that they call good shrinks to nothing and its labeller's votes count as false alarms.
+    """
     vote, cast = patterns == 1, patterns >= 0
-    rates, prior = np.stack([start, np.full(len(start), 0.03)], axis=1).astype(float), 0.15
+    kinds = patterns.shape[1] - 1
+    rates = np.full((kinds + 1, kinds + 1), 0.1)
+    rates[np.arange(kinds), np.arange(kinds) + 1] = 0.8
+    rates[:, 0], rates[-1, 1:] = 0.03, 0.98
+    least, most = np.full(rates.shape, 1e-4), np.full(rates.shape, 1 - 1e-4)
+    least[-1, 1:], most[-1, 0] = 0.9, 0.05
+    weak, prior = 1.0 * rates, np.r_[0.85, np.full(kinds, 0.15 / kinds)]
     for _ in range(rounds):
-        like = []
-        for y in (0, 1):
-            p = np.clip(rates[:, y], 1e-4, 1 - 1e-4)
-            like.append(np.where(cast, np.where(vote, np.log(p), np.log(1 - p)), 0.0).sum(axis=1))
-        z = like[0] - like[1] + np.log(prior / (1 - prior))
-        post = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-        for y, w in ((0, counts * post), (1, counts * (1 - post))):
-            seen, bad = (w[:, None] * cast).sum(axis=0), (w[:, None] * (vote & cast)).sum(axis=0)
-            rates[:, y] = (bad + (1 if y == 0 else 0.02)) / (seen + (1.25 if y == 0 else 1.02))
-        prior = float(np.clip((counts * post).sum() / max(1, counts.sum()), 0.01, 0.6))
-    return post, rates
+        p = np.clip(rates, least, most)
+        like = np.where(vote[:, :, None], np.log(p)[None], np.where(cast[:, :, None], np.log(1 - p)[None], 0.0)).sum(axis=1) + np.log(prior)
+        post = np.exp(like - like.max(axis=1, keepdims=True))
+        post /= post.sum(axis=1, keepdims=True)
+        w = counts[:, None] * post
+        rates = ((vote & cast).T @ w + weak) / (cast.T @ w + 1)
+        prior = np.maximum(w.sum(axis=0), 1e-3) / max(1.0, counts.sum())
+        prior[0] = max(prior[0], 0.4)
+        prior /= prior.sum()
+    return 1 - post[:, 0], rates
 
 
 class Sample:
-    """Hashed features of the documents to learn from, on the driver; bounded by SAMPLE and SAMPLE_FEATURES."""
+    """Hashed features of the documents to learn from, on the driver: at most twice SAMPLE rows, each with all its features."""
 
     def __init__(self, rows: list):
         self.ids = [r["doc_id"] for r in rows]
         self.row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r["k"]) // 4 for r in rows])
         self.col = np.frombuffer(b"".join(r["k"] for r in rows), "<i4")
         self.stats = inputs(np.array([r["stats"] for r in rows], float).reshape(len(rows), len(STATS)))
-        self.seen = np.bincount(self.col, minlength=DIM)
 
-    def lift(self, y: np.ndarray, least: int = 5) -> np.ndarray:
-        """Log odds of each feature between bad and good documents; 0 for features in few documents or without a clear side."""
-        bad = np.bincount(self.col, y.astype(np.float32)[self.row], minlength=DIM)
-        r = np.log((bad + 0.5) / (y.sum() + 1)) - np.log((self.seen - bad + 0.5) / (len(y) - y.sum() + 1))
-        due = self.seen * (y.sum() / max(1, len(y)))
+    def lift(self, y: np.ndarray, of: np.ndarray | None = None, least: int = 5) -> np.ndarray:
+        """Log odds of each feature between bad and good documents (``of``: some of them); 0 for features in few documents or without a clear side."""
+        of = np.ones(len(y), bool) if of is None else of
+        at = of[self.row]
+        whole, y, seen = y, y[of], np.bincount(self.col[at], minlength=DIM)
+        bad = np.bincount(self.col[at], whole[self.row[at]], minlength=DIM)
+        if not len(y):
+            return np.zeros(DIM)
+        r = np.log((bad + 0.5) / (y.sum() + 1)) - np.log((seen - bad + 0.5) / (len(y) - y.sum() + 1))
+        due = seen * (y.sum() / max(1, len(y)))
         clear = (bad - due) ** 2 > 9 * np.maximum(due, 0.1)
-        return np.where((self.seen >= least) & (np.abs(r) > 0.7) & clear, r, 0.0)
+        return np.where((seen >= least) & (np.abs(r) > 0.7) & clear, r, 0.0)
 
-    def fit(self, y: np.ndarray, rounds: int = 400, rate: float = 0.3, ridge: float = 0.02) -> tuple[np.ndarray, np.ndarray, float]:
-        """Logistic regression on features scaled by their log odds: weights of features and statistics, and the bias."""
-        n, scale = max(1, len(y)), self.lift(y)
-        use = scale[self.col] != 0
+    def fit(self, y: np.ndarray, of: np.ndarray | None = None, rounds: int = 400, rate: float = 0.3, ridge: float = 0.02) -> tuple[np.ndarray, np.ndarray, float]:
+        """Logistic regression on features scaled by their log odds, on all documents or some: weights of features and statistics, and the bias."""
+        of = np.ones(len(y), bool) if of is None else of
+        n, scale = max(1, int(of.sum())), self.lift(y, of)
+        use = (scale[self.col] != 0) & of[self.row]
         row, col, value = self.row[use], self.col[use], scale[self.col[use]]
         hashed, plain, bias = np.full(DIM, 0.2), np.zeros(len(STATS)), -1.0
         gh, gp, gb = np.full(DIM, 1e-2), np.full(len(STATS), 1e-4), 1e-4
         for _ in range(rounds if len(y) else 0):
             z = np.bincount(row, value * hashed[col], minlength=len(y)) + self.stats @ plain + bias
-            d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
+            d = np.where(of, 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y, 0.0) / n
             g = np.bincount(col, value * d[row], minlength=DIM) + ridge * hashed / n
             q, b = self.stats.T @ d, d.sum()
             gh, gp, gb = gh + g * g, gp + q * q, gb + b * b
@@ -197,60 +239,70 @@ def combined(post: np.ndarray, logits: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, p_junk, p_toxic, reject) for each document.
-
-    docs: doc_id long (unique, not null) and text; labels: doc_id, quality and toxic, 1 or 0 (null: no
-    vote; repeated rows of a document: the worst counts). Other columns are ignored. Null and empty
-    texts have no words and are judged by the bias alone. Without labels the labellers decide: the
-    scorer learns their posteriors, and the learned lexicon casts no votes. Empty docs give no rows.
-    """
+def learned(docs: DataFrame, labels: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, float]]:
+    """Weights of the scorer for both questions. docs: doc_id, text; labels: doc_id, quality, toxic."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     gold = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((1 - F.min("quality")).cast("byte").alias("gold_junk"), F.max("toxic").cast("byte").alias("gold_toxic"))
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))
 
     order = (F.xxhash64("doc_id"), "doc_id")
-    chosen = gold.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(*order).limit(SAMPLE)
-    chosen = {r["doc_id"]: (r["gold_junk"], r["gold_toxic"]) for r in chosen.collect()}
-    others = docs.select("doc_id").join(gold, "doc_id", "left_anti").orderBy(*order).limit(SAMPLE)
-    chosen |= {r["doc_id"]: (None, None) for r in others.collect()}
+    chosen = gold.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(*order).limit(SAMPLE).withColumn("half", half.cast("byte"))
+    chosen = {r["doc_id"]: (r["gold_junk"], r["gold_toxic"], r["half"]) for r in chosen.collect()}
+    others = docs.select("doc_id").where("doc_id is not null").join(gold, "doc_id", "left_anti").distinct().orderBy(*order).limit(SAMPLE)
+    chosen |= {r["doc_id"]: (None, None, None) for r in others.collect()}
     ids = spark.createDataFrame([(i,) for i in chosen], "doc_id long")
-    picked = docs.join(F.broadcast(ids), "doc_id", "left_semi")
-    rows = picked.mapInArrow(sample_features, schema("doc_id long, k binary, stats array<double>")).collect()
-    sample = Sample(rows)
-    human = np.array([[np.nan if v is None else v for v in chosen[i]] for i in sample.ids], float).reshape(len(sample.ids), 2)
-    judged = {q: ~np.isnan(human[:, i]) for i, q in enumerate(("junk", "toxic"))}
-    by_people = {q: Sample([r for r, known in zip(rows, judged[q], strict=True) if known]) for q in judged}
-    lexicon = np.maximum(0, by_people["toxic"].lift(human[judged["toxic"], 1]) - LEXICON_ODDS).astype(np.float32)
-    del rows
-
-    kinds = ", ".join(f"{c} byte" for c in (*JUNK[:4], *TOXIC[:2]))
-    vote = lambda texts: texts.mapInArrow(votes(lexicon, hashes_of(INSULTS)), schema(f"doc_id long, {kinds}"))
-    counted = vote(docs).join(gold, "doc_id", "left").groupBy(*JUNK, *TOXIC).agg(F.count("*").alias("n")).collect()
-    own = {r["doc_id"]: r.asDict() | dict(zip(("gold_junk", "gold_toxic"), chosen[r["doc_id"]], strict=True)) for r in vote(picked).collect()}
+    picked = docs.join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sample = Sample(picked.mapInArrow(sample_features, schema("doc_id long, k binary, stats array<double>")).collect())
+    toxic = np.array([np.nan if chosen[i][1] is None else chosen[i][1] for i in sample.ids], float)
+    halves = np.array([-1 if chosen[i][2] is None else chosen[i][2] for i in sample.ids], int)
+    lexicons = [np.maximum(0, sample.lift(np.nan_to_num(toxic), (halves == h) & ~np.isnan(toxic)) - LEXICON_ODDS).astype(np.float32) for h in (0, 1)]
+
+    kinds = ", ".join(f"{c} byte" for c in (*JUNK_VOTES, *TOXIC_VOTES))
+    voted = docs.mapInArrow(votes(lexicons, [hashes_of(x) for x in (PERSONS, CONTEMPT, COARSE)]), schema(f"doc_id long, {kinds}"))
+    voted = cut(voted.join(gold, "doc_id", "left"))
+    for h in (0, 1):  # a lexicon does not vote on the half it was learned from
+        voted = voted.withColumn(f"t_lexicon{h}", F.when(half != h, F.col(f"t_lexicon{h}")))
+    own = {r["doc_id"]: r for r in voted.join(F.broadcast(ids), "doc_id", "left_semi").collect()}
 
     weights = {}
     for name, columns in (("junk", JUNK), ("toxic", TOXIC)):
         code = lambda r, columns=columns: tuple(-1 if r[c] is None else int(r[c]) for c in columns)
-        table_: dict[tuple, int] = {}
-        for r in counted:
-            table_[code(r)] = table_.get(code(r), 0) + r["n"]
-        start = np.array([0.98 if c.startswith("gold") else 0.8 for c in columns])
+        table_ = {code(r): r["n"] for r in voted.groupBy(*columns).agg(F.count("*").alias("n")).collect()}
         patterns = list(table_)
-        post, _ = em(np.array(patterns, int).reshape(len(patterns), len(columns)), np.array(list(table_.values()), float), start)
+        post, _ = em(np.array(patterns, int).reshape(len(patterns), len(columns)), np.array(list(table_.values()), float))
         label = dict(zip(patterns, post.tolist(), strict=True))
-        y, known = np.array([label[code(own[i])] for i in sample.ids], float), judged[name]
-        first = by_people[name].fit(y[known]) if known.any() else sample.fit(y)
+        y, known = np.array([label[code(own[i])] for i in sample.ids], float), np.array([own[i][columns[-1]] is not None for i in sample.ids], bool)
+        first = sample.fit(y, known if known.any() else None)
         weights[name] = sample.fit(np.where(known, y, combined(y, sample.logits(first))))
-    out = docs.mapInArrow(scores(weights), schema("doc_id long, p_junk double, p_toxic double"))
+    return weights
+
+
+def slim(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(doc_id, p_junk, p_toxic, reject) for each document.
+
+    docs: doc_id long and text; labels: doc_id, quality and toxic, 1 or 0 (null: no vote; repeated rows
+    of a document: the worst counts). Other columns are ignored. Null and empty texts have no words and
+    are judged by the bias alone; texts may have any length and are used whole. Every row is scored by
+    its text, so rows that repeat a doc_id or have none get a score each. Without labels the other
+    labellers decide, and the learned lexicons cast no votes. Empty docs give no rows.
+    """
+    docs = slim(docs)
+    out = docs.mapInArrow(scores(learned(docs, labels)), schema("doc_id long, text string, p_junk double, p_toxic double")).drop("text")
     return out.withColumn("reject", (F.col("p_junk") >= threshold) | (F.col("p_toxic") >= threshold))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs' rows that the classifier does not reject."""
-    scored = quality_scores(docs, labels)
-    return without(docs, scored.where("reject").select("doc_id"))
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """docs' rows that the classifier does not reject, with all their columns: each row carries its own decision, and nothing joins."""
+    (text,) = fresh(docs, "scored_text")
+    weights = learned(slim(docs), labels)
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias(text))
+    out = whole.mapInArrow(scores(weights, text), T.StructType([*whole.schema.fields, *schema("p_junk double, p_toxic double").fields]))
+    return out.where(f"p_junk < {threshold} and p_toxic < {threshold}").select("row.*")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import decontam, exact, lines, mixing, near, private, quality, substring, tokens, urls
 
 QUERIES = {
@@ -17,7 +15,6 @@ QUERIES = {
     "op8_url_filters": urls.op8_url_filters,
     "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_ngram_jaccard_join": near.op10_ngram_jaccard_join,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {

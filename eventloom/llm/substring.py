@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, cut, schema, table
+from .common import arrow_batches, cut, schema, split_by_ids, table, with_side
 from .hashing import mix, prefix_sums, span_hash, split_words, steps
 
 #: Words of an anchor gram.
@@ -144,7 +144,9 @@ def repeats(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(doc_id, s, e): word spans s..e-1 whose windows of ``length`` words all start in an earlier document too; they may overlap."""
     found = docs.mapInArrow(anchors(length, gram), schema("doc_id long, start long, n int, h long, e long"))
     shared = found.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("h")
+    shared = cut(shared)
     found = cut(found.join(shared, "h", "left_semi"))
+    # minima of hashes are written before they meet the anchors, so that the join can split a hot one
     contexts = cut(found.groupBy("h", "e").agg(F.min("doc_id").alias("least")))
     known = cut(found.join(contexts, ["h", "e"]))
     whole = known.where("doc_id > least").select("doc_id", F.col("start").alias("s"), (F.col("start") + F.col("n") - 1 + length).alias("e"))
@@ -152,9 +154,10 @@ def repeats(docs: DataFrame, length: int, gram: int) -> DataFrame:
     mixed = contexts.groupBy("h").agg(F.count("*").alias("kinds"), F.min("least").alias("lo"), F.max("least").alias("hi")).where("kinds > 1 and lo <> hi").select("h")
     single = known.where("doc_id = least").join(mixed, "h", "left_semi")
     runs = single.groupBy("doc_id").agg(F.collect_list(F.struct("h", "start", "n")).alias("runs"))
-    windows = docs.join(runs, "doc_id").select("doc_id", "text", "runs").mapInArrow(single_windows(length), schema("h long, x long, doc_id long, start long"))
+    runs = cut(runs)
+    windows = split_by_ids(docs, runs)[1].join(runs, "doc_id").select("doc_id", "text", "runs").mapInArrow(single_windows(length), schema("h long, x long, doc_id long, start long"))
     windows = cut(windows)
-    least = windows.groupBy("h", "x").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most").select("h", "x", "least")
+    least = cut(windows.groupBy("h", "x").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most").select("h", "x", "least"))
     parts = windows.join(least, ["h", "x"]).where("doc_id > least").select("doc_id", F.col("start").alias("s"), (F.col("start") + length).alias("e"))
     return whole.union(parts)
 
@@ -165,12 +168,15 @@ def substring_dedup(docs: DataFrame, length: int = 50, gram: int = GRAM, with_te
     docs: doc_id long (unique, not null) and text; other columns are ignored. Words stand between ASCII
     white space and are compared unchanged, by 64-bit hashes within groups of equal 64-bit anchors.
     A word goes if a window of ``length`` words that covers it also starts in a document with a smaller
-    doc_id. Null, empty and shorter texts keep all their words; an empty table gives no rows.
+    doc_id. Null, empty and shorter texts keep all their words; an empty table gives no rows. Texts may
+    have any length. A row that repeats a doc_id with its text gets the same result once more; a row
+    without a doc_id keeps all its words, and no other loses any for it. Texts
+    without a repeat pass straight through: only the others meet their spans.
     """
     arrow_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spans = repeats(docs, length, gram).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    out = docs.join(spans, "doc_id", "left").mapInArrow(without_spans(with_text), schema("doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<s:long,e:long>>, kept_text string"))
+    spans = cut(repeats(docs.where("doc_id is not null"), length, gram).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
+    out = with_side(docs, spans).mapInArrow(without_spans(with_text), schema("doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<s:long,e:long>>, kept_text string"))
     return out if with_text else out.drop("kept_text")
 
 

@@ -9,6 +9,7 @@ bytes, so a task never encodes more than about ``BATCH_BYTES`` at once.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ from .common import arrow_batches, schema, table
 
 BATCH_BYTES = 1 << 19
 #: Counts of parts that a worker remembers, and the longest part that it remembers.
-REMEMBERED, REMEMBERED_LENGTH = 1_000_000, 64
+REMEMBERED, REMEMBERED_LENGTH = 500_000, 64
 #: Not beside angle brackets, where a special string may stand.
 _SAFE = re.compile(r"(?<=[!-;=?-~À-ɏ])(?= [!-;=?-~À-ɏ])")
 _LOADED: dict = {}
@@ -46,12 +47,24 @@ def counter(path: str, special: tuple[str, ...] = ()):
     raise ValueError(f"not a tokenizer that is known here: {path}")
 
 
+def is_local(path: str) -> bool:
+    """Whether the file states a byte-level pre-tokeniser that splits before a blank, with nothing before it that sees the whole text."""
+    if not path.endswith(".json"):
+        return False
+    with open(path, encoding="utf-8") as f:
+        stated = json.load(f)
+    pre = stated.get("pre_tokenizer") or {}
+    kinds = [pre, *(pre.get("pretokenizers") or [])]
+    splits = any(k.get("type") == "ByteLevel" and k.get("use_regex", True) and not k.get("add_prefix_space") for k in kinds)
+    return splits and not stated.get("normalizer") and (stated.get("model") or {}).get("type") == "BPE" and all(k.get("type") in ("ByteLevel", "Sequence", "Digits") for k in kinds)
+
+
 def balanced(parts: list[str]) -> Iterator[list[str]]:
     """The parts in runs of about ``BATCH_BYTES``."""
     held, size = [], 0
     for part in parts:
         held.append(part)
-        size += len(part)
+        size += len(part.encode())
         if size >= BATCH_BYTES:
             yield held
             held, size = [], 0
@@ -89,12 +102,13 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
 
     Counts are those of the library on the whole text, without begin, end or added special tokens;
     null counts as empty (0 bytes, and what the library gives for an empty text). ``path`` must be
-    readable on every executor. Texts are cut only for byte-level BPE, whose pieces are local.
+    readable on every executor. Texts are cut only where the file states a byte-level pre-tokeniser,
+    whose pieces are local; they may have any length. Every row counts by itself: repeated rows and null
+    ids give a row each, an empty table none. Other columns, whatever their names, are ignored.
     """
     arrow_batches(docs.sparkSession)
-    name = path.rsplit("/", 1)[-1]
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(counts(path, limit, name.startswith("byte_bpe")), schema("doc_id long, n_bytes long, n_tokens long, over_limit boolean"))
+    return docs.mapInArrow(counts(path, limit, is_local(path)), schema("doc_id long, n_bytes long, n_tokens long, over_limit boolean"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """URL filters (operator 8): a temporal join of captures with dated list entries.
 
 A list is a log of dated events: an entry is added or removed on a day. Each add opens a validity
-interval that the entry's next event closes. A capture is looked up by its host, every parent domain of
-at least two labels, and host plus first path segment, against the entries whose interval holds its
-fetch day.
+interval that the entry's next event closes. A capture is looked up by its host and every parent domain
+of at least two labels, alone and with every leading part of its path, against the entries whose
+interval holds its fetch day. A host of digits and dots is an address and has no parents.
 """
 
 from __future__ import annotations
@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import cut, fresh, table
 
 #: Scheme, user information, host without port or final dot, path.
-URL = r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]*[^/:?#.])\.?(?::[0-9]*)?(?:/([^/?#]*))?"
+URL = r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]*[^/:?#.])\.?(?::[0-9]*)?(/[^?#]*)?"
 
 
 def host_of(url: Column) -> Column:
@@ -23,20 +23,25 @@ def host_of(url: Column) -> Column:
 
 
 def keys_of(url: Column) -> Column:
-    """What entries may name this URL by; empty for null and hostless URLs."""
-    host, segment = host_of(url), F.regexp_extract(F.lower(url), URL, 2)
+    """What entries may name this URL by: domains, and domains with leading parts of the path; empty for null and hostless URLs."""
+    host = host_of(url)
     labels = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    paths = F.when(segment != "", F.array(F.concat(host, F.lit("/"), segment))).otherwise(F.array().cast("array<string>"))
-    return F.when(F.coalesce(host, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(domains, paths)))
+    most = F.when(F.regexp_like(host, F.lit(r"^[0-9.]+$")), F.lit(1)).otherwise(F.greatest(F.size(labels) - 1, F.lit(1)))
+    domains = F.transform(F.sequence(F.lit(1), most), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    parts = F.filter(F.split(F.regexp_extract(F.lower(url), URL, 2), "/"), lambda p: p != "")
+    paths = F.transform(F.filter(F.sequence(F.lit(0), F.size(parts)), lambda i: i > 0), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))
+    with_paths = F.flatten(F.transform(domains, lambda d: F.transform(paths, lambda p: F.concat(d, p))))
+    return F.when(F.coalesce(host, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(domains, with_paths)))
 
 
 def intervals(events: DataFrame) -> DataFrame:
     """(entry, valid_from, valid_to): the days from valid_from up to before valid_to (null: open) that each entry is active.
 
     events: entry, day, action ('add' or 'remove'). Rows with a null are ignored. Of events of an entry
-    on one day an add outlasts a remove; repeated rows count once.
+    on one day an add outlasts a remove; repeated rows count once. Entries are lower-cased and lose a
+    final slash.
     """
+    events = events.select(F.regexp_replace(F.lower("entry"), "/+$", "").alias("entry"), "day", "action")
     daily = events.where("entry is not null and day is not null and action in ('add', 'remove')").groupBy("entry", "day").agg(F.min("action").alias("action"))
     following = F.lead("day").over(W.partitionBy("entry").orderBy("day"))
     return daily.select("entry", "action", F.col("day").alias("valid_from"), following.alias("valid_to")).where("action = 'add'").drop("action")
@@ -45,12 +50,14 @@ def intervals(events: DataFrame) -> DataFrame:
 def listed(captures: DataFrame, events: DataFrame, url: str = "url", day: str = "fetched", key: str = "page_id") -> DataFrame:
     """Every capture with n_entries (entries active on its day), first_entry (the least of them) and blocked.
 
-    Keys are unique and not null. A capture with a null URL, host or day matches nothing. Empty lists
-    block nothing. captures' columns all stay; a result column that would clash gets an underscore.
+    A capture with a null URL, host, day or key matches nothing. Rows that repeat a key share what any of
+    them matches. Empty lists block nothing, empty captures give no rows; URLs may have any length.
+    captures' columns all stay; a result column that would clash gets an underscore. Intervals are
+    written before they meet the captures, so that the join can split a popular domain.
     """
     count, first, blocked, cid = fresh(captures, "n_entries", "first_entry", "blocked", "cid")
     looked = captures.select(F.col(key).alias(cid), F.col(day).alias("on"), F.explode(keys_of(F.col(url))).alias("entry"))
-    active = looked.join(intervals(events), "entry").where("on >= valid_from and (valid_to is null or on < valid_to)")
+    active = looked.join(cut(intervals(events)), "entry").where("on >= valid_from and (valid_to is null or on < valid_to)")
     found = active.groupBy(cid).agg(F.countDistinct("entry").alias(count), F.min("entry").alias(first))
     out = captures.join(found, captures[key] == F.col(cid), "left").drop(cid)
     return out.withColumn(count, F.coalesce(F.col(count), F.lit(0)).cast("long")).withColumn(blocked, F.col(count) > 0)
@@ -74,13 +81,14 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH u AS (SELECT page_id, lower(url) AS url, CAST(page_id % 366 AS INTEGER) AS d FROM pages),
-h AS (SELECT *, regexp_extract(url, '^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]*[^/:?#.])\.?(?::[0-9]*)?(?:/([^/?#]*))?', 1) AS host,
-        regexp_extract(url, '^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]*[^/:?#.])\.?(?::[0-9]*)?(?:/([^/?#]*))?', 2) AS seg FROM u),
+h AS (SELECT *, regexp_extract(url, '^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]*[^/:?#.])\.?(?::[0-9]*)?(/[^?#]*)?', 1) AS host,
+        list_filter(string_split(regexp_extract(url, '^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]*[^/:?#.])\.?(?::[0-9]*)?(/[^?#]*)?', 2), '/'), lambda x: x <> '') AS parts FROM u),
 l AS (SELECT *, string_split(host, '.') AS labels FROM h WHERE coalesce(host, '') <> ''),
+o AS (SELECT page_id, d, parts, array_to_string(labels[i:len(labels)], '.') AS domain
+      FROM (SELECT *, unnest(range(1, CASE WHEN regexp_matches(host, '^[0-9.]+$') THEN 1 ELSE greatest(len(labels) - 1, 1) END + 1)) AS i FROM l)),
 k AS (SELECT DISTINCT page_id, d, entry FROM (
-        SELECT page_id, d, array_to_string(labels[i:len(labels)], '.') AS entry
-        FROM (SELECT page_id, d, labels, unnest(range(1, greatest(len(labels) - 1, 1) + 1)) AS i FROM l)
-        UNION ALL SELECT page_id, d, host || '/' || seg FROM l WHERE seg <> '')),
+        SELECT page_id, d, domain AS entry FROM o
+        UNION ALL SELECT page_id, d, domain || '/' || array_to_string(parts[1:j], '/') FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS j FROM o))),
 e AS (SELECT entry, md5(entry) AS m FROM (SELECT DISTINCT entry FROM k) WHERE md5(entry)[1] = '0'),
 n AS (SELECT entry, CAST(('0x' || m[2:3]) AS INTEGER) AS s, CAST(('0x' || m[4:5]) AS INTEGER) AS g, CAST(('0x' || m[6]) AS INTEGER) AS r FROM e),
 v AS (SELECT entry, s AS day, 'add' AS action FROM n UNION ALL SELECT entry, s + 1 + g % 90, 'remove' FROM n UNION ALL SELECT entry, s + 120, 'add' FROM n WHERE r < 8),
