@@ -158,12 +158,12 @@ def split_by_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", members:
 def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs' rows whose key is not among ids (key); rows with a null key stay.
 
-    What goes, and few others, meets the ids in a join that Spark broadcasts or shuffles by its size;
-    all other texts pass straight through, however many ids there are.
+    What goes, and few others, meets the ids in a merge join, the same at every size; all other texts
+    pass straight through, however many ids there are.
     """
     ids = cut(ids.select(key).distinct())
     rest, maybe = split_by_ids(docs, ids, key)
-    return rest.unionByName(maybe.join(ids, key, "left_anti").select(docs.columns))
+    return rest.unionByName(maybe.join(ids.hint("merge"), key, "left_anti").select(docs.columns))
 
 
 def with_side(docs: DataFrame, side: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -171,7 +171,7 @@ def with_side(docs: DataFrame, side: DataFrame, key: str = "doc_id") -> DataFram
     rest, maybe = split_by_ids(docs, side.select(key), key)
     more = [c for c in side.columns if c != key]
     missing = [F.lit(None).cast(side.schema[c].dataType).alias(c) for c in more]
-    return rest.select(*docs.columns, *missing).unionByName(maybe.join(side, key, "left").select(*docs.columns, *more))
+    return rest.select(*docs.columns, *missing).unionByName(maybe.join(side.hint("merge"), key, "left").select(*docs.columns, *more))
 
 
 def few(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
