@@ -5,6 +5,8 @@ Each derivation has a DuckDB twin in ``SQL``, so that queries and their oracles
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +86,56 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_CORPUS_FIELDS = [
+    ("event_id", "'doc-' || doc_id"),
+    ("d", "doc_id"),
+    ("workstream_id", "'ws-' || (doc_id % 5)"),
+    ("principal_id", "'user-' || (doc_id % 50)"),
+    ("category", "cast(doc_id % 7 as int)"),
+    ("event_channel", "cast(case when doc_id % 97 = 0 then 1 else 0 end as int)"),
+    ("created_at", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id as int))"),
+    ("valid_at", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(doc_id % 20 as int))"),
+    ("invalid_at", "case when doc_id % 11 = 0 then timestamp_ntz'2024-01-15 00:00:00' end"),
+    ("statement", "text"),
+    ("skill_name", "cast(null as string)"),
+]
+
+
+def corpus_events(spark: SparkSession, sf_dir: str):
+    """Documents as a log with sidecars, for the gates of free-text search."""
+    from .operators.search import Events
+
+    docs = read(spark, sf_dir, "documents")
+    log_ = docs.selectExpr(*(f"{sql} as {name}" for name, sql in _CORPUS_FIELDS))
+    gone = docs.where("doc_id % 17 = 0").selectExpr("'doc-' || doc_id as event_id", "timestamp_ntz'2024-01-20 00:00:00' as revoked_at")
+    seen = docs.where("doc_id % 13 <> 0").selectExpr("'doc-' || doc_id as event_id", "cast(case when doc_id % 10 in (0, 1) then 0 else 1 end as int) as visibility")
+    return Events(log_, gone, seen)
+
+
+def corpus_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One triple for each document whose category is a fact."""
+    return corpus_events(spark, sf_dir).log.where("category = 1").selectExpr("workstream_id", "event_id", "'user' || (d % 20) as subject_key", "'writes' as predicate", "cast(d % 3 as string) as object", "valid_at")
+
+
+_INDEXES: dict = {}
+
+
+def text_index(spark: SparkSession, sf_dir: str):
+    """The full-text index of the documents: built once for an application and folder, as ingestion would, then read."""
+    from .operators import textindex as X
+    from .workspace import workspace, written
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        folder, docs = f"{workspace(spark)}/text/{len(_INDEXES)}-{uuid.uuid4().hex}", corpus(spark, sf_dir)
+        _INDEXES[key] = X.TextIndex(written(X.laid_out(X.postings(docs)), f"{folder}/postings", ["bucket"]), written(X.sizes(docs), f"{folder}/sizes"))
+    return _INDEXES[key]
+
+
+def event_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").select(F.concat(F.lit("doc-"), F.col("vec_id")).alias("event_id"), F.lit("test@64").alias("provider_id"), "embedding")
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select("vec_id", F.lit("test@64").alias("provider_id"), "embedding")
 
@@ -115,6 +167,7 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _duck(sql: str) -> str:
     import re
 
+    sql = sql.replace("make_dt_interval(0, 0, cast(doc_id as int))", "to_minutes(doc_id)").replace("timestamp_ntz'", "timestamp '").replace("null as string", "null as varchar")
     sql = re.sub(r"make_dt_interval\(((?:[^()]|\([^()]*\))*)\)", r"to_days(cast(\1 as int))", sql)
     return sql.replace("as string)", "as varchar)").replace("\"'s team\"", "'''s team'").replace(" array(", " list_value(")
 
@@ -128,12 +181,15 @@ _CUR = (
 )
 _REVIEW = "review AS (SELECT event_id, workstream_id, (['pending', 'approved', 'rejected', 'deferred'])[CAST(b % 4 AS INT) + 1] AS status, created_at AS captured_at, created_at + to_days(CAST(e % 10 AS INT)) AS defer_until, substring(statement, 1, 200) AS summary FROM log WHERE category = 1 AND e % 6 = 0)"
 _CORPUS = "corpus AS (SELECT doc_id, 'doc-' || doc_id AS event_id, 'ws-' || (doc_id % 5) AS workstream_id, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS created_at, text AS content FROM documents)"
+_CLOG = "clog AS (SELECT " + ", ".join(f"{_duck(sql)} AS {name}" for name, sql in _CORPUS_FIELDS) + " FROM documents)"
+_CREV = "crev AS (SELECT 'doc-' || doc_id AS event_id FROM documents WHERE doc_id % 17 = 0)"
+_CVIS = "cvis AS (SELECT 'doc-' || doc_id AS event_id, CASE WHEN doc_id % 10 IN (0, 1) THEN 0 ELSE 1 END AS visibility FROM documents WHERE doc_id % 13 <> 0)"
 _ENTRIES = "entries AS (SELECT 'conv-' || conv_id AS session_id, lpad(CAST(turn AS VARCHAR), 6, '0') AS entry_id, TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(conv_id AS INT)) + to_minutes(turn) AS entry_at, CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 6 END AS kind, text, conv_id, turn FROM conversations)"
 _MARKS = "marks AS (SELECT DISTINCT 'conv-' || conv_id AS session_id, '000001' AS last_entry FROM conversations WHERE conv_id % 2 = 0)"
 _ENT = "ent AS (SELECT c_custkey, replace(c_name, '#', '.') || '@' || CASE WHEN c_custkey % 2 = 0 THEN 'gmail.com' ELSE 'example.com' END AS raw FROM customer)"
 
 #: DuckDB common table expressions of the same rows, in order of use.
-SQL = {"log": _LOG, "rev": _REV, "vis": _VIS, "cur": _CUR, "review": _REVIEW, "corpus": _CORPUS, "entries": _ENTRIES, "marks": _MARKS, "ent": _ENT}
+SQL = {"log": _LOG, "rev": _REV, "vis": _VIS, "cur": _CUR, "review": _REVIEW, "corpus": _CORPUS, "clog": _CLOG, "crev": _CREV, "cvis": _CVIS, "entries": _ENTRIES, "marks": _MARKS, "ent": _ENT}
 
 
 def ctes(*names: str) -> str:

@@ -49,6 +49,16 @@ def _redact(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([redact_text(t) for t in texts], columns=["text", "hits"])
 
 
+def _redact_all(lists: pd.Series) -> pd.DataFrame:
+    done = [[redact_text(t) for t in x] if x is not None else None for x in lists]
+    return pd.DataFrame([(None, 0) if x is None else ([t for t, _ in x], sum(n for _, n in x)) for x in done], columns=["texts", "hits"])
+
+
+def redact_all(texts: Column) -> Column:
+    """(texts, hits) of an array of texts, in Arrow batches; a null array stays null."""
+    return F.pandas_udf(_redact_all, "texts array<string>, hits int")(texts)
+
+
 def redact(text: Column) -> Column:
     """(text, hits) of a text column, in Arrow batches."""
     return F.pandas_udf(_redact, "text string, hits int")(text)

@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented letters and their plain forms.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+def _plain_letters() -> tuple[str, str]:
+    """Letters that are one letter with marks, and those letters; then the marks, which have no counterpart and so go."""
+    marked, plain = [], []
+    for code in (*range(0xC0, 0x2000), *range(0x2C60, 0x3100), *range(0xA640, 0xA800), *range(0xFB1D, 0xFB50)):
+        letter = chr(code)
+        base = [c for c in unicodedata.normalize("NFD", letter.lower()) if not unicodedata.combining(c)]
+        if letter == letter.lower() and len(base) == 1 and base[0] != letter:
+            marked.append(letter)
+            plain.append(base[0])
+    marks = [chr(c) for c in range(0x300, 0x3100) if unicodedata.combining(chr(c))]
+    return "".join(marked + marks), "".join(plain)
+
+
+#: The one normal form of documents and queries.
+MARKED, PLAIN = _plain_letters()
+_PLAIN = str.maketrans(dict(zip(MARKED, PLAIN, strict=False)) | dict.fromkeys(MARKED[len(PLAIN) :]))
 #: Question and function words that are no subjects.
 STOP = (
     "what", "when", "where", "which", "who", "whom", "whose", "why", "how", "did", "do", "does",
@@ -68,11 +84,22 @@ def subjects(text: Column) -> Column:
 
 
 def terms(text: Column) -> Column:
-    """Lower-cased runs of letters and digits without accents."""
-    plain = F.translate(F.lower(text), ACCENTED, PLAIN)
+    """Lower-cased runs of letters and digits without marks, in the normal form of queries."""
+    plain = F.translate(F.lower(text), MARKED, PLAIN)
     return F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def query_terms(text: str) -> list[str]:
+    """R2: the terms of a query, in the normal form of documents; a repeated word counts twice, as written."""
+    return [w for w in re.split(r"[\W_]+", text.lower().translate(_PLAIN)) if w]
+
+
+def question_subjects(text: str) -> list[str]:
+    """R12 of one question, on the driver."""
+    words = [w for w in re.findall(r"\b[A-Z][a-zA-Z]+\b", text) if w.lower() not in STOP]
+    return list(dict.fromkeys(" ".join(w.lower().split()) for w in words))
+
+
 def classify(text: Column, redacted: Column, category: Column) -> Column:
     """3 secret, 0 public, 4 personal, 2 confidential, 1 internal."""
     personal = any_of([text.rlike(p) for p in (EMAIL, SSN, PHONE)])
@@ -174,3 +201,36 @@ def gold_support(context: Column, gold: Column) -> Column:
     tokens = F.filter(F.split(F.lower(gold), "[^a-z0-9]+"), lambda w: (F.length(w) > 2) & ~w.isin(*GOLD_STOP))
     hits = F.size(F.filter(tokens, lambda w: F.contains(F.lower(context), w)))
     return (F.size(tokens) > 0) & (hits / F.greatest(F.size(tokens), F.lit(1)) >= 0.6)
+
+
+def model_label(answer: Column, fallback: Column) -> Column:
+    """The class that a model's answer begins with, in any case; anything else takes the rules' class."""
+    said = F.upper(F.trim(answer, F.lit(" \t\r\n")))
+    out = F.when(F.startswith(said, F.lit("PUBLIC")), F.lit(0)).when(F.startswith(said, F.lit("INTERNAL")), F.lit(1)).when(F.startswith(said, F.lit("CONFIDENTIAL")), F.lit(2))
+    out = out.when(F.startswith(said, F.lit("SECRET")), F.lit(3)).when(F.startswith(said, F.lit("PII")), F.lit(4))
+    return F.coalesce(out, fallback)
+
+
+def content_id(prefix: str, *parts: Column) -> Column:
+    """An id that the same content always gets, so that a job that runs again makes no second row."""
+    return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256), 1, 32))
+
+
+#: The alphabet of time-ordered ids.
+CROCKFORD = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+
+
+def time_id(at: Column, *parts: Column) -> Column:
+    """26 characters that sort by time: 48 bits of milliseconds, then 80 bits from the content instead of a random draw."""
+    millis = F.unix_millis(at.cast("timestamp"))
+    head = [F.substring(F.lit(CROCKFORD), (F.shiftright(millis, 5 * (9 - i)).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1)) for i in range(10)]
+    digest = F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
+    tail = [F.substring(F.lit(CROCKFORD), (F.conv(F.substring(digest, 2 * i + 1, 2), 16, 10).cast("int") % 32 + 1), F.lit(1)) for i in range(16)]
+    return F.concat(*head, *tail)
+
+
+def answer_text(json: Column) -> Column:
+    """An answer as text whatever its JSON type: booleans as yes and no, null as empty."""
+    plain = F.trim(json)
+    unquoted = F.get_json_object(F.concat(F.lit('{"v":'), plain, F.lit("}")), "$.v")
+    return F.when(json.isNull() | (plain == "null"), F.lit("")).when(plain == "true", F.lit("yes")).when(plain == "false", F.lit("no")).otherwise(F.coalesce(unquoted, plain))

@@ -55,3 +55,40 @@ def consolidate(inputs: DataFrame, dreamer, schema: str, log: DataFrame, keep_in
     outputs = inputs.groupBy("workstream_id").applyInPandas(dreamer, schema)
     judged = outputs.join(promotion_eligible(outputs, log), "output_id", "left").withColumn("eligible", F.coalesce("eligible", F.lit(False)))
     return capped_visibility(judged if keep_ineligible else judged.where("eligible"))
+
+
+def dream_run(events: DataFrame, dreamer, schema: str, log: DataFrame, now: str, kind: str = "dream", floor: bool = False) -> dict[str, DataFrame]:
+    """A dreamer's outputs as captures with capped visibility, and an audit row of the run for each workstream.
+
+    The dreamer's schema holds output_id, workstream_id, category, statement, sources, proposed. With a
+    ``floor`` (a fleet's run) ineligible outputs are dropped. Event ids come from the content, so a run
+    that is repeated after a failure makes the same events.
+    """
+    from ..functions.text import content_id
+
+    out = consolidate(events, dreamer, schema, log, keep_ineligible=not floor)
+    number = content_id(f"{kind}-", F.col("workstream_id"), F.col("category"), F.col("statement"), F.array_join("sources", ","))
+    name = F.element_at(F.array(*[F.lit(n) for n in ("evidence", "fact", "decision", "hypothesis", "goal", "action", "outcome")]), F.col("category") + 1)
+    payload = F.to_json(F.struct(name.alias("$type"), F.col("statement"), F.col("sources").alias("supportingEvents")))
+    made = out.withColumn("event_id", number).dropDuplicates(["event_id"])
+    captures = made.select("event_id", "workstream_id", F.lit(0).alias("channel"), "category", F.lit(now).cast("timestamp_ntz").alias("valid_at"), F.lit(now).cast("timestamp_ntz").alias("recorded_at"), F.lit(None).cast("string").alias("principal_id"), F.lit(f"{kind}/run").alias("source"), payload.alias("payload"), F.lit(1).alias("schema_version"))
+    seen = events.groupBy("workstream_id").agg(F.count("*").alias("n_inputs"))
+    audit = seen.join(made.groupBy("workstream_id").agg(F.count("*").alias("n_outputs"), F.count_if("eligible").alias("n_eligible")), "workstream_id", "left").na.fill(0, ["n_outputs", "n_eligible"])
+    audit = audit.select(content_id("run-", F.col("workstream_id"), F.lit(kind), F.lit(now)).alias("run_id"), "workstream_id", F.lit(kind).alias("kind"), F.lit(now).cast("timestamp_ntz").alias("ran_at"), "n_inputs", "n_outputs", "n_eligible")
+    return {"captures": captures, "visibility": made.select("event_id", "visibility"), "audit": audit}
+
+
+def dream_skills(skills: DataFrame, revocations: DataFrame, visibility: DataFrame, log: DataFrame, viewer: str, workstream: str, limit: int = 100) -> DataFrame:
+    """The newest standing skills of a workstream that the viewer may see."""
+    rows = gates.not_revoked(skills.where(F.col("workstream_id") == workstream), revocations).join(log.select("event_id", "principal_id"), "event_id")
+    return gates.with_visibility(rows, visibility).where(gates.visible(viewer)).orderBy(F.col("valid_at").desc(), "event_id").limit(limit)
+
+
+def newest_contradictions(found: DataFrame, limit: int = 100) -> DataFrame:
+    """T9."""
+    return found.orderBy(F.col("detected_at").desc(), "event_a", "event_b").limit(limit)
+
+
+def judged(rows: DataFrame, judge, schema: str) -> DataFrame:
+    """A host's judge or extractor (pandas function over Arrow batches) on rows."""
+    return rows.mapInPandas(lambda batches: (judge(b) for b in batches), schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-AMEND, ANNOTATE, PIN, DEMOTE = range(4)
+AMEND, ANNOTATE, PIN, DEMOTE, REVERT = range(5)
 
 
 def standing(curations: DataFrame) -> DataFrame:
@@ -64,10 +64,23 @@ def appended(curations: DataFrame, new: DataFrame, log: DataFrame, workstream: s
     return rows.where("reason is null").select(*new.columns), rows.where("reason is not null").select(*new.columns, "reason")
 
 
-def reverted(curations: DataFrame, reverts: DataFrame) -> DataFrame:
-    """Curations with ``reverted`` set where a revert names them; a revert of a revert or a second one changes nothing."""
-    named = reverts.select("curation_id", F.lit(True).alias("_r")).distinct()
-    return curations.join(named, "curation_id", "left").withColumn("reverted", F.col("reverted") | F.coalesce("_r", F.lit(False))).drop("_r")
+def reverted(curations: DataFrame, reverts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(curations afterwards, refused reverts with a reason). reverts: curation_id, curator, occurred_at.
+
+    A revert marks the curation that it names and is a row of its own, of kind REVERT. A second revert of
+    one curation, a revert of a revert and one of an unknown curation are refused.
+    """
+    from pyspark.sql import Window as W
+
+    first = F.row_number().over(W.partitionBy("curation_id").orderBy("occurred_at", "curator"))
+    known = curations.select("curation_id", F.col("kind").alias("_kind"), F.col("reverted").alias("_done"), F.col("target_id").alias("_target"))
+    rows = reverts.withColumn("_n", first).join(known, "curation_id", "left")
+    reason = F.when(F.col("_kind").isNull(), F.lit("unknown curation")).when(F.col("_kind") == REVERT, F.lit("a revert is not reverted")).when(F.col("_done") | (F.col("_n") > 1), F.lit("already reverted"))
+    rows = rows.withColumn("reason", reason)
+    good = rows.where("reason is null")
+    marked = curations.join(good.select("curation_id", F.lit(True).alias("_r")), "curation_id", "left").withColumn("reverted", F.col("reverted") | F.coalesce("_r", F.lit(False))).drop("_r")
+    own = good.select(F.concat(F.lit("rev-"), F.col("curation_id")).alias("curation_id"), F.col("_target").alias("target_id"), F.lit(REVERT).alias("kind"), "curator", "occurred_at", F.lit(False).alias("reverted"))
+    return marked.unionByName(own, allowMissingColumns=True), rows.where("reason is not null").select(*reverts.columns, "reason")
 
 
 def split_facts(*_args):
@@ -100,3 +113,34 @@ def decided(reviews: DataFrame, decisions: DataFrame) -> DataFrame:
     status = F.when(open_, F.element_at(F.create_map(*[F.lit(x) for x in ("approve", "approved", "reject", "rejected", "defer", "deferred")]), F.col("action"))).otherwise(F.col("status"))
     rows = reviews.join(new, "event_id", "left")
     return rows.withColumn("defer_until", F.when(open_ & (F.col("action") == "defer"), F.col("until")).otherwise(F.col("defer_until"))).withColumn("status", status).select(*reviews.columns)
+
+
+def review_run(reviews: DataFrame, decisions: DataFrame, now: str) -> dict[str, DataFrame]:
+    """Decisions (event_id, action, until, reason, principal_id) on reviews, with what follows from them.
+
+    Returns the reviews afterwards; the events to project and index (approved); the revocations to append
+    (rejected: their artifacts become tombstones, see ``ingest.tombstones``); an audit event on the
+    technical channel for each approval and rejection; and what was refused. Repeating a decision is
+    harmless and leaves no second audit event. A rejection needs a reason; what is approved or rejected
+    is not deferred.
+    """
+    rows = decisions.join(reviews.select("event_id", "workstream_id", "status"), "event_id", "left")
+    wanted = F.element_at(F.create_map(*[F.lit(x) for x in ("approve", "approved", "reject", "rejected", "defer", "deferred")]), F.col("action"))
+    why = F.when(F.col("status").isNull(), F.lit("not in review")).when(wanted.isNull(), F.lit("not an action"))
+    why = why.when((F.col("action") == "reject") & (F.trim(F.coalesce("reason", F.lit(""))) == ""), F.lit("a rejection needs a reason"))
+    why = why.when((F.col("action") == "defer") & F.col("status").isin("approved", "rejected"), F.lit("already decided"))
+    rows = rows.withColumn("refused", why).withColumn("again", wanted == F.col("status"))
+    good = rows.where("refused is null and not again")
+    after = reviews.join(good.select("event_id", wanted.alias("_s"), "until", F.lit(True).alias("_hit")), "event_id", "left")
+    after = after.withColumn("defer_until", F.when(F.col("_hit"), F.when(F.col("_s") == "deferred", F.col("until"))).otherwise(F.col("defer_until")))
+    after = after.withColumn("status", F.coalesce("_s", "status")).select(*reviews.columns)
+    stamp, acted = F.lit(now).cast("timestamp_ntz"), good.where("action in ('approve', 'reject')")
+    audit = acted.select(
+        F.concat(F.lit("review-"), F.substring(F.sha2(F.concat_ws("|", "event_id", "action", F.lit(now)), 256), 1, 32)).alias("event_id"), "workstream_id", F.lit(1).alias("event_channel"), F.lit(0).alias("category"),
+        F.when(F.col("action") == "approve", F.concat(F.lit("Review approved for event "), F.col("event_id"))).otherwise(F.col("reason")).alias("content"),
+        F.when(F.col("action") == "approve", F.lit("event.review_approved")).otherwise(F.lit("event.review_rejected")).alias("source"), "principal_id", stamp.alias("created_at"),
+    )
+    return {
+        "reviews": after, "approved": good.where("action = 'approve'").select("event_id"), "revocations": good.where("action = 'reject'").select("event_id", stamp.alias("revoked_at")),
+        "audit": audit, "refused": rows.where("refused is not null").select("event_id", "action", F.col("refused").alias("reason")),
+    }

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring as R
@@ -49,3 +52,63 @@ def stamped(triples: DataFrame, resolved_subjects: DataFrame) -> DataFrame:
     """Triples get the id of their subject where they have none."""
     found = resolved_subjects.select("workstream_id", "subject_key", F.col("entity_id").alias("_id"))
     return triples.join(found, ["workstream_id", "subject_key"], "left").withColumn("subject_entity_id", F.coalesce("subject_entity_id", "_id")).drop("_id")
+
+
+def state_hash(kind: Column, key: Column, name: Column, mentions: Column) -> Column:
+    """Guards a merge against an entity that has changed since it was proposed."""
+    return F.upper(F.sha2(F.concat(F.lit("v1|kind="), kind.cast("string"), F.lit("|key="), key, F.lit("|name="), name, F.lit("|mentions="), mentions.cast("string")), 256))
+
+
+def candidate_pairs(new: DataFrame, known: DataFrame, most: int = TIER3) -> DataFrame:
+    """S20, tier 3: each new name with the ``most`` entities of its workstream and kind that are mentioned most (new_id, name, entity_id, display_name, hash)."""
+    from pyspark.sql import Window as W
+
+    place = F.row_number().over(W.partitionBy("workstream_id", "kind").orderBy(F.col("mention_count").desc(), F.col("last_seen").desc(), "entity_id"))
+    code = F.element_at(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv]), F.col("kind"))
+    pool = known.withColumn("place", place).where(F.col("place") <= most)
+    pool = pool.select("workstream_id", "kind", "entity_id", "display_name", state_hash(code, F.coalesce("canonical", F.lit("")), F.col("display_name"), F.col("mention_count")).alias("hash"))
+    return new.join(pool, ["workstream_id", "kind"]).where("new_id <> entity_id")
+
+
+def proposals(pairs: DataFrame, proposer: Callable[[pd.DataFrame], pd.DataFrame], proposed_by: str, now: str, least: float = 0.5) -> DataFrame:
+    """A host's proposer (pandas function over Arrow batches of pairs, adding confidence and rationale) proposes merges; those from ``least`` confidence up are kept."""
+    from pyspark.sql import types as T
+
+    out = T.StructType([*pairs.schema.fields, T.StructField("confidence", T.DoubleType()), T.StructField("rationale", T.StringType())])
+    judged = pairs.mapInPandas(lambda batches: (proposer(b) for b in batches), out).where(F.col("confidence") >= least)
+    number = F.concat(F.lit("prop-"), F.substring(F.sha2(F.concat_ws("|", "workstream_id", "entity_id", "new_id"), 256), 1, 32))
+    return judged.select(
+        number.alias("proposal_id"), "workstream_id", F.col("entity_id").alias("winner_id"), F.array("new_id").alias("loser_ids"), "confidence", "rationale", F.lit(proposed_by).alias("proposed_by"),
+        F.lit(now).cast("timestamp_ntz").alias("proposed_at"), F.col("hash").alias("winner_state_hash"), F.lit("proposed").alias("status"),
+    )
+
+
+def proposals_decided(open_: DataFrame, decisions: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(proposals afterwards, merges to append, refused with a reason). decisions: proposal_id, action ('confirm' or 'reject').
+
+    A confirmation needs the winner to be as it was when the merge was proposed; only open proposals change.
+    entities: entity_id, hash (R17).
+    """
+    now = entities.select(F.col("entity_id").alias("winner_id"), F.col("hash").alias("now"))
+    rows = open_.join(decisions.select("proposal_id", "action"), "proposal_id", "left").join(now, "winner_id", "left")
+    reason = F.when(F.col("action").isNull(), F.lit(None)).when(F.col("status") != "proposed", F.lit("not open")).when((F.col("action") == "confirm") & ~F.col("now").eqNullSafe(F.col("winner_state_hash")), F.lit("stale"))
+    rows = rows.withColumn("reason", reason)
+    done = F.col("action").isNotNull() & F.col("reason").isNull()
+    status = F.when(done & (F.col("action") == "confirm"), F.lit("confirmed")).when(done & (F.col("action") == "reject"), F.lit("rejected")).otherwise(F.col("status"))
+    after = rows.withColumn("status", status)
+    merges = after.where(done & (F.col("action") == "confirm")).select("workstream_id", "winner_id", F.explode("loser_ids").alias("loser_id"), "proposal_id")
+    return after.select(*open_.columns), merges, rows.where("reason is not null").select("proposal_id", "action", "reason")
+
+
+def resolve(new: DataFrame, known: DataFrame) -> DataFrame:
+    """(new_id, entity_id, tier): 1 by canonical key, 2 by the nearest name, 0 a new entity (whose id it keeps), for which tier 3 proposes merges.
+
+    new: new_id, workstream_id, kind, raw, v (null where there is no vector); known: entities with canonical, mention_count, last_seen, v.
+    """
+    keyed = resolved(new.select("new_id", "workstream_id", "kind", "raw")).withColumnRenamed("entity_id", "own")
+    have = known.select(F.col("entity_id").alias("own"), F.lit(1).alias("have")).distinct()
+    one = keyed.join(have, "own", "left").where("have = 1").select("new_id", F.col("own").alias("entity_id"), F.lit(1).alias("tier"))
+    rest = new.join(one.select("new_id"), "new_id", "left_anti")
+    two = nearest_entities(rest.where("v is not null").select("new_id", "workstream_id", "kind", "v"), known.where("v is not null")).select("new_id", "entity_id", F.lit(2).alias("tier"))
+    fresh = rest.join(two.select("new_id"), "new_id", "left_anti").join(keyed.select("new_id", "own"), "new_id")
+    return one.unionByName(two).unionByName(fresh.select("new_id", F.coalesce("own", "new_id").alias("entity_id"), F.lit(0).alias("tier")))

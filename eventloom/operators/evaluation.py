@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Ranges that a key's values are cut into.
+RANGES = 4096
+
 
-def counts(log: DataFrame, revocations: DataFrame) -> DataFrame:
-    """A1, A2: one row of totals."""
+def counts(log: DataFrame, revocations: DataFrame, queue: DataFrame | None = None) -> DataFrame:
+    """A1, A2: one row of totals; with the outbox, how many events are queued."""
+    if queue is not None:
+        return counts(log, revocations).crossJoin(F.broadcast(queue.agg(F.count("*").alias("queued"))))  # one row each
     base = log.join(revocations.select("event_id", F.lit(1).alias("_r")), "event_id", "left")
     of = lambda c: F.count_if(F.col("category") == c)
     return base.agg(F.count("*").alias("events"), F.count("_r").alias("revoked"), of(1).alias("facts"), of(2).alias("decisions"), of(4).alias("goals"), of(3).alias("hypotheses"), F.countDistinct("workstream_id").alias("workstreams"))
@@ -26,13 +33,71 @@ def accuracy(graded: DataFrame) -> DataFrame:
 
 
 def percentile(rows: DataFrame, key: str, value: str, p: int) -> DataFrame:
-    """The value at place max(1, n * p div 100) of the sorted values of each key; exact, by rank."""
+    """The value at place max(1, n * p div 100) of the sorted values of each key; exact, by counts of equal values.
+
+    Values are counted first, on the map side; then ranges of them find the one that holds the place, and
+    only its values are put in order, so no key is ever sorted in one task as a whole.
+    """
     from pyspark.sql import Window as W
 
-    ranked = rows.select(key, value, F.row_number().over(W.partitionBy(key).orderBy(value)).alias("_i"), F.count("*").over(W.partitionBy(key)).alias("_n"))
-    return ranked.where(F.col("_i") == F.greatest(F.lit(1), F.floor(F.col("_n") * p / 100))).select(key, F.col(value).alias(f"p{p}"))
+    counted = rows.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("k"), F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    ends = counted.groupBy("k").agg(F.min("v").cast("double").alias("lo"), F.max("v").cast("double").alias("hi"), F.sum("c").alias("n"))
+    ends = ends.withColumn("place", F.greatest(F.lit(1), F.floor(F.col("n") * p / 100)))
+    step = (F.col("v").cast("double") - F.col("lo")) / F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(F.lit(1.0))
+    placed = counted.join(ends, "k").withColumn("r", F.floor(step * (RANGES - 1)))
+    sums = placed.groupBy("k", "r").agg(F.sum("c").alias("s"), F.first("place").alias("place"))
+    sums = sums.withColumn("upto", F.sum("s").over(W.partitionBy("k").orderBy("r"))).where(F.col("upto") >= F.col("place"))
+    edge = sums.groupBy("k").agg(F.min(F.struct("r", (F.col("upto") - F.col("s")).alias("below"))).alias("x")).select(F.col("k").alias("k2"), F.col("x.r").alias("r2"), F.col("x.below").alias("below"))
+    inner = placed.join(edge, (F.col("k") == F.col("k2")) & (F.col("r") == F.col("r2")))
+    inner = inner.withColumn("upto", F.col("below") + F.sum("c").over(W.partitionBy("k").orderBy("v"))).where(F.col("upto") >= F.col("place"))
+    return inner.groupBy(F.col("k").alias(key)).agg(F.min("v").alias(f"p{p}"))
 
 
 def best_of(hits: DataFrame, limit: int) -> DataFrame:
     """The best score of each event over several queries, then the top."""
     return hits.groupBy("event_id").agg(F.max("score").alias("score")).orderBy(F.col("score").desc(), "event_id").limit(limit)
+
+
+def recall(probes: DataFrame) -> DataFrame:
+    """One row: probes (hit boolean), how many, how many hit, and their share (no probes: 0)."""
+    return probes.agg(F.count("*").alias("total"), F.count_if("hit").alias("hits"), F.coalesce(F.avg(F.col("hit").cast("double")), F.lit(0.0)).alias("recall"))
+
+
+def retried(ask: Callable[[int], str], depth: int, abstained: Callable[[str], bool], factor: int = 3) -> tuple[str, int]:
+    """An answer at ``depth`` and, if it abstains, once more from ``factor`` times as many events."""
+    answer = ask(depth)
+    return (ask(depth * factor), depth * factor) if abstained(answer) else (answer, depth)
+
+
+def planned(question: str, planner: Callable[[str], tuple[list[str], str]] | None = None, most: int = 3) -> list[str]:
+    """The question, at most ``most`` sub-queries of a host's planner, and its made-up answer, each once; a planner that fails leaves the question alone."""
+    queries = [question]
+    if planner is not None:
+        try:
+            parts, answer = planner(question)
+        except Exception:  # a host's planner never breaks a search
+            return queries
+        queries += [q.strip() for q in [*parts[:most], answer] if q and q.strip()]
+    return list(dict.fromkeys(queries))
+
+
+def entity_boost(text: Column, entities: list[str]) -> Column:
+    """1 and a tenth for each of the question's entities that the text names."""
+    hits = sum((F.contains(F.lower(text), F.lit(e.lower())).cast("int") for e in entities), F.lit(0))
+    return 1 + 0.1 * hits
+
+
+def harness_tokens(text: Column) -> Column:
+    """The harness's estimate: words over 0.75, rounded up."""
+    words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    return F.ceil(words / 0.75).cast("long")
+
+
+def humanised(predicate: Column) -> Column:
+    """R29."""
+    return F.replace(predicate, F.lit("_"), F.lit(" "))
+
+
+def dated_snippet(at: Column, text: Column) -> Column:
+    """[yyyy-MM-dd] text."""
+    return F.concat(F.lit("["), F.date_format(at, "yyyy-MM-dd"), F.lit("] "), text)

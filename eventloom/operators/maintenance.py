@@ -1,4 +1,4 @@
-"""Upkeep and views."""
+"""Upkeep and views."""
 
 from __future__ import annotations
 
@@ -13,6 +13,10 @@ from .. import schema as S
 from . import gates, projections
 
 
+#: Texts that an embedding provider gets at once.
+PROVIDER_BATCH = 64
+
+
 def pending_embeddings(log: DataFrame, revocations: DataFrame, embeddings: DataFrame, provider: str) -> DataFrame:
     """Events that are not revoked and have no vector of this provider yet."""
     have = embeddings.where(F.col("provider_id") == provider).select("event_id")
@@ -24,21 +28,29 @@ def has_embeddings(embeddings: DataFrame, provider: str) -> bool:
     return bool(embeddings.where(F.col("provider_id") == provider).take(1))
 
 
-def hashed_embedding(tokens: Column, dims: int = 256) -> Column:
-    """Bag-of-words counts in hashed places, of length one (zero for no words)."""
-    places = F.transform(tokens, lambda w: F.pmod(F.xxhash64(w), F.lit(dims)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm == 0, counts).otherwise(F.transform(counts, lambda x: x / norm))
+def hashed_embedding(rows: DataFrame, tokens: str, dims: int = 256) -> DataFrame:
+    """Rows (event_id, tokens as an array) as (event_id, embedding): counts of words in hashed places, of length one (zero for no words).
+
+    Places are counted by an aggregate, each word once.
+    """
+    each = rows.select("event_id", F.explode(tokens).alias("w")).groupBy("event_id", F.pmod(F.xxhash64("w"), F.lit(dims)).cast("int").alias("place")).agg(F.count("*").cast("double").alias("n"))
+    by = each.groupBy("event_id").agg(F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    vector = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm"))
+    zero = F.array_repeat(F.lit(0.0), dims)
+    return rows.select("event_id").join(by.select("event_id", vector.alias("v")), "event_id", "left").select("event_id", F.coalesce("v", zero).alias("embedding"))
 
 
 def embedded(rows: DataFrame, provider: Callable[[list[str]], list], provider_id: str, text: str = "text") -> DataFrame:
-    """(event_id, provider_id, embedding) by a host function over Arrow batches; a wrong number of vectors raises."""
+    """(event_id, provider_id, embedding) by a host function that gets at most ``PROVIDER_BATCH`` texts at once; a wrong number of vectors raises."""
 
     def run(texts: pd.Series) -> pd.Series:
-        vectors = provider(texts.fillna("").tolist())
-        if len(vectors) != len(texts):
-            raise ValueError("the provider returned another number of vectors")
+        body, vectors = texts.fillna("").tolist(), []
+        for at in range(0, len(body), PROVIDER_BATCH):
+            some = body[at : at + PROVIDER_BATCH]
+            got = provider(some)
+            if len(got) != len(some):
+                raise ValueError("the provider returned another number of vectors")
+            vectors += got
         return pd.Series([np.asarray(v, dtype=np.float32).tolist() for v in vectors])
 
     return rows.select("event_id", F.lit(provider_id).alias("provider_id"), F.pandas_udf(run, "array<float>")(F.col(text)).alias("embedding"))
@@ -73,12 +85,34 @@ def reranked(candidates: DataFrame, scores: DataFrame, limit: int) -> DataFrame:
     return both.orderBy(F.col("_s").desc_nulls_last(), "place", "event_id").limit(limit).drop("_s")
 
 
-def best_with_extras(hits: DataFrame, extras: DataFrame, limit: int) -> DataFrame:
-    """Best score of each event over several queries, the top of them, then extras that are not among them."""
-    top = hits.groupBy("event_id").agg(F.max("score").alias("score")).orderBy(F.col("score").desc(), "event_id").limit(limit)
+def with_extras(top: DataFrame, extras: DataFrame) -> DataFrame:
+    """The top events, then extras that are not among them."""
     return top.unionByName(extras.select("event_id", F.lit(None).cast("double").alias("score")).distinct().join(top.select("event_id"), "event_id", "left_anti"))
 
 
+#: The categories whose events a projection takes in, in the order in which projections apply.
+PROJECTIONS = {"facts": (S.FACT,), "decisions": (S.DECISION,), "hypotheses": (S.HYPOTHESIS,), "goals": (S.GOAL,), "skills": (S.EVIDENCE,), "triples": (S.FACT,), "contradictions": (S.FACT,), "duplicates": (S.FACT,), "decision_chains": (S.DECISION, S.ACTION, S.OUTCOME)}
+
+
+def processing_log(rows: DataFrame, failures: DataFrame | None = None, now: str | None = None) -> DataFrame:
+    """K7: (event_id, projection, place, status, error): every projection that an event's category matches, applied or failed. failures: event_id, projection, error."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(name).alias("projection"), F.array(*map(F.lit, of)).alias("of")) for i, (name, of) in enumerate(PROJECTIONS.items())])
+    each = rows.select("event_id", F.explode(F.filter(pairs, lambda p: F.array_contains(p["of"], F.col("category")))).alias("p")).select("event_id", "p.projection", "p.place")
+    each = each.join(failures, ["event_id", "projection"], "left") if failures is not None else each.withColumn("error", F.lit(None).cast("string"))
+    return each.select("event_id", "projection", "place", F.when(F.col("error").isNull(), F.lit("Applied")).otherwise(F.lit("Failed")).alias("status"), "error")
+
+
+def curation_list(curations: DataFrame, limit: int) -> DataFrame:
+    """Newest curations with names for codes and a reverted flag."""
+    name = F.element_at(F.array(*map(F.lit, S.CURATIONS)), F.col("kind") + 1)
+    return curations.orderBy(F.col("occurred_at").desc(), "curation_id").limit(limit).select("curation_id", "target_id", name.alias("kind"), "curator", "occurred_at", "reverted")
+
+
+def weight_of(weights: DataFrame, ids: DataFrame) -> DataFrame:
+    """(event_id, weight) of some events; 1.0 where feedback has not moved it."""
+    return ids.select("event_id").distinct().join(weights.select("event_id", "weight"), "event_id", "left").select("event_id", F.coalesce("weight", F.lit(1.0)).alias("weight"))
+
+
 def recent_events(log: DataFrame, revocations: DataFrame, limit: int, workstream: str | None = None) -> DataFrame:
     """Newest events with names for codes and a revocation flag."""
     rows = log.where(F.col("workstream_id") == workstream) if workstream else log

@@ -80,3 +80,11 @@ def feedback_weights(log: DataFrame) -> DataFrame:
     steps = walk.select(F.explode(targets).alias("event_id"), "at", "outcome_id", delta.alias("delta")).groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("at", "outcome_id", "delta"))).alias("steps"))
     fold = F.aggregate("steps", F.lit(1.0), lambda w, x: F.least(F.lit(5.0), F.greatest(F.lit(0.1), w + x["delta"])))
     return steps.select("event_id", F.round(fold, 6).alias("weight"), F.size("steps").cast("long").alias("updates"))
+
+
+def duplicate_groups(log: DataFrame) -> DataFrame:
+    """J9 without pairs: each fact of a repeated statement with the earliest one (canonical_event) and the number of its group; grows with the facts, however hot a statement."""
+    rows = log.where(F.col("category") == S.FACT).select("workstream_id", normalized(F.col("statement")).alias("key"), "event_id", "created_at")
+    first = rows.groupBy("workstream_id", "key").agg(F.min(F.struct("created_at", "event_id")).alias("x"), F.count("*").alias("n")).where("n > 1")
+    first = first.select("workstream_id", "key", F.col("x.event_id").alias("canonical_event"), "n")
+    return rows.join(first, ["workstream_id", "key"]).select("workstream_id", "event_id", "canonical_event", F.col("n").alias("group_size"))

@@ -1,77 +1,111 @@
-"""Lexical, semantic and hybrid retrieval."""
+"""Lexical, semantic and hybrid retrieval behind the gates."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring as R
-from ..functions.text import subject_key, terms
+from ..functions.text import subject_key
+from . import gates
+from .textindex import TextIndex, best
+
+
+@dataclass(frozen=True)
+class Bounds:
+    """What a request asks for besides its text."""
+
+    since: str | None = None
+    until: str | None = None
+    as_of: str | None = None
+    principal: str | None = None
 
 
-def query_terms(text: str) -> list[str]:
-    """R2: a repeated word counts twice, as written."""
-    import re
-    import unicodedata
+@dataclass(frozen=True)
+class Events:
+    """The log with its sidecars."""
 
-    plain = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
-    return [w for w in re.split(r"[\W_]+", plain) if w]
+    log: DataFrame
+    revocations: DataFrame
+    visibility: DataFrame
 
 
-def occurrences(tokens: str, word: str) -> Column:
-    return F.size(F.filter(tokens, lambda x: x == word))
+def gate(cap: gates.Capability, bounds: Bounds) -> Column:
+    """F2-F7 of a log row with its visibility; revocation is a join of its own."""
+    out = gates.scope(cap) & gates.valid_between(bounds.since, bounds.until) & gates.visible(cap.viewer)
+    out = out & gates.as_of(bounds.as_of) if bounds.as_of else out
+    return out & (F.col("principal_id") == bounds.principal) if bounds.principal else out
+
+
+def passed(candidates: DataFrame, events: Events, cap: gates.Capability, bounds: Bounds) -> DataFrame:
+    """Candidates (event_id, ...; at most a few hundred rows) whose events pass every gate, with the log's columns.
+
+    The candidates' ids go to the log and its sidecars, never the other way round.
+    """
+    ids = F.broadcast(candidates.select("event_id"))
+    only = lambda t: t.join(ids, "event_id", "left_semi")
+    rows = only(events.log).join(F.broadcast(only(events.visibility)), "event_id", "left").where(gate(cap, bounds))
+    rows = rows.join(F.broadcast(only(events.revocations).select("event_id")), "event_id", "left_anti")
+    return F.broadcast(candidates).join(rows.drop("created_at") if "created_at" in candidates.columns else rows, "event_id")
 
 
-def bm25(corpus: DataFrame, query: str, inside: Column | None = None) -> DataFrame:
-    """Corpus rows that match any term, with raw_score (more negative is better).
+def lexical_search(index: TextIndex, events: Events, cap: gates.Capability, query: str, now: str, limit: int = 25, bounds: Bounds = Bounds()) -> DataFrame:
+    """The workstream's best raw scores, then every gate, then by normalised score times recency.
 
-    Statistics are of the whole corpus; ``inside`` only filters what returns. Term counts are taken in
-    place, so neither tokens nor postings shuffle: one pass for the statistics, one for the scores.
+    The limit comes before the gates, so fewer rows may return.
     """
-    words = query_terms(query)
-    base = corpus.withColumn("_t", terms(F.coalesce("content", F.lit(""))))
-    base = base.select(*corpus.columns, F.size("_t").alias("_dl"), *(occurrences("_t", w).alias(f"_tf{i}") for i, w in enumerate(words)))
-    stats = base.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avgdl"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(words))))
-    hit = base.where(F.greatest(*[F.col(f"_tf{i}") for i in range(len(words))], F.lit(0)) > 0)
-    hit = (hit.where(inside) if inside is not None else hit).crossJoin(F.broadcast(stats))  # one row
-    score = sum((R.idf(F.col("_n"), F.col(f"_df{i}")) * R.bm25_term(F.col(f"_tf{i}"), F.col("_dl"), F.col("_avgdl")) for i in range(len(words))), F.lit(0.0))
-    return hit.select(*corpus.columns, (-score).alias("raw_score"))
-
-
-def lexical_search(corpus: DataFrame, query: str, now: str, limit: int = 25, inside: Column | None = None) -> DataFrame:
-    """The best raw scores first, only then ordered by normalised score times recency."""
-    best = bm25(corpus, query, inside).orderBy("raw_score", "event_id").limit(limit)
-    slope, centre = R.regime(len(query.split()))
-    best = best.withColumn("bm25", R.sigmoid(F.col("raw_score"), F.lit(slope), F.lit(centre))).withColumn("recency", R.recency(F.col("created_at"), now))
-    return best.withColumn("score", F.col("bm25") * F.col("recency")).orderBy(F.col("score").desc(), "event_id")
-
-
-def vector_topk(vectors: DataFrame, query: DataFrame, limit: int, key: str = "vec_id") -> DataFrame:
-    """(key, cosine) of the nearest vectors; query: one row with q."""
-    scored = vectors.crossJoin(F.broadcast(query.limit(1))).select(key, R.cosine(F.col("embedding"), F.col("q")).alias("cosine"))
+    found = best(index, query, gates.clamp_limit(limit), F.col("workstream_id") == cap.workstream)
+    found = found.withColumn("recency", R.recency(F.col("created_at"), now)).withColumn("score", F.col("bm25") * F.col("recency")).drop("workstream_id")
+    return passed(found, events, cap, bounds).orderBy(F.col("score").desc(), "event_id")
+
+
+def vector_topk(vectors: DataFrame, query: DataFrame, limit: int, key: str = "vec_id", more: tuple[str, ...] = ()) -> DataFrame:
+    """(key, cosine, and ``more``) of the nearest vectors; query: one row with q."""
+    scored = vectors.crossJoin(F.broadcast(query.limit(1))).select(key, R.cosine(F.col("embedding"), F.col("q")).alias("cosine"), *more)
     return scored.orderBy(F.col("cosine").desc(), key).limit(limit)
 
 
+def live_vectors(vectors: DataFrame, events: Events, workstream: str, provider: str) -> DataFrame:
+    """Vectors (event_id, provider_id, embedding) of one provider whose events are of the workstream and not revoked."""
+    live = gates.not_revoked(events.log.where(F.col("workstream_id") == workstream), events.revocations).select("event_id", "created_at")
+    return vectors.where(F.col("provider_id") == provider).join(live, "event_id")
+
+
 def pool(limit: int) -> int:
     return min(200, max(8 * limit, 64))
 
 
-def hybrid(corpus: DataFrame, vectors: DataFrame, query_vector: DataFrame, query: str, now: str, limit: int = 10, subjects: DataFrame | None = None) -> DataFrame:
-    """Both pools meet by full outer join (J14), fuse, pass the gate, and are ordered by fused score times recency.
+def injected(limit: int) -> int:
+    """Most events that only their subject brings in."""
+    return max(6, limit // 3)
 
-    Returns every candidate with its parts, ``kept`` after the gate and ``place`` among the kept ones.
+
+def hybrid(index: TextIndex, events: Events, vectors: DataFrame, query_vector: DataFrame, provider: str, cap: gates.Capability, query: str, now: str, limit: int = 10, bounds: Bounds = Bounds(), triples: DataFrame | None = None, keys: list[str] = ()) -> DataFrame:
+    """The pools of both sides meet by full outer join (J14), subjects add a boost, all pass the gates, by fused score times recency.
+
+    ``keys`` are the subject keys of the question: events with such a triple (J7) are boosted, and those
+    that neither pool holds come in up to a cap (T6), in order of their ids. Recency is the semantic
+    side's, else the lexical side's, else 1. Returns every candidate with its parts, ``allowed`` by the
+    gates and ``kept``, which needs the fused score's gate (F10), too.
     """
-    sem = vector_topk(vectors, query_vector, pool(limit)).select(F.col("vec_id").alias("doc_id"), F.col("cosine").alias("semantic"))
-    slope, centre = R.regime(len(query.split()))
-    lex = bm25(corpus, query).orderBy("raw_score", "event_id").limit(pool(limit)).select("doc_id", R.sigmoid(F.col("raw_score"), F.lit(slope), F.lit(centre)).alias("lexical"))
-    both = sem.join(lex, "doc_id", "full_outer")
-    if subjects is not None:
-        both = both.join(subjects.select("doc_id", F.lit(1.0).alias("subject")), "doc_id", "full_outer")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)) if c in both.columns else F.lit(0.0)
-    both = both.join(corpus.select("doc_id", "event_id", "created_at"), "doc_id")
-    both = both.withColumn("fused", R.SEMANTIC * zero("semantic") + R.LEXICAL * zero("lexical") + R.SUBJECT * zero("subject"))
-    both = both.withColumn("recency", R.recency(F.col("created_at"), now)).withColumn("score", F.col("fused") * F.col("recency")).withColumn("kept", F.col("fused") >= R.GATE)
-    return both.select("event_id", zero("semantic").alias("semantic"), zero("lexical").alias("lexical"), "fused", "recency", "score", "kept")
+    sem = vector_topk(live_vectors(vectors, events, cap.workstream, provider), query_vector, pool(limit), "event_id", ("created_at",))
+    sem = sem.select("event_id", F.col("cosine").alias("semantic"), R.recency(F.col("created_at"), now).alias("rs"))
+    lex = best(index, query, pool(limit), F.col("workstream_id") == cap.workstream).select("event_id", F.col("bm25").alias("lexical"), R.recency(F.col("created_at"), now).alias("rl"))
+    both = sem.join(lex, "event_id", "full_outer").withColumn("subject", F.lit(0.0))
+    if triples is not None and any(keys):
+        about = subject_match(triples.where(F.col("workstream_id") == cap.workstream), list(keys)).select("event_id").distinct()
+        hit = about.withColumn("hit", F.lit(1.0))
+        both = both.join(hit.join(F.broadcast(both.select("event_id")), "event_id", "left_semi"), "event_id", "left").withColumn("subject", F.coalesce("hit", F.lit(0.0))).drop("hit")
+        new = about.join(F.broadcast(both.select("event_id")), "event_id", "left_anti").orderBy("event_id").limit(injected(limit))
+        both = both.unionByName(new.withColumn("subject", F.lit(1.0)), allowMissingColumns=True)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    both = both.select("event_id", zero("semantic").alias("semantic"), zero("lexical").alias("lexical"), "subject", F.coalesce("rs", "rl", F.lit(1.0)).alias("recency"))
+    both = both.withColumn("fused", R.SEMANTIC * F.col("semantic") + R.LEXICAL * F.col("lexical") + R.SUBJECT * F.col("subject")).withColumn("score", F.col("fused") * F.col("recency"))
+    right = passed(both.select("event_id"), events, cap, bounds).withColumn("allowed", F.lit(True))
+    both = both.join(F.broadcast(right), "event_id", "left").withColumn("allowed", F.coalesce("allowed", F.lit(False)))
+    return both.withColumn("kept", F.col("allowed") & (F.col("fused") >= R.GATE))
 
 
 def top(candidates: DataFrame, limit: int) -> DataFrame:
@@ -89,16 +123,16 @@ def subject_match(triples: DataFrame, keys: list[str]) -> DataFrame:
     return triples.where(hit)
 
 
-def triple_supplement(triples: DataFrame, log: DataFrame, revocations: DataFrame, visibility: DataFrame, keys: list[str], viewer: str, limit: int) -> DataFrame:
-    """Newest matching triples that the viewer may see, each (subject, predicate, object) once, at most max(6, limit / 3)."""
-    from .gates import not_revoked, visible
-
-    found = subject_match(triples, [k for k in keys])
-    found = found.join(log.select("event_id", "principal_id"), "event_id").join(visibility, "event_id", "left").where(visible(viewer))
-    found = not_revoked(found, revocations)
+def triple_supplement(triples: DataFrame, events: Events, cap: gates.Capability, keys: list[str], limit: int, principal: str | None = None) -> DataFrame:
+    """Newest matching triples of the capability's categories and channel that the viewer may see, each (subject, predicate, object) once, at most max(6, limit / 3)."""
+    found = subject_match(triples, list(keys)).drop("workstream_id")
+    rows = events.log.select("event_id", "workstream_id", "principal_id", "category", "event_channel").where(gates.scope(cap))
+    rows = rows.where(F.col("principal_id") == principal) if principal else rows
+    found = found.join(rows, "event_id").join(events.visibility, "event_id", "left").where(gates.visible(cap.viewer))
+    found = gates.not_revoked(found, events.revocations)
     newest = F.max_by(F.struct("event_id", "valid_at"), F.struct(F.col("valid_at"), F.col("event_id")))
     once = found.groupBy("subject_key", "predicate", "object").agg(newest.alias("x")).select("subject_key", "predicate", "object", "x.event_id", "x.valid_at")
     return once.orderBy(F.col("valid_at").desc(), F.col("event_id").desc()).limit(max(6, limit // 3))
 
 
-__all__ = ["bm25", "hybrid", "lexical_search", "subject_key", "subject_match", "top", "triple_supplement", "vector_topk"]
+__all__ = ["Bounds", "Events", "hybrid", "lexical_search", "passed", "subject_key", "subject_match", "top", "triple_supplement", "vector_topk"]

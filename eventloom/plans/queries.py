@@ -12,7 +12,8 @@ from .. import adapter as A
 from ..functions import scoring as R
 from ..functions import text as X
 from ..functions.redaction import redact
-from ..operators import bundle, consolidate, curation, entities, evaluation, gates, maintenance, projections, scans, search, sessions, sync
+from ..functions import payloads as P
+from ..operators import bundle, consolidate, curation, dispatch, entities, evaluation, gates, maintenance, projections, scans, search, sessions, sync, textindex
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -258,7 +259,7 @@ def review_pending(spark, d):
 
 # ---- retrieval ---------------------------------------------------------------------------------
 
-_TERMS = search.query_terms(SEARCH)
+_TERMS = X.query_terms(SEARCH)
 _TF = ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS f{i}" for i, w in enumerate(_TERMS))
 _DF = ", ".join(f"count(*) FILTER (WHERE f{i} > 0) AS d{i}" for i in range(len(_TERMS)))
 _SCORE = " + ".join(f"greatest(1e-6, ln((n - d{i} + 0.5) / (d{i} + 0.5))) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(_TERMS)))
@@ -272,15 +273,37 @@ REC = f"exp(-(epoch_us(TIMESTAMP '{A.NOW}') - epoch_us(created_at)) / 8640000000
 
 @query(f"{A.ctes('corpus')}, {BM25} SELECT event_id, round(raw, 6) AS raw_score FROM bm ORDER BY raw, event_id LIMIT 100")
 def bm25_topk(spark, d):
-    return search.bm25(A.corpus(spark, d), SEARCH).orderBy("raw_score", "event_id").limit(100).select("event_id", F.round("raw_score", 6).alias("raw_score"))
+    return textindex.bm25(A.text_index(spark, d), SEARCH).orderBy("raw_score", "event_id").limit(100).select("event_id", F.round("raw_score", 6).alias("raw_score"))
 
 
-@query(f"{A.ctes('corpus')}, {BM25}, k AS (SELECT * FROM bm WHERE workstream_id = 'ws-1' ORDER BY raw, event_id LIMIT 25) SELECT event_id, round(raw, 6) AS raw_score, round(1 / (1 + exp(-((-raw) - ({_X0})) / {_K})), 6) AS bm25, round({REC}, 6) AS recency, round(1 / (1 + exp(-((-raw) - ({_X0})) / {_K})) * {REC}, 6) AS score FROM k")
-def lexical_search(spark, d):
-    out = search.lexical_search(A.corpus(spark, d), SEARCH, A.NOW, 25, F.col("workstream_id") == "ws-1")
+#: The gates of free-text search in SQL, for one viewer and workstream.
+PASS = f"{GATE.format(v='user-8')} AND workstream_id = 'ws-1' AND event_channel = 0 AND event_id NOT IN (SELECT event_id FROM crev)"
+LEXICAL = f"""{A.ctes('corpus', 'clog', 'crev', 'cvis')}, {BM25}, k AS (SELECT doc_id, event_id, raw, 1 / (1 + exp(-((-raw) - ({_X0})) / {_K})) AS bm25, {REC} AS recency FROM bm WHERE workstream_id = 'ws-1' ORDER BY raw, event_id LIMIT 100),
+    g AS (SELECT k.event_id, raw, bm25, recency, category, valid_at, created_at, invalid_at, principal_id FROM k JOIN clog USING (event_id) LEFT JOIN cvis USING (event_id) WHERE {PASS})"""
+_LEX = "event_id, round(raw, 6) AS raw_score, round(bm25, 6) AS bm25, round(recency, 6) AS recency, round(bm25 * recency, 6) AS score"
+
+
+def _lexical(spark, d, token=TOK1, bounds=search.Bounds()):
+    out = search.lexical_search(A.text_index(spark, d), A.corpus_events(spark, d), gates.enforce(token, CLOCK), SEARCH, A.NOW, 100, bounds)
     return out.select("event_id", *(F.round(c, 6).alias(c) for c in ("raw_score", "bm25", "recency", "score")))
 
 
+@query(f"{LEXICAL} SELECT {_LEX} FROM g")
+def lexical_search(spark, d):
+    return _lexical(spark, d)
+
+
+@query(f"{LEXICAL} SELECT {_LEX} FROM g WHERE category IN (1, 2) AND created_at <= TIMESTAMP '2024-01-20' AND (invalid_at IS NULL OR invalid_at > TIMESTAMP '2024-01-20') AND valid_at >= TIMESTAMP '2024-01-03'")
+def lexical_gated(spark, d):
+    token = gates.Token("user-8", "ws-1", categories=(1, 2))
+    return _lexical(spark, d, token, search.Bounds(since="2024-01-03 00:00:00", as_of="2024-01-20 00:00:00"))
+
+
+@query(f"{LEXICAL} SELECT {_LEX} FROM g WHERE principal_id = 'user-11'")
+def lexical_principal(spark, d):
+    return _lexical(spark, d, bounds=search.Bounds(principal="user-11"))
+
+
 def _regime_sql(i: int) -> str:
     return "CASE " + " ".join(f"WHEN n <= {int(r[0])} THEN {r[i]}" for r in R.REGIMES[:-1]) + f" ELSE {R.REGIMES[-1][i]} END"
 
@@ -305,24 +328,46 @@ def vector_topk(spark, d):
     return search.vector_topk(A.vectors(spark, d), _query_vector(spark, d), 25).select("vec_id", F.round("cosine", 6).alias("cosine"))
 
 
-HYBRID = f"""{A.ctes('corpus')}, {BM25},
-    sem AS (SELECT vec_id AS doc_id, {COS} AS semantic FROM embeddings ORDER BY 2 DESC, 1 LIMIT {search.pool(10)}),
-    lex AS (SELECT doc_id, 1 / (1 + exp(-((-raw) - ({_X0})) / {_K})) AS lexical FROM bm ORDER BY raw, event_id LIMIT {search.pool(10)}),
-    uni AS (SELECT doc_id, coalesce(semantic, 0.0) AS semantic, coalesce(lexical, 0.0) AS lexical FROM sem FULL JOIN lex USING (doc_id)),
-    fu AS (SELECT event_id, semantic, lexical, 0.65 * semantic + 0.35 * lexical AS fused, {REC} AS recency FROM uni JOIN corpus USING (doc_id))"""
-PARTS = ("semantic", "lexical", "fused", "recency", "score")
+HYBRID = f"""{A.ctes('corpus', 'clog', 'crev', 'cvis')}, {BM25},
+    sem AS (SELECT event_id, {COS} AS semantic FROM (SELECT 'doc-' || vec_id AS event_id, embedding FROM embeddings) JOIN clog USING (event_id) WHERE workstream_id = 'ws-1' AND event_id NOT IN (SELECT event_id FROM crev) ORDER BY 2 DESC, 1 LIMIT {search.pool(10)}),
+    lex AS (SELECT event_id, 1 / (1 + exp(-((-raw) - ({_X0})) / {_K})) AS lexical FROM bm WHERE workstream_id = 'ws-1' ORDER BY raw, event_id LIMIT {search.pool(10)}),
+    uni AS (SELECT event_id, coalesce(semantic, 0.0) AS semantic, coalesce(lexical, 0.0) AS lexical FROM sem FULL JOIN lex USING (event_id)),
+    {{subjects}}
+    fu AS (SELECT event_id, semantic, lexical, subject, 0.65 * semantic + 0.35 * lexical + 0.2 * subject AS fused, CASE WHEN injected THEN 1.0 ELSE {REC} END AS recency, category, valid_at, created_at, statement,
+      coalesce({PASS}, FALSE) AS allowed FROM un LEFT JOIN clog USING (event_id) LEFT JOIN cvis USING (event_id))"""
+PLAINLY = "un AS (SELECT *, 0.0 AS subject, FALSE AS injected FROM uni),"
+SUBJECTS = "subj AS (SELECT event_id FROM clog WHERE workstream_id = 'ws-1' AND category = 1 AND ({hit})), inj AS (SELECT event_id FROM subj WHERE event_id NOT IN (SELECT event_id FROM uni) ORDER BY event_id LIMIT 6), un AS (SELECT uni.*, CASE WHEN event_id IN (SELECT event_id FROM subj) THEN 1.0 ELSE 0.0 END AS subject, FALSE AS injected FROM uni UNION ALL SELECT event_id, 0.0, 0.0, 1.0, TRUE FROM inj),"
+PARTS = ("semantic", "lexical", "subject", "fused", "recency", "score")
+_PARTS = "event_id, round(semantic, 6) AS semantic, round(lexical, 6) AS lexical, round(subject, 6) AS subject, round(fused, 6) AS fused, round(recency, 6) AS recency, round(fused * recency, 6) AS score"
+HYBRID_PLAIN = HYBRID.replace("{subjects}", PLAINLY)
+SUBJECT_KEYS = ["user1", "user7"]
+_HIT = " OR ".join(f"contains('user' || (d % 20), '{k}') OR contains('{k}', 'user' || (d % 20))" for k in SUBJECT_KEYS)
 
 
-@query(f"{HYBRID} SELECT event_id, round(semantic, 6) AS semantic, round(lexical, 6) AS lexical, round(fused, 6) AS fused, round(recency, 6) AS recency, round(fused * recency, 6) AS score FROM fu WHERE fused >= 0.1 ORDER BY fused * recency DESC, event_id LIMIT 10")
+def _hybrid(spark, d, **more):
+    return search.hybrid(A.text_index(spark, d), A.corpus_events(spark, d), A.event_vectors(spark, d), _query_vector(spark, d), "test@64", gates.enforce(TOK1, CLOCK), SEARCH, A.NOW, **more)
+
+
+@query(f"{HYBRID_PLAIN} SELECT {_PARTS} FROM fu WHERE fused >= 0.1 AND allowed ORDER BY fused * recency DESC, event_id LIMIT 10")
 def hybrid_search(spark, d):
-    found = search.hybrid(A.corpus(spark, d), A.vectors(spark, d), _query_vector(spark, d), SEARCH, A.NOW)
-    return search.top(found, 10).select("event_id", *(F.round(c, 6).alias(c) for c in PARTS))
+    return search.top(_hybrid(spark, d), 10).select("event_id", *(F.round(c, 6).alias(c) for c in PARTS))
 
 
-@query(f"{HYBRID} SELECT event_id, round(semantic, 6) AS semantic, round(lexical, 6) AS lexical, round(fused, 6) AS fused, round(recency, 6) AS recency, round(fused * recency, 6) AS score, fused >= 0.1 AS kept FROM fu")
+@query(f"{HYBRID_PLAIN} SELECT {_PARTS}, fused >= 0.1 AND allowed AS kept FROM fu")
 def hybrid_explain(spark, d):
-    found = search.hybrid(A.corpus(spark, d), A.vectors(spark, d), _query_vector(spark, d), SEARCH, A.NOW)
-    return found.select("event_id", *(F.round(c, 6).alias(c) for c in PARTS), "kept")
+    return _hybrid(spark, d).select("event_id", *(F.round(c, 6).alias(c) for c in PARTS), "kept")
+
+
+@query(f"{HYBRID.replace('{subjects}', SUBJECTS.format(hit=_HIT))} SELECT {_PARTS}, fused >= 0.1 AND allowed AS kept FROM fu")
+def hybrid_subjects(spark, d):
+    return _hybrid(spark, d, triples=A.corpus_triples(spark, d), keys=SUBJECT_KEYS).select("event_id", *(F.round(c, 6).alias(c) for c in PARTS), "kept")
+
+
+@query(f"{HYBRID_PLAIN} SELECT 'hybrid' AS dispatcher, event_id, category, valid_at, created_at, CASE WHEN length(statement) <= 200 THEN statement ELSE substring(statement, 1, 200) || '…' END AS summary, round(fused * recency, 6) AS score FROM fu WHERE fused >= 0.1 AND allowed ORDER BY fused * recency DESC, event_id LIMIT 10")
+def query_dispatch(spark, d):
+    sources = dispatch.Sources(A.corpus_events(spark, d), A.text_index(spark, d), A.event_vectors(spark, d), "test@64", lambda _text: _query_vector(spark, d))
+    out = dispatch.run(sources, TOK1, dispatch.Request(SEARCH, limit=10), CLOCK)
+    return out.items.select(F.lit(out.dispatcher).alias("dispatcher"), "event_id", "category", "valid_at", "created_at", "summary", F.round("score", 6).alias("score"))
 
 
 KEYS = ["user3", "user12"]
@@ -334,12 +379,12 @@ def subject_match(spark, d):
 
 
 @query(
-    f"""{A.ctes('log', 'rev', 'vis')}, {TRIPLES}, m AS (SELECT tri.* FROM tri JOIN log USING (event_id) LEFT JOIN vis USING (event_id) WHERE ({" OR ".join(f"contains(subject_key, '{k}') OR contains('{k}', subject_key)" for k in KEYS)}) AND {GATE.format(v='user-8')} AND event_id NOT IN (SELECT event_id FROM rev))
+    f"""{A.ctes('log', 'rev', 'vis')}, {TRIPLES}, m AS (SELECT tri.* FROM tri JOIN log USING (event_id) LEFT JOIN vis USING (event_id) WHERE ({" OR ".join(f"contains(subject_key, '{k}') OR contains('{k}', subject_key)" for k in KEYS)}) AND {GATE.format(v='user-8')} AND log.workstream_id = 'ws-1' AND event_channel = 0 AND event_id NOT IN (SELECT event_id FROM rev))
     SELECT subject_key, predicate, object, max(struct_pack(v := valid_at, e := event_id)).e AS event_id, max(valid_at) AS valid_at FROM m GROUP BY 1, 2, 3 ORDER BY max(struct_pack(v := valid_at, e := event_id)) DESC LIMIT 8"""
 )
 def triple_supplement(spark, d):
-    log, rev, vis = sides(spark, d)
-    return search.triple_supplement(projections.triples(log), log, rev, vis, KEYS, "user-8", 25)
+    events = search.Events(*sides(spark, d))
+    return search.triple_supplement(projections.triples(events.log), events, gates.enforce(TOK1, CLOCK), KEYS, 25)
 
 
 # ---- text --------------------------------------------------------------------------------------
@@ -416,6 +461,24 @@ def bundle_hints(spark, d):
     return bundle.hints(_bundle_events(spark, d))
 
 
+@query(
+    f"""{PACKED}, se AS (SELECT workstream_id, category, count(*) AS n, sum(tok) FILTER (WHERE fits) AS t FROM pk GROUP BY 1, 2 HAVING count(*) FILTER (WHERE fits) > 0), s AS (SELECT workstream_id, count(*) AS n_sections, sum(n) AS n_events, sum(t) AS t FROM se GROUP BY 1),
+    hi AS (SELECT workstream_id, rank, p, lower(array_to_string(list_filter(string_split_regex(text, '[ \t\n\r]+'), lambda w: w <> '')[1:3], '-')) AS keyword, {_CUT.format(c='text', n=80)} AS context FROM pk WHERE NOT fits),
+    ru AS (SELECT *, sum({_EST.format(c='keyword')} + {_EST.format(c='context')}) OVER (PARTITION BY workstream_id ORDER BY rank, p) AS running FROM hi), h AS (SELECT workstream_id, count(*) AS n_hints, max(running) AS t FROM ru WHERE running <= 256 GROUP BY 1)
+    SELECT workstream_id, n_sections, coalesce(n_hints, 0) AS n_hints, CAST(s.t + coalesce(h.t, 0) + (length('A plain list of ' || n_events || ' events in ' || n_sections || ' categories, best first; nothing has been summarised.') + 3) // 4 AS BIGINT) AS token_count FROM s LEFT JOIN h USING (workstream_id)"""
+)
+def bundle_totals(spark, d):
+    return bundle.totals(_bundle_events(spark, d))
+
+
+@query(f"{A.ctes('log')} SELECT workstream_id, workstream_id IN ('ws-1', 'ws-0') AS stale FROM (SELECT DISTINCT workstream_id FROM log)")
+def bundle_stale(spark, d):
+    """Cached bundles of the latest event, but one of another event and one made before a curation."""
+    now, ws = scans.latest(A.log(spark, d)), F.col("workstream_id")
+    cached = now.select("workstream_id", F.when(ws == "ws-1", F.lit("ev-other")).otherwise(F.col("event_id")).alias("covered_through"), F.when(ws == "ws-0", F.lit("2000-01-01")).otherwise(F.lit("2100-01-01")).cast("timestamp_ntz").alias("generated_at"))
+    return bundle.stale(cached, A.log(spark, d), A.curations(spark, d))
+
+
 @query(f"{SCORED} SELECT * FROM sc")
 def bundle_scores(spark, d):
     return _bundle_events(spark, d)
@@ -448,6 +511,11 @@ def popularity(spark, d):
     return entities.mention_stats(A.mentions(spark, d), "c_custkey").select("c_custkey", F.round("weight", 9).alias("weight"))
 
 
+@query("SELECT c_custkey, upper(sha256('v1|kind=0|key=' || lower(c_name) || '|name=' || c_name || '|mentions=' || c_nationkey)) AS hash FROM customer")
+def entity_state_hash(spark, d):
+    return A.read(spark, d, "customer").select("c_custkey", entities.state_hash(F.lit(0), F.lower("c_name"), F.col("c_name"), F.col("c_nationkey")).alias("hash"))
+
+
 @query(f"{A.ctes('log')}, {TRIPLES} SELECT workstream_id, subject_key, min(event_id) AS first_event FROM tri GROUP BY 1, 2")
 def first_subjects(spark, d):
     return entities.first_subjects(projections.triples(A.log(spark, d)))
@@ -574,16 +642,17 @@ def projection_page(spark, d):
     return maintenance.projection_page(maintenance.rebuilt(A.log(spark, d), A.revocations(spark, d)), "goals", 100)
 
 
-@query(f"{HYBRID} SELECT 'hybrid' AS dispatcher, count(*) AS considered, count(*) FILTER (WHERE fused >= 0.1) AS kept, count(*) FILTER (WHERE fused < 0.1) AS gated FROM fu")
+@query(f"{HYBRID_PLAIN} SELECT 'hybrid' AS dispatcher, 'viewer=user-8 workstream=ws-1 channel=0 categories=0,1,2,3,4,5,6' AS capability, count(*) AS considered, count(*) FILTER (WHERE fused >= 0.1 AND allowed) AS kept, count(*) FILTER (WHERE NOT (fused >= 0.1 AND allowed)) AS gated FROM fu")
 def explain_counts(spark, d):
-    return maintenance.explained(search.hybrid(A.corpus(spark, d), A.vectors(spark, d), _query_vector(spark, d), SEARCH, A.NOW), "hybrid")
+    sources = dispatch.Sources(A.corpus_events(spark, d), A.text_index(spark, d), A.event_vectors(spark, d), "test@64", lambda _text: _query_vector(spark, d))
+    return dispatch.run(sources, TOK1, dispatch.Request(SEARCH, limit=10, explain=True), CLOCK).explain
 
 
 @query(f"{A.ctes('corpus')}, {BM25}, p AS (SELECT event_id, row_number() OVER (ORDER BY raw, event_id) AS place FROM bm QUALIFY place <= 50), r AS (SELECT 'doc-' || vec_id AS event_id, round({COS}, 9) AS score FROM embeddings) SELECT event_id, place FROM p LEFT JOIN r USING (event_id) ORDER BY score DESC NULLS LAST, place, event_id LIMIT 10")
 def rerank(spark, d):
     from pyspark.sql import Window as W
 
-    best = search.bm25(A.corpus(spark, d), SEARCH).orderBy("raw_score", "event_id").limit(50)
+    best = textindex.bm25(A.text_index(spark, d), SEARCH).orderBy("raw_score", "event_id").limit(50)
     placed = best.select("event_id", F.row_number().over(W.orderBy("raw_score", "event_id")).cast("long").alias("place"))
     scores = search.vector_topk(A.vectors(spark, d), _query_vector(spark, d), 1 << 30).select(F.concat(F.lit("doc-"), F.col("vec_id")).alias("event_id"), F.round("cosine", 9).alias("score"))
     return maintenance.reranked(placed, scores, 10)
@@ -598,3 +667,68 @@ _STOP = ", ".join(f"'{w}'" for w in X.GOLD_STOP)
 )
 def gold_support(spark, d):
     return _graded(spark, d).select("conv_id", "turn", X.gold_support(F.col("answer"), F.col("gold")).alias("supported"))
+
+
+# ---- payloads, upkeep and views of round two ----------------------------------------------------
+
+_KINDS = "['evidence', 'fact', 'decision', 'hypothesis', 'goal', 'action', 'outcome']"
+
+
+def _payloads(spark, d):
+    """The log's statements as typed payloads; the skills among the evidence have a name."""
+    log = A.log(spark, d)
+    kind = F.when(F.col("skill_name").isNotNull(), F.lit("skill")).otherwise(F.element_at(F.array(*[F.lit(k) for k in P.VARIANTS if k != "skill"]), F.col("category") + 1))
+    body = F.to_json(F.struct(
+        kind.alias("$type"), F.when(kind == "evidence", F.col("statement")).alias("content"), F.when(~kind.isin("evidence", "skill"), F.col("statement")).alias("statement"), F.when(kind == "decision", F.col("subject")).alias("rationale"),
+        F.when((kind == "action") & (F.col("e") % 2 == 0), F.col("predicate")).alias("externalReference"), F.when(kind == "skill", F.col("skill_name")).alias("name"), F.when(kind == "skill", F.col("statement")).alias("procedure"), F.when((kind == "skill") & (F.col("e") % 3 == 0), F.col("subject")).alias("trigger"),
+    ))
+    return log.select("event_id", P.parsed(body).alias("p"))
+
+
+PAY = f"""pay AS (SELECT event_id, e, CASE WHEN skill_name IS NOT NULL THEN 'skill' ELSE ({_KINDS})[category + 1] END AS k, statement, subject, predicate, skill_name FROM log)"""
+
+
+@query(f"{A.ctes('log')}, {PAY} SELECT event_id, k AS kind, CASE WHEN k = 'skill' THEN 'Skill: ' || skill_name ELSE statement END AS summary FROM pay")
+def payload_summaries(spark, d):
+    return _payloads(spark, d).select("event_id", P.kind(F.col("p")).alias("kind"), P.summary(F.col("p")).alias("summary"))
+
+
+@query(
+    f"""{A.ctes('log')}, {PAY} SELECT event_id, CASE k WHEN 'skill' THEN skill_name || chr(10) || statement || CASE WHEN e % 3 = 0 THEN chr(10) || subject ELSE '' END WHEN 'decision' THEN statement || chr(10) || subject ELSE statement END AS classifier_text,
+    CASE k WHEN 'skill' THEN skill_name || ' ' || statement || ' ' || CASE WHEN e % 3 = 0 THEN subject ELSE '' END WHEN 'decision' THEN statement || ' ' || subject WHEN 'action' THEN statement || ' ' || CASE WHEN e % 2 = 0 THEN predicate ELSE '' END ELSE statement END AS index_text,
+    CASE WHEN k = 'skill' THEN '' ELSE statement END AS embed_text, CASE k WHEN 'skill' THEN skill_name || ' — ' || statement WHEN 'decision' THEN statement || ' — ' || subject ELSE statement END AS bundle_text FROM pay"""
+)
+def payload_texts(spark, d):
+    p = F.col("p")
+    return _payloads(spark, d).select("event_id", P.classifier_text(p).alias("classifier_text"), P.index_text(p).alias("index_text"), P.embed_text(p).alias("embed_text"), P.bundle_text(p).alias("bundle_text"))
+
+
+@query(f"{A.ctes('log')}, m AS (SELECT unnest([struct_pack(projection := 'facts', place := 0, c := 1), struct_pack(projection := 'decisions', place := 1, c := 2), struct_pack(projection := 'hypotheses', place := 2, c := 3), struct_pack(projection := 'goals', place := 3, c := 4), struct_pack(projection := 'skills', place := 4, c := 0), struct_pack(projection := 'triples', place := 5, c := 1), struct_pack(projection := 'contradictions', place := 6, c := 1), struct_pack(projection := 'duplicates', place := 7, c := 1), struct_pack(projection := 'decision_chains', place := 8, c := 2), struct_pack(projection := 'decision_chains', place := 8, c := 5), struct_pack(projection := 'decision_chains', place := 8, c := 6)], recursive := true)) SELECT event_id, projection, place, 'Applied' AS status FROM log JOIN m ON category = c")
+def processing_log(spark, d):
+    return maintenance.processing_log(A.log(spark, d)).select("event_id", "projection", "place", "status")
+
+
+@query(f"{A.ctes('log')}, f AS (SELECT workstream_id, event_id, created_at, lower(trim(statement)) AS k FROM log WHERE category = 1), g AS (SELECT workstream_id, k, min(struct_pack(c := created_at, i := event_id)).i AS canonical_event, count(*) AS group_size FROM f GROUP BY 1, 2 HAVING count(*) > 1) SELECT workstream_id, event_id, canonical_event, group_size FROM f JOIN g USING (workstream_id, k)")
+def duplicate_groups(spark, d):
+    return projections.duplicate_groups(A.log(spark, d))
+
+
+@query(f"{A.ctes('cur')} SELECT curation_id, target_id, (['Amend', 'Annotate', 'Pin', 'Demote', 'Revert'])[kind + 1] AS kind, curator, occurred_at, reverted FROM cur ORDER BY occurred_at DESC, curation_id LIMIT 150")
+def curation_list(spark, d):
+    return maintenance.curation_list(A.curations(spark, d), 150)
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (WHERE toxic = 0) AS hits, avg(CASE WHEN toxic = 0 THEN 1.0 ELSE 0.0 END) AS recall FROM labels")
+def probe_recall(spark, d):
+    return evaluation.recall(A.read(spark, d, "labels").select((F.col("toxic") == 0).alias("hit")))
+
+
+@query(f"{A.ctes('log', 'rev')}, r AS (SELECT *, row_number() OVER (PARTITION BY workstream_id ORDER BY valid_at DESC, event_id) AS p FROM log WHERE category = 1 AND event_id NOT IN (SELECT event_id FROM rev)) SELECT workstream_id, event_id, statement FROM r WHERE p <= 50")
+def prior_facts(spark, d):
+    return sessions.prior_facts(A.log(spark, d), A.revocations(spark, d)).select("workstream_id", "event_id", "statement")
+
+
+@query(f"{A.ctes('log')} SELECT event_id, '[' || strftime(valid_at, '%Y-%m-%d') || '] ' || statement AS snippet, replace(predicate, '_', ' ') AS predicate, round(1 + 0.1 * (CAST(contains(lower(statement), 'user 3') AS INT) + CAST(contains(lower(statement), 'purchase') AS INT)), 6) AS boost, CAST(ceil(len(list_filter(string_split_regex(statement, '\\s+'), lambda w: w <> '')) / 0.75) AS BIGINT) AS tokens FROM log")
+def snippets(spark, d):
+    s = F.col("statement")
+    return A.log(spark, d).select("event_id", evaluation.dated_snippet(F.col("valid_at"), s).alias("snippet"), evaluation.humanised(F.col("predicate")).alias("predicate"), F.round(evaluation.entity_boost(s, ["User 3", "purchase"]), 6).alias("boost"), evaluation.harness_tokens(s).alias("tokens"))

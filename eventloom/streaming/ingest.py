@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators import ingest
 
 
+#: Ids of a micro-batch that are broadcast (about 100 bytes each).
+MOST_IDS = 500_000
+
+
 class Store:
     """Parquet tables of the log and its sidecars under one folder."""
 
@@ -33,17 +38,21 @@ class Store:
 
 
 def append_batch(store: Store, now: Callable[[], str], reviewed: list[str] = (), observers: list[Callable[[DataFrame], None]] = ()) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: validate, redact, classify, drop known ids, append log, visibility and review rows, then call observers in order.
+    """A foreachBatch function: validate, redact, classify, drop known ids, append log, visibility, review and outbox rows, then call observers in order.
+
+    Rows that are refused go to ``rejects`` with their reason and batch. Known ids are looked up
+    in the log's id column, which stays where it is.
 
     A batch that is run again after a failure finds its ids in each table and appends nothing twice;
     sidecar rows go first, so that an event is never readable before its visibility is.
     """
 
-    def run(batch: DataFrame, _batch_id: int) -> None:
-        good, _bad = ingest.validated(batch)
-        rows = ingest.new_rows(ingest.prepared(good, now()), store.log()).persist()
+    def run(batch: DataFrame, batch_id: int) -> None:
+        good, bad = ingest.validated(batch)
+        bad.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(store.path("rejects"))
+        rows = ingest.new_rows(ingest.prepared(good, now()), known_events(store, good)).persist()
         try:
-            sides = {"visibility": ingest.sidecar_visibility(rows), "review": ingest.parked(rows, list(reviewed))}
+            sides = {"visibility": ingest.sidecar_visibility(rows), "review": ingest.parked(rows, list(reviewed)), "outbox": ingest.outbox(rows)}
             for name, side in sides.items():
                 known = store.read(name, side.schema).select("event_id")
                 side.join(known, "event_id", "left_anti").select(*side.columns).write.mode("append").parquet(store.path(name))
@@ -56,6 +65,12 @@ def append_batch(store: Store, now: Callable[[], str], reviewed: list[str] = (),
     return run
 
 
+def known_events(store: Store, batch: DataFrame) -> DataFrame:
+    """The log's ids that a batch repeats. A batch of bounded size is broadcast to the log's id column, so the log never shuffles; a larger one joins it."""
+    ids, log = batch.select("event_id").distinct(), store.log().select("event_id")
+    return log.join(F.broadcast(ids), "event_id", "left_semi") if ids.count() <= MOST_IDS else log
+
+
 def start_ingest(captures: DataFrame, store: Store, checkpoint: str, now: Callable[[], str], **options):
     """Start the single writer of a store on a stream of captures."""
     return captures.writeStream.foreachBatch(append_batch(store, now, **options)).option("checkpointLocation", checkpoint)
