@@ -189,24 +189,41 @@ def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[np.n
 
 
 class Sample:
-    """Hashed features of the documents to learn from, on the driver: at most twice SAMPLE rows, each with all its features."""
+    """Hashed features of the documents to learn from, on the driver: at most twice SAMPLE rows, each with all its features.
+
+    Sums run over ``STEP`` features at a time, so that temporary arrays stay small beside the features.
+    """
+
+    STEP = 1 << 18
 
     def __init__(self, rows: list):
         self.ids = [r["doc_id"] for r in rows]
-        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r["k"]) // 4 for r in rows])
-        self.col = np.frombuffer(b"".join(r["k"] for r in rows), "<i4")
+        self.first = np.r_[0, np.cumsum([len(r["k"]) // 4 for r in rows], dtype=np.int64)]
+        self.col = np.empty(self.first[-1], np.int32)
+        for i, r in enumerate(rows):
+            self.col[self.first[i] : self.first[i + 1]] = np.frombuffer(r["k"], "<i4")
         self.stats = inputs(np.array([r["stats"] for r in rows], float).reshape(len(rows), len(STATS)))
 
+    def parts(self, keep: np.ndarray | None = None, of: np.ndarray | None = None):
+        """(rows, columns) of features in steps: those of documents ``of``, and of columns ``keep`` only."""
+        for a in range(0, len(self.col), self.STEP):
+            col = self.col[a : a + self.STEP]
+            row = np.searchsorted(self.first, np.arange(a, a + len(col)), side="right") - 1
+            use = np.ones(len(col), bool) if keep is None else keep[col]
+            use = use if of is None else use & of[row]
+            yield row[use], col[use]
+
     def lift(self, y: np.ndarray, of: np.ndarray | None = None, least: int = 5) -> np.ndarray:
         """Log odds of each feature between bad and good documents (``of``: some of them); 0 for features in few documents or without a clear side."""
         of = np.ones(len(y), bool) if of is None else of
-        at = of[self.row]
-        whole, y, seen = y, y[of], np.bincount(self.col[at], minlength=DIM)
-        bad = np.bincount(self.col[at], whole[self.row[at]], minlength=DIM)
-        if not len(y):
+        bad, seen, n, total = np.zeros(DIM), np.zeros(DIM), int(of.sum()), float(y[of].sum())
+        for row, col in self.parts(of=of):
+            seen += np.bincount(col, minlength=DIM)
+            bad += np.bincount(col, y[row], minlength=DIM)
+        if not n:
             return np.zeros(DIM)
-        r = np.log((bad + 0.5) / (y.sum() + 1)) - np.log((seen - bad + 0.5) / (len(y) - y.sum() + 1))
-        due = seen * (y.sum() / max(1, len(y)))
+        r = np.log((bad + 0.5) / (total + 1)) - np.log((seen - bad + 0.5) / (n - total + 1))
+        due = seen * (total / n)
         clear = (bad - due) ** 2 > 9 * np.maximum(due, 0.1)
         return np.where((seen >= least) & (np.abs(r) > 0.7) & clear, r, 0.0)
 
@@ -214,22 +231,38 @@ class Sample:
         """Logistic regression on features scaled by their log odds, on all documents or some: weights of features and statistics, and the bias."""
         of = np.ones(len(y), bool) if of is None else of
         n, scale = max(1, int(of.sum())), self.lift(y, of)
-        use = (scale[self.col] != 0) & of[self.row]
-        row, col, value = self.row[use], self.col[use], scale[self.col[use]]
-        hashed, plain, bias = np.full(DIM, 0.2), np.zeros(len(STATS)), -1.0
-        gh, gp, gb = np.full(DIM, 1e-2), np.full(len(STATS), 1e-4), 1e-4
+        used = np.flatnonzero(scale)
+        place = np.full(DIM, -1, np.int32)
+        place[used] = np.arange(len(used))
+        held = [(row.astype(np.int32), place[col]) for row, col in self.parts(scale != 0, of)]
+        row, col = (np.concatenate([h[i] for h in held]) if held else np.zeros(0, np.int32) for i in (0, 1))
+        del held
+        slope, size = scale[used], len(used)
+        value = slope[col].astype(np.float32)
+        hashed, plain, bias = np.full(size, 0.2), np.zeros(len(STATS)), -1.0
+        gh, gp, gb = np.full(size, 1e-2), np.full(len(STATS), 1e-4), 1e-4
+        steps_ = [slice(a, a + self.STEP) for a in range(0, len(row), self.STEP)]
         for _ in range(rounds if len(y) else 0):
-            z = np.bincount(row, value * hashed[col], minlength=len(y)) + self.stats @ plain + bias
+            z = self.stats @ plain + bias
+            for s in steps_:
+                z += np.bincount(row[s], value[s] * hashed[col[s]], minlength=len(y))
             d = np.where(of, 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y, 0.0) / n
-            g = np.bincount(col, value * d[row], minlength=DIM) + ridge * hashed / n
+            g = ridge * hashed / n
+            for s in steps_:
+                g = g + np.bincount(col[s], value[s] * d[row[s]], minlength=size)
             q, b = self.stats.T @ d, d.sum()
             gh, gp, gb = gh + g * g, gp + q * q, gb + b * b
             hashed, plain, bias = hashed - rate * g / np.sqrt(gh), plain - rate * q / np.sqrt(gp), bias - rate * b / np.sqrt(gb)
-        return (hashed * scale).astype(np.float32), plain, float(bias)
+        weights = np.zeros(DIM, np.float32)
+        weights[used] = hashed * slope
+        return weights, plain, float(bias)
 
     def logits(self, weights: tuple[np.ndarray, np.ndarray, float]) -> np.ndarray:
         hashed, plain, bias = weights
-        return np.bincount(self.row, hashed[self.col], minlength=len(self.ids)) + self.stats @ plain + bias
+        z = self.stats @ plain + bias
+        for row, col in self.parts():
+            z += np.bincount(row, hashed[col], minlength=len(self.ids))
+        return z
 
 
 def combined(post: np.ndarray, logits: np.ndarray) -> np.ndarray:
