@@ -2,8 +2,8 @@
 
 A source's target in words divided by its size gives its number of passes f. Every document first gets
 floor(f) whole copies. The rest of the target is drawn with unequal probabilities p = scale * measure:
-documents whose p would reach 1 are certain and taken first, and the scale of the others is found again
-from what is left, until none is certain any more. The others are drawn by Pareto order sampling: they
+documents whose p would reach 1 are certain and taken first, and the scale of the others is found from
+what is left, so that none of them is certain. The others are drawn by Pareto order sampling: they
 are ranked by their random odds u / (1 - u) over their inclusion odds p / (1 - p), and taken from the
 lowest rank until the words that are left are filled. A document that does not fit is skipped, and the
 drawing goes on in rank order until none fits. Then one more, whose size comes nearest to what is still
@@ -78,24 +78,25 @@ def edges_of(rows: DataFrame, need: DataFrame) -> DataFrame:
     return cut(level1.join(level2, F.col("of").eqNullSafe(F.col("of2"))).select("of", "b1", "b2", "need2"))
 
 
-def scales(base: DataFrame, need: DataFrame, rounds: int = 50) -> DataFrame:
-    """(of, need, scale): inclusion probabilities are least(1, scale * measure), and the expected words of a source are its need.
+def scales(base: DataFrame, need: DataFrame) -> DataFrame:
+    """(of, scale): inclusion probabilities are least(1, scale * weight), and the expected words of a source are its need.
 
-    base: source, size, weight; need: source, need. Each round takes what is certain out of need and
-    measure and finds the scale of the rest; it ends when no document becomes certain.
+    base: source, size, weight; need: source, need. If all rows above some weight are certain, the scale
+    is what is left of the need over the measure of the others; the first weight that this scale leaves
+    below certainty is the right one. Weights are rounded (``rounded``), so a source has a bounded number.
     """
-    known = need.select(F.col("source").alias("of"), "need", F.lit(0.0).alias("scale"))
-    was = None
-    for _ in range(rounds):
-        rows = base.join(known, F.col("source").eqNullSafe(F.col("of")))
-        sure = F.col("scale") * F.col("weight") >= 1
-        new = rows.groupBy("of").agg(F.first("need").alias("need"), F.sum(F.when(sure, F.col("size")).otherwise(0)).alias("taken"), F.sum(F.when(~sure, F.col("size") * F.col("weight"))).alias("rest"), F.count_if(sure).alias("certain"))
-        known = cut(new.select("of", "need", F.when(F.col("rest") > 0, (F.col("need") - F.col("taken")) / F.col("rest")).otherwise(F.lit(1e300)).alias("scale"), "certain"))
-        now = known.agg(F.sum("certain")).first()[0]
-        if now == was:
-            break
-        was = now
-    return known.select("of", "need", "scale")
+    sums = base.where("weight > 0").groupBy("source", "weight").agg(F.sum("size").alias("s")).withColumn("m", F.col("s") * F.col("weight"))
+    sums = sums.join(few(need.select(F.col("source").alias("of"), "need"), SOURCES), F.col("source").eqNullSafe(F.col("of")))
+    above = W.partitionBy("source").orderBy(F.col("weight").desc()).rowsBetween(W.unboundedPreceding, -1)
+    below = W.partitionBy("source").orderBy(F.col("weight").desc()).rowsBetween(0, W.unboundedFollowing)
+    tried = sums.withColumn("scale", F.try_divide(F.col("need") - F.coalesce(F.sum("s").over(above), F.lit(0)), F.sum("m").over(below)))
+    right = tried.where("scale * weight < 1").groupBy("of").agg(F.max_by("scale", "weight").alias("scale"))
+    return need.select(F.col("source").alias("of")).join(right.withColumnRenamed("of", "r"), F.col("of").eqNullSafe(F.col("r")), "left").select("of", F.coalesce("scale", F.lit(1e300)).alias("scale"))
+
+
+def rounded(weight: Column) -> Column:
+    """A size measure to one part in about 1,500, so that a source has a bounded number of different ones."""
+    return F.when(weight > 0, F.pow(F.lit(2.0), F.round(F.log2(weight) * 1024) / 1024)).otherwise(F.lit(0.0))
 
 
 def mix(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: int = 3, seed: int = 17, preference: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -107,7 +108,7 @@ def mix(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_i
     of size 0 takes nothing. Rows that repeat a key are drawn together or not at all. A null key is a key.
     An empty table gives no rows. ``keep`` must not clash with the names above.
     """
-    measure = F.sqrt(F.col("size").cast("double")) if preference is None else F.greatest(F.coalesce(preference.cast("double"), F.lit(0.0)), F.lit(0.0))
+    measure = rounded(F.sqrt(F.col("size").cast("double")) if preference is None else F.coalesce(preference.cast("double"), F.lit(0.0)))
     plain = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), uniform(F.coalesce(F.col(key).cast("string"), F.lit("")), seed).alias("u"), *([] if preference is None else [measure.alias("weight")]), *keep)
     plain = plain.withColumn("weight", measure) if preference is None else plain
     base = cut(plain.drop(*keep))
@@ -121,7 +122,7 @@ def mix(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_i
         """rows with q: 0 for what is certain, infinite for what is never drawn."""
         p = F.col("scale") * F.col("weight")
         odds = (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))
-        return rows.join(found.drop("need"), F.col("source").eqNullSafe(F.col("of")), "left").withColumn("q", F.when(p >= 1, F.lit(0.0)).when(p > 0, odds).otherwise(F.lit(float("inf")))).drop("of", "scale", "u", "weight")
+        return rows.join(found, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("q", F.when(p >= 1, F.lit(0.0)).when(p > 0, odds).otherwise(F.lit(float("inf")))).drop("of", "scale", "u", "weight")
 
     place = F.when(F.col("q") == float("inf"), F.lit(RANGES - 1e-6)).otherwise(F.col("q") / (1 + F.col("q")) * RANGES)
     state = ranked(base).where(F.col("q") < float("inf"))
@@ -141,10 +142,9 @@ def mix(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_i
         turns.append(turn)
         state = state.join(turn, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("drawn", F.coalesce(drawn_in(F.col("turn")), F.lit(False)))
         state = cut(state.drop("of", "turn"))
-        got = state.where("drawn").groupBy("source").agg(F.sum("size").alias("got")).withColumnRenamed("source", "of")
-        got = cut(got)
-        if not got.take(1):
+        if not state.where("drawn").take(1):
             break
+        got = state.where("drawn").groupBy("source").agg(F.sum("size").alias("got")).withColumnRenamed("source", "of")
         left = cut(left.join(got, F.col("source").eqNullSafe(F.col("of")), "left").select("source", (F.col("need") - F.coalesce("got", F.lit(0))).alias("need")))
         state = state.where(~F.col("drawn")).drop("drawn")
 
