@@ -12,7 +12,8 @@ doc_id, so reruns agree.
 
 No source is ever sorted in one task: ranks are cut into ranges, the sums of the ranges find the one
 that holds the boundary, that range is cut again, and only its rows are put in order. This is repeated
-for the documents that are left and fit, with the rest of the need. What a round decides is a few numbers
+for the documents that are left and fit, with the rest of the need, until that is small; then one fold
+over a bounded number of documents ends the drawing. What a round decides is a few numbers
 for each source, so every document knows from its own row whether it is drawn: nothing joins by id.
 """
 
@@ -28,6 +29,8 @@ from .common import cut, few, fresh, table, word_count
 
 #: Ranges that ranks are cut into, twice.
 RANGES = 2048
+#: Words that a source may still need when the rest of its drawing is done in one fold.
+FOLD = 1024
 #: Up to so many sources their few numbers each are broadcast; beyond, Spark joins them by their size.
 SOURCES = 100_000
 WEIGHTS = (5, 2, 1)
@@ -127,8 +130,8 @@ def mix(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_i
     place = F.when(F.col("q") == float("inf"), F.lit(RANGES - 1e-6)).otherwise(F.col("q") / (1 + F.col("q")) * RANGES)
     state = ranked(base).where(F.col("q") < float("inf"))
     state = cut(state.withColumn("r1", F.floor(place)).withColumn("r2", F.floor((place - F.floor(place)) * RANGES)))
-    left, turns = aims.select("source", F.col("need").cast("long").alias("need")), []
-    while True:
+    left, turns, open_ = cut(aims.select("source", F.col("need").cast("long").alias("need"))), [], True
+    while open_ and (left.agg(F.max("need")).first()[0] or 0) > FOLD:
         lack = left.select(F.col("source").alias("for"), "need")
         fits = state.join(lack, F.col("source").eqNullSafe(F.col("for"))).where((F.col("need") >= 1) & F.col("size").between(1, F.col("need"))).drop("for", "need")
         edges = edges_of(fits, left)
@@ -142,29 +145,59 @@ def mix(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_i
         turns.append(turn)
         state = state.join(turn, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("drawn", F.coalesce(drawn_in(F.col("turn")), F.lit(False)))
         state = cut(state.drop("of", "turn"))
-        if not state.where("drawn").take(1):
-            break
         got = state.where("drawn").groupBy("source").agg(F.sum("size").alias("got")).withColumnRenamed("source", "of")
-        left = cut(left.join(got, F.col("source").eqNullSafe(F.col("of")), "left").select("source", (F.col("need") - F.coalesce("got", F.lit(0))).alias("need")))
-        state = state.where(~F.col("drawn")).drop("drawn")
+        left = cut(left.join(got, F.col("source").eqNullSafe(F.col("of")), "left").select("source", (F.col("need") - F.coalesce("got", F.lit(0))).alias("need"), F.col("got").isNotNull().alias("open")))
+        open_ = bool(left.where("open").take(1))
+        state, left = state.where(~F.col("drawn")).drop("drawn"), left.drop("open")
+    picks = cut(last_draws(state, left))
+    left = left.join(picks, F.col("source").eqNullSafe(F.col("ps")), "left").select("source", (F.col("need") - F.coalesce("got", F.lit(0))).alias("need"))
+    state = state.join(few(picks, SOURCES), F.col("source").eqNullSafe(F.col("ps")), "left").where(~picked()).drop("ps", "got", "picks")
 
     # nothing fits any more: one document may still come nearer by overshooting
     gap = left.select(F.col("source").alias("of"), F.col("need").alias("gap")).where("gap >= 1")
     miss = F.abs(F.col("size") - F.col("gap"))
-    closing = state.drop("drawn").join(gap, F.col("source").eqNullSafe(F.col("of"))).where(miss < F.col("gap"))
+    closing = state.join(gap, F.col("source").eqNullSafe(F.col("of"))).where(miss < F.col("gap"))
     closing = closing.groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "q", "doc_id")).alias("x")).select(F.col("source").alias("cs"), F.col("x.q").alias("cq"), F.col("x.doc_id").alias("cid"))
-    numbered = reduce(DataFrame.union, [t.select("of", F.struct(F.lit(i).alias("i"), "turn.*").alias("turn")) for i, t in enumerate(turns)])
+    kind = "struct<i:int,need:bigint,b1:bigint,b2:bigint,q:double,id:" + base.schema["doc_id"].dataType.simpleString() + ">"
+    none = aims.where(F.lit(False)).select(F.col("source").alias("of"), F.lit(None).cast(kind).alias("turn"))
+    numbered = reduce(DataFrame.union, [t.select("of", F.struct(F.lit(i).alias("i"), "turn.*").cast(kind).alias("turn")) for i, t in enumerate(turns)], none)
     plan = aims.select(F.col("source").alias("as"), "source_size", "target", "whole").join(numbered.groupBy("of").agg(F.array_sort(F.collect_list("turn")).alias("turns")), F.col("as").eqNullSafe(F.col("of")), "left")
-    plan = cut(plan.drop("of").join(closing, F.col("as").eqNullSafe(F.col("cs")), "left").drop("cs"))
+    plan = plan.drop("of").join(picks.drop("got"), F.col("as").eqNullSafe(F.col("ps")), "left").drop("ps")
+    plan = cut(plan.join(closing, F.col("as").eqNullSafe(F.col("cs")), "left").drop("cs"))
 
     out = ranked(plain).withColumn("r1", F.floor(place)).withColumn("r2", F.floor((place - F.floor(place)) * RANGES))
     out = out.join(few(plan, SOURCES), F.col("source").eqNullSafe(F.col("as")))
     closes = F.coalesce(F.col("cq").eqNullSafe(F.col("q")) & F.col("cid").eqNullSafe(F.col("doc_id")) & F.col("cq").isNotNull(), F.lit(False))
-    drawn = (F.col("q") < float("inf")) & (F.coalesce(F.exists("turns", lambda t: F.coalesce(drawn_in(t), F.lit(False))), F.lit(False)) | closes)
+    drawn = (F.col("q") < float("inf")) & (F.coalesce(F.exists("turns", lambda t: F.coalesce(drawn_in(t), F.lit(False))), F.lit(False)) | picked() | closes)
     out = out.withColumn("copies", (F.col("whole") + drawn.cast("int")).cast("long"))
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *keep)
 
 
+def last_draws(state: DataFrame, left: DataFrame) -> DataFrame:
+    """(ps, got, picks): the rest of the drawing in rank order, for sources that need at most ``FOLD`` words: what is taken, and the (q, id) drawn.
+
+    Of documents of c words only the first need / c can still fit, so the fold sees a number of
+    documents that ``FOLD`` bounds, however many a source has.
+    """
+    lack = left.where(F.col("need").between(1, FOLD)).select(F.col("source").alias("for"), "need")
+    fits = state.join(lack, F.col("source").eqNullSafe(F.col("for"))).where(F.col("size").between(1, F.col("need")))
+    alike = W.partitionBy("source", "size").orderBy("q", "doc_id")
+    fits = fits.withColumn("n", F.row_number().over(alike)).where((F.col("n") <= FOLD) & (F.col("n") * F.col("size") <= F.col("need")))
+    by = fits.groupBy("source").agg(F.first("need").alias("need"), F.array_sort(F.collect_list(F.struct("q", F.col("doc_id").alias("id"), "size"))).alias("x"))
+    kind = state.schema["doc_id"].dataType.simpleString()
+    start = F.struct(F.lit(0).cast("bigint").alias("got"), F.array().cast(f"array<struct<q:double,id:{kind}>>").alias("picks"))
+
+    def step(acc, x):
+        fit = acc["got"] + x["size"] <= F.col("need")
+        return F.struct((acc["got"] + F.when(fit, x["size"]).otherwise(F.lit(0))).alias("got"), F.when(fit, F.concat(acc["picks"], F.array(F.struct(x["q"].alias("q"), x["id"].alias("id"))))).otherwise(acc["picks"]).alias("picks"))
+
+    return by.select(F.col("source").alias("ps"), F.aggregate("x", start, step).alias("a")).select("ps", "a.got", "a.picks")
+
+
+def picked() -> Column:
+    return F.coalesce(F.exists("picks", lambda x: (x["q"] == F.col("q")) & x["id"].eqNullSafe(F.col("doc_id"))), F.lit(False))
+
+
 def drawn_in(turn: Column) -> Column:
     """Whether a turn (need, b1, b2, q, id) draws a row (size, q, r1, r2, doc_id) that is still there: it fits, and lies before the edge or in its range up to the last one."""
     b1, b2, r1, r2, q = turn["b1"], turn["b2"], F.col("r1"), F.col("r2"), F.col("q")
