@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from .common import arrow_batches, cut, fresh, schema, table
 from .hashing import PUNCTUATION, U, Words, split_words, steps, word_heads
+from .near import pack, unpack
 
 #: The scorer is fitted on at most this many documents with human labels and as many without, those with the least hash of doc_id.
 SAMPLE = 4000
@@ -103,16 +104,17 @@ def documents_of(batch: pa.RecordBatch):
 
 
 def sample_features(batches):
-    """(doc_id, feature numbers, statistics) of the documents to learn from."""
+    """(doc_id, number of features, the features as packed differences, statistics) of the documents to learn from."""
     for batch in batches:
         rows = []
         for ids, raw, offsets, w, n in documents_of(batch):
             f, stats = features(raw, w), statistics(raw, offsets, w)
             for i, d in enumerate(ids):
-                rows.append((d, present(f[w.first[i] : w.first[i + 1]]).astype("<i4").tobytes(), stats[i].tolist()))
+                k = np.sort(present(f[w.first[i] : w.first[i + 1]]))
+                rows.append((d, len(k), pack(np.diff(k, prepend=0), 4), stats[i].tolist()))
         if rows:
-            d, k, s = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(k, pa.binary()), pa.array(s, pa.list_(pa.float64()))], names=["doc_id", "k", "stats"])
+            d, n, k, s = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(n, pa.int64()), pa.array(k, pa.binary()), pa.array(s, pa.list_(pa.float64()))], names=["doc_id", "n", "k", "stats"])
 
 
 def votes(lexicons: list[np.ndarray], lists: list[np.ndarray]):
@@ -197,11 +199,12 @@ class Sample:
     STEP = 1 << 18
 
     def __init__(self, rows: list):
+        rows = sorted(rows, key=lambda r: r["doc_id"])
         self.ids = [r["doc_id"] for r in rows]
-        self.first = np.r_[0, np.cumsum([len(r["k"]) // 4 for r in rows], dtype=np.int64)]
+        self.first = np.r_[0, np.cumsum([r["n"] for r in rows], dtype=np.int64)]
         self.col = np.empty(self.first[-1], np.int32)
         for i, r in enumerate(rows):
-            self.col[self.first[i] : self.first[i + 1]] = np.frombuffer(r["k"], "<i4")
+            self.col[self.first[i] : self.first[i + 1]] = np.cumsum(unpack(r["k"], r["n"], 4), dtype=np.int64)
         self.stats = inputs(np.array([r["stats"] for r in rows], float).reshape(len(rows), len(STATS)))
 
     def parts(self, keep: np.ndarray | None = None, of: np.ndarray | None = None):
@@ -286,7 +289,7 @@ def learned(docs: DataFrame, labels: DataFrame) -> dict[str, tuple[np.ndarray, n
     chosen |= {r["doc_id"]: (None, None, None) for r in others.collect()}
     ids = spark.createDataFrame([(i,) for i in chosen], "doc_id long")
     picked = docs.join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sample = Sample(picked.mapInArrow(sample_features, schema("doc_id long, k binary, stats array<double>")).collect())
+    sample = Sample(picked.mapInArrow(sample_features, schema("doc_id long, n long, k binary, stats array<double>")).collect())
     toxic = np.array([np.nan if chosen[i][1] is None else chosen[i][1] for i in sample.ids], float)
     halves = np.array([-1 if chosen[i][2] is None else chosen[i][2] for i in sample.ids], int)
     lexicons = [np.maximum(0, sample.lift(np.nan_to_num(toxic), (halves == h) & ~np.isnan(toxic)) - LEXICON_ODDS).astype(np.float32) for h in (0, 1)]
@@ -302,8 +305,8 @@ def learned(docs: DataFrame, labels: DataFrame) -> dict[str, tuple[np.ndarray, n
     for name, columns in (("junk", JUNK), ("toxic", TOXIC)):
         code = lambda r, columns=columns: tuple(-1 if r[c] is None else int(r[c]) for c in columns)
         table_ = {code(r): r["n"] for r in voted.groupBy(*columns).agg(F.count("*").alias("n")).collect()}
-        patterns = list(table_)
-        post, _ = em(np.array(patterns, int).reshape(len(patterns), len(columns)), np.array(list(table_.values()), float))
+        patterns = sorted(table_)
+        post, _ = em(np.array(patterns, int).reshape(len(patterns), len(columns)), np.array([table_[x] for x in patterns], float))
         label = dict(zip(patterns, post.tolist(), strict=True))
         y, known = np.array([label[code(own[i])] for i in sample.ids], float), np.array([own[i][columns[-1]] is not None for i in sample.ids], bool)
         first = sample.fit(y, known if known.any() else None)
