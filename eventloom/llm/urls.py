@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, table
+from .common import cut, fresh, table, with_side
 
 #: Scheme, user information, host without port or final dot, path.
 URL = r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]*[^/:?#.])\.?(?::[0-9]*)?(/[^?#]*)?"
@@ -53,13 +53,14 @@ def listed(captures: DataFrame, events: DataFrame, url: str = "url", day: str =
     A capture with a null URL, host, day or key matches nothing. Rows that repeat a key share what any of
     them matches. Empty lists block nothing, empty captures give no rows; URLs may have any length.
     captures' columns all stay; a result column that would clash gets an underscore. Intervals are
-    written before they meet the captures, so that the join can split a popular domain.
+    written before they meet the captures, so that the join can split a popular domain. Only captures
+    that may have an entry meet what was found; all others pass straight through with all their columns.
     """
     count, first, blocked, cid = fresh(captures, "n_entries", "first_entry", "blocked", "cid")
     looked = captures.select(F.col(key).alias(cid), F.col(day).alias("on"), F.explode(keys_of(F.col(url))).alias("entry"))
     active = looked.join(cut(intervals(events)), "entry").where("on >= valid_from and (valid_to is null or on < valid_to)")
-    found = active.groupBy(cid).agg(F.countDistinct("entry").alias(count), F.min("entry").alias(first))
-    out = captures.join(found, captures[key] == F.col(cid), "left").drop(cid)
+    found = cut(active.groupBy(F.col(cid).alias(key)).agg(F.countDistinct("entry").alias(count), F.min("entry").alias(first)))
+    out = with_side(captures, found, key)
     return out.withColumn(count, F.coalesce(F.col(count), F.lit(0)).cast("long")).withColumn(blocked, F.col(count) > 0)
 
 
