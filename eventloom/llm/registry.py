@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, exact, lines, manifest, mixing, near, private, quality, substring, tokens, urls
+from . import decontam, exact, lines, manifest, mixing, near, private, quality, spelling, substring, tokens, urls
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filters": urls.op8_url_filters,
     "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_ngram_jaccard_join": near.op10_ngram_jaccard_join,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
     "op13_merkle_manifest": manifest.op13_merkle_manifest,
 }
 
@@ -24,5 +25,6 @@ ORACLES: dict[str, str] = {
     "op3_benchmark_decontamination": decontam.OP3_SQL,
     "op4_line_dedup": lines.OP4_SQL,
     "op8_url_filters": urls.OP8_SQL,
+    "op11_spelling_variants": spelling.OP11_SQL,
     "op13_merkle_manifest": manifest.OP13_SQL,
 }
