@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, exact, lines, manifest, mixing, near, private, quality, spelling, substring, tokens, urls
+from . import decontam, exact, lines, manifest, mixing, near, private, quality, spelling, substring, tokens, toxicity, urls
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_ngram_jaccard_join": near.op10_ngram_jaccard_join,
     "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_toxicity": toxicity.op12_toxicity,
     "op13_merkle_manifest": manifest.op13_merkle_manifest,
 }
 
