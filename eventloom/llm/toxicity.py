@@ -168,7 +168,7 @@ def pair_changes(places: Places, terms: Terms):
                             for slot, sign in change:
                                 if number[slot] >= 0:
                                     total[int(number[slot])] += sign
-                            key = ",".join(str((f + 1) * s) for f, s in sorted(total.items()) if s)
+                            key = ",".join(str(f + 1 if s > 0 else -f - 1) for f, s in sorted(total.items()) for _ in range(abs(s)))
                             if key:
                                 found[key] += n
         yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["change", "n"])
