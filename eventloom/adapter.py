@@ -122,13 +122,14 @@ _INDEXES: dict = {}
 
 def text_index(spark: SparkSession, sf_dir: str):
     """The full-text index of the documents: built once for an application and folder, as ingestion would, then read."""
-    from .operators import textindex as X
-    from .workspace import workspace, written
+    from .operators.textindex import IndexStore
+    from .workspace import workspace
 
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _INDEXES:
-        folder, docs = f"{workspace(spark)}/text/{len(_INDEXES)}-{uuid.uuid4().hex}", corpus(spark, sf_dir)
-        _INDEXES[key] = X.TextIndex(written(X.laid_out(X.postings(docs)), f"{folder}/postings", ["bucket"]), written(X.sizes(docs), f"{folder}/sizes"))
+        store = IndexStore(spark, f"{workspace(spark)}/text/{len(_INDEXES)}-{uuid.uuid4().hex}")
+        store.add(corpus(spark, sf_dir))
+        _INDEXES[key] = store.index()
     return _INDEXES[key]
 
 

@@ -57,3 +57,12 @@ def cosine(a: Column, b: Column) -> Column:
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     value = F.when(norms == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot(a, b) / norms)))
     return F.when(F.size(a) == F.size(b), value).otherwise(F.raise_error(F.lit("vectors of unequal length")).cast("double"))
+
+
+def idf_of(n: float, df: float) -> float:
+    """R1 on the driver, where a table of bounds decides what is read."""
+    return max(1e-6, math.log((n - df + 0.5) / (df + 0.5)))
+
+
+def bm25_of(tf: float, dl: float, avgdl: float) -> float:
+    return tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))

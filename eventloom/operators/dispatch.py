@@ -80,7 +80,7 @@ def run(sources: Sources, token: gates.Token, request: Request, now: dt.datetime
         items, name = search.top(considered, limit), "hybrid"
     else:
         items, name = search.lexical_search(sources.index, events, cap, text, clock, limit, b), "lexical"
-        considered = search.best(sources.index, text, limit, F.col("workstream_id") == cap.workstream).join(F.broadcast(items.select("event_id", F.lit(True).alias("kept"))), "event_id", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+        considered = search.best(sources.index, text, limit, cap.workstream).join(F.broadcast(items.select("event_id", F.lit(True).alias("kept"))), "event_id", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
     if name != "structured":
         items = items.withColumn("summary", summary(F.col("statement"), F.col("skill_name")))
     items = items.select(*ITEM)

@@ -56,7 +56,7 @@ def lexical_search(index: TextIndex, events: Events, cap: gates.Capability, quer
 
     The limit comes before the gates, so fewer rows may return.
     """
-    found = best(index, query, gates.clamp_limit(limit), F.col("workstream_id") == cap.workstream)
+    found = best(index, query, gates.clamp_limit(limit), cap.workstream)
     found = found.withColumn("recency", R.recency(F.col("created_at"), now)).withColumn("score", F.col("bm25") * F.col("recency")).drop("workstream_id")
     return passed(found, events, cap, bounds).orderBy(F.col("score").desc(), "event_id")
 
@@ -73,6 +73,11 @@ def live_vectors(vectors: DataFrame, events: Events, workstream: str, provider:
     return vectors.where(F.col("provider_id") == provider).join(live, "event_id")
 
 
+def at_hand(rows: DataFrame) -> DataFrame:
+    """A few hundred rows that a limit bounds, computed once however often the plan goes on from them."""
+    return rows.sparkSession.createDataFrame([tuple(r) for r in rows.collect()], rows.schema).coalesce(1)
+
+
 def pool(limit: int) -> int:
     return min(200, max(8 * limit, 64))
 
@@ -92,14 +97,14 @@ def hybrid(index: TextIndex, events: Events, vectors: DataFrame, query_vector: D
     """
     sem = vector_topk(live_vectors(vectors, events, cap.workstream, provider), query_vector, pool(limit), "event_id", ("created_at",))
     sem = sem.select("event_id", F.col("cosine").alias("semantic"), R.recency(F.col("created_at"), now).alias("rs"))
-    lex = best(index, query, pool(limit), F.col("workstream_id") == cap.workstream).select("event_id", F.col("bm25").alias("lexical"), R.recency(F.col("created_at"), now).alias("rl"))
-    both = sem.join(lex, "event_id", "full_outer").withColumn("subject", F.lit(0.0))
+    lex = best(index, query, pool(limit), cap.workstream).select("event_id", F.col("bm25").alias("lexical"), R.recency(F.col("created_at"), now).alias("rl"))
+    both = at_hand(sem.join(lex, "event_id", "full_outer").withColumn("subject", F.lit(0.0)))
     if triples is not None and any(keys):
         about = subject_match(triples.where(F.col("workstream_id") == cap.workstream), list(keys)).select("event_id").distinct()
         hit = about.withColumn("hit", F.lit(1.0))
         both = both.join(hit.join(F.broadcast(both.select("event_id")), "event_id", "left_semi"), "event_id", "left").withColumn("subject", F.coalesce("hit", F.lit(0.0))).drop("hit")
         new = about.join(F.broadcast(both.select("event_id")), "event_id", "left_anti").orderBy("event_id").limit(injected(limit))
-        both = both.unionByName(new.withColumn("subject", F.lit(1.0)), allowMissingColumns=True)
+        both = at_hand(both.unionByName(new.withColumn("subject", F.lit(1.0)), allowMissingColumns=True))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     both = both.select("event_id", zero("semantic").alias("semantic"), zero("lexical").alias("lexical"), "subject", F.coalesce("rs", "rl", F.lit(1.0)).alias("recency"))
     both = both.withColumn("fused", R.SEMANTIC * F.col("semantic") + R.LEXICAL * F.col("lexical") + R.SUBJECT * F.col("subject")).withColumn("score", F.col("fused") * F.col("recency"))

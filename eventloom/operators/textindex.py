@@ -1,32 +1,61 @@
-"""The full-text index as tables (S5, K3, R1-R3, A21): postings by term, and the size of the corpus.
+"""The full-text index as tables (S5, K3, R1-R3, A21): postings by term, the cells they fall into, the documents, the size of the corpus.
 
-Postings hold term, event, workstream, creation, term count and document length, in files by a hash of the
-term and sorted by term, so that a query reads its own terms and nothing else. They are made at ingest;
-a document's terms are counted once in its life.
+A posting's cell comes from its term count and document length alone, best impact first, and postings are
+sorted by term, workstream and cell. ``cells`` says how many postings a term has in each cell, with the
+most occurrences and the shortest length among them, so a bound of any cell's scores is known without
+its postings. ``documents`` has the counts of all terms of a document, in files that a few ids find.
+
+``best`` reads postings cell by cell, best first, as far as a running threshold asks (MaxScore): the
+scores of the first candidates are a threshold; a term's unread cells cannot give more than their bound;
+once the bounds of all terms together stay below the threshold, no document outside the read postings
+can be among the best. Frequent terms, whose bounds are small, are then hardly read at all.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring as R
 from ..functions.text import query_terms, terms
+from ..sources.versioned import Versioned, bucket_of, bucket_on_driver, listed
 
-#: Folders that postings are dealt to by term.
+#: Buckets of postings by term, and of documents by id.
 BUCKETS = 32
+#: Rows of a Parquet page of postings, the least that skipping can leave out; pages of documents, which are wider, have a tenth.
+PAGE_ROWS = 1000
+#: Length by which cells are put in order; bounds never depend on it.
+USUAL = 400.0
+#: Candidates whose counts are looked up by id; more are joined.
+LISTED = 2000
+#: Up to so many postings of a query's terms are read without further ado.
+FEW = 4096
+#: Slack of a bound against the rounding of sums.
+SLACK = 1e-9
+
+POSTINGS = "event_id string, term string, workstream_id string, created_at timestamp_ntz, dl int, tf int, cell int"
+CELLS = "term string, workstream_id string, cell int, n bigint, tf int, dl int"
+DOCUMENTS = "event_id string, workstream_id string, created_at timestamp_ntz, dl int, counts map<string,int>"
+SIZES = "n bigint, words bigint"
 
 
 @dataclass(frozen=True)
 class TextIndex:
     postings: DataFrame
     sizes: DataFrame
+    cells: DataFrame | None = None
+    documents: DataFrame | None = None
 
 
-def bucket_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def cell_of(tf: Column, dl: Column) -> Column:
+    """Equal counts (from 8 up: of one power of two) and lengths within a factor of 1.4 share a cell; smaller cells have more impact."""
+    times = F.when(tf < 8, tf).otherwise(8 + F.floor(F.log2(tf / 8.0)))
+    size = F.floor(2 * F.log2(F.greatest(dl, F.lit(1)).cast("double")))
+    low, length = F.when(tf < 8, tf.cast("double")).otherwise(F.pow(F.lit(2.0), times - 5)), F.pow(F.lit(2.0), size / 2)
+    order = F.floor(1000 * (1 - low / (low + 1.2 * (0.25 + 0.75 * length / USUAL))))
+    return (order * 4096 + F.least(times, F.lit(63)) * 64 + F.least(size, F.lit(63))).cast("int")
 
 
 def postings(corpus: DataFrame) -> DataFrame:
@@ -34,32 +63,121 @@ def postings(corpus: DataFrame) -> DataFrame:
     words = corpus.select("event_id", "workstream_id", "created_at", terms(F.coalesce("content", F.lit(""))).alias("_t"))
     each = words.select("event_id", "workstream_id", "created_at", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
     counted = each.groupBy("event_id", "term").agg(F.first("workstream_id").alias("workstream_id"), F.first("created_at").alias("created_at"), F.first("dl").alias("dl"), F.count("*").cast("int").alias("tf"))
-    return counted.withColumn("bucket", bucket_of(F.col("term")))
+    return counted.withColumn("cell", cell_of(F.col("tf"), F.col("dl")))
+
+
+def cells(found: DataFrame) -> DataFrame:
+    """Of postings: how many each cell of a term and workstream has, most occurrences, shortest length."""
+    return found.groupBy("term", "workstream_id", "cell").agg(F.count("*").alias("n"), F.max("tf").alias("tf"), F.min("dl").alias("dl"))
+
+
+def documents(found: DataFrame) -> DataFrame:
+    """Of postings: each document with the counts of all its terms."""
+    counts = F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("counts")
+    return found.groupBy("event_id").agg(F.first("workstream_id").alias("workstream_id"), F.first("created_at").alias("created_at"), F.first("dl").alias("dl"), counts)
 
 
-def sizes(corpus: DataFrame) -> DataFrame:
+def sizes(corpus: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """One row a batch: documents and words."""
-    return corpus.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(terms(F.coalesce("content", F.lit(""))))), F.lit(0)).alias("words"))
+    found = postings(corpus) if found is None else found
+    return corpus.agg(F.count("*").alias("n")).crossJoin(found.agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("long").alias("words")))  # one row each
 
 
-def laid_out(found: DataFrame) -> DataFrame:
-    """Postings for writing: by bucket, large buckets split and small ones joined, sorted by term."""
-    return found.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
+def indexed(corpus: DataFrame) -> TextIndex:
+    """The index of a corpus as plans, nothing written."""
+    found = postings(corpus)
+    return TextIndex(found, sizes(corpus, found), cells(found), documents(found))
 
 
 def upserted(index: TextIndex, corpus: DataFrame, replaced: bool = False) -> TextIndex:
-    """K3: the index with a batch of documents; ``replaced``: their old postings go first."""
-    old, size = index.postings, index.sizes
+    """K3: the index with a batch of documents; ``replaced``: their old postings go first.
+
+    Cells only lose their numbers then; their bounds stay, and stay right.
+    """
+    old, size, cell, docs = index.postings, index.sizes, index.cells, index.documents
+    new = indexed(corpus)
     if replaced:
         gone = corpus.select("event_id").distinct()
-        lost = old.join(gone, "event_id", "left_semi").groupBy("event_id").agg(F.first("dl").alias("dl"))
-        size = size.unionByName(lost.agg((-F.count("*")).alias("n"), (-F.coalesce(F.sum("dl"), F.lit(0))).alias("words")))
+        lost = old.join(gone, "event_id", "left_semi")
+        size = size.unionByName(lost.groupBy("event_id").agg(F.first("dl").alias("dl")).agg((-F.count("*")).alias("n"), (-F.coalesce(F.sum("dl"), F.lit(0))).alias("words")))
+        cell = cell.unionByName(lost.groupBy("term", "workstream_id", "cell").agg((-F.count("*")).alias("n")), allowMissingColumns=True)
         old = old.join(gone, "event_id", "left_anti").select(index.postings.columns)
-    return TextIndex(old.unionByName(postings(corpus)), size.unionByName(sizes(corpus)))
+        docs = docs.join(gone, "event_id", "left_anti").select(docs.columns)
+    return TextIndex(old.unionByName(new.postings), size.unionByName(new.sizes), cell.unionByName(new.cells), docs.unionByName(new.documents))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a few large files dealt to all cores; a scan that has a task for each core stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+class IndexStore:
+    """The index as kept tables under one folder: a batch of new documents appends, replaced documents rewrite the buckets of their terms."""
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
+        table = lambda name, ddl, by, **more: Versioned(spark, f"{folder}/{name}", ddl, by, buckets, **more)
+        self.postings = table("postings", POSTINGS, "term", order=["term", "workstream_id", "cell"], page_rows=PAGE_ROWS)
+        self.cells = table("cells", CELLS, "term", order=["term", "workstream_id", "cell"])
+        self.documents = table("documents", DOCUMENTS, "event_id", bloom=["event_id"], page_rows=PAGE_ROWS // 10)
+        self.sizes = Versioned(spark, f"{folder}/sizes", SIZES, "n", 1)
+
+    def add(self, corpus: DataFrame) -> None:
+        """Documents that the index does not have; their terms are counted once, from what the postings' files hold."""
+        after = self.postings.last()
+        self.postings.append(postings(spread(corpus)))
+        found = self._since(after)
+        self.cells.append(cells(found))
+        self.documents.append(documents(found))
+        self.sizes.append(sizes(corpus, found))
+
+    def _since(self, version: int) -> DataFrame:
+        """The postings that versions after one have brought."""
+        old = {p for paths in self.postings.manifest(version).values() for p in paths}
+        new = [f"{self.postings.folder}/{p}" for paths in self.postings.manifest().values() for p in paths if p not in old]
+        return self.postings.spark.read.schema(POSTINGS).parquet(*new) if new else self.postings.spark.createDataFrame([], POSTINGS)
+
+    def put(self, corpus: DataFrame) -> None:
+        """K3: documents of which the index may have older forms; those that it has lose their postings in the buckets of their own terms."""
+        ids = corpus.select("event_id").distinct()
+        old = self.documents.read().join(ids, "event_id", "left_semi")
+        lost = old.select("event_id", "workstream_id", "dl", F.explode("counts").alias("term", "tf"))
+        lost = lost.withColumn("cell", cell_of(F.col("tf"), F.col("dl"))).persist()
+        try:
+            if lost.take(1):
+                down = lost.groupBy("term", "workstream_id", "cell").agg((-F.count("*")).alias("n"), F.lit(None).cast("int").alias("tf"), F.lit(None).cast("int").alias("dl"))
+                size = lost.select("event_id", "dl").distinct().agg((-F.count("*")).alias("n"), (-F.sum("dl")).cast("long").alias("words"))
+                self.cells.append(down)
+                self.sizes.append(size)
+                self.postings.upsert(self.postings.read([]), ["event_id", "term"], gone=lost)
+                self.documents.upsert(self.documents.read([]), gone=ids)
+        finally:
+            lost.unpersist()
+        self.add(corpus)
+
+    def index(self) -> KeptIndex:
+        """The tables as they are now; later batches do not show in it."""
+        at = tuple(t.last() for t in (self.postings, self.cells, self.documents))
+        return KeptIndex(self.postings.read(version=at[0]), self.sizes.read(), self.cells.read(version=at[1]), self.documents.read(version=at[2]), self, at)
+
+
+@dataclass(frozen=True)
+class KeptIndex(TextIndex):
+    """An index whose tables open only the buckets of the terms and ids that are asked for."""
+
+    store: IndexStore | None = None
+    versions: tuple[int, ...] = ()
+
+    def of_terms(self, words: list[str]) -> KeptIndex:
+        some = {bucket_on_driver(w, self.store.postings.buckets) for w in words}
+        return replace(self, postings=self.store.postings.read(some, self.versions[0]), cells=self.store.cells.read(some, self.versions[1]))
+
+    def of_documents(self, ids: list[str]) -> DataFrame:
+        return self.store.documents.of_keys(ids, self.versions[2])
 
 
 def bm25(index: TextIndex, query: str, inside: Column | None = None) -> DataFrame:
-    """(event_id, workstream_id, created_at, raw_score) of events that hold any term; more negative is better.
+    """(event_id, workstream_id, created_at, raw_score) of all events that hold any term; more negative is better.
 
     Statistics are of the whole corpus; ``inside`` only filters what returns. Repeated words count twice.
     """
@@ -67,7 +185,8 @@ def bm25(index: TextIndex, query: str, inside: Column | None = None) -> DataFram
     different = sorted(set(words))
     if not words:
         return index.postings.where(F.lit(False)).select("event_id", "workstream_id", "created_at", F.lit(0.0).alias("raw_score"))
-    hits = index.postings.where(F.col("bucket").isin(*[bucket_of(F.lit(w)) for w in different]) & F.col("term").isin(*different))
+    index = index.of_terms(different) if isinstance(index, KeptIndex) else index
+    hits = index.postings.where(F.col("term").isin(*different))
     size = index.sizes.agg(F.sum("n").alias("_n"), (F.sum("words") / F.greatest(F.sum("n"), F.lit(1))).alias("_avgdl"))
     frequency = hits.agg(*(F.count_if(F.col("term") == w).alias(f"_df{i}") for i, w in enumerate(words)))
     counts = [F.coalesce(F.max(F.when(F.col("term") == w, F.col("tf"))), F.lit(0)).alias(f"_tf{i}") for i, w in enumerate(words)]
@@ -78,8 +197,136 @@ def bm25(index: TextIndex, query: str, inside: Column | None = None) -> DataFram
     return each.select("event_id", "workstream_id", "created_at", (-score).alias("raw_score"))
 
 
-def best(index: TextIndex, query: str, limit: int, inside: Column | None = None) -> DataFrame:
-    """T3, first step: the best raw scores with their normal form."""
+class Term:
+    """One different term of a query: its weight, its cells in order with their postings and bounds, and how many cells have been read."""
+
+    def __init__(self, word: str, times: int, weight: float, cells: list[tuple[int, int, float]]):
+        self.word, self.times, self.weight, self.cells, self.read = word, times, weight, sorted(cells), 0
+        self.rest = [0.0]
+        for _, _, bound in reversed(self.cells):
+            self.rest.append(max(self.rest[-1], bound))
+        self.rest.reverse()
+
+    @property
+    def bound(self) -> float:
+        """The most that a posting outside the read cells can add."""
+        return self.rest[self.read]
+
+    def step(self) -> tuple[int, int]:
+        """The next number of cells at which the bound is lower, and the postings until there."""
+        at, n = self.read, 0
+        while at < len(self.cells) and self.rest[at] >= self.bound:
+            n += self.cells[at][1]
+            at += 1
+        return at, n
+
+    def hits(self) -> Column:
+        return (F.col("term") == self.word) & (F.col("cell") <= self.cells[self.read - 1][0]) if self.read else F.lit(False)
+
+
+def profile(index: TextIndex, words: list[str], workstream: str | None) -> tuple[list[Term], float, float]:
+    """The query's different terms with their cells, the number of documents, the mean length. Cells are bounded by the alphabet of (count, length)."""
+    here = F.lit(True) if workstream is None else F.col("workstream_id") == workstream
+    n, total = index.sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    mean = total / max(n, 1)
+    rows = index.cells.where(F.col("term").isin(*sorted(set(words)))).groupBy("term", "cell")
+    rows = rows.agg(F.sum("n").alias("df"), F.coalesce(F.sum(F.when(here, F.col("n"))), F.lit(0)).alias("n"), F.max(F.when(here, F.col("tf"))).alias("tf"), F.min(F.when(here, F.col("dl"))).alias("dl")).collect()
+    out = []
+    for word in dict.fromkeys(words):
+        own = [r for r in rows if r["term"] == word]
+        times, weight = words.count(word), R.idf_of(n, sum(r["df"] for r in own))
+        out.append(Term(word, times, weight, [(r["cell"], r["n"], times * weight * R.bm25_of(r["tf"], r["dl"], mean) * (1 + SLACK)) for r in own if r["n"] > 0]))
+    return out, n, mean
+
+
+def best(index: TextIndex, query: str, limit: int, workstream: str | None = None) -> DataFrame:
+    """T3, first step: the best raw scores (of one workstream) with their normal form (R5); at most ``limit`` rows, which are at hand when this returns."""
     slope, centre = R.regime(len(query.split()))
-    found = bm25(index, query, inside).orderBy("raw_score", "event_id").limit(limit)
+    found = top_scores(index, query, limit, workstream)
     return found.withColumn("bm25", R.sigmoid(F.col("raw_score"), F.lit(slope), F.lit(centre)))
+
+
+def top_scores(index: TextIndex, query: str, limit: int, workstream: str | None = None) -> DataFrame:
+    """The rows of ``bm25`` with the least raw scores (ties: the least id), by MaxScore."""
+    spark, words = index.postings.sparkSession, query_terms(query)
+    index = index.of_terms(words) if words and isinstance(index, KeptIndex) else index
+    rows: list = []
+    if words:
+        terms_, n, mean = profile(index, words, workstream)
+        if sum(k for t in terms_ for _, k, _ in t.cells) <= FEW:
+            return local(spark, read_all(index, terms_, words, mean, limit, workstream))
+        open_first(terms_, 2 * limit)
+        rows, whole = read_best(index, terms_, words, n, mean, limit, workstream, None)
+        threshold = -rows[limit - 1]["raw_score"] if len(rows) >= limit else 0.0
+        if open_until(terms_, threshold) or not whole:
+            rows, _ = read_best(index, terms_, words, n, mean, limit, workstream, threshold)
+    return local(spark, rows)
+
+
+def local(spark: SparkSession, rows: list) -> DataFrame:
+    return spark.createDataFrame([tuple(r) for r in rows], "event_id string, workstream_id string, created_at timestamp_ntz, raw_score double").coalesce(1)
+
+
+def read_all(index: TextIndex, terms_: list[Term], words: list[str], mean: float, limit: int, workstream: str | None) -> list:
+    """The best documents by all postings of the query's terms."""
+    found = index.postings.where(F.col("term").isin(*(t.word for t in terms_)))
+    found = found if workstream is None else found.where(F.col("workstream_id") == workstream)
+    counts = [F.coalesce(F.max(F.when(F.col("term") == t.word, F.col("tf"))), F.lit(0)).alias(f"tf{i}") for i, t in enumerate(terms_)]
+    each = found.groupBy("event_id").agg(F.first("workstream_id").alias("workstream_id"), F.first("created_at").alias("created_at"), F.first("dl").alias("dl"), *counts)
+    place = {t.word: i for i, t in enumerate(terms_)}
+    score = sum((F.lit(terms_[place[w]].weight) * R.bm25_term(F.col(f"tf{place[w]}"), F.col("dl"), F.lit(mean)) for w in words), F.lit(0.0))
+    return each.select("event_id", "workstream_id", "created_at", (-score).alias("raw_score")).orderBy("raw_score", "event_id").limit(limit).collect()
+
+
+def open_first(terms_: list[Term], postings_: int) -> None:
+    """Read the cells of the highest bounds until they hold so many postings."""
+    while postings_ > 0 and any(t.bound for t in terms_):
+        t = max(terms_, key=lambda t: t.bound)
+        at, n = t.step()
+        t.read, postings_ = at, postings_ - n
+
+
+def open_until(terms_: list[Term], threshold: float) -> bool:
+    """Read on, where a posting buys most, until the bounds of what is unread stay below the threshold together; whether anything was to be read."""
+    more = False
+    while sum(t.bound for t in terms_) >= threshold and any(t.bound for t in terms_):
+        gain = lambda t: (t.bound - t.rest[t.step()[0]]) / max(1, t.step()[1])
+        t = max((t for t in terms_ if t.bound), key=gain)
+        t.read, more = t.step()[0], True
+    return more
+
+
+def read_best(index: TextIndex, terms_: list[Term], words: list[str], n: float, mean: float, limit: int, workstream: str | None, threshold: float | None) -> tuple[list, bool]:
+    """The best documents of the postings that are open, by their whole scores, and whether all of them were looked at.
+
+    Those that cannot reach the threshold are not looked up. Without one it is to be found, and twice the
+    limit of the most promising do for that. A query of one term has whole scores in its postings.
+    """
+    hits = F.lit(False)
+    for t in terms_:
+        hits = hits | t.hits()
+    found = index.postings.where(hits)
+    found = found if workstream is None else found.where(F.col("workstream_id") == workstream)
+    if len(terms_) == 1:
+        score = sum((F.lit(terms_[0].weight) * R.bm25_term(F.col("tf"), F.col("dl"), F.lit(mean)) for _ in words), F.lit(0.0))
+        return found.select("event_id", "workstream_id", "created_at", (-score).alias("raw_score")).orderBy("raw_score", "event_id").limit(limit).collect(), True
+    weight = F.element_at(F.create_map(*[F.lit(x) for t in terms_ for x in (t.word, t.times * t.weight)]), F.col("term"))
+    here = found.groupBy("event_id").agg(F.sum(weight * R.bm25_term(F.col("tf"), F.col("dl"), F.lit(mean))).alias("seen"), *(F.max(F.col("term") == t.word).alias(f"has{i}") for i, t in enumerate(terms_)))
+    most = F.col("seen") + sum((F.when(F.col(f"has{i}"), 0.0).otherwise(t.bound) for i, t in enumerate(terms_)), F.lit(0.0))
+    here = here.select("event_id", (most * (1 + SLACK)).alias("most"))
+    here = here if threshold is None else here.where(F.col("most") >= threshold)
+    few = LISTED if threshold is not None else min(LISTED, 2 * limit)
+    ids = [r["event_id"] for r in here.orderBy(F.col("most").desc(), "event_id").limit(few + 1).collect()]
+    whole = len(ids) <= few
+    if not whole and threshold is not None:
+        docs = index.documents.join(here, "event_id", "left_semi")
+    else:
+        ids = ids[:few]
+        docs = index.of_documents(ids) if isinstance(index, KeptIndex) else index.documents.where(listed("event_id", sorted(ids)))
+    weights = {t.word: t.weight for t in terms_}
+    score = sum((F.lit(weights[w]) * R.bm25_term(F.coalesce(F.try_element_at("counts", F.lit(w)), F.lit(0)), F.col("dl"), F.lit(mean)) for w in words), F.lit(0.0))
+    docs = docs if workstream is None else docs.where(F.col("workstream_id") == workstream)
+    return docs.select("event_id", "workstream_id", "created_at", (-score).alias("raw_score")).orderBy("raw_score", "event_id").limit(limit).collect(), whole
+
+
+__all__ = ["BUCKETS", "IndexStore", "KeptIndex", "TextIndex", "best", "bm25", "bucket_of", "indexed", "postings", "sizes", "top_scores", "upserted"]

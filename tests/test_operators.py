@@ -252,7 +252,7 @@ def small_store(spark):
     gone = spark.createDataFrame([("e4", t)], "event_id string, revoked_at timestamp_ntz")
     seen = spark.createDataFrame([(i, v) for i, *_, v in body], "event_id string, visibility int")
     corpus = log.withColumnRenamed("statement", "content")
-    return search.Events(log, gone, seen), textindex.TextIndex(textindex.postings(corpus), textindex.sizes(corpus)), corpus
+    return search.Events(log, gone, seen), textindex.indexed(corpus), corpus
 
 
 def test_free_text_passes_every_gate(spark):
