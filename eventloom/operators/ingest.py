@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,16 +25,30 @@ def validated(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where("reason is null").drop("reason"), rows.where("reason is not null")
 
 
-def prepared(captures: DataFrame, now: str) -> DataFrame:
-    """Log rows: secrets redacted in the payload's text fields, classified by the payload's text, stamped with the store's clock."""
-    rows = captures.withColumn("_p", P.redacted(P.parsed(F.col("payload")))).withColumn("payload", F.to_json("_p.payload"))
+@dataclass(frozen=True)
+class Seams:
+    """What a host may put in place of the built-in redactor, classifier and content shape.
+
+    ``redact`` takes a parsed payload and gives (payload, hits); ``classify`` takes the payload's text,
+    whether anything was redacted, and the category; ``shape`` takes the payload's text and category.
+    """
+
+    redact: Callable[[Column], Column] = P.redacted
+    classify: Callable[[Column, Column, Column], Column] = classify
+    shape: Callable[[Column, Column], Column] = lambda text, category: F.lit(0)
+
+
+def prepared(captures: DataFrame, now: str, seams: Seams = Seams()) -> DataFrame:
+    """Log rows: secrets redacted in the payload's text fields, classified by the payload's text, stamped with the store's clock."""
+    rows = captures.withColumn("_p", seams.redact(P.parsed(F.col("payload")))).withColumn("payload", F.to_json("_p.payload"))
     text = P.classifier_text(F.col("_p.payload"))
-    rows = rows.withColumn("classification", classify(text, F.col("_p.hits") > 0, F.col("category")).cast("int"))
+    rows = rows.withColumn("classification", seams.classify(text, F.col("_p.hits") > 0, F.col("category")).cast("int"))
+    rows = rows.withColumn("content_shape", seams.shape(text, F.col("category")).cast("int"))
     rows = rows.withColumn("created_at", F.lit(now).cast("timestamp_ntz"))
     null = lambda t: F.lit(None).cast(t)
     return rows.select(
         "event_id", "workstream_id", F.col("channel").alias("event_channel"), "category", "schema_version", F.coalesce("valid_at", "recorded_at", "created_at").alias("valid_at"), null("timestamp_ntz").alias("invalid_at"), "created_at",
-        null("timestamp_ntz").alias("expired_at"), "payload", "source", F.lit(0).alias("content_shape"), "classification", "principal_id", null("string").alias("artifact_id"),
+        null("timestamp_ntz").alias("expired_at"), "payload", "source", "content_shape", "classification", "principal_id", null("string").alias("artifact_id"),
     )
 
 

@@ -69,17 +69,59 @@ def decision_chains(log: DataFrame) -> DataFrame:
     return chains.select("workstream_id", "decision_id", F.coalesce("decided", "acted").alias("decision_at"), "action_id", F.col("o.event_id").alias("outcome_id"), F.col("o.polarity").alias("polarity"), F.col("o.event_id").isNotNull().alias("closed"))
 
 
-def feedback_weights(log: DataFrame) -> DataFrame:
-    """Outcome, action, decision; each target's weight moves by a tenth of score - 0.5, clamped to [0.1, 5] at each step."""
+def feedback_steps(log: DataFrame) -> DataFrame:
+    """Outcome, action, decision: (event_id, at, outcome_id, delta) for the decision and each different supporter of it."""
     outcomes = log.where(F.col("category") == S.OUTCOME).select(F.col("action_ref").alias("action_id"), F.col("event_id").alias("outcome_id"), F.col("created_at").alias("at"), "polarity")
     actions = log.where(F.col("category") == S.ACTION).select(F.col("event_id").alias("action_id"), F.col("decision_ref").alias("decision_id"))
     decisions = log.where(F.col("category") == S.DECISION).select(F.col("event_id").alias("decision_id"), "supporting")
     walk = outcomes.join(actions, "action_id").join(decisions, "decision_id")
     targets = F.array_distinct(F.concat(F.array("decision_id"), F.coalesce("supporting", F.array().cast("array<string>"))))
     delta = 0.1 * ((F.col("polarity") + 1) / 2.0 - 0.5)
-    steps = walk.select(F.explode(targets).alias("event_id"), "at", "outcome_id", delta.alias("delta")).groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("at", "outcome_id", "delta"))).alias("steps"))
-    fold = F.aggregate("steps", F.lit(1.0), lambda w, x: F.least(F.lit(5.0), F.greatest(F.lit(0.1), w + x["delta"])))
-    return steps.select("event_id", F.round(fold, 6).alias("weight"), F.size("steps").cast("long").alias("updates"))
+    return walk.select(F.explode(targets).alias("event_id"), "at", "outcome_id", delta.alias("delta"))
+
+
+#: A weight's bounds and start.
+WEIGHT_LOW, WEIGHT_HIGH, WEIGHT_START = 0.1, 5.0, 1.0
+#: Rows of one fold are at most 2 ** FOLD_BITS.
+FOLD_BITS = 10
+
+
+def _folded(rows: DataFrame, *by: str) -> DataFrame:
+    """Maps (n, low, high, shift, updates) composed in order of n by some columns: a weight w becomes min(high, max(low, w + shift))."""
+    start = F.struct(F.lit(WEIGHT_LOW).alias("low"), F.lit(WEIGHT_HIGH).alias("high"), F.lit(0.0).alias("shift"))
+
+    def then(a, x):
+        clamp = lambda v: F.least(x["high"], F.greatest(x["low"], v + x["shift"]))
+        return F.struct(clamp(a["low"]).alias("low"), clamp(a["high"]).alias("high"), (a["shift"] + x["shift"]).alias("shift"))
+
+    steps = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("n", "low", "high", "shift"))).alias("x"), F.sum("updates").alias("updates"))
+    return steps.withColumn("x", F.aggregate("x", start, then)).select(*by, "x.low", "x.high", "x.shift", "updates")
+
+
+def feedback_maps(steps: DataFrame) -> DataFrame:
+    """What the steps of each target, in order, do to its weight: (event_id, low, high, shift, updates).
+
+    Each step is clamped, so steps do not add up; but clamped steps compose into one of the same form, and
+    composing is associative. So steps are dealt by ranges of (target, time), numbered, folded by runs of
+    at most 1,024, then runs by runs: no row ever holds all steps of a target.
+    """
+    order = ["event_id", "at", "outcome_id"]
+    n = F.monotonically_increasing_id()
+    rows = steps.repartitionByRange(*order).sortWithinPartitions(*order).select("event_id", n.alias("n"), F.lit(WEIGHT_LOW).alias("low"), F.lit(WEIGHT_HIGH).alias("high"), F.col("delta").alias("shift"), F.lit(1).cast("long").alias("updates"))
+    for _ in range(2):
+        rows = _folded(rows.withColumn("run", F.shiftright("n", FOLD_BITS)), "event_id", "run").withColumnRenamed("run", "n")
+    return _folded(rows, "event_id")
+
+
+def moved(weight, low: str = "low", high: str = "high", shift: str = "shift"):
+    """A weight after a target's steps."""
+    return F.least(F.col(high), F.greatest(F.col(low), weight + F.col(shift)))
+
+
+def feedback_weights(log: DataFrame) -> DataFrame:
+    """Each target's weight moves by a tenth of score - 0.5, clamped to [0.1, 5] at each step."""
+    maps = feedback_maps(feedback_steps(log))
+    return maps.select("event_id", F.round(moved(F.lit(WEIGHT_START)), 6).alias("weight"), "updates")
 
 
 def duplicate_groups(log: DataFrame) -> DataFrame:

@@ -40,7 +40,9 @@ class Versioned:
     """A table of ``ddl`` at ``folder``; rows with equal ``by`` share a bucket, which holds them sorted by ``order``.
 
     ``bloom`` names columns whose files get Bloom filters. Readers of one version are not disturbed by
-    later ones until ``vacuum`` removes what only older versions name.
+    later ones until ``vacuum`` removes what only older versions name. A change may carry the number of a
+    batch: once a version with it is there, the same batch changes nothing, and ``before`` gives the rows as
+    the batch found them, so that a batch that is run again after a failure goes on where it stopped.
     """
 
     def __init__(self, spark: SparkSession, folder: str, ddl, by: str, buckets: int = 64, order: Iterable[str] = (), bloom: Iterable[str] = (), page_rows: int | None = None):
@@ -56,19 +58,32 @@ class Versioned:
 
     def manifest(self, version: int | None = None) -> dict[int, list[str]]:
         """Folders of each bucket in a version (default: the last one)."""
+        return {int(b): paths for b, paths in self.published(version)["buckets"].items()}
+
+    def published(self, version: int | None = None) -> dict:
+        """A version's buckets and the last batch that it holds."""
         version = self.last() if version is None else version
         if not version:
-            return {}
+            return {"buckets": {}, "batch": -1}
         fs, path = files(self.spark, f"{self.folder}/versions/{version:012d}.json")
         stream = fs.open(path)
         try:
             text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        return {int(b): paths for b, paths in json.loads(text).items()}
+        return json.loads(text)
+
+    def batch(self) -> int:
+        """The last batch that has changed the table; -1 if none has."""
+        return self.published()["batch"]
+
+    def before(self, batch: int) -> int:
+        """The last version without this batch; 0 if there is none."""
+        return next((v for v in reversed(self.versions()) if self.published(v)["batch"] < batch), 0)
 
-    def publish(self, manifest: dict[int, list[str]], after: int) -> int:
+    def publish(self, manifest: dict[int, list[str]], after: int, batch: int | None = None) -> int:
         """Make the version after ``after``; raises ``Conflict`` if it exists."""
+        batch = self.published(after)["batch"] if batch is None else batch
         fs, path = files(self.spark, f"{self.folder}/versions/{after + 1:012d}.json")
         try:
             stream = fs.create(path, False)
@@ -77,7 +92,7 @@ class Versioned:
                 raise Conflict(str(path)) from e
             raise
         try:
-            stream.write(bytearray(json.dumps(manifest, sort_keys=True), "utf-8"))
+            stream.write(bytearray(json.dumps({"buckets": manifest, "batch": batch}, sort_keys=True), "utf-8"))
         finally:
             stream.close()
         return after + 1
@@ -106,18 +121,22 @@ class Versioned:
         names = [s.getPath().getName() for s in fs.listStatus(path)]
         return {int(n.removeprefix("bucket=")): [f"{made}/{n}"] for n in names if n.startswith("bucket=")}
 
-    def append(self, rows: DataFrame) -> int:
+    def append(self, rows: DataFrame, batch: int | None = None) -> int:
         """A version with more rows; no bucket is read."""
+        if batch is not None and self.batch() >= batch:
+            return self.last()
         after, now = self.last(), self.manifest()
         for b, paths in self._written(rows).items():
             now[b] = [*now.get(b, []), *paths]
-        return self.publish(now, after)
+        return self.publish(now, after, batch)
 
-    def upsert(self, rows: DataFrame, keys: Iterable[str] | None = None, gone: DataFrame | None = None) -> int:
+    def upsert(self, rows: DataFrame, keys: Iterable[str] | None = None, gone: DataFrame | None = None, batch: int | None = None) -> int:
         """A version in which rows replace those with equal ``keys`` (default: the bucket key) and the keys of ``gone`` have no rows.
 
         Only buckets of these keys are read and rewritten. Rows must be unique by keys.
         """
+        if batch is not None and self.batch() >= batch:
+            return self.last()
         keys = list(keys or [self.by])
         after, now = self.last(), self.manifest()
         out = rows.select(*keys) if gone is None else rows.select(*keys).unionByName(gone.select(*keys))
@@ -127,7 +146,7 @@ class Versioned:
         made = self._written(kept.unionByName(rows.select(*old.columns)))
         for b in touched:
             now.pop(b, None)
-        return self.publish(now | made, after)
+        return self.publish(now | made, after, batch)
 
     def vacuum(self, keep: int = 2) -> list[str]:
         """Remove data folders that none of the last ``keep`` versions names, and older versions; returns what went. Not while a writer is at work."""
