@@ -38,23 +38,41 @@ def triples(log: DataFrame) -> DataFrame:
     return triples_of(log.where(F.col("category") == S.FACT).withColumn("triples", one))
 
 
-def contradictions(triples_: DataFrame) -> DataFrame:
-    """Pairs of facts that say something else of one subject and predicate; each pair once."""
-    side = triples_.withColumn("value", normalized(F.col("object")))
-    a = side.select("workstream_id", "subject_key", "predicate", F.col("event_id").alias("event_a"), F.col("object").alias("object_a"), F.col("value").alias("va"), F.col("valid_at").alias("ta"), F.col("ordinal").alias("oa"))
-    b = side.select("workstream_id", "subject_key", "predicate", F.col("event_id").alias("event_b"), F.col("object").alias("object_b"), F.col("value").alias("vb"), F.col("valid_at").alias("tb"), F.col("ordinal").alias("ob"))
-    pairs = a.join(b, ["workstream_id", "subject_key", "predicate"]).where("event_a < event_b and va <> vb")
+def contradictions(triples_: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """Pairs of facts that say something else of one subject and predicate; each pair once. With ``others``: pairs of one of triples_ and one of others."""
+
+    def side(of: DataFrame, x: str) -> DataFrame:
+        return of.select("workstream_id", "subject_key", "predicate", F.col("event_id").alias(f"event_{x}"), F.col("object").alias(f"object_{x}"), normalized(F.col("object")).alias(f"v{x}"), F.col("valid_at").alias(f"t{x}"), F.col("ordinal").alias(f"o{x}"))
+
+    keys = ["workstream_id", "subject_key", "predicate"]
+    pairs = _both_ways(lambda p, q: side(p, "a").join(side(q, "b"), keys).where("event_a < event_b and va <> vb"), triples_, others)
     first = F.min(F.struct("oa", "ob", "object_a", "object_b", F.greatest("ta", "tb").alias("detected_at")))
     out = pairs.groupBy("workstream_id", "subject_key", "predicate", "event_a", "event_b").agg(first.alias("x"))
     return out.select("workstream_id", "subject_key", "predicate", "event_a", "event_b", F.col("x.object_a").alias("object_a"), F.col("x.object_b").alias("object_b"), F.col("x.detected_at").alias("detected_at"))
 
 
+def _both_ways(pairs, a: DataFrame, b: DataFrame | None) -> DataFrame:
+    return pairs(a, a) if b is None else pairs(a, b).unionByName(pairs(b, a))
+
+
+def fact_keys(log: DataFrame) -> DataFrame:
+    """Facts by their normalised statement."""
+    return log.where(F.col("category") == S.FACT).select("workstream_id", normalized(F.col("statement")).alias("key"), "event_id", "created_at", "valid_at")
+
+
 def duplicates(log: DataFrame) -> DataFrame:
     """(canonical, duplicate) pairs of facts with one normalised statement, the canonical one earlier."""
-    rows = log.where(F.col("category") == S.FACT).select("workstream_id", normalized(F.col("statement")).alias("key"), "event_id", "created_at", "valid_at")
-    a = rows.select("workstream_id", "key", F.col("event_id").alias("canonical_event"), F.col("created_at").alias("ca"), F.col("valid_at").alias("ta"))
-    b = rows.select("workstream_id", "key", F.col("event_id").alias("duplicate_event"), F.col("created_at").alias("cb"), F.col("valid_at").alias("tb"))
-    pairs = a.join(b, ["workstream_id", "key"]).where("ca < cb or (ca = cb and canonical_event < duplicate_event)")
+    return duplicate_pairs(fact_keys(log))
+
+
+def duplicate_pairs(rows: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """J9 of ``fact_keys``. With ``others``: pairs of one of rows and one of others."""
+
+    def side(of: DataFrame, x: str, name: str) -> DataFrame:
+        return of.select("workstream_id", "key", F.col("event_id").alias(name), F.col("created_at").alias(f"c{x}"), F.col("valid_at").alias(f"t{x}"))
+
+    earlier = "ca < cb or (ca = cb and canonical_event < duplicate_event)"
+    pairs = _both_ways(lambda p, q: side(p, "a", "canonical_event").join(side(q, "b", "duplicate_event"), ["workstream_id", "key"]).where(earlier), rows, others)
     return pairs.select("workstream_id", "canonical_event", "duplicate_event", F.greatest("ta", "tb").alias("detected_at"))
 
 

@@ -122,14 +122,14 @@ class IndexStore:
         self.documents = table("documents", DOCUMENTS, "event_id", bloom=["event_id"], page_rows=PAGE_ROWS // 10)
         self.sizes = Versioned(spark, f"{folder}/sizes", SIZES, "n", 1)
 
-    def add(self, corpus: DataFrame) -> None:
-        """Documents that the index does not have; their terms are counted once, from what the postings' files hold."""
-        after = self.postings.last()
-        self.postings.append(postings(spread(corpus)))
+    def add(self, corpus: DataFrame, batch: int | None = None) -> None:
+        """Documents that the index does not have; their terms are counted once, from what the postings' files hold. A batch is added once, however often it is run."""
+        after = self.postings.last() if batch is None else self.postings.before(batch)
+        self.postings.append(postings(spread(corpus)), batch)
         found = self._since(after)
-        self.cells.append(cells(found))
-        self.documents.append(documents(found))
-        self.sizes.append(sizes(corpus, found))
+        self.cells.append(cells(found), batch)
+        self.documents.append(documents(found), batch)
+        self.sizes.append(sizes(corpus, found), batch)
 
     def _since(self, version: int) -> DataFrame:
         """The postings that versions after one have brought."""
