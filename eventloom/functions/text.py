@@ -229,8 +229,8 @@ def time_id(at: Column, *parts: Column) -> Column:
     return F.concat(*head, *tail)
 
 
-def answer_text(json: Column) -> Column:
-    """An answer as text whatever its JSON type: booleans as yes and no, null as empty."""
-    plain = F.trim(json)
-    unquoted = F.get_json_object(F.concat(F.lit('{"v":'), plain, F.lit("}")), "$.v")
-    return F.when(json.isNull() | (plain == "null"), F.lit("")).when(plain == "true", F.lit("yes")).when(plain == "false", F.lit("no")).otherwise(F.coalesce(unquoted, plain))
+def answer_text(value: Column) -> Column:
+    """An answer (variant) as text, by its JSON type: strings as they are, booleans as yes and no, numbers and the rest as written; null where there is none."""
+    kind = F.schema_of_variant(value)
+    said = F.when(kind == "STRING", value.cast("string")).when(kind == "BOOLEAN", F.when(value.cast("boolean"), "yes").otherwise("no")).when(kind == "VOID", F.lit("null"))
+    return F.when(value.isNotNull(), said.otherwise(F.to_json(value)))

@@ -151,21 +151,31 @@ def served(cached: DataFrame, events: DataFrame, log: DataFrame, curations: Data
     return fresh.unionByName(made), upserted(cached, made, ["workstream_id"])
 
 
-def prompt(events: DataFrame, curations: DataFrame, budget: int, most: int = 500) -> DataFrame:
-    """(workstream_id, prompt): the best ``most`` events by category, with what people have noted on them."""
-    from pyspark.sql import Window as W
+def prompt(events: DataFrame, curations: DataFrame, budget: int, now: str, covered: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+    """(workstream_id, prompt): clock, budget, the event covered through, all events by category, best first, with what people have noted on them and why, and the orientation of an earlier bundle.
 
-    rows = events.withColumn("n", F.row_number().over(W.partitionBy("workstream_id").orderBy(*map(F.expr, _ORDER)))).where(F.col("n") <= most)
-    note = F.concat(F.lit("    * "), F.element_at(F.array(*map(F.lit, S.CURATIONS)), F.col("kind") + 1), F.lit(" by "), F.col("curator"))
-    notes = curations.where("not reverted").join(F.broadcast(rows.select(F.col("event_id").alias("target_id"))), "target_id", "left_semi")
-    notes = notes.groupBy(F.col("target_id").alias("event_id")).agg(F.array_join(F.array_sort(F.collect_list(note)), "\n").alias("notes"))
+    covered: workstream_id, event_id (``scans.latest``); prior: rows of ``BUNDLE``. Nothing is left out:
+    who wants a bounded prompt bounds the events.
+    """
+    why = F.col("rationale") if "rationale" in curations.columns else F.lit(None).cast("string")
+    note = F.concat(F.lit("    * "), F.element_at(F.array(*map(F.lit, S.CURATIONS)), F.col("kind") + 1), F.lit(" by "), F.col("curator"), F.coalesce(F.concat(F.lit(": "), truncated(why, 200)), F.lit("")))
+    notes = curations.where("not reverted").withColumnRenamed("target_id", "event_id").join(events.select("event_id"), "event_id", "left_semi")
+    notes = notes.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("occurred_at", "curation_id", note.alias("note")))).alias("x")).select("event_id", F.array_join("x.note", "\n").alias("notes"))
     line = F.concat_ws("\n", F.concat(F.lit("- ["), F.col("event_id"), F.lit("] (score="), F.format_number("score", 2), F.lit(", valid_at="), F.date_format("valid_at", "yyyy-MM-dd HH:mm:ss"), F.lit(") "), truncated(F.col("text"), 400)), F.col("notes"))
-    rows = rows.join(notes, "event_id", "left").withColumn("line", line).withColumn("rank", category_rank(F.col("category")))
+    rows = events.join(notes, "event_id", "left").withColumn("line", line).withColumn("rank", category_rank(F.col("category")))
     name = F.element_at(F.array(*map(F.lit, S.CATEGORIES)), F.col("category") + 1)
-    by = rows.groupBy("workstream_id", "rank", name.alias("name")).agg(F.count("*").alias("c"), F.array_sort(F.collect_list(F.struct("n", "line"))).alias("x"))
+    item = F.struct(*[F.expr(o).alias(f"o{i}") for i, o in enumerate(_ORDER)], "line")
+    by = rows.groupBy("workstream_id", "rank", name.alias("name")).agg(F.count("*").alias("c"), F.array_sort(F.collect_list(item)).alias("x"))
     block = F.concat(F.lit("== "), F.col("name"), F.lit(" ("), F.col("c").cast("string"), F.lit(") ==\n"), F.array_join(F.col("x.line"), "\n"))
     out = by.groupBy("workstream_id").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("block")))).alias("b"))
-    return out.select("workstream_id", F.concat(F.lit("Workstream: "), F.col("workstream_id"), F.lit(f"\nToken budget: {budget}\n\n"), F.array_join(F.col("b.block"), "\n\n")).alias("prompt"))
+    out = out.join(covered.select("workstream_id", F.col("event_id").alias("covered")), "workstream_id", "left")
+    head = F.concat(F.lit("Workstream: "), F.col("workstream_id"), F.lit(f"\nGenerated at: {now}\nToken budget: {budget}\nEvents covered through: "), F.coalesce("covered", F.lit("none")), F.lit("\n\n"))
+    out = out.select("workstream_id", F.concat(head, F.array_join(F.col("b.block"), "\n\n")).alias("prompt"))
+    if prior is None:
+        return out
+    tail = F.concat(F.lit("\n\nPRIOR BUNDLE (keep the sections that still hold):\n"), F.col("orientation"))
+    out = out.join(prior.select("workstream_id", "orientation"), "workstream_id", "left")
+    return out.select("workstream_id", F.concat("prompt", F.coalesce(tail, F.lit(""))).alias("prompt"))
 
 
 def stale(cached: DataFrame, log: DataFrame, curations: DataFrame) -> DataFrame:

@@ -78,6 +78,42 @@ def dream_run(events: DataFrame, dreamer, schema: str, log: DataFrame, now: str,
     return {"captures": captures, "visibility": made.select("event_id", "visibility"), "audit": audit}
 
 
+#: Pooled skills that a dreamer sees at once.
+FLEET_PART = 5000
+
+
+def fleet_run(token: gates.Token, config: DataFrame, skills: DataFrame, revocations: DataFrame, visibility: DataFrame, log: DataFrame, dreamer, schema: str, now: str, dreamer_id: str = "fleet", global_workstream: str = "global", each: int = 200) -> dict[str, DataFrame]:
+    """Skills of all workstreams that opted in, pooled, consolidated into the global workstream behind the classification floor.
+
+    Needs a token that spans workstreams and names none. config: workstream_id, opted_in. The newest
+    ``each`` skills of a workstream take part, revoked and unshared ones do not. The dreamer gets the pool
+    in parts of about ``FLEET_PART`` by the skill's name, so equal names meet and no task holds the
+    fleet. Outputs without sources or with one that is not public or internal are dropped and counted as
+    skipped; the rest is visible to all. Returns captures, visibility and a one-row summary.
+    """
+    from ..functions.text import content_id
+
+    if not (token.cross and token.workstream is None):
+        raise gates.Denied("a fleet's run needs a token that spans workstreams")
+    taking = config.where(F.col("opted_in") & (F.col("workstream_id") != global_workstream)).select("workstream_id").distinct()
+    pool = gates.not_revoked(skills.drop("revoked_at").join(taking, "workstream_id", "left_semi").join(visibility, "event_id", "left").where("coalesce(visibility, 1) >= 1").drop("visibility"), revocations)
+    place = F.row_number().over(W.partitionBy("workstream_id").orderBy(F.col("valid_at").desc(), "event_id"))
+    pool = pool.withColumn("place", place).where(F.col("place") <= each).drop("place")
+    parts = max(1, -(-pool.count() // FLEET_PART))
+    inputs = pool.withColumn("workstream_id", F.lit(global_workstream)).withColumn("part", F.pmod(F.xxhash64("name"), F.lit(parts)))
+    outputs = inputs.groupBy("part").applyInPandas(dreamer, schema)
+    judged = outputs.join(promotion_eligible(outputs, log), "output_id", "left").withColumn("ok", F.coalesce("eligible", F.lit(False)))
+    named = F.element_at(F.array(*[F.lit(n) for n in ("evidence", "fact", "decision", "hypothesis", "goal", "action", "outcome")]), F.col("category") + 1)
+    made = judged.where("ok").withColumn("event_id", content_id("fleet-", F.col("category"), F.col("statement"), F.array_join("sources", ","))).dropDuplicates(["event_id"])
+    payload = F.to_json(F.struct(named.alias("$type"), F.col("statement"), F.col("sources").alias("supportingEvents")))
+    clock = F.lit(now).cast("timestamp_ntz")
+    captures = made.select("event_id", F.lit(global_workstream).alias("workstream_id"), F.lit(0).alias("channel"), "category", clock.alias("valid_at"), clock.alias("recorded_at"), F.lit(token.principal).alias("principal_id"), F.lit(f"fleet/{dreamer_id}").alias("source"), payload.alias("payload"), F.lit(1).alias("schema_version"))
+    one = lambda t, c, e: t.agg(e.alias(c))
+    summary = one(taking, "participating", F.count("*")).crossJoin(one(pool, "n_inputs", F.count("*"))).crossJoin(one(made, "n_outputs", F.count("*"))).crossJoin(one(judged, "n_skipped", F.count_if(~F.col("ok"))))  # one row each
+    summary = summary.select(content_id("fleet-run-", F.lit(dreamer_id), F.lit(now)).alias("run_id"), F.lit(dreamer_id).alias("dreamer"), clock.alias("ran_at"), "*")
+    return {"captures": captures, "visibility": made.select("event_id", F.lit(2).alias("visibility")), "summary": summary}
+
+
 def dream_skills(skills: DataFrame, revocations: DataFrame, visibility: DataFrame, log: DataFrame, viewer: str, workstream: str, limit: int = 100) -> DataFrame:
     """The newest standing skills of a workstream that the viewer may see."""
     rows = gates.not_revoked(skills.where(F.col("workstream_id") == workstream), revocations).join(log.select("event_id", "principal_id"), "event_id")

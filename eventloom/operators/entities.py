@@ -112,3 +112,24 @@ def resolve(new: DataFrame, known: DataFrame) -> DataFrame:
     two = nearest_entities(rest.where("v is not null").select("new_id", "workstream_id", "kind", "v"), known.where("v is not null")).select("new_id", "entity_id", F.lit(2).alias("tier"))
     fresh = rest.join(two.select("new_id"), "new_id", "left_anti").join(keyed.select("new_id", "own"), "new_id")
     return one.unionByName(two).unionByName(fresh.select("new_id", F.coalesce("own", "new_id").alias("entity_id"), F.lit(0).alias("tier")))
+
+
+def resolve_subjects(triples: DataFrame, known: DataFrame, vectors: DataFrame | None = None) -> dict[str, DataFrame]:
+    """One pass over subjects without an entity: each is resolved as a name once (E9), its triples get the id, its first event becomes a mention.
+
+    triples: workstream_id, event_id, subject_key, subject_entity_id, ...; known: as ``resolve`` takes it;
+    vectors: workstream_id, subject_key, v. Returns triples, mentions (entity_id, event_id), entities to add (K14) and
+    the subjects resolved. A second pass finds nothing to do.
+    """
+    subjects = first_subjects(triples.where("subject_entity_id is null")).withColumn("new_id", F.concat(F.lit("name-"), F.sha2(F.concat_ws("|", "workstream_id", "subject_key"), 256)))
+    subjects = subjects.join(vectors, ["workstream_id", "subject_key"], "left") if vectors is not None else subjects.withColumn("v", F.lit(None).cast("array<double>"))
+    new = subjects.select("new_id", "workstream_id", F.lit("name").alias("kind"), F.col("subject_key").alias("raw"), "v")
+    found = subjects.join(resolve(new, known), "new_id").select("workstream_id", "subject_key", "first_event", "entity_id", "tier")
+    added = found.where("tier = 0").select("entity_id", "workstream_id", F.lit("name").alias("kind"), F.col("subject_key").alias("display_name"))
+    return {"triples": stamped(triples, found), "mentions": found.select("entity_id", F.col("first_event").alias("event_id")), "entities": inserted(known, added), "subjects": found}
+
+
+def inserted(known: DataFrame, new: DataFrame) -> DataFrame:
+    """The entities of new rows that are not known yet, each once (of several names the first)."""
+    first = new.groupBy("entity_id", "workstream_id", "kind").agg(F.min("display_name").alias("display_name"))
+    return first.join(known.select("entity_id"), "entity_id", "left_anti")

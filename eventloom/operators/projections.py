@@ -148,3 +148,13 @@ def duplicate_groups(log: DataFrame) -> DataFrame:
     first = rows.groupBy("workstream_id", "key").agg(F.min(F.struct("created_at", "event_id")).alias("x"), F.count("*").alias("n")).where("n > 1")
     first = first.select("workstream_id", "key", F.col("x.event_id").alias("canonical_event"), "n")
     return rows.join(first, ["workstream_id", "key"]).select("workstream_id", "event_id", "canonical_event", F.col("n").alias("group_size"))
+
+
+def contradiction_classes(triples_: DataFrame) -> DataFrame:
+    """J8 without pairs: each value that a contradicted (subject, predicate) has, with its facts, the first of them, and how many facts say something else; grows with the triples, however hot a subject."""
+    keys = ["workstream_id", "subject_key", "predicate"]
+    each = triples_.groupBy(*keys, normalized(F.col("object")).alias("value"), "event_id").agg(F.lit(1).alias("_one"))
+    values = each.groupBy(*keys, "value").agg(F.count("*").alias("facts"), F.min("event_id").alias("first_event"))
+    every = triples_.groupBy(*keys).agg(F.countDistinct(normalized(F.col("object"))).alias("n_values"))
+    total = values.groupBy(*keys).agg(F.sum("facts").alias("all_facts"))
+    return values.join(every.where("n_values > 1"), keys).join(total, keys).select(*keys, "value", "facts", "first_event", "n_values", (F.col("all_facts") - F.col("facts")).alias("others"))

@@ -113,6 +113,27 @@ def hybrid(index: TextIndex, events: Events, vectors: DataFrame, query_vector: D
     return both.withColumn("kept", F.col("allowed") & (F.col("fused") >= R.GATE))
 
 
+def explained(candidates: DataFrame, events: Events, cap: gates.Capability, bounds: Bounds = Bounds()) -> DataFrame:
+    """the candidates of ``hybrid`` with gate_reason: the first gate that holds an item back, null where it is kept."""
+    candidates = candidates.select("event_id", "semantic", "lexical", "subject", "fused", "recency", "score", "kept")
+    ids = F.broadcast(candidates.select("event_id"))
+    only = lambda t: t.join(ids, "event_id", "left_semi")
+    rows = only(events.log).select("event_id", "workstream_id", "event_channel", "category", "valid_at", "invalid_at", F.col("created_at").alias("logged_at"), "principal_id")
+    rows = rows.join(F.broadcast(only(events.visibility)), "event_id", "left").join(F.broadcast(only(events.revocations).select("event_id", F.lit(True).alias("_gone"))), "event_id", "left").withColumn("_known", F.lit(True))
+    both = candidates.join(F.broadcast(rows), "event_id", "left")
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    tests = [("not in the log", F.col("_known"))]
+    tests += [("workstream", F.col("workstream_id") == cap.workstream)] if cap.workstream else []
+    tests += [("channel", F.col("event_channel") == cap.channel), ("category", F.col("category").isin(*cap.categories)), ("valid time", gates.valid_between(bounds.since, bounds.until))]
+    if bounds.as_of:
+        at = F.lit(bounds.as_of).cast("timestamp_ntz")
+        tests.append(("as of", (F.col("logged_at") <= at) & (F.col("invalid_at").isNull() | (F.col("invalid_at") > at))))
+    tests += [("principal", F.col("principal_id") == bounds.principal)] if bounds.principal else []
+    tests += [("visibility", gates.visible(cap.viewer)), ("revoked", F.col("_gone").isNull()), ("score", F.col("fused") >= R.GATE)]
+    reason = F.coalesce(*[F.when(no(ok), F.lit(name)) for name, ok in tests])
+    return both.select(*candidates.columns, reason.alias("gate_reason"))
+
+
 def top(candidates: DataFrame, limit: int) -> DataFrame:
     return candidates.where("kept").orderBy(F.col("score").desc(), "event_id").limit(limit)
 

@@ -191,6 +191,32 @@ def duplicates(spark, d):
     return projections.duplicates(A.log(spark, d))
 
 
+_HALF = "cast(substring(event_id, 4) as bigint) % 3 = 0"
+
+
+@query(ORACLES["contradictions"])
+def contradictions_delta(spark, d):
+    """The same pairs from a part of the log and what came later: old with old, new with new, new with old."""
+    triples = projections.triples(A.log(spark, d))
+    new, old = triples.where(_HALF), triples.where(f"not ({_HALF})")
+    return projections.contradictions(old).unionByName(projections.contradictions(new)).unionByName(projections.contradictions(new, old))
+
+
+@query(ORACLES["duplicates"])
+def duplicates_delta(spark, d):
+    facts = projections.fact_keys(A.log(spark, d))
+    new, old = facts.where(_HALF), facts.where(f"not ({_HALF})")
+    return projections.duplicate_pairs(old).unionByName(projections.duplicate_pairs(new)).unionByName(projections.duplicate_pairs(new, old))
+
+
+@query(
+    f"""{A.ctes('log')}, {TRIPLES}, v AS (SELECT workstream_id, subject_key, predicate, lower(trim(object)) AS value, count(DISTINCT event_id) AS facts, min(event_id) AS first_event FROM tri GROUP BY ALL),
+    n AS (SELECT *, count(*) OVER w AS n_values, CAST(sum(facts) OVER w AS BIGINT) - facts AS others FROM v WINDOW w AS (PARTITION BY workstream_id, subject_key, predicate)) SELECT * FROM n WHERE n_values > 1"""
+)
+def contradiction_classes(spark, d):
+    return projections.contradiction_classes(projections.triples(A.log(spark, d)))
+
+
 @query(
     f"""{A.ctes('log')},
     a AS (SELECT workstream_id, decision_ref AS decision_id, max(struct_pack(c := created_at, i := event_id)).i AS action_id, min(struct_pack(c := created_at, i := event_id, v := valid_at)).v AS acted FROM log WHERE category = 5 GROUP BY 1, 2),
@@ -358,6 +384,15 @@ def hybrid_explain(spark, d):
     return _hybrid(spark, d).select("event_id", *(F.round(c, 6).alias(c) for c in PARTS), "kept")
 
 
+_REASON = f"CASE WHEN event_channel <> 0 THEN 'channel' WHEN NOT {GATE.format(v='user-8')} THEN 'visibility' WHEN event_id IN (SELECT event_id FROM crev) THEN 'revoked' WHEN fused < 0.1 THEN 'score' END"
+
+
+@query(f"{HYBRID_PLAIN}, fx AS (SELECT fu.event_id, fused, event_channel, clog.principal_id, visibility FROM fu JOIN clog USING (event_id) LEFT JOIN cvis USING (event_id)) SELECT event_id, round(fused, 6) AS fused, {_REASON} AS gate_reason FROM fx")
+def hybrid_reasons(spark, d):
+    out = search.explained(_hybrid(spark, d), A.corpus_events(spark, d), gates.enforce(TOK1, CLOCK))
+    return out.select("event_id", F.round("fused", 6).alias("fused"), "gate_reason")
+
+
 @query(f"{HYBRID.replace('{subjects}', SUBJECTS.format(hit=_HIT))} SELECT {_PARTS}, fused >= 0.1 AND allowed AS kept FROM fu")
 def hybrid_subjects(spark, d):
     return _hybrid(spark, d, triples=A.corpus_triples(spark, d), keys=SUBJECT_KEYS).select("event_id", *(F.round(c, 6).alias(c) for c in PARTS), "kept")
@@ -603,6 +638,24 @@ def eval_by_category(spark, d):
     return evaluation.accuracy(_graded(spark, d).select((F.col("conv_id") % 5 + 1).cast("int").alias("category"), (F.col("f1") >= 0.1).alias("correct"), F.length("answer").cast("double").alias("tokens")))
 
 
+@query(
+    """WITH c AS (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY conv_id, turn),
+    tok AS (SELECT conv_id, turn, 'conv-' || conv_id || '-' || turn AS event_id, list_filter(string_split_regex(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM c),
+    tf AS (SELECT conv_id, event_id, term, len(t) AS dl, count(*) AS tf FROM (SELECT *, unnest(t) AS term FROM tok) GROUP BY conv_id, event_id, term, t),
+    st AS (SELECT conv_id, count(DISTINCT event_id) AS n, avg(dl) AS avgdl FROM (SELECT DISTINCT conv_id, event_id, dl FROM tf) GROUP BY conv_id),
+    df AS (SELECT conv_id, term, count(*) AS df FROM tf GROUP BY conv_id, term),
+    q AS (SELECT conv_id, term, count(*) AS times FROM (SELECT conv_id, unnest(t[1:6]) AS term FROM tok WHERE turn = 0) GROUP BY conv_id, term),
+    s AS (SELECT q.conv_id, event_id, round(sum(times * greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM q JOIN tf USING (conv_id, term) JOIN df USING (conv_id, term) JOIN st USING (conv_id) GROUP BY q.conv_id, event_id)
+    SELECT 'conv-' || conv_id AS question_id, event_id, round(score, 6) AS score, CAST(p AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, event_id) AS p FROM s) WHERE p <= 3"""
+)
+def question_retrieval(spark, d):
+    """A question for each conversation, the first six words of its first turn, over the conversation's own turns."""
+    turns = A.read(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text")).selectExpr("'conv-' || conv_id || '-' || turn as event_id", "'conv-' || conv_id as workstream_id", "cast('2024-01-01' as timestamp_ntz) as created_at", "text as content", "turn")
+    words = F.slice(X.terms(F.col("content")), 1, 6)
+    asked = turns.where("turn = 0").select(F.col("workstream_id").alias("question_id"), "workstream_id", F.array_join(words, " ").alias("query"))
+    return evaluation.retrieved(textindex.indexed(turns), asked, 3).select("question_id", "event_id", F.round("score", 6).alias("score"), "place")
+
+
 @query("SELECT l_returnflag, l_extendedprice AS p95 FROM (SELECT l_returnflag, l_extendedprice, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) AS i, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem) WHERE i = greatest(1, n * 95 // 100)")
 def percentile_exact(spark, d):
     return evaluation.percentile(A.read(spark, d, "lineitem"), "l_returnflag", "l_extendedprice", 95)

@@ -90,13 +90,13 @@ def session_date(text: Column, session: Column) -> Column:
 
 def chat_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(turns, questions) of a chat corpus; sessions have keys of their own, so a conversation is read as a map."""
-    ddl = "sample_id string, conversation map<string,string>, qa array<struct<question:string,answer:string,adversarial_answer:string,category:int>>"
+    ddl = "sample_id string, conversation map<string,string>, qa array<struct<question:string,answer:variant,adversarial_answer:variant,category:int>>"
     raw = spark.read.schema(ddl).option("multiLine", True).json(path)
     parts = raw.select("sample_id", "conversation", F.explode("conversation").alias("key", "body")).where(F.col("key").rlike("^session_[0-9]+$"))
     number = F.regexp_extract("key", "([0-9]+)$", 1).cast("int")
     when = session_date(F.element_at("conversation", F.concat("key", F.lit("_date_time"))), number)
     turns = parts.select("sample_id", number.alias("session"), when.alias("at"), F.posexplode(F.from_json("body", "array<struct<speaker:string,text:string>>")).alias("turn", "t"))
-    questions = raw.select("sample_id", F.posexplode("qa").alias("number", "q")).select("sample_id", "number", "q.question", answer_text(F.coalesce("q.answer", "q.adversarial_answer")).alias("answer"), "q.category")
+    questions = raw.select("sample_id", F.posexplode("qa").alias("number", "q")).select("sample_id", "number", "q.question", F.coalesce(answer_text(F.col("q.answer")), answer_text(F.col("q.adversarial_answer")), F.lit("")).alias("answer"), "q.category")
     return turns.select("sample_id", "session", "at", "turn", "t.speaker", "t.text"), questions
 
 
