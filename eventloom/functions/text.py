@@ -230,7 +230,7 @@ def time_id(at: Column, *parts: Column) -> Column:
 
 
 def answer_text(value: Column) -> Column:
-    """An answer (variant) as text, by its JSON type: strings as they are, booleans as yes and no, numbers and the rest as written; null where there is none."""
+    """An answer (variant) as text, by its JSON type: strings as they are, booleans as yes and no, numbers in their shortest form, the rest as JSON; null where there is none."""
     kind = F.schema_of_variant(value)
     said = F.when(kind == "STRING", value.cast("string")).when(kind == "BOOLEAN", F.when(value.cast("boolean"), "yes").otherwise("no")).when(kind == "VOID", F.lit("null"))
     return F.when(value.isNotNull(), said.otherwise(F.to_json(value)))

@@ -319,9 +319,10 @@ def test_bundles_are_cached_until_stale(spark, sf_dir):
     assert {r["workstream_id"]: r["generated_at"].day for r in mixed.collect()} == {f"ws-{i}": 2 if i == 1 else 1 for i in range(5)} and after.count() == 5
     assert {r["generated_at"].day for r in bundle.served(cache, events, log, cur, "2100-01-02 00:00:00", refresh=True)[0].collect()} == {2}
     prior = cache.where("workstream_id = 'ws-1'")
-    told = bundle.prompt(events, cur.withColumn("rationale", F.lit("since it is so")), 4096, A.NOW, scans.latest(log), prior).where("workstream_id = 'ws-1'").first()["prompt"]
+    noted = events.where("workstream_id = 'ws-1'").orderBy("event_id").limit(1).select(F.lit("c").alias("curation_id"), F.col("event_id").alias("target_id"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("multiplier"), F.lit(None).cast("string").alias("new_content"), F.lit("2024-01-05").cast("timestamp_ntz").alias("occurred_at"), F.lit(False).alias("reverted"), F.lit("ann").alias("curator"), F.lit("since it is so").alias("rationale"))
+    told = bundle.prompt(events, noted, 4096, A.NOW, scans.latest(log), prior).where("workstream_id = 'ws-1'").first()["prompt"]
     assert told.startswith(f"Workstream: ws-1\nGenerated at: {A.NOW}\nToken budget: 4096\nEvents covered through: {prior.first()['covered_through']}\n\n== Decision (")
-    assert told.count("- [ev-") == events.where("workstream_id = 'ws-1'").count() and ": since it is so" in told and told.endswith(prior.first()["orientation"])
+    assert told.count("- [ev-") == events.where("workstream_id = 'ws-1'").count() and "    * Annotate by ann: since it is so" in told and told.endswith(prior.first()["orientation"])
 
 
 def test_bundle_packing_by_brute_force(spark, sf_dir):
@@ -444,7 +445,7 @@ def test_small_pieces(spark, tmp_path):
     assert one(spark, text.model_label(F.lit(" confidential, I think"), F.lit(1))) == 2 and one(spark, text.model_label(F.lit("unsure"), F.lit(1))) == 1 and one(spark, text.model_label(F.lit(None).cast("string"), F.lit(4))) == 4
     early, late = (one(spark, text.time_id(F.lit(d).cast("timestamp_ntz"), F.lit("x"))) for d in ("2024-01-01", "2024-01-02"))
     assert len(early) == 26 and early < late and early[10:] == late[10:] and one(spark, text.content_id("e-", F.lit("x"))).startswith("e-")
-    assert [one(spark, text.answer_text(F.parse_json(F.lit(j)))) for j in ("true", "false", "12", '"a"', "null", '"true"', '"null"', '"1.50"', "1.50", '["a"]')] == ["yes", "no", "12", "a", "null", "true", "null", "1.50", "1.50", '["a"]']
+    assert [one(spark, text.answer_text(F.parse_json(F.lit(j)))) for j in ("true", "false", "12", '"a"', "null", '"true"', '"null"', '"1.50"', "1.50", '["a"]')] == ["yes", "no", "12", "a", "null", "true", "null", "1.50", "1.5", '["a"]']
     assert one(spark, text.answer_text(F.lit(None).cast("variant"))) is None
     assert evaluation.retried(lambda n: "don't know" if n < 30 else "yes", 10, lambda a: "know" in a) == ("yes", 30)
     assert evaluation.planned("q", lambda q: (["a", " ", "b", "c", "d"], "made up")) == ["q", "a", "b", "made up"] and evaluation.planned("q", lambda q: 1 / 0) == ["q"]
