@@ -4,6 +4,10 @@ A list is a log of dated events: an entry is added or removed on a day. Each add
 interval that the entry's next event closes. A capture is looked up by its host and every parent domain
 of at least two labels, alone and with every leading part of its path, against the entries whose
 interval holds its fetch day. A host of digits and dots is an address and has no parents.
+
+Only what the list can hold is looked up: parents of as many labels as some entry's domain has, and of
+the path as many parts as entries of this very domain have. So the work for a URL grows with its length
+and the list's different depths, not with the product of its labels and parts.
 """
 
 from __future__ import annotations
@@ -22,8 +26,14 @@ def host_of(url: Column) -> Column:
     return F.regexp_extract(F.lower(url), URL, 1)
 
 
+def path_of(url: Column) -> Column:
+    """The path's parts, each after one slash; empty where there are none."""
+    parts = F.filter(F.split(F.regexp_extract(F.lower(url), URL, 2), "/"), lambda p: p != "")
+    return F.when(F.size(parts) == 0, F.lit("")).otherwise(F.concat(F.lit("/"), F.array_join(parts, "/")))
+
+
 def keys_of(url: Column) -> Column:
-    """What entries may name this URL by: domains, and domains with leading parts of the path; empty for null and hostless URLs."""
+    """All that entries may name this URL by: domains, and domains with leading parts of the path; empty for null and hostless URLs. Makes a list of ordinary URLs; captures are not looked up by it."""
     host = host_of(url)
     labels = F.split(host, r"\.")
     most = F.when(F.regexp_like(host, F.lit(r"^[0-9.]+$")), F.lit(1)).otherwise(F.greatest(F.size(labels) - 1, F.lit(1)))
@@ -57,9 +67,19 @@ def listed(captures: DataFrame, events: DataFrame, url: str = "url", day: str =
     that may have an entry meet what was found; all others pass straight through with all their columns.
     """
     count, first, blocked, cid = fresh(captures, "n_entries", "first_entry", "blocked", "cid")
-    looked = captures.select(F.col(key).alias(cid), F.col(day).alias("on"), F.explode(keys_of(F.col(url))).alias("entry"))
-    active = looked.join(cut(intervals(events)), "entry").where("on >= valid_from and (valid_to is null or on < valid_to)")
-    found = cut(active.groupBy(F.col(cid).alias(key)).agg(F.countDistinct("entry").alias(count), F.min("entry").alias(first)))
+    active = cut(intervals(events))
+    named = active.select("entry", F.substring_index("entry", "/", 1).alias("domain"), (F.size(F.split("entry", "/")) - 1).alias("depth"))
+    depths = cut(named.groupBy("domain").agg(F.collect_set("depth").alias("depths")))
+    labels = depths.agg(F.collect_set(F.size(F.split("domain", r"\."))).alias("labels"))
+    looked = captures.select(F.col(key).alias(cid), F.col(day).alias("on"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")).where("host <> '' and on is not null")
+    looked = looked.crossJoin(F.broadcast(labels))  # one row
+    most = F.size(F.split("host", r"\."))
+    parents = F.filter("labels", lambda n: (n == most) | ((n > 1) & (n < most) & ~F.regexp_like(F.col("host"), F.lit(r"^[0-9.]+$"))))
+    looked = looked.select(cid, "on", "path", F.explode(F.transform(parents, lambda n: F.call_function("substring_index", F.col("host"), F.lit("."), -n))).alias("domain"))
+    looked = looked.join(depths, "domain").select(cid, "on", "domain", "path", F.explode(F.filter("depths", lambda d: d <= F.size(F.split("path", "/")) - 1)).alias("depth"))
+    looked = looked.select(cid, "on", F.concat("domain", F.call_function("substring_index", F.col("path"), F.lit("/"), F.col("depth") + 1)).alias("entry"))
+    hit = looked.join(active, "entry").where("on >= valid_from and (valid_to is null or on < valid_to)")
+    found = cut(hit.groupBy(F.col(cid).alias(key)).agg(F.countDistinct("entry").alias(count), F.min("entry").alias(first)))
     out = with_side(captures, found, key)
     return out.withColumn(count, F.coalesce(F.col(count), F.lit(0)).cast("long")).withColumn(blocked, F.col(count) > 0)
 

@@ -189,6 +189,31 @@ def test_subtree_covers():
             assert len(steps) == k and i == (first + r) // 3**k and f == known[k, i]
 
 
+# operator 8
+
+
+def test_urls_of_any_shape(spark):
+    """Hostile captures: 100 KB, 50,000 slashes, 127 labels by 2,000 parts, 20,000 labels; what the list names in them is found, and soon."""
+    import time
+
+    from eventloom.llm import urls
+
+    deep, labels, many = "/".join("p" * 1 for _ in range(50_000)), ".".join(f"l{i}" for i in range(125)), ".".join(["m"] * 20_000)
+    rows = [(1, f"http://h.com/{deep}"), (2, f"http://{labels}.h.com/" + "/".join(f"q{i}" for i in range(2000))), (3, "http://h.org/" + "x" * 100_000), (4, f"http://{many}.net/a//b"), (5, "http://h.com" + "/" * 50_000 + "p/p"), (6, "http://7.7.7.7/a"), (7, "http://alone/a")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("fetched", F.lit("2024-01-02").cast("date"))
+    named = ["h.com/p/p/p", "h.com/q0/q1", f"{labels}.h.com/" + "/".join(f"q{i}" for i in range(1999)), "h.org/x", "m.net/a/b", "m.m.m.net", "7.7/a", "alone", "net", "com", "h.com//p", "/a", ""]
+    events = spark.createDataFrame([(e, "add") for e in named], "entry string, action string").withColumn("day", F.lit("2024-01-01").cast("date"))
+    urls.listed(pages.limit(0), events).count()
+    began = time.time()
+    got = {r["page_id"]: r["n_entries"] for r in urls.listed(pages, events).collect()}
+    assert got == {1: 1, 2: 2, 3: 0, 4: 2, 5: 0, 6: 0, 7: 1} and time.time() - began < 20
+    small = spark.createDataFrame([(i, f"http://{'a.' * (i % 4)}b.c/{'d/' * (i % 5)}", None) for i in range(40)], "page_id long, url string, fetched date").withColumn("fetched", F.lit("2024-03-02").cast("date"))
+    list_ = urls.dated_list(small)
+    by_keys = small.select("page_id", "fetched", F.explode(urls.keys_of(F.col("url"))).alias("entry")).join(urls.intervals(list_), "entry").where("fetched >= valid_from and (valid_to is null or fetched < valid_to)").groupBy("page_id").agg(F.countDistinct("entry").alias("n"))
+    want = {r["page_id"]: r["n"] for r in by_keys.collect()}
+    assert {r["page_id"]: r["n_entries"] for r in urls.listed(small, list_).where("blocked").collect()} == want
+
+
 # operator 12
 
 
