@@ -117,20 +117,49 @@ def corpus_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_events(spark, sf_dir).log.where("category = 1").selectExpr("workstream_id", "event_id", "'user' || (d % 20) as subject_key", "'writes' as predicate", "cast(d % 3 as string) as object", "valid_at")
 
 
-_INDEXES: dict = {}
+_KEPT: dict = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, build):
+    """What ``build`` makes in a folder of its own: once for an application and data set, as ingestion would, then read."""
+    from .workspace import workspace
+
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _KEPT:
+        _KEPT[key] = build(f"{workspace(spark)}/{name}/{len(_KEPT)}-{uuid.uuid4().hex}")
+    return _KEPT[key]
 
 
 def text_index(spark: SparkSession, sf_dir: str):
-    """The full-text index of the documents: built once for an application and folder, as ingestion would, then read."""
+    """The full-text index of the documents."""
     from .operators.textindex import IndexStore
-    from .workspace import workspace
 
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INDEXES:
-        store = IndexStore(spark, f"{workspace(spark)}/text/{len(_INDEXES)}-{uuid.uuid4().hex}")
+    def build(folder: str):
+        store = IndexStore(spark, folder)
         store.add(corpus(spark, sf_dir))
-        _INDEXES[key] = store.index()
-    return _INDEXES[key]
+        return store.index()
+
+    return kept(spark, sf_dir, "text", build)
+
+
+def subject_index(spark: SparkSession, sf_dir: str):
+    """The log's triples by subject, with the pieces of subject keys."""
+    from .operators.projections import triples
+    from .operators.subjects import SubjectIndex
+
+    def build(folder: str):
+        index = SubjectIndex(spark, folder, 16)
+        index.add(triples(log(spark, sf_dir)))
+        return index
+
+    return kept(spark, sf_dir, "subjects", build)
+
+
+def vector_index(spark: SparkSession, sf_dir: str, clusters: int = 64):
+    """The vectors in clusters."""
+    from .operators.subjects import VectorIndex
+
+    return kept(spark, sf_dir, "vectors", lambda folder: VectorIndex(vectors(spark, sf_dir), "vec_id", clusters, folder))
 
 
 def event_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -413,6 +413,18 @@ def subject_match(spark, d):
     return search.subject_match(projections.triples(A.log(spark, d)), KEYS).select("event_id", "subject_key", "predicate", "object")
 
 
+@query(ORACLES["subject_match"])
+def subject_match_indexed(spark, d):
+    return A.subject_index(spark, d).match(KEYS).select("event_id", "subject_key", "predicate", "object")
+
+
+@query(ORACLES["vector_topk"])
+def vector_topk_clusters(spark, d):
+    """The same rows from clusters that are visited by bound; the query is the vector that the scan takes."""
+    found = A.vector_index(spark, d).topk(_query_vector(spark, d).first()["q"], 25)
+    return spark.createDataFrame([(k, round(s, 6)) for k, s in found], "vec_id long, cosine double")
+
+
 @query(
     f"""{A.ctes('log', 'rev', 'vis')}, {TRIPLES}, m AS (SELECT tri.* FROM tri JOIN log USING (event_id) LEFT JOIN vis USING (event_id) WHERE ({" OR ".join(f"contains(subject_key, '{k}') OR contains('{k}', subject_key)" for k in KEYS)}) AND {GATE.format(v='user-8')} AND log.workstream_id = 'ws-1' AND event_channel = 0 AND event_id NOT IN (SELECT event_id FROM rev))
     SELECT subject_key, predicate, object, max(struct_pack(v := valid_at, e := event_id)).e AS event_id, max(valid_at) AS valid_at FROM m GROUP BY 1, 2, 3 ORDER BY max(struct_pack(v := valid_at, e := event_id)) DESC LIMIT 8"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,13 +16,8 @@ def workspace(spark: SparkSession) -> str:
     if root is None:
         if not (context.master == "local" or context.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = f"file://{folder}"
         context.setCheckpointDir(root)
     return f"{root.rstrip('/')}/store-{context.applicationId}"
-
-
-def written(df: DataFrame, path: str, by: list[str] | None = None) -> DataFrame:
-    """df as a table at path, partitioned by some columns, and read back."""
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*by) if by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
