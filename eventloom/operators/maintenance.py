@@ -1,4 +1,4 @@
-"""Upkeep and views."""
+"""Upkeep and views (S7, S8, S24, F13, F25, J3, J16, K4, K8, K25, R32, U5, X3, X4); the projector pipeline that runs (K7) is in streaming/observers.py."""
 
 from __future__ import annotations
 
@@ -95,7 +95,7 @@ PROJECTIONS = {"facts": (S.FACT,), "decisions": (S.DECISION,), "hypotheses": (S.
 
 
 def processing_log(rows: DataFrame, failures: DataFrame | None = None, now: str | None = None) -> DataFrame:
-    """K7: (event_id, projection, place, status, error): every projection that an event's category matches, applied or failed. failures: event_id, projection, error."""
+    """(event_id, projection, place, status, error) of a rebuild: every projection that an event's category matches, applied or failed. failures: event_id, projection, error."""
     pairs = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(name).alias("projection"), F.array(*map(F.lit, of)).alias("of")) for i, (name, of) in enumerate(PROJECTIONS.items())])
     each = rows.select("event_id", F.explode(F.filter(pairs, lambda p: F.array_contains(p["of"], F.col("category")))).alias("p")).select("event_id", "p.projection", "p.place")
     each = each.join(failures, ["event_id", "projection"], "left") if failures is not None else each.withColumn("error", F.lit(None).cast("string"))

@@ -133,6 +133,26 @@ def test_known_ids(spark, tmp_path, monkeypatch):
     assert known_events(store, ask, 0).count() == 0
 
 
+def test_looking_up_ids_does_not_grow_with_the_log(spark, tmp_path):
+    """Ids that grow with time: a batch of new ids reads nothing, one of old ids reads its own files, however long the log is."""
+    from test_index import records_read
+
+    store, read = Store(spark, str(tmp_path)), {}
+    row = ingest.empty_log(spark)
+    for k in range(12):
+        ids = spark.range(1000, numPartitions=1).select(F.format_string(f"e{k:03d}-%05d", "id").alias("event_id"), F.lit("w").alias("workstream_id"))
+        store.put("log", row.unionByName(ids, allowMissingColumns=True).coalesce(1).sortWithinPartitions("event_id"), k, ["workstream_id"], **{"parquet.bloom.filter.enabled#event_id": "true"})
+        if k in (3, 11):
+            for name, listed, ask in (("new", 2000, [f"e{k + 1:03d}-{i:05d}" for i in range(50)]), ("old", 2000, [f"e001-{i:05d}" for i in range(50)]), ("many new", 1, [f"e{k + 1:03d}-{i:05d}" for i in range(50)]), ("many old", 1, [f"e001-{i:05d}" for i in range(50)])):
+                before, monkey = records_read(spark), pytest.MonkeyPatch()
+                with monkey.context() as m:
+                    m.setattr("eventloom.streaming.ingest.LISTED", listed)
+                    assert known_events(store, spark.createDataFrame([(i,) for i in ask], "event_id string")).count() == (50 if "old" in name else 0)
+                read[name, k] = records_read(spark) - before
+    assert read["new", 3] == read["new", 11] == read["many new", 11] == 0
+    assert read["old", 3] == read["old", 11] <= 1000 and read["many old", 3] == read["many old", 11] <= 1000
+
+
 ENTRY = "session_id string, entry_id string, kind int, text string"
 
 
