@@ -48,12 +48,14 @@ def counter(path: str, special: tuple[str, ...] = ()):
 
 
 def is_local(path: str) -> bool:
-    """Whether the file states a byte-level pre-tokeniser that splits before a blank, with nothing before it that sees the whole text."""
+    """Whether the file states a byte-level pre-tokeniser that splits before a blank, with nothing before it that sees the whole text, and no added token holds a blank."""
     if not path.endswith(".json"):
         return False
     with open(path, encoding="utf-8") as f:
         stated = json.load(f)
     pre = stated.get("pre_tokenizer") or {}
+    if any(" " in t.get("content", "") or t.get("lstrip") or t.get("rstrip") for t in stated.get("added_tokens") or []):
+        return False  # a cut might fall into it
     kinds = [pre, *(pre.get("pretokenizers") or [])]
     splits = any(k.get("type") == "ByteLevel" and k.get("use_regex", True) and not k.get("add_prefix_space") for k in kinds)
     return splits and not stated.get("normalizer") and (stated.get("model") or {}).get("type") == "BPE" and all(k.get("type") in ("ByteLevel", "Sequence", "Digits") for k in kinds)

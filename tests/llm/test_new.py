@@ -189,6 +189,33 @@ def test_subtree_covers():
             assert len(steps) == k and i == (first + r) // 3**k and f == known[k, i]
 
 
+# operator 7
+
+
+def test_tokens_with_a_blank_in_an_added_token(spark, tmp_path):
+    """A file whose added token holds a blank is not cut at blanks; counts are the library's. Clashing columns, null ids and repeated rows count by themselves."""
+    public = pytest.importorskip("public_tokenizers")
+    import json
+
+    from tokenizers import Tokenizer
+
+    from eventloom.llm import tokens
+
+    path = public.path("byte_bpe_50k.json")
+    stated = json.load(open(path, encoding="utf-8"))
+    known = {t["id"] for t in stated["added_tokens"]} | set(stated["model"]["vocab"].values())
+    stated["added_tokens"].append({"id": max(known) + 1, "content": "two words", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": False})
+    own = str(tmp_path / "own.json")
+    json.dump(stated, open(own, "w", encoding="utf-8"))
+    assert tokens.is_local(path) and not tokens.is_local(own)
+    texts = ["these two words here", "two  words two words", None, "", "these two words here"]
+    df = spark.createDataFrame([(None if i == 4 else i % 3, t, 7, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_tokens int, n_bytes string")
+    for file in (path, own):
+        library = Tokenizer.from_file(file)
+        want = sorted((len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for t in texts)
+        assert sorted((r["n_bytes"], r["n_tokens"]) for r in tokens.token_counts(df, file).collect()) == want
+
+
 # operator 8
 
 
