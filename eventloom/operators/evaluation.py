@@ -12,7 +12,9 @@ from ..functions import scoring as R
 from ..functions.text import abstains, gold_support, terms
 
 #: Ranges that a key's values are cut into, and the accuracy of the sketch that cuts them.
-RANGES, SKETCH = 64, 2000
+RANGES, SKETCH = 64, 500
+#: Every so many cuts are looked at first, then those between two of them.
+STRIDE = 8
 
 
 def counts(log: DataFrame, revocations: DataFrame, queue: DataFrame | None = None) -> DataFrame:
@@ -59,7 +61,11 @@ def percentile(rows: DataFrame, key: str, value: str, p: int) -> DataFrame:
 
 def ranged(counted: DataFrame, ends: DataFrame) -> DataFrame:
     """Counted values (k, v, c) with the range (r) of their key's cuts that each falls into; a value that is itself a cut is the last of its range."""
-    return counted.join(ends.withColumnRenamed("k", "_k"), F.col("k").eqNullSafe(F.col("_k"))).drop("_k").withColumn("r", F.size(F.filter("cuts", lambda x: x < F.col("v"))))
+    below = lambda of: F.size(F.filter(of, lambda x: x < F.col("v")))
+    both = counted.join(ends.withColumnRenamed("k", "_k"), F.col("k").eqNullSafe(F.col("_k"))).drop("_k")
+    coarse = F.array(*[F.element_at("cuts", i) for i in range(STRIDE, RANGES, STRIDE)])
+    both = both.withColumn("r", STRIDE * below(coarse))
+    return both.withColumn("r", F.col("r") + below(F.slice("cuts", F.col("r") + 1, STRIDE - 1)))
 
 
 def best_of(hits: DataFrame, limit: int) -> DataFrame:
