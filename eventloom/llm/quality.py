@@ -10,15 +10,20 @@ scorer over hashed words and word heads, which then scores every document. A fir
 people have judged (nowhere: on the whole sample), adds its evidence to the other documents' posteriors.
 
 Junk labellers: capitals, symbols, repeated neighbours, variety, and word lengths (rules of the kind that
-published web-corpus filters use). Toxic labellers: three word lists of general English, and two lexicons
-learned from the human labels of one half of the documents each, which vote on the other half, so that
-no lexicon votes on what it was learned from.
+published web-corpus filters use). Toxic labellers: lexicons learned from the human labels of one part of
+the documents each, which vote on the other parts, so that no lexicon votes on what it was learned from;
+and any word lists that the caller passes. The library has none of its own: without labels and lists
+nothing is known of toxicity and only junk is judged.
+
+The sampled documents' features stay in a written table. Spark sums them by feature; what the driver
+holds is at most ``FEATURES`` numbers for each sampled document, however long the texts are.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,24 +37,14 @@ SAMPLE = 4000
 #: Hashed features.
 DIM = 1 << 18
 HEADS = (4, 6)
-#: Log odds from which a feature of the sampled documents with human labels is in a learned lexicon.
-LEXICON_ODDS = 2.5
-#: Everyday English words for an abused person, for contempt, and coarse or hostile words, as general dictionaries mark them, but for those that are common words of German, French or Spanish.
-PERSONS = (
-    "bastard", "blockhead", "bozo", "buffoon", "chump", "clown", "coward", "creep", "cretin", "degenerate", "dimwit", "dolt", "dork", "douche", "dullard",
-    "dummy", "dunce", "fool", "fraud", "freak", "halfwit", "hypocrite", "idiot", "imbecile", "jackass", "jerk", "knucklehead", "leech", "liar", "loser", "lout", "lunatic",
-    "maniac", "moron", "nitwit", "numbskull", "oaf", "parasite", "pervert", "psycho", "scoundrel", "scum", "scumbag", "simpleton", "slob", "sucker", "swine",
-    "thug", "traitor", "twit", "vermin", "weakling", "weirdo", "wimp", "wretch",
-)
-CONTEMPT = (
-    "abysmal", "brainless", "contemptible", "cowardly", "despicable", "detestable", "dirty", "disgraceful", "disgusting", "dumb", "filthy", "garbage", "hideous", "idiotic",
-    "incompetent", "inferior", "laughable", "loathsome", "lousy", "moronic", "nasty", "nauseating", "pathetic", "pitiful", "repulsive", "revolting", "ridiculous", "rotten",
-    "rubbish", "shameful", "sickening", "spineless", "stinking", "stupid", "trash", "ugly", "useless", "worthless", "wretched",
-)
-COARSE = (
-    "arse", "asshole", "bitch", "bollocks", "bugger", "bullshit", "crap", "cunt", "damn", "dickhead", "fuck", "fucking", "hate", "kill", "piss", "prick",
-    "shit", "shut", "slut", "stfu", "suck", "sucks", "twat", "wanker", "whore",
-)
+#: Features that a scorer uses at most, those that tell bad from good documents best; only these ever reach the driver.
+FEATURES = 1 << 12
+#: Lexicons learned from human labels, each from its own part of the labelled documents. With two, no document gets two of their votes, which would not be independent.
+PARTS = 2
+#: A feature is in a lexicon if at least this share of the part's documents that hold it are bad, the share of cases in which people are taken to be right.
+LEXICON_SHARE = 0.9
+#: Fixed point of the labels that are summed in Spark: sums of whole numbers are the same in any order.
+UNIT = 1 << 20
 #: Symbols that running prose does without, and the share of characters from which a text is full of them.
 SYMBOLS, SYMBOL_SHARE = b"#$%&*+/<=>@[]^_`{|}~\\", 0.02
 #: Shares from which capitals and repeated neighbours are too many; distinct words of up to so many words.
@@ -58,8 +53,11 @@ CAPITALS, REPEATS, VARIETY, VARIETY_WORDS = 0.3, 0.2, (0.3, 0.5), 1000
 WORD_LENGTH = (3.0, 10.0)
 STATS = ("shout", "noise", "repeat", "plain")
 JUNK_VOTES = ("j_shout", "j_noise", "j_repeat", "j_variety", "j_length")
-TOXIC_VOTES = ("t_persons", "t_contempt", "t_coarse", "t_lexicon0", "t_lexicon1")
-JUNK, TOXIC = (*JUNK_VOTES, "gold_junk"), (*TOXIC_VOTES, "gold_toxic")
+Lists = tuple[tuple[str, ...], ...]
+
+
+def toxic_votes(lists: Lists) -> tuple[str, ...]:
+    return (*(f"t_list{i}" for i in range(len(lists))), *(f"t_lexicon{i}" for i in range(PARTS)))
 
 
 def hashes_of(words: tuple[str, ...]) -> np.ndarray:
@@ -118,7 +116,8 @@ def sample_features(batches):
 
 
 def votes(lexicons: list[np.ndarray], lists: list[np.ndarray]):
-    """(doc_id, half, votes of the labellers that look at the text): 1 bad, 0 good, null nothing."""
+    """(doc_id, votes of the labellers that look at the text): 1 bad, 0 good, null nothing."""
+    names = ["doc_id", *JUNK_VOTES, *toxic_votes(tuple(lists))]
 
     def run(batches):
         for batch in batches:
@@ -133,7 +132,7 @@ def votes(lexicons: list[np.ndarray], lists: list[np.ndarray]):
                 junk = [say(s[:, 0] > CAPITALS, enough), say(s[:, 1] > SYMBOL_SHARE, enough), say(s[:, 2] > REPEATS, enough), say(s[:, 3] < VARIETY[0], clear), say((length < WORD_LENGTH[0]) | (length > WORD_LENGTH[1]), enough)]
                 toxic = [say(per_document(np.isin(w.hash, words), w.first) > 0, all_) for words in lists]
                 toxic += [say(np.array([lexicon[k].sum() for k in held]) > 0, enough & lexicon.any()) for lexicon in lexicons]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *junk, *toxic], names=["doc_id", *JUNK_VOTES, *TOXIC_VOTES])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *junk, *toxic], names=names)
 
     return run
 
@@ -190,69 +189,96 @@ def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[np.n
     return 1 - post[:, 0], rates
 
 
+def kept_rows(batch: pa.RecordBatch):
+    """(doc_id, features) of the rows of the sample's table."""
+    for d, n, k in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "k")), strict=True):
+        yield d, np.cumsum(unpack(k, n, 4), dtype=np.int64)
+
+
+def feature_sums(ids: np.ndarray, groups: list[np.ndarray]):
+    """(feature, number of documents and sum of labels for each group) of each batch; a group has a label in units for each id, below 0 for documents that are not in it."""
+
+    def run(batches):
+        for batch in batches:
+            held = list(kept_rows(batch))
+            if not held:
+                continue
+            at = np.searchsorted(ids, [d for d, _ in held])
+            feature, row = np.concatenate([k for _, k in held]), np.repeat(at, [len(k) for _, k in held])
+            key, place = np.unique(feature, return_inverse=True)
+            sums = []
+            for y in groups:
+                use = y[row] >= 0
+                sums += [np.bincount(place[use], minlength=len(key)), np.bincount(place[use], y[row[use]], minlength=len(key))]
+            yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(v.astype(np.int64)) for v in sums)], names=["feature", *(f"{c}{i}" for i in range(len(groups)) for c in ("seen", "bad"))])
+
+    return run
+
+
+def only_features(place: np.ndarray):
+    """(doc_id, places of the features that are used) of the sample's documents; place: for each feature its place, or -1."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [(d, at[at >= 0]) for d, at in ((d, place[k]) for d, k in kept_rows(batch))]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array([k for _, k in rows], pa.list_(pa.int32()))], names=["doc_id", "places"])
+
+    return run
+
+
 class Sample:
-    """Hashed features of the documents to learn from, on the driver: at most twice SAMPLE rows, each with all its features.
+    """The documents to learn from: their features stay in a written table, their ids and statistics are on the driver (at most twice ``SAMPLE`` rows).
 
-    Sums run over ``STEP`` features at a time, so that temporary arrays stay small beside the features.
+    rows: what ``sample_features`` gives, one row for each doc_id, written before.
     """
 
-    STEP = 1 << 18
-
-    def __init__(self, rows: list):
-        rows = sorted(rows, key=lambda r: r["doc_id"])
-        self.ids = [r["doc_id"] for r in rows]
-        self.first = np.r_[0, np.cumsum([r["n"] for r in rows], dtype=np.int64)]
-        self.col = np.empty(self.first[-1], np.int32)
-        for i, r in enumerate(rows):
-            self.col[self.first[i] : self.first[i + 1]] = np.cumsum(unpack(r["k"], r["n"], 4), dtype=np.int64)
-        self.stats = inputs(np.array([r["stats"] for r in rows], float).reshape(len(rows), len(STATS)))
-
-    def parts(self, keep: np.ndarray | None = None, of: np.ndarray | None = None):
-        """(rows, columns) of features in steps: those of documents ``of``, and of columns ``keep`` only."""
-        for a in range(0, len(self.col), self.STEP):
-            col = self.col[a : a + self.STEP]
-            row = np.searchsorted(self.first, np.arange(a, a + len(col)), side="right") - 1
-            use = np.ones(len(col), bool) if keep is None else keep[col]
-            use = use if of is None else use & of[row]
-            yield row[use], col[use]
-
-    def lift(self, y: np.ndarray, of: np.ndarray | None = None, least: int = 5) -> np.ndarray:
-        """Log odds of each feature between bad and good documents (``of``: some of them); 0 for features in few documents or without a clear side."""
-        of = np.ones(len(y), bool) if of is None else of
-        bad, seen, n, total = np.zeros(DIM), np.zeros(DIM), int(of.sum()), float(y[of].sum())
-        for row, col in self.parts(of=of):
-            seen += np.bincount(col, minlength=DIM)
-            bad += np.bincount(col, y[row], minlength=DIM)
-        if not n:
-            return np.zeros(DIM)
-        r = np.log((bad + 0.5) / (total + 1)) - np.log((seen - bad + 0.5) / (n - total + 1))
-        due = seen * (total / n)
-        clear = (bad - due) ** 2 > 9 * np.maximum(due, 0.1)
-        return np.where((seen >= least) & (np.abs(r) > 0.7) & clear, r, 0.0)
-
-    def fit(self, y: np.ndarray, of: np.ndarray | None = None, rounds: int = 400, rate: float = 0.3, ridge: float = 0.02) -> tuple[np.ndarray, np.ndarray, float]:
-        """Logistic regression on features scaled by their log odds, on all documents or some: weights of features and statistics, and the bias."""
-        of = np.ones(len(y), bool) if of is None else of
-        n, scale = max(1, int(of.sum())), self.lift(y, of)
+    def __init__(self, rows: DataFrame):
+        self.rows = rows.select("doc_id", "n", "k")
+        kept = sorted(rows.select("doc_id", "stats").collect(), key=lambda r: r["doc_id"])
+        self.ids = np.array([r["doc_id"] for r in kept], np.int64)
+        self.stats = inputs(np.array([r["stats"] for r in kept], float).reshape(len(kept), len(STATS)))
+
+    def lifts(self, labels: list[np.ndarray], least: int = 5) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For each group of labels (nan: not in it) the log odds of each feature between bad and good documents, 0 for features in few documents or without a clear side; and how clear each is."""
+        groups = [np.where(np.isnan(y), -1, np.round(np.nan_to_num(y) * UNIT)).astype(np.int64) for y in labels]
+        names = [f"{c}{i}" for i in range(len(groups)) for c in ("seen", "bad")]
+        sums = self.rows.mapInArrow(feature_sums(self.ids, groups), schema("feature long, " + ", ".join(f"{c} long" for c in names)))
+        total = sums.groupBy("feature").agg(*(F.sum(c).alias(c) for c in names)).toArrow()
+        feature, odds, sides = total.column("feature").to_numpy(), [], []
+        for i, y in enumerate(groups):
+            seen, bad = np.zeros(DIM), np.zeros(DIM)
+            seen[feature], bad[feature] = total.column(f"seen{i}").to_numpy(), total.column(f"bad{i}").to_numpy() / UNIT
+            n, all_bad = int((y >= 0).sum()), float(y[y >= 0].sum()) / UNIT
+            r = np.log((bad + 0.5) / (all_bad + 1)) - np.log((seen - bad + 0.5) / (n - all_bad + 1))
+            due = seen * (all_bad / max(1, n))
+            side = (bad - due) ** 2 / np.maximum(due, 0.1)
+            odds.append(np.where((seen >= least) & (np.abs(r) > 0.7) & (side > 9), r, 0.0))
+            sides.append(side)
+        return odds, sides
+
+    def fit(self, y: np.ndarray, rounds: int = 400, rate: float = 0.3, ridge: float = 0.02) -> tuple[np.ndarray, np.ndarray, float]:
+        """Logistic regression on features scaled by their log odds, on the documents with a label (not nan): weights of features and statistics, and the bias."""
+        of = ~np.isnan(y)
+        (scale,), (side,) = self.lifts([y])
         used = np.flatnonzero(scale)
+        used = np.sort(used[np.lexsort((used, -side[used]))[:FEATURES]])
         place = np.full(DIM, -1, np.int32)
         place[used] = np.arange(len(used))
-        held = [(row.astype(np.int32), place[col]) for row, col in self.parts(scale != 0, of)]
-        row, col = (np.concatenate([h[i] for h in held]) if held else np.zeros(0, np.int32) for i in (0, 1))
-        del held
-        slope, size = scale[used], len(used)
-        value = slope[col].astype(np.float32)
+        held = self.rows.mapInArrow(only_features(place), schema("doc_id long, places array<int>")).toArrow()
+        count = pc.list_value_length(held.column("places")).to_numpy()
+        at = np.searchsorted(self.ids, held.column("doc_id").to_numpy()).astype(np.int32)
+        row, col = np.repeat(at, count), pc.list_flatten(held.column("places")).to_numpy()
+        order = np.argsort(row, kind="stable")  # a document's places are in order, so sums are the same in every run
+        row, col = row[order], col[order]
+        use = of[row]
+        row, col = row[use], col[use]
+        slope, size, y, n = scale[used], len(used), np.nan_to_num(y), max(1, int(of.sum()))
         hashed, plain, bias = np.full(size, 0.2), np.zeros(len(STATS)), -1.0
         gh, gp, gb = np.full(size, 1e-2), np.full(len(STATS), 1e-4), 1e-4
-        steps_ = [slice(a, a + self.STEP) for a in range(0, len(row), self.STEP)]
         for _ in range(rounds if len(y) else 0):
-            z = self.stats @ plain + bias
-            for s in steps_:
-                z += np.bincount(row[s], value[s] * hashed[col[s]], minlength=len(y))
+            z = self.stats @ plain + bias + np.bincount(row, (slope * hashed)[col], minlength=len(y))
             d = np.where(of, 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y, 0.0) / n
-            g = ridge * hashed / n
-            for s in steps_:
-                g = g + np.bincount(col[s], value[s] * d[row[s]], minlength=size)
+            g = ridge * hashed / n + slope * np.bincount(col, d[row], minlength=size)
             q, b = self.stats.T @ d, d.sum()
             gh, gp, gb = gh + g * g, gp + q * q, gb + b * b
             hashed, plain, bias = hashed - rate * g / np.sqrt(gh), plain - rate * q / np.sqrt(gp), bias - rate * b / np.sqrt(gb)
@@ -262,55 +288,67 @@ class Sample:
 
     def logits(self, weights: tuple[np.ndarray, np.ndarray, float]) -> np.ndarray:
         hashed, plain, bias = weights
-        z = self.stats @ plain + bias
-        for row, col in self.parts():
-            z += np.bincount(row, hashed[col], minlength=len(self.ids))
+
+        def run(batches):
+            for batch in batches:
+                rows = [(d, float(hashed[k].sum(dtype=np.float64))) for d, k in kept_rows(batch)]
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array([v for _, v in rows], pa.float64())], names=["doc_id", "z"])
+
+        found, z = self.rows.mapInArrow(run, schema("doc_id long, z double")).toArrow(), self.stats @ plain + bias
+        z[np.searchsorted(self.ids, found.column("doc_id").to_numpy())] += found.column("z").to_numpy()
         return z
 
 
-def combined(post: np.ndarray, logits: np.ndarray) -> np.ndarray:
-    """Posteriors with a first scorer's log odds as further evidence: the labellers overlook much that the scorer knows."""
+def combined(post: np.ndarray, logits: np.ndarray, same: bool = False) -> np.ndarray:
+    """Posteriors with a first scorer's log odds as further evidence: the labellers overlook much that the scorer knows.
+
+    ``same``: both come from the same human labels, so the evidence is one and log odds are averaged; else they add up.
+    """
     p, prior = np.clip(post, 1e-9, 1 - 1e-9), np.clip(post.mean() if len(post) else 0.15, 0.01, 0.6)
-    z = np.log(p / (1 - p)) + logits - np.log(prior / (1 - prior))
+    z = np.log(p / (1 - p)) + logits
+    z = z / 2 if same else z - np.log(prior / (1 - prior))
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def learned(docs: DataFrame, labels: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, float]]:
+def learned(docs: DataFrame, labels: DataFrame, lists: Lists = ()) -> dict[str, tuple[np.ndarray, np.ndarray, float]]:
     """Weights of the scorer for both questions. docs: doc_id, text; labels: doc_id, quality, toxic."""
     spark = docs.sparkSession
     arrow_batches(spark)
     gold = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((1 - F.min("quality")).cast("byte").alias("gold_junk"), F.max("toxic").cast("byte").alias("gold_toxic"))
-    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))
+    part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(PARTS))
 
     order = (F.xxhash64("doc_id"), "doc_id")
-    chosen = gold.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(*order).limit(SAMPLE).withColumn("half", half.cast("byte"))
-    chosen = {r["doc_id"]: (r["gold_junk"], r["gold_toxic"], r["half"]) for r in chosen.collect()}
+    chosen = gold.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(*order).limit(SAMPLE).withColumn("part", part.cast("byte"))
+    chosen = {r["doc_id"]: (r["gold_junk"], r["gold_toxic"], r["part"]) for r in chosen.collect()}
     others = docs.select("doc_id").where("doc_id is not null").join(gold, "doc_id", "left_anti").distinct().orderBy(*order).limit(SAMPLE)
     chosen |= {r["doc_id"]: (None, None, None) for r in others.collect()}
     ids = spark.createDataFrame([(i,) for i in chosen], "doc_id long")
     picked = docs.join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sample = Sample(picked.mapInArrow(sample_features, schema("doc_id long, n long, k binary, stats array<double>")).collect())
-    toxic = np.array([np.nan if chosen[i][1] is None else chosen[i][1] for i in sample.ids], float)
-    halves = np.array([-1 if chosen[i][2] is None else chosen[i][2] for i in sample.ids], int)
-    lexicons = [np.maximum(0, sample.lift(np.nan_to_num(toxic), (halves == h) & ~np.isnan(toxic)) - LEXICON_ODDS).astype(np.float32) for h in (0, 1)]
-
-    kinds = ", ".join(f"{c} byte" for c in (*JUNK_VOTES, *TOXIC_VOTES))
-    voted = docs.mapInArrow(votes(lexicons, [hashes_of(x) for x in (PERSONS, CONTEMPT, COARSE)]), schema(f"doc_id long, {kinds}"))
+    sample = Sample(cut(picked.mapInArrow(sample_features, schema("doc_id long, n long, k binary, stats array<double>"))))
+    toxic = np.array([np.nan if chosen[i][1] is None else chosen[i][1] for i in sample.ids.tolist()], float)
+    parts = np.array([-1 if chosen[i][2] is None else chosen[i][2] for i in sample.ids.tolist()], int)
+    judged = [np.where(parts == i, toxic, np.nan) for i in range(PARTS)]
+    lexicons, base = sample.lifts(judged)[0], [np.log((np.nansum(y) + 0.5) / (np.nansum(1 - y) + 0.5)) for y in judged]
+    lexicons = [np.maximum(0, x + b - np.log(LEXICON_SHARE / (1 - LEXICON_SHARE))).astype(np.float32) for x, b in zip(lexicons, base, strict=True)]
+
+    toxic_names = toxic_votes(lists)
+    kinds = ", ".join(f"{c} byte" for c in (*JUNK_VOTES, *toxic_names))
+    voted = docs.mapInArrow(votes(lexicons, [hashes_of(x) for x in lists]), schema(f"doc_id long, {kinds}"))
     voted = cut(voted.join(gold, "doc_id", "left"))
-    for h in (0, 1):  # a lexicon does not vote on the half it was learned from
-        voted = voted.withColumn(f"t_lexicon{h}", F.when(half != h, F.col(f"t_lexicon{h}")))
+    for i in range(PARTS):  # a lexicon does not vote on the part it was learned from
+        voted = voted.withColumn(f"t_lexicon{i}", F.when(part != i, F.col(f"t_lexicon{i}")))
     own = {r["doc_id"]: r for r in voted.join(F.broadcast(ids), "doc_id", "left_semi").collect()}
 
     weights = {}
-    for name, columns in (("junk", JUNK), ("toxic", TOXIC)):
+    for name, columns in (("junk", (*JUNK_VOTES, "gold_junk")), ("toxic", (*toxic_names, "gold_toxic"))):
         code = lambda r, columns=columns: tuple(-1 if r[c] is None else int(r[c]) for c in columns)
         table_ = {code(r): r["n"] for r in voted.groupBy(*columns).agg(F.count("*").alias("n")).collect()}
         patterns = sorted(table_)
         post, _ = em(np.array(patterns, int).reshape(len(patterns), len(columns)), np.array([table_[x] for x in patterns], float))
         label = dict(zip(patterns, post.tolist(), strict=True))
-        y, known = np.array([label[code(own[i])] for i in sample.ids], float), np.array([own[i][columns[-1]] is not None for i in sample.ids], bool)
-        first = sample.fit(y, known if known.any() else None)
-        weights[name] = sample.fit(np.where(known, y, combined(y, sample.logits(first))))
+        y, known = np.array([label[code(own[i])] for i in sample.ids.tolist()], float), np.array([own[i][columns[-1]] is not None for i in sample.ids.tolist()], bool)
+        first = sample.fit(np.where(known, y, np.nan) if known.any() else y)
+        weights[name] = sample.fit(np.where(known, y, combined(y, sample.logits(first), same=name == "toxic" and bool(known.any()))))
     return weights
 
 
@@ -318,24 +356,26 @@ def slim(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, lists: Lists = ()) -> DataFrame:
     """(doc_id, p_junk, p_toxic, reject) for each document.
 
     docs: doc_id long and text; labels: doc_id, quality and toxic, 1 or 0 (null: no vote; repeated rows
-    of a document: the worst counts). Other columns are ignored. Null and empty texts have no words and
+    of a document: the worst counts); lists: a caller's own lists of lower-case words, each a labeller of
+    toxicity. Other columns are ignored. Null and empty texts have no words and
     are judged by the bias alone; texts may have any length and are used whole. Every row is scored by
-    its text, so rows that repeat a doc_id or have none get a score each. Without labels the other
-    labellers decide, and the learned lexicons cast no votes. Empty docs give no rows.
+    its text, so rows that repeat a doc_id or have none get a score each. Without labels the
+    lexicons cast no votes: junk is judged by its labellers, toxicity by the caller's lists or not at all.
+    Empty docs give no rows.
     """
     docs = slim(docs)
-    out = docs.mapInArrow(scores(learned(docs, labels)), schema("doc_id long, text string, p_junk double, p_toxic double")).drop("text")
+    out = docs.mapInArrow(scores(learned(docs, labels, lists)), schema("doc_id long, text string, p_junk double, p_toxic double")).drop("text")
     return out.withColumn("reject", (F.col("p_junk") >= threshold) | (F.col("p_toxic") >= threshold))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, lists: Lists = ()) -> DataFrame:
     """docs' rows that the classifier does not reject, with all their columns: each row carries its own decision, and nothing joins."""
     (text,) = fresh(docs, "scored_text")
-    weights = learned(slim(docs), labels)
+    weights = learned(slim(docs), labels, lists)
     whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias(text))
     out = whole.mapInArrow(scores(weights, text), T.StructType([*whole.schema.fields, *schema("p_junk double, p_toxic double").fields]))
     return out.where(f"p_junk < {threshold} and p_toxic < {threshold}").select("row.*")

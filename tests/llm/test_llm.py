@@ -317,14 +317,68 @@ def test_quality_edges(spark, docs, none):
     assert quality.quality_scores(none, labels).count() == 0
 
 
+#: Word lists such as a caller may pass; ten of these words occur in toxic documents of the test table, so what is found with them says nothing of other data.
+PERSONS = (
+    "bastard", "blockhead", "bozo", "buffoon", "chump", "clown", "coward", "creep", "cretin", "degenerate", "dimwit", "dolt", "dork", "douche", "dullard",
+    "dummy", "dunce", "fool", "fraud", "freak", "halfwit", "hypocrite", "idiot", "imbecile", "jackass", "jerk", "knucklehead", "leech", "liar", "loser", "lout", "lunatic",
+    "maniac", "moron", "nitwit", "numbskull", "oaf", "parasite", "pervert", "psycho", "scoundrel", "scum", "scumbag", "simpleton", "slob", "sucker", "swine",
+    "thug", "traitor", "twit", "vermin", "weakling", "weirdo", "wimp", "wretch",
+)
+CONTEMPT = (
+    "abysmal", "brainless", "contemptible", "cowardly", "despicable", "detestable", "dirty", "disgraceful", "disgusting", "dumb", "filthy", "garbage", "hideous", "idiotic",
+    "incompetent", "inferior", "laughable", "loathsome", "lousy", "moronic", "nasty", "nauseating", "pathetic", "pitiful", "repulsive", "revolting", "ridiculous", "rotten",
+    "rubbish", "shameful", "sickening", "spineless", "stinking", "stupid", "trash", "ugly", "useless", "worthless", "wretched",
+)
+COARSE = (
+    "arse", "asshole", "bitch", "bollocks", "bugger", "bullshit", "crap", "cunt", "damn", "dickhead", "fuck", "fucking", "hate", "kill", "piss", "prick",
+    "shit", "shut", "slut", "stfu", "suck", "sucks", "twat", "wanker", "whore",
+)
+
+
 def test_quality_without_labels(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = common.table(spark, d, "documents"), common.table(spark, d, "labels")
-    scored = quality.quality_scores(docs, labels.where("false")).join(labels, "doc_id")
+    scored = quality.quality_scores(docs, labels.where("false"), lists=(PERSONS, CONTEMPT, COARSE)).join(labels, "doc_id")
     r = scored.agg(F.count_if(F.expr("quality = 0 and reject")).alias("junk"), F.count_if(F.expr("toxic = 1 and reject")).alias("toxic"), F.count_if(F.expr("quality = 1 and toxic = 0 and reject")).alias("good")).first()
     assert r["junk"] > 350 and r["toxic"] > 250 and r["good"] < 15
 
 
+def test_quality_knows_no_words_of_its_own(spark, sf_dir):
+    """Without labels and lists toxicity is not judged, junk is."""
+    docs = common.table(spark, sf_dir, "documents")
+    out = quality.quality_scores(docs, common.table(spark, sf_dir, "labels").where("false"))
+    r = out.agg(F.max("p_toxic").alias("toxic"), F.count_if("reject").alias("rejected")).first()
+    assert r["toxic"] < 0.5 and r["rejected"] > 0
+
+
+def test_quality_sums_by_plain_loop(spark):
+    """Log odds, the fit's features and logits, summed in Spark, are those of a plain loop; the order of rows and partitions changes no bit."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(5)
+    rows = [(i * 7, sorted(rng.sample(range(40), 12) + [100] * (i % 3 == 0) + [3] * (i % 5 == 0))) for i in range(60)]
+    y = np.array([float(i % 3 == 0) if i % 4 else np.nan for i in range(60)])
+    table_ = [(d, len(k), near.pack(np.diff(np.array(k), prepend=0), 4), [0.1, 0.0, 0.2, 0.5]) for d, k in rows]
+    spec = "doc_id long, n long, k binary, stats array<double>"
+    one = quality.Sample(spark.createDataFrame(table_, spec).repartition(3).cache())
+    two = quality.Sample(spark.createDataFrame(table_[::-1], spec).coalesce(1).cache())
+    (odds,), _ = one.lifts([y])
+    total, n = np.nansum(y), int((~np.isnan(y)).sum())
+    for f in (*range(40), 100):
+        held = [(v, k.count(f)) for (_, k), v in zip(rows, y, strict=True) if f in k and not np.isnan(v)]
+        seen, bad = sum(c for _, c in held), sum(v * c for v, c in held)
+        r = np.log((bad + 0.5) / (total + 1)) - np.log((seen - bad + 0.5) / (n - total + 1))
+        clear = (bad - seen * total / n) ** 2 > 9 * max(0.1, seen * total / n)
+        assert odds[f] == pytest.approx(r if seen >= 5 and abs(r) > 0.7 and clear else 0.0)
+    a, b = one.fit(y), two.fit(y)
+    assert np.array_equal(a[0], b[0]) and np.array_equal(a[1], b[1]) and a[2] == b[2] and a[0][100] > 0
+    z = one.logits(a)
+    assert z == pytest.approx([sum(float(a[0][f]) for f in k) + float(one.stats[i] @ a[1]) + a[2] for i, (_, k) in enumerate(rows)])
+    assert ((z > 0) == np.array([100 in k for _, k in rows])).all()
+
+
 # ---- 10 ----
 
 
