@@ -38,17 +38,39 @@ def triples(log: DataFrame) -> DataFrame:
     return triples_of(log.where(F.col("category") == S.FACT).withColumn("triples", one))
 
 
+#: What contradictions are about.
+ABOUT = ["workstream_id", "subject_key", "predicate"]
+
+
+def said(triples_: DataFrame) -> DataFrame:
+    """One row for each fact and (subject, predicate): its first object (``v`` in normal form, ``object``, ``at``) and the first that differs from it (``object2``, ``at2``; null if all agree).
+
+    Rows are dealt by (subject, predicate) into as many parts as shuffles have, which Spark does not merge
+    however small they are: what grows with the square of a subject's facts is the join that follows.
+    """
+    n = int(triples_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = triples_.select(*ABOUT, "event_id", F.struct("ordinal", "object", "valid_at", normalized(F.col("object")).alias("v")).alias("x")).where("x.v is not null")
+    each = rows.repartition(n, *ABOUT).groupBy(*ABOUT, "event_id").agg(F.array_sort(F.collect_list("x")).alias("x")).withColumn("one", F.col("x")[0])
+    each = each.withColumn("two", F.get(F.filter("x", lambda y: y["v"] != F.col("one.v")), F.lit(0)))
+    return each.select(*ABOUT, "event_id", F.col("one.v").alias("v"), F.col("one.object").alias("object"), F.col("one.valid_at").alias("at"), F.col("two.object").alias("object2"), F.col("two.valid_at").alias("at2"))
+
+
 def contradictions(triples_: DataFrame, others: DataFrame | None = None) -> DataFrame:
-    """Pairs of facts that say something else of one subject and predicate; each pair once. With ``others``: pairs of one of triples_ and one of others."""
+    """Pairs of facts that say something else of one subject and predicate; each pair once, with the first objects that differ. With ``others``: pairs of one of triples_ and one of others, which share no fact.
 
-    def side(of: DataFrame, x: str) -> DataFrame:
-        return of.select("workstream_id", "subject_key", "predicate", F.col("event_id").alias(f"event_{x}"), F.col("object").alias(f"object_{x}"), normalized(F.col("object")).alias(f"v{x}"), F.col("valid_at").alias(f"t{x}"), F.col("ordinal").alias(f"o{x}"))
+    Each fact's triples are brought together before facts meet, so pairs leave the join as they are: none is sorted, shuffled or grouped.
+    """
 
-    keys = ["workstream_id", "subject_key", "predicate"]
-    pairs = _both_ways(lambda p, q: side(p, "a").join(side(q, "b"), keys).where("event_a < event_b and va <> vb"), triples_, others)
-    first = F.min(F.struct("oa", "ob", "object_a", "object_b", F.greatest("ta", "tb").alias("detected_at")))
-    out = pairs.groupBy("workstream_id", "subject_key", "predicate", "event_a", "event_b").agg(first.alias("x"))
-    return out.select("workstream_id", "subject_key", "predicate", "event_a", "event_b", F.col("x.object_a").alias("object_a"), F.col("x.object_b").alias("object_b"), F.col("x.detected_at").alias("detected_at"))
+    def side(of: DataFrame, x: str) -> DataFrame:
+        return of.select(*ABOUT, *(F.col(c).alias(f"{c}_{x}") for c in ("event_id", "v", "object", "at", "object2", "at2")))
+
+    differ = "v_a <> v_b or object2_a is not null or object2_b is not null"
+    facts_, more = said(triples_), None if others is None else said(others)
+    pairs = _both_ways(lambda p, q: side(p, "a").join(side(q, "b"), ABOUT).where(f"event_id_a < event_id_b and ({differ})"), facts_, more)
+    # a's first object goes with the first of b that differs from it; where all of b agree with it, b's first goes with a's second
+    second_b, second_a = F.expr("object2_b is not null and v_a = v_b"), F.expr("object2_a is not null and object2_b is null and v_a = v_b")
+    a, b = (lambda c: F.when(second_a, F.col(f"{c}2_a")).otherwise(F.col(f"{c}_a"))), (lambda c: F.when(second_b, F.col(f"{c}2_b")).otherwise(F.col(f"{c}_b")))
+    return pairs.select(*ABOUT, F.col("event_id_a").alias("event_a"), F.col("event_id_b").alias("event_b"), a("object").alias("object_a"), b("object").alias("object_b"), F.greatest(a("at"), b("at")).alias("detected_at"))
 
 
 def _both_ways(pairs, a: DataFrame, b: DataFrame | None) -> DataFrame:
