@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import gates
+from . import gates, projections
 
 
 def promotion_eligible(outputs: DataFrame, log: DataFrame) -> DataFrame:
@@ -35,13 +35,23 @@ def dream_inputs(log: DataFrame, revocations: DataFrame, visibility: DataFrame,
     return gates.not_revoked(rows, revocations).orderBy(F.col("created_at").desc(), "event_id").limit(limit)
 
 
+def visible_events(log: DataFrame, visibility: DataFrame, viewer: str) -> DataFrame:
+    """(event_id) of the events that the viewer may see."""
+    return gates.with_visibility(log.select("event_id", "principal_id"), visibility).where(gates.visible(viewer)).select("event_id")
+
+
 def visible_contradictions(contradictions: DataFrame, log: DataFrame, visibility: DataFrame, viewer: str) -> DataFrame:
-    """Contradictions of which the viewer may see both sides."""
-    seen = gates.with_visibility(log.select("event_id", "principal_id"), visibility).where(gates.visible(viewer)).select("event_id")
+    """Kept contradictions of which the viewer may see both sides. Both joins move pairs; where pairs are still to be made, ``contradictions_seen`` moves facts only."""
+    seen = visible_events(log, visibility, viewer)
     out = contradictions.join(seen.withColumnRenamed("event_id", "event_a"), "event_a", "left_semi")
     return out.join(seen.withColumnRenamed("event_id", "event_b"), "event_b", "left_semi")
 
 
+def contradictions_seen(triples: DataFrame, log: DataFrame, visibility: DataFrame, viewer: str) -> DataFrame:
+    """J12 from triples: what the viewer may not see goes before facts meet, so pairs are made once and stay where they are."""
+    return projections.contradictions(triples.join(visible_events(log, visibility, viewer), "event_id", "left_semi"))
+
+
 def pooled_skills(skills: DataFrame, revocations: DataFrame, visibility: DataFrame, workstreams: list[str], global_workstream: str = "global", each: int = 200) -> DataFrame:
     """Shared skills of the workstreams that opted in, the newest ``each`` of every one."""
     rows = skills.where(F.col("workstream_id").isin(*workstreams) & (F.col("workstream_id") != global_workstream)).drop("revoked_at")

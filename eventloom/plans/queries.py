@@ -603,7 +603,7 @@ def citation_sources(spark, d):
 )
 def visible_contradictions(spark, d):
     log, _, vis = sides(spark, d)
-    return consolidate.visible_contradictions(projections.contradictions(projections.triples(log)), log, vis, "user-8").select("event_a", "event_b", "subject_key", "predicate")
+    return consolidate.contradictions_seen(projections.triples(log), log, vis, "user-8").select("event_a", "event_b", "subject_key", "predicate")
 
 
 @query(f"{A.ctes('log')} SELECT event_id, workstream_id, category, statement FROM log WHERE e % 3 <> 0 OR e % 2 = 0")

@@ -2,9 +2,8 @@
 
 import itertools
 
-from pyspark.sql import functions as F
 
-from eventloom.operators import projections
+from eventloom.operators import consolidate, projections
 
 TRIPLE = "workstream_id string, event_id string, ordinal int, subject_key string, predicate string, object string, valid_at long"
 
@@ -41,3 +40,15 @@ def test_pairs_leave_the_join_as_they_are(spark):
     plan = projections.contradictions(triples)._jdf.queryExecution().sparkPlan().toString()
     above = plan[: plan.index("Join")]
     assert "Aggregate" not in above and "Exchange" not in above and "Sort" not in above.replace("SortMerge", "")
+
+
+def test_unseen_facts_go_before_pairs_are_made(spark, sf_dir):
+    from eventloom.plans.queries import QUERIES
+
+    triples = odd_triples(spark)
+    log = triples.selectExpr("event_id", "case when event_id = 'e1' then 'u' else 'other' end as principal_id").distinct()
+    hidden = spark.createDataFrame([("e1", 0), ("e2", 0), ("e4", 1)], "event_id string, visibility int")
+    seen, kept = consolidate.contradictions_seen(triples, log, hidden, "u"), consolidate.visible_contradictions(projections.contradictions(triples), log, hidden, "u")
+    assert sorted(map(tuple, seen.select(kept.columns).collect())) == sorted(map(tuple, kept.collect())) and 0 < kept.count() < 10
+    plan = QUERIES["visible_contradictions"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan[: plan.index("Join Inner")]
