@@ -71,8 +71,10 @@ def rebuilt(log: DataFrame, revocations: DataFrame) -> dict[str, DataFrame]:
 
 
 def rebuild_counts(log: DataFrame, revocations: DataFrame) -> DataFrame:
-    """K7, K8: (projection, n), one row for each projection."""
-    parts = [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("projection"), "n") for name, t in rebuilt(log, revocations).items()]
+    """K7, K8: (projection, n), one row for each projection; pairs are counted by their groups, none is made."""
+    counts = {name: t.agg(F.count("*").alias("n")) for name, t in rebuilt(log, revocations).items()}
+    counts |= {"contradictions": projections.contradiction_count(projections.triples(log)), "duplicates": projections.duplicate_count(projections.fact_keys(log))}
+    parts = [t.select(F.lit(name).alias("projection"), "n") for name, t in counts.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -73,6 +73,26 @@ def contradictions(triples_: DataFrame, others: DataFrame | None = None) -> Data
     return pairs.select(*ABOUT, F.col("event_id_a").alias("event_a"), F.col("event_id_b").alias("event_b"), a("object").alias("object_a"), b("object").alias("object_b"), F.greatest(a("at"), b("at")).alias("detected_at"))
 
 
+def _two(n):
+    """How many pairs n rows give."""
+    return F.coalesce(F.sum(F.shiftright(n * (n - 1), 1)), F.lit(0))
+
+
+def contradiction_count(triples_: DataFrame) -> DataFrame:
+    """How many rows ``contradictions`` gives (n), without pairs: all pairs of facts of a (subject, predicate) but those that say one value alone, the same."""
+    each = triples_.where(F.col("workstream_id").isNotNull() & F.col("event_id").isNotNull() & F.col("subject_key").isNotNull() & F.col("predicate").isNotNull())
+    each = each.withColumn("v", normalized(F.col("object"))).where("v is not null").groupBy(*ABOUT, "event_id").agg(F.min("v").alias("v"), F.max("v").alias("last"))
+    alike = each.groupBy(*ABOUT, F.when(F.col("v") == F.col("last"), F.col("v")).alias("v")).agg(F.count("*").alias("n"))
+    return alike.groupBy(*ABOUT).agg(F.sum("n").alias("all"), _two(F.when(F.col("v").isNotNull(), F.col("n"))).alias("same")).agg((_two(F.col("all")) - F.coalesce(F.sum("same"), F.lit(0))).alias("n"))
+
+
+def duplicate_count(rows: DataFrame) -> DataFrame:
+    """How many rows ``duplicate_pairs`` of ``fact_keys`` gives (n), without pairs: all pairs of rows of a key but those of one fact at one time."""
+    each = rows.where("workstream_id is not null and key is not null and event_id is not null and created_at is not null")
+    once = each.groupBy("workstream_id", "key", "created_at", "event_id").agg(F.count("*").alias("n"))
+    return once.groupBy("workstream_id", "key").agg(F.sum("n").alias("all"), _two(F.col("n")).alias("same")).agg((_two(F.col("all")) - F.coalesce(F.sum("same"), F.lit(0))).alias("n"))
+
+
 def _both_ways(pairs, a: DataFrame, b: DataFrame | None) -> DataFrame:
     return pairs(a, a) if b is None else pairs(a, b).unionByName(pairs(b, a))
 

@@ -3,7 +3,8 @@
 import itertools
 
 
-from eventloom.operators import consolidate, projections
+from eventloom import adapter as A
+from eventloom.operators import consolidate, maintenance, projections
 
 TRIPLE = "workstream_id string, event_id string, ordinal int, subject_key string, predicate string, object string, valid_at long"
 
@@ -52,3 +53,15 @@ def test_unseen_facts_go_before_pairs_are_made(spark, sf_dir):
     assert sorted(map(tuple, seen.select(kept.columns).collect())) == sorted(map(tuple, kept.collect())) and 0 < kept.count() < 10
     plan = QUERIES["visible_contradictions"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" not in plan[: plan.index("Join Inner")]
+
+
+def test_pairs_are_counted_without_pairs(spark, sf_dir):
+    triples = odd_triples(spark)
+    for some in (triples, triples.where("event_id > 'e2'"), triples.limit(0)):
+        assert projections.contradiction_count(some).first()["n"] == projections.contradictions(some).count()
+    keys = [("w", "k", "e1", 1), ("w", "k", "e2", 1), ("w", "k", "e2", 1), ("w", "k", "e2", 2), ("w", "k", "e3", None), ("w", None, "e4", 1), ("w", None, "e5", 2), (None, "k", "e6", 1), (None, "k", "e7", 2), ("v", "k", "e8", 1), ("v", "k", "e9", 0)]
+    rows = spark.createDataFrame([(*k, 0) for k in keys], "workstream_id string, key string, event_id string, created_at long, valid_at long")
+    assert projections.duplicate_count(rows).first()["n"] == projections.duplicate_pairs(rows).count() == 6
+    assert projections.duplicate_count(rows.limit(0)).first()["n"] == 0
+    plan = maintenance.rebuild_counts(A.log(spark, sf_dir), A.revocations(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" not in plan
