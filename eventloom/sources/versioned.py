@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,7 +48,7 @@ class Versioned:
     def __init__(self, spark: SparkSession, folder: str, ddl, by: str, buckets: int = 64, order: Iterable[str] = (), bloom: Iterable[str] = (), page_rows: int | None = None):
         self.spark, self.folder, self.ddl, self.by, self.buckets = spark, folder.rstrip("/"), ddl, by, buckets
         self.order = list(order) or [by]
-        self.options = {f"parquet.bloom.filter.enabled#{c}": "true" for c in bloom}
+        self.options = {"compression": "zstd"} | {f"parquet.bloom.filter.enabled#{c}": "true" for c in bloom}
         if page_rows:
             self.options["parquet.page.row.count.limit"] = str(page_rows)
 
@@ -112,21 +112,22 @@ class Versioned:
         rows = self.read({bucket_on_driver(k, self.buckets) for k in keys}, version)
         return rows.where(listed(self.by, keys))
 
-    def _written(self, rows: DataFrame) -> dict[int, list[str]]:
-        """Write rows by bucket under a new folder: bucket -> folder."""
+    def _written(self, rows: DataFrame, unpack: Callable[[DataFrame], DataFrame] | None = None) -> dict[int, list[str]]:
+        """Write rows by bucket under a new folder: bucket -> folder. With ``unpack`` the rows know their bucket and become the table's rows only after they have moved."""
         made = f"data/{uuid.uuid4().hex}"
-        rows = rows.withColumn("bucket", bucket_of(F.col(self.by), self.buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", *self.order)
+        rows = rows if unpack else rows.withColumn("bucket", bucket_of(F.col(self.by), self.buckets))
+        rows = (unpack or (lambda r: r))(rows.hint("rebalance", "bucket")).sortWithinPartitions("bucket", *self.order)
         rows.write.options(**self.options).partitionBy("bucket").parquet(f"{self.folder}/{made}")
         fs, path = files(self.spark, f"{self.folder}/{made}")
         names = [s.getPath().getName() for s in fs.listStatus(path)]
         return {int(n.removeprefix("bucket=")): [f"{made}/{n}"] for n in names if n.startswith("bucket=")}
 
-    def append(self, rows: DataFrame, batch: int | None = None) -> int:
+    def append(self, rows: DataFrame, batch: int | None = None, unpack: Callable[[DataFrame], DataFrame] | None = None) -> int:
         """A version with more rows; no bucket is read."""
         if batch is not None and self.batch() >= batch:
             return self.last()
         after, now = self.last(), self.manifest()
-        for b, paths in self._written(rows).items():
+        for b, paths in self._written(rows, unpack).items():
             now[b] = [*now.get(b, []), *paths]
         return self.publish(now, after, batch)
 

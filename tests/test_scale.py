@@ -1,10 +1,14 @@
 """Steps whose work must not grow faster than their input, and what they give on odd rows."""
 
+import datetime as dt
 import itertools
 
+import pytest
+from pyspark.sql import functions as F
 
 from eventloom import adapter as A
-from eventloom.operators import consolidate, maintenance, projections
+from eventloom.operators import consolidate, maintenance, projections, textindex
+from eventloom.sources.versioned import Versioned
 
 TRIPLE = "workstream_id string, event_id string, ordinal int, subject_key string, predicate string, object string, valid_at long"
 
@@ -65,3 +69,33 @@ def test_pairs_are_counted_without_pairs(spark, sf_dir):
     assert projections.duplicate_count(rows.limit(0)).first()["n"] == 0
     plan = maintenance.rebuild_counts(A.log(spark, sf_dir), A.revocations(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Inner" not in plan
+
+
+def test_the_index_moves_rows_once_a_table(spark, tmp_path):
+    """Documents, postings and cells each shuffle once; what is kept is what a plain count gives, over batches and a rerun."""
+    text = "event_id string, workstream_id string, created_at timestamp_ntz, content string"
+    long = " ".join(f"w{k % 1700}" for k in range(20_000))
+    rows = [("a", "w", dt.datetime(2024, 1, 1), "Éa ea, EA b-b_b b́ 42"), ("b", None, None, long), ("c", "w", None, ""), ("d", "w", None, None), ("e", "v", None, " -- !? "), ("f", "v", dt.datetime(2024, 1, 2), "日本語 x²  ⅷ one")]
+    corpus = spark.createDataFrame(rows, text)
+    store, moved, written = textindex.IndexStore(spark, str(tmp_path / "i"), buckets=3), [], Versioned._written
+
+    def spy(self, rows, unpack=None):
+        moved.append(rows._jdf.queryExecution().sparkPlan().toString().count("Aggregate"))
+        return written(self, rows, unpack)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(Versioned, "_written", spy)
+        store.add(corpus.where("event_id < 'c'"), 0)
+        assert moved[:3] == [0, 0, 0]
+        store.add(corpus.where("event_id >= 'c'"), 1)
+        store.add(corpus.where("event_id >= 'c'"), 1)
+    plain = textindex.indexed(corpus)
+    order = lambda d, *c: sorted(map(repr, d.select(*c).collect()))
+    columns = ("event_id", "term", "workstream_id", "created_at", "dl", "tf", "cell")
+    assert order(store.postings.read(), *columns) == order(plain.postings, *columns)
+    each = lambda d: d.selectExpr("event_id", "workstream_id", "created_at", "dl", "array_sort(map_entries(counts)) as counts")
+    assert order(each(store.documents.read()), "*") == order(each(plain.documents), "*")
+    cells = store.cells.read().groupBy("term", "workstream_id", "cell").agg(F.sum("n").alias("n"), F.max("tf").alias("tf"), F.min("dl").alias("dl"))
+    assert order(cells, "*") == order(plain.cells, "*")
+    total = [d.agg(F.sum("n"), F.sum("words")).first() for d in (store.sizes.read(), plain.sizes)]
+    assert total[0] == total[1] and total[0][0] == 6
