@@ -8,6 +8,11 @@ extend until what they cover exceeds the differences that a link allows. The num
 follows the set size, and a set near a boundary is indexed for both sides of it. Candidates are then
 verified on the whole sets.
 
+Texts are hashed once. Of each set its head is written: its smallest tokens, an eighth of the set more
+than a prefix of rare tokens needs. Frequencies are counted on the heads of distinct texts and prefixes
+are taken from them; only a set whose head holds too few rare tokens is made again from its text, and
+the rest of its tokens is counted, too. Which tokens count as frequent changes the work, never a link.
+
 Index entries travel as compressed blocks, one per map task and shard. A bucket of up to
 ``PAIR_BUCKET`` sets gives its pairs. A larger one gives a star round its smallest member; once the
 stars are verified and joined into components, only those members that are still apart meet each
@@ -33,18 +38,18 @@ SHORT = np.uint64(24)
 FREQUENT = 32
 #: Bits of the class filter for each frequent token.
 CLASS_BITS = 16
-#: Shingles of the corpus for each shard of counts and index entries.
-SHARD_SHINGLES = 1_000_000
+#: Tokens in heads for each shard of counts and index entries.
+SHARD_TOKENS = 2_000_000
 #: Buckets up to this size give all their pairs, larger ones a star.
 PAIR_BUCKET = 12
 #: Sets below this size are indexed by single tokens only.
 SMALL_SET = 64
 #: Members of large buckets that meet in one task, and cells of a table of their pairs at once.
 GROUP_MEMBERS, CELLS = 100_000, 200_000
-#: Rounds of stars in large buckets before all pairs that are still apart meet.
-ROUNDS = 2
+#: Rounds of stars in large buckets before all pairs that are still apart meet; none while those are at most so many a member.
+ROUNDS, EASY = 2, 200
 #: Index entries that a map task holds before it sends a block to each shard.
-BLOCK_ENTRIES = 500_000
+BLOCK_ENTRIES = 2_000_000
 
 
 def pack(x: np.ndarray, width: int = 8) -> bytes:
@@ -64,29 +69,60 @@ def text_sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarra
         yield from zip(ids[a:b].tolist(), shingle_sets(raw, offsets, size), strict=True)
 
 
-def fingerprint(s: np.ndarray) -> tuple[int, int]:
-    """Two independent 64-bit sums of a set's tokens."""
-    x = np.array([mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)])
-    a, b = x.view(np.int64).tolist()
-    return a, b
+def ends_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sets end to end, and where each begins (n + 1 entries)."""
+    return np.concatenate([*sets, np.zeros(0, np.uint64)]), np.r_[0, np.cumsum([len(s) for s in sets], dtype=np.int64)]
+
+
+def fingerprints(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """Two independent 64-bit sums of each set's tokens."""
+    tokens, first = ends_of(sets)
+    out = []
+    for salt in (0, 0xA5A5A5A5A5A5A5A5):
+        total = np.r_[np.zeros(1, np.uint64), np.cumsum(mix(tokens ^ np.uint64(salt)), dtype=np.uint64)]
+        out.append((total[first[1:]] - total[first[:-1]]).view(np.int64))
+    return out
+
+
+def parities(sets: list[np.ndarray], bits: np.ndarray) -> list[bytes]:
+    """For each set as many bits as asked for (a power of two from 8 up); each says whether an odd number of tokens falls on it, so two sets differ in at least as many tokens as bits."""
+    tokens, first = ends_of(sets)
+    at = np.r_[0, np.cumsum(bits)]
+    row = np.repeat(np.arange(len(sets)), np.diff(first))
+    odd = np.bincount(at[row] + (tokens.view(np.int64) & (bits - 1)[row]), minlength=at[-1]).astype(np.uint8) & 1
+    flat = np.packbits(odd).tobytes()
+    return [flat[a:b] for a, b in zip((at[:-1] // 8).tolist(), (at[1:] // 8).tolist(), strict=True)]
 
 
-def parity(s: np.ndarray) -> list[int]:
-    """512 bits; each says whether an odd number of tokens falls on it, so two sets differ in at least as many tokens as bits."""
-    odd = np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512).astype(np.uint8) & 1
-    return np.packbits(odd).view(np.int64).tolist()
+def wide_bits(sizes: list[int]) -> np.ndarray:
+    """About four bits for each token, a power of two of bits."""
+    return np.array([1 << max(9, (4 * n).bit_length()) for n in sizes], np.int64)
 
 
 PARITY = [f"p{i}" for i in range(8)]
 PRINTS = "doc_id long, n_shingles long, fp1 long, fp2 long, " + ", ".join(f"{p} long" for p in PARITY)
 
 
-def sizes_and_prints(size: int):
+def needed(n, percent: int):
+    """How many tokens of a set of n make a prefix."""
+    return n - -(-percent * n // 100) + 1
+
+
+def head_length(n: int, percent: int) -> int:
+    return min(n, needed(n, percent) + n // 8 + 8)
+
+
+def sizes_and_prints(size: int, percent: int):
     def run(batches):
         for batch in batches:
-            rows = [(d, len(s), *fingerprint(s), *parity(s)) for d, s in text_sets(batch, size)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["doc_id", "n_shingles", "fp1", "fp2", *PARITY])
+            if batch.num_rows:
+                ids, sets = zip(*text_sets(batch, size), strict=True)
+                n = [len(s) for s in sets]
+                narrow = np.frombuffer(b"".join(parities(sets, np.full(len(n), 512))), np.int64).reshape(-1, len(PARITY))
+                heads = [s[: head_length(len(s), percent)].astype("<u8").tobytes() for s in sets]
+                numbers = [ids, n, *fingerprints(sets), *narrow.T]
+                columns = [*(pa.array(np.ascontiguousarray(x), pa.int64()) for x in numbers), pa.array(parities(sets, wide_bits(n)), pa.binary()), pa.array(heads, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "fp1", "fp2", *PARITY, "parity", "head"])
 
     return run
 
@@ -106,7 +142,43 @@ def shard_blocks(keys: np.ndarray, shards: int) -> Iterator[tuple[int, int, int]
         yield int(at[a]), a, b
 
 
-def count_blocks(size: int, shards: int):
+class Heads:
+    """The heads in a batch end to end: ``tokens``, the ``row`` of each, and for each row where its head begins (``first``, n + 1 entries)."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        column = batch.column("head").cast(pa.large_binary())
+        self.first = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // 8
+        data = column.buffers()[2]
+        tokens = np.frombuffer(data, "<u8", len(data) // 8) if data is not None else np.zeros(0, "<u8")
+        self.tokens, self.first = tokens[self.first[0] : self.first[-1]], self.first - self.first[0]
+        self.row = np.repeat(np.arange(len(column)), np.diff(self.first))
+        self.n = batch.column("n_shingles").to_numpy()
+        self.ids = batch.column("doc_id").to_numpy()
+
+    def ranks(self, frequent: FrequentClass, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which tokens are rare, the rank of each among its row's rare ones, and which rows have a prefix of rare tokens in their head."""
+        rare = ~frequent.of(self.tokens)
+        total = np.r_[0, np.cumsum(rare)]
+        return rare, total[1:] - total[self.first[self.row]], np.diff(total[self.first]) >= needed(self.n, percent)
+
+
+def head_tokens(batches):
+    for batch in batches:
+        yield Heads(batch).tokens
+
+
+def tail_tokens(size: int, percent: int):
+    """The tokens of texts that no head has."""
+
+    def run(batches):
+        for batch in batches:
+            for _, s in text_sets(batch, size):
+                yield s[head_length(len(s), percent) :]
+
+    return run
+
+
+def count_blocks(tokens, shards: int):
     """Each map task's tokens with the number of its documents that hold them, by shard."""
 
     def flush(held: list[np.ndarray]):
@@ -117,14 +189,13 @@ def count_blocks(size: int, shards: int):
 
     def run(batches):
         held, n = [], 0
-        for batch in batches:
-            for _, s in text_sets(batch, size):
-                if len(s):
-                    held.append(s)
-                    n += len(s)
-                if n >= BLOCK_ENTRIES:
-                    yield flush(held)
-                    held, n = [], 0
+        for s in tokens(batches):
+            if len(s):
+                held.append(s)
+                n += len(s)
+            if n >= BLOCK_ENTRIES:
+                yield flush(held)
+                held, n = [], 0
         if n:
             yield flush(held)
 
@@ -135,21 +206,21 @@ def frequent_of(least: int):
     """The tokens of one shard (their upper 40 bits) that more than ``least`` documents hold."""
 
     def run(block: pa.Table) -> pa.Table:
-        keys, counts = [], []
-        for r in block.to_pylist():
-            keys.append(np.cumsum(unpack(r["keys"], r["n"]), dtype=np.uint64))
-            counts.append(unpack(r["counts"], r["n"], 4).astype(np.int64))
-        k, c = np.concatenate(keys), np.concatenate(counts)
-        order = np.argsort(k, kind="stable")
-        k, c = k[order], c[order]
+        # a key of 40 bits and a count below 2**24 in one number: a block counts no token more often than it has entries
+        both = np.sort(np.concatenate([np.cumsum(unpack(r["keys"], r["n"]), dtype=np.uint64) << SHORT | unpack(r["counts"], r["n"], 4).astype(np.uint64) for r in block.to_pylist()]))
+        k, c = both >> SHORT, (both & np.uint64((1 << 24) - 1)).astype(np.int64)
         edge = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        total = np.add.reduceat(c, edge)
-        keep = total > least
+        keep = np.add.reduceat(c, edge) > least
         return pa.table({"token": pa.array(k[edge][keep].view(np.int64), pa.int64())})
 
     return run
 
 
+def frequent_tokens(rows: DataFrame, tokens, shards: int) -> DataFrame:
+    blocks = rows.mapInArrow(count_blocks(tokens, shards), schema("shard int, n long, keys binary, counts binary"))
+    return cut(blocks.repartitionById(shards, "shard").groupBy("shard").applyInArrow(frequent_of(FREQUENT), schema("token long")))
+
+
 class FrequentClass:
     """Which tokens are of the frequent class: those that fall on a set bit of a filter of bounded size.
 
@@ -167,6 +238,25 @@ class FrequentClass:
         return (self.bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
+def frequent_class(often: DataFrame):
+    """The broadcast class of the tokens in a table."""
+    bits = filter_bits(often.count(), CLASS_BITS)
+    maps = bitmaps(often.select(F.col("token").bitwiseAND(F.lit(bits - 1)).alias("slot"))).collect()  # of bounded size
+    return often.sparkSession.sparkContext.broadcast(FrequentClass(maps, bits))
+
+
+def short_heads(percent: int, broadcast):
+    """The documents whose head is not the whole set and holds too few rare tokens for a prefix."""
+
+    def run(batches):
+        for batch in batches:
+            h = Heads(batch)
+            short = ~h.ranks(broadcast.value, percent)[2] & (np.diff(h.first) < h.n)
+            yield pa.RecordBatch.from_arrays([pa.array(h.ids[short], pa.int64())], names=["doc_id"])
+
+    return run
+
+
 def level_of(n: int) -> int:
     """0 for small sets; then one level for each doubling."""
     return 0 if n < SMALL_SET else (n // SMALL_SET).bit_length()
@@ -179,8 +269,7 @@ def signatures(s: np.ndarray, frequent: FrequentClass, percent: int) -> np.ndarr
     are indexed by single tokens.
     """
     n = len(s)
-    least = -(-percent * n // 100)
-    need = n - least + 1
+    least, need = n + 1 - needed(n, percent), needed(n, percent)
     often = frequent.of(s)
     rare, common = s[~often], s[often]
     if len(rare) >= need:
@@ -210,13 +299,41 @@ def signatures(s: np.ndarray, frequent: FrequentClass, percent: int) -> np.ndarr
     return np.unique(np.concatenate(out))
 
 
-def index_blocks(size: int, shards: int, percent: int, broadcast):
-    """Each map task's index entries (key, document, set size), by shard; exact copies within the task enter once."""
+def head_entries(percent: int, broadcast):
+    """Index entries (keys, documents, set sizes) of the documents whose heads suffice."""
+
+    def run(batches):
+        for batch in batches:
+            h, need = Heads(batch), needed(batch.column("n_shingles").to_numpy(), percent)
+            rare, rank, enough = h.ranks(broadcast.value, percent)
+            at = np.flatnonzero(rare & (rank <= need[h.row]) & enough[h.row])
+            yield h.tokens[at], h.ids[h.row[at]], h.n[h.row[at]]
+            for i in np.flatnonzero(~enough & (np.diff(h.first) == h.n) & (h.n > 0)).tolist():
+                keys = signatures(h.tokens[h.first[i] : h.first[i + 1]], broadcast.value, percent)
+                yield keys, np.full(len(keys), h.ids[i]), np.full(len(keys), h.n[i])
+
+    return run
+
+
+def text_entries(size: int, percent: int, broadcast):
+    """Index entries of whole texts."""
 
-    def flush(keys: list, docs: list, sizes: list):
-        k, counts = np.concatenate(keys), [len(x) for x in keys]
-        d, n = np.repeat(np.array(docs, np.int64), counts), np.repeat(np.array(sizes, np.int64), counts)
-        order = np.argsort(k, kind="stable")
+    def run(batches):
+        for batch in batches:
+            for d, s in text_sets(batch, size):
+                if len(s):
+                    keys = signatures(s, broadcast.value, percent)
+                    yield keys, np.full(len(keys), d), np.full(len(keys), len(s))
+
+    return run
+
+
+def index_blocks(entries, shards: int):
+    """Each map task's index entries (key, document, set size), by shard."""
+
+    def flush(held: list):
+        k, d, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(k)
         k, d, n = k[order], d[order].view(np.uint64), n[order]
         k48 = k >> np.uint64(16)
         rows = [(h, b - a, pack(np.diff(k48[a:b], prepend=np.uint64(0))), pack(d[a:b]), pack(n[a:b], 4)) for h, a, b in shard_blocks(k, shards)]
@@ -224,22 +341,16 @@ def index_blocks(size: int, shards: int, percent: int, broadcast):
         return pa.RecordBatch.from_arrays([pa.array(h, pa.int32()), pa.array(c, pa.int64()), *(pa.array(v, pa.binary()) for v in (x, y, z))], names=["shard", "n", "keys", "docs", "sizes"])
 
     def run(batches):
-        frequent = broadcast.value
-        keys, docs, sizes, held, seen = [], [], [], 0, set()
-        for batch in batches:
-            for d, s in text_sets(batch, size):
-                if not len(s) or (fp := fingerprint(s)) in seen:
-                    continue
-                seen.add(fp)
-                keys.append(signatures(s, frequent, percent))
-                docs.append(d)
-                sizes.append(len(s))
-                held += len(keys[-1])
-                if held >= BLOCK_ENTRIES:
-                    yield flush(keys, docs, sizes)
-                    keys, docs, sizes, held = [], [], [], 0
-        if keys:
-            yield flush(keys, docs, sizes)
+        held, n = [], 0
+        for entry in entries(batches):
+            if len(entry[0]):
+                held.append(entry)
+                n += len(entry[0])
+            if n >= BLOCK_ENTRIES:
+                yield flush(held)
+                held, n = [], 0
+        if n:
+            yield flush(held)
 
     return run
 
@@ -254,7 +365,7 @@ def candidates_of(percent: int):
             docs.append(unpack(r["docs"], r["n"]).view(np.int64))
             sizes.append(unpack(r["sizes"], r["n"], 4).astype(np.int64))
         k, d, n = np.concatenate(keys), np.concatenate(docs), np.concatenate(sizes)
-        order = np.lexsort((d, k))
+        order = np.argsort(k)
         k, d, n = k[order], d[order], n[order]
         edge = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
         count = np.diff(np.r_[edge, len(k)])
@@ -266,8 +377,8 @@ def candidates_of(percent: int):
             i = np.flatnonzero(small & (left >= gap))
             j = i + gap
             ok = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (d[i] != d[j])
-            a.append(d[i[ok]])
-            b.append(d[j[ok]])
+            a.append(np.minimum(d[i[ok]], d[j[ok]]))
+            b.append(np.maximum(d[i[ok]], d[j[ok]]))
         pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0) if a else np.zeros((0, 2), np.int64)
         bucket, x, y, seen = [np.zeros(len(pairs), np.int64)], [pairs[:, 0]], [pairs[:, 1]], set()
         for e, c in zip(edge[count > PAIR_BUCKET].tolist(), count[count > PAIR_BUCKET].tolist(), strict=True):
@@ -279,7 +390,7 @@ def candidates_of(percent: int):
                 x.append(np.full(len(members) - 1, members[0]))
                 y.append(members[1:])
         bucket, x, y = np.concatenate(bucket), np.concatenate(x), np.concatenate(y)
-        return pa.table({"bucket": pa.array(bucket, pa.int64()), "a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
+        return pa.table({"bucket": pa.array(bucket, pa.int64()), "center": pa.array(x, pa.int64()), "member": pa.array(y, pa.int64())})
 
     return run
 
@@ -290,13 +401,6 @@ def close_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFram
     return pairs.join(one, "a").join(two, "b").where(close("sa", "sb", percent)).select("a", "b")
 
 
-def wide_parity(s: np.ndarray) -> bytes:
-    """Parities of a set on about four bits for each token, a power of two of bits."""
-    bits = 1 << max(9, (4 * len(s)).bit_length())
-    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
-    return np.packbits(odd).tobytes()
-
-
 def least_difference(x: bytes, y: bytes) -> int:
     """A number of tokens by which two sets differ at least; the wider parities are folded to the narrower."""
     p, q = (np.frombuffer(v, np.uint8) for v in ((x, y) if len(x) <= len(y) else (y, x)))
@@ -306,10 +410,10 @@ def least_difference(x: bytes, y: bytes) -> int:
 def packed_sets(size: int):
     def run(batches):
         for batch in batches:
-            rows = [(d, len(s), wide_parity(s), pack(np.diff(s, prepend=np.uint64(0)))) for d, s in text_sets(batch, size)]
-            if rows:
-                d, n, p, x = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(n, pa.int64()), pa.array(p, pa.binary()), pa.array(x, pa.binary())], names=["id", "n", "parity", "tokens"])
+            if batch.num_rows:
+                ids, sets = zip(*text_sets(batch, size), strict=True)
+                numbers = [ids, *fingerprints(sets), [len(s) for s in sets]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in numbers), pa.array([pack(np.diff(s, prepend=np.uint64(0))) for s in sets], pa.binary())], names=["id", "fp1", "fp2", "n", "x"])
 
     return run
 
@@ -339,24 +443,34 @@ def do_link(percent: int):
     return test
 
 
-def ends(pairs: DataFrame, name: str) -> DataFrame:
-    """The documents in pairs (a, b), to be broadcast if they are few."""
-    return few(cut(pairs.select(F.col("a").alias(name)).union(pairs.select("b")).distinct()))
+def ends(pairs: DataFrame) -> DataFrame:
+    """The documents (id) in pairs (a, b)."""
+    return cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+
+
+def rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is among ids (doc_id, written before); few ids go to the rows, else only rows that may match shuffle."""
+    return split_by_ids(docs, ids)[1].join(few(ids), "doc_id", "left_semi")
+
 
+def tested_by(test, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that a test of their sets (id, n, x) lets through."""
+    one, two = (sets.select(F.col("id").alias(e), F.col("n").alias(f"n{i}"), F.col("x").alias(f"x{i}")) for e, i in (("a", 1), ("b", 2)))
+    return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "n1", "x1", "n2", "x2").mapInArrow(kept_pairs(test), schema("a long, b long")))
 
-def link(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+
+def link(docs: DataFrame, prints: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole texts link: first by wide parities, which never lose a link, then by all tokens.
 
-    The sets of all documents in pairs are made once; only those in pairs that pass the parities shuffle.
+    Only the texts of pairs that pass the parities are made into sets again; of rows that repeat an id, the one that has the prints counts.
     """
-    ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    sets = split_by_ids(docs, ids)[1].join(few(ids), "doc_id", "left_semi").select("doc_id", "text")
-    sets = cut(sets.mapInArrow(packed_sets(size), schema("id long, n long, parity binary, tokens binary")))
-    for column, test in (("parity", may_link), ("tokens", do_link)):
-        sets = sets.join(ends(pairs, "id"), "id", "left_semi") if column == "tokens" else sets
-        one, two = (sets.select(F.col("id").alias(e), F.col("n").alias(f"n{i}"), F.col(column).alias(f"x{i}")) for e, i in (("a", 1), ("b", 2)))
-        pairs = cut(pairs.join(one, "a").join(two, "b").select("a", "b", "n1", "x1", "n2", "x2").mapInArrow(kept_pairs(test(percent)), schema("a long, b long")))
-    return pairs
+    pairs = tested_by(may_link(percent), pairs, prints.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.col("parity").alias("x")).join(few(ends(pairs)), "id", "left_semi"))
+    if pairs.isEmpty():
+        return pairs
+    ids = ends(pairs).withColumnRenamed("id", "doc_id")
+    sets = rows_of(docs, ids).select("doc_id", "text").mapInArrow(packed_sets(size), schema("id long, fp1 long, fp2 long, n long, x binary"))
+    own = prints.join(few(ids), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "fp1", "fp2")
+    return tested_by(do_link(percent), pairs, cut(sets.join(own, ["id", "fp1", "fp2"], "left_semi").select("id", "n", "x")))
 
 
 def apart_in(percent: int):
@@ -403,7 +517,7 @@ def apart_pairs(members: DataFrame, count: int, percent: int) -> DataFrame:
     return out.union(met.select(F.least("id", "center"), F.greatest("id", "center"))).distinct()
 
 
-def rejoined(docs: DataFrame, held: DataFrame, sketches: DataFrame, tested: DataFrame, links: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def rejoined(docs: DataFrame, prints: DataFrame, held: DataFrame, sketches: DataFrame, tested: DataFrame, links: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links and components once the members (bucket, id) of large buckets that are still apart have met.
 
     Rounds of stars come first: in each bucket the members outside its most common component meet one
@@ -421,13 +535,13 @@ def rejoined(docs: DataFrame, held: DataFrame, sketches: DataFrame, tested: Data
         if not members:
             return links, classes
         named = cut(named.join(groups.select("bucket", "main", "center", "total"), "bucket"))
-        apart, last = named.where("component <> main"), turn == ROUNDS or not found or pairs <= 2 * members
+        apart, last = named.where("component <> main"), turn == ROUNDS or not found or pairs <= EASY * members
         if last:
             rest = apart_pairs(named.join(sketches, "id"), members, percent)
         else:
             rest = close_pairs(apart.select(F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b")).distinct(), sketches, percent)
         rest = cut(rest.join(tested, ["a", "b"], "left_anti"))
-        more = link(docs, rest, size, percent)
+        more = link(docs, prints, rest, size, percent)
         found = bool(more.take(1))
         links = links.union(more) if found else links
         if last:
@@ -451,31 +565,37 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75) -> Dat
     arrow_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
-    prints = cut(docs.mapInArrow(sizes_and_prints(size), schema(PRINTS)).dropDuplicates(["doc_id"]))
-    some = prints.where("n_shingles > 0")
+    wide = cut(docs.mapInArrow(sizes_and_prints(size, percent), schema(f"{PRINTS}, parity binary, head binary")))
+    if wide.groupBy("doc_id").count().where("count > 1").take(1):
+        wide = cut(wide.dropDuplicates(["doc_id"]))
+    prints, some = wide.drop("parity", "head"), wide.where("n_shingles > 0").select("doc_id", "fp1", "fp2")
     first = cut(some.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").select(F.col("fp1").alias("f1"), F.col("fp2").alias("f2"), "rep"))
     rep = some.join(first, (F.col("fp1") == F.col("f1")) & (F.col("fp2") == F.col("f2")), "left")
     rep = cut(rep.select("doc_id", F.coalesce("rep", "doc_id").alias("rep")))
 
-    total = prints.agg(F.sum("n_shingles")).first()[0] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_SHINGLES))
-    counted = docs.mapInArrow(count_blocks(size, shards), schema("shard int, n long, keys binary, counts binary"))
-    often = cut(counted.repartitionById(shards, "shard").groupBy("shard").applyInArrow(frequent_of(FREQUENT), schema("token long")))
-    bits = filter_bits(often.count(), CLASS_BITS)
-    maps = bitmaps(often.select(F.col("token").bitwiseAND(F.lit(bits - 1)).alias("slot"))).collect()  # of bounded size
-    broadcast = spark.sparkContext.broadcast(FrequentClass(maps, bits))
-
-    blocks = docs.mapInArrow(index_blocks(size, shards, percent, broadcast), schema("shard int, n long, keys binary, docs binary, sizes binary"))
-    found = blocks.repartitionById(shards, "shard").groupBy("shard").applyInArrow(candidates_of(percent), schema("bucket long, a long, b long"))
-    ra, rb = (rep.select(F.col("doc_id").alias(x), F.col("rep").alias(f"r{x}")) for x in "ab")
-    found = cut(found.join(ra, "a").join(rb, "b").where("ra <> rb").select("bucket", F.col("ra").alias("center"), F.col("rb").alias("member")))
+    texts = without(wide.select("doc_id", "n_shingles", "head"), rep.where("rep <> doc_id"))
+    total = prints.agg(F.sum(F.lit(9) + F.col("n_shingles") * (112.5 - percent) / 100)).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // SHARD_TOKENS))
+    often = frequent_tokens(texts, head_tokens, shards)
+    broadcast = frequent_class(often)
+    short = cut(texts.mapInArrow(short_heads(percent, broadcast), schema("doc_id long")))
+    if not short.isEmpty():
+        often = cut(often.union(frequent_tokens(rows_of(docs, short), tail_tokens(size, percent), shards)).distinct())
+        broadcast = frequent_class(often)
+        short = cut(texts.mapInArrow(short_heads(percent, broadcast), schema("doc_id long")))
+
+    index = schema("shard int, n long, keys binary, docs binary, sizes binary")
+    blocks = texts.mapInArrow(index_blocks(head_entries(percent, broadcast), shards), index)
+    if not short.isEmpty():
+        blocks = blocks.union(rows_of(docs, short).mapInArrow(index_blocks(text_entries(size, percent, broadcast), shards), index))
+    found = cut(blocks.repartitionById(shards, "shard").groupBy("shard").applyInArrow(candidates_of(percent), schema("bucket long, center long, member long")))
     sketches = prints.select(F.col("doc_id").alias("id"), F.struct(F.col("n_shingles").alias("n"), *PARITY).alias("s"))
     tested = cut(close_pairs(found.select(F.least("center", "member").alias("a"), F.greatest("center", "member").alias("b")).distinct(), sketches, percent))
-    links = link(docs, tested, size, percent)
+    links = link(docs, wide, tested, size, percent)
 
     held = found.where("bucket <> 0")
     held = cut(held.select("bucket", F.col("member").alias("id")).union(held.select("bucket", F.col("center"))).distinct())
-    links, classes = rejoined(docs, held, sketches, tested, links, size, percent)
+    links, classes = rejoined(docs, wide, held, sketches, tested, links, size, percent)
 
     named = rep.join(classes.select(F.col("id").alias("rep"), "component"), "rep", "left")
     named = named.select("doc_id", F.coalesce("component", "rep").alias("component_id"))

@@ -438,6 +438,29 @@ def test_jaccard_at_other_similarities(spark, docs, percent):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.jaccard_components(df, percent=percent).collect()} == want
 
 
+def test_jaccard_reads_texts_once(spark):
+    """Texts that link with nothing but their copies are read and hashed once, and their copies make no token frequent."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [(d, " ".join(f"w{d % 30}x{i}" for i in range(90))) for d in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).mapInArrow(counted, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.jaccard_components(df).collect()}
+    assert got == {d: (86, d % 30) for d, _ in rows} and read.value == len(rows)
+
+
+def test_jaccard_of_repeated_ids(spark):
+    """Rows that repeat an id are one document, with one of their texts."""
+    a, b, c = (" ".join(f"{k}{i}" for i in range(200)) for k in "abc")
+    df = spark.createDataFrame([(1, a), (1, b), (2, a + " end"), (3, b + " end"), (4, c), (4, c), (5, c + " end")], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in near.jaccard_components(df).collect()}
+    assert got in ({1: 1, 2: 1, 3: 3, 4: 4, 5: 4}, {1: 1, 2: 2, 3: 1, 4: 4, 5: 4})
+
+
 def test_em_by_brute_force():
     """The estimates on pattern counts are those of a plain loop over all rows and classes."""
     import random
