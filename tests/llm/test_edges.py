@@ -112,3 +112,27 @@ def test_a_cluster_must_name_its_shared_folder(spark):
 
     with pytest.raises(ValueError, match="checkpoint"):
         common.shared_folder(Session())
+
+
+@pytest.mark.parametrize("together", [500_000, 100, 0])
+def test_components_of_few_links_take_few_tables(spark, monkeypatch, together):
+    """However long the paths are, links that fit one task are written twice; larger tables go through rounds, with the same result."""
+    import importlib
+    import random
+
+    module, written = importlib.import_module("eventloom.llm.components"), []
+    links = [(i, i + 1) for i in range(1, 200)] + [(i + 3, i) for i in range(300, 360)] + [(7, 7), (1, 2), (400, 400), (-5, 9_000_000_000)]
+    names = [*range(1, 401)]
+    random.Random(3).shuffle(names)
+    links = [(names[a - 1], names[b - 1]) if 0 < a <= 400 and 0 < b <= 400 else (a, b) for a, b in links]
+    of = {i: i for a, b in links if a != b for i in (a, b)}
+    for _ in of:
+        for a, b in links:
+            if a != b:
+                of[a] = of[b] = min(of[a], of[b])
+    monkeypatch.setattr(module, "TOGETHER", together, raising=False)
+    monkeypatch.setattr(module, "cut", lambda df, f=module.cut: written.append(1) or f(df))
+    got = module.components(spark.createDataFrame(links, "a long, b long").repartition(3))
+    assert {(r["id"], r["component"]) for r in got.collect()} == set(of.items()) and got.count() == len(of)
+    assert (len(written) == 2) == (together == 500_000)
+    assert module.components(spark.createDataFrame([(7, 7)], "a long, b long")).count() == 0
